@@ -1,0 +1,19 @@
+"""Joins against a side whose size has to be looked at first."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "left",
+                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``small`` if it has at most ``max_rows`` rows, else join by shuffle.
+
+    Counting stops one row past the limit. Meant for narrow tables that are usually
+    near empty (exceptions, large keys) next to a wide one that should not be moved;
+    adaptive execution splits skewed partitions of the shuffled form.
+    """
+    fits = small.limit(max_rows + 1).count() <= max_rows
+    return big.join(F.broadcast(small) if fits else small, on, how)

@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The ledger has no streams, watermarks or timers to reproduce. The folds in
+``hearthbook.operators.commands`` take plain DataFrames, so a ``foreachBatch``
+sink can call them on each micro-batch of commands as they are.
+"""
