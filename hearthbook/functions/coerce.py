@@ -6,7 +6,7 @@ work on plain strings.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -54,9 +54,19 @@ def timestamp(text: Column) -> Column:
     return F.when(text.rlike(_STAMP), text.try_cast("timestamp"))
 
 
+def names(values: Sequence[str]) -> Column:
+    """A constant array of names."""
+    return F.expr("array(" + ", ".join(f"'{value}'" for value in values) + ")")
+
+
+def lookup(values: Mapping[str, str | int]) -> Column:
+    """A constant map from names to texts or numbers."""
+    return F.expr("map(" + ", ".join(f"'{k}', {v!r}" for k, v in values.items()) + ")")
+
+
 def enum(name: Column, allowed: Sequence[str], default: str) -> Column:
     """The name itself when it is a known one, else the default."""
-    return F.when(name.isin(*allowed), name).otherwise(F.lit(default))
+    return F.when(F.array_contains(names(allowed), name), name).otherwise(F.lit(default))
 
 
 # ---- VARIANT nodes --------------------------------------------------------
@@ -164,5 +174,5 @@ def as_object_list(node: Column) -> Column:
 
 def as_string_list(node: Column) -> Column:
     """The items of a list as text, empty ones left out."""
-    texts = F.transform(as_list(node), as_string)
+    texts = F.transform(as_list(node), lambda item: as_string(item))
     return F.filter(texts, lambda text: text != "")

@@ -22,11 +22,6 @@ DATE_FORMATS = {
 POSTCODE_FORMAT = r"(?i)^[A-Z]{1,2}[0-9][A-Z0-9]?\s?[0-9][A-Z]{2}$"
 
 
-def date_column(day: Column | str) -> Column:
-    """An ``as_of`` argument (ISO text or a column) as a DATE column."""
-    return day if isinstance(day, Column) else F.lit(day).cast("date")
-
-
 # ---- money ----------------------------------------------------------------
 
 
@@ -50,10 +45,8 @@ def format_money(minor: Column, with_pence: bool = True, symbol: str = "£") ->
 
 def per_year(frequency: Column) -> Column:
     """Payments per year; unknown names count as monthly."""
-    chain = F
-    for name, times in S.FREQUENCIES_PER_YEAR.items():
-        chain = chain.when(frequency == name, times)
-    return chain.otherwise(S.FREQUENCIES_PER_YEAR["monthly"])
+    known = F.try_element_at(coerce.lookup(S.FREQUENCIES_PER_YEAR), frequency)
+    return F.coalesce(known, F.lit(S.FREQUENCIES_PER_YEAR["monthly"]))
 
 
 def monthly_equivalent(minor: Column, frequency: Column) -> Column:
@@ -161,20 +154,18 @@ def reminder_kind(name: Column) -> Column:
 
 def kind_ordinal(kind: Column) -> Column:
     """Position of a service kind in the fixed order, from 0."""
-    return F.array_position(F.array(*map(F.lit, S.SERVICE_KINDS)), kind) - 1
+    return F.array_position(coerce.names(S.SERVICE_KINDS), kind) - 1
 
 
 def setup_rank(kind: Column) -> Column:
     """Rank in the setup list: five kinds first, all others share the last rank."""
-    place = F.array_position(F.array(*map(F.lit, S.SETUP_ORDER)), kind)
+    place = F.array_position(coerce.names(S.SETUP_ORDER), kind)
     return F.when(place > 0, place - 1).otherwise(F.lit(len(S.SETUP_ORDER))).cast("bigint")
 
 
 def kind_label(kind: Column) -> Column:
-    chain = F
-    for name, label in S.KIND_LABELS.items():
-        chain = chain.when(kind == name, label)
-    return chain.otherwise(S.KIND_LABELS["other"])
+    known = F.try_element_at(coerce.lookup(S.KIND_LABELS), kind)
+    return F.coalesce(known, F.lit(S.KIND_LABELS["other"]))
 
 
 # ---- roles ----------------------------------------------------------------

@@ -94,7 +94,7 @@ def calendar_grid(households: DataFrame, bills: DataFrame, month: str) -> DataFr
     )
 
 
-def due_next(bills: DataFrame, as_of: Column | str, days: int = S.DUE_SOON_DAYS) -> DataFrame:
+def due_next(bills: DataFrame, as_of: R.Day, days: int = S.DUE_SOON_DAYS) -> DataFrame:
     """Unpaid bills due within ``days``, estimates included, by date."""
     near = bills.where(R.is_due_within(as_of, days))
     return near.orderBy(S.KEY, F.col("due_date")["value"], "bill_id")

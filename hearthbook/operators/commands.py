@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hearthbook import schema as S
-from hearthbook.functions import coerce, fields as P, scalars as X
+from hearthbook.functions import coerce, fields as P, rules as R, scalars as X
 from hearthbook.operators.relations import current_members
 from hearthbook.sources.dimensions import default_lookup_keys
 
@@ -70,7 +70,7 @@ def create_households(requests: DataFrame) -> dict[str, DataFrame]:
     key = F.col(S.KEY).cast("string")
     member_id = F.concat(F.lit("member-"), key)
     property_id = F.concat(F.lit("prop-"), key)
-    default = F.array(*map(F.lit, S.DEFAULT_SERVICES))
+    default = coerce.names(S.DEFAULT_SERVICES)
     wanted = F.when(F.coalesce(F.size("services"), F.lit(0)) > 0, F.col("services")).otherwise(default)
     households = requests.select(
         S.KEY,
@@ -347,11 +347,11 @@ def change_bills(bills: DataFrame, inserts: DataFrame | None = None,
     return fold(bills, "bill_id", inserts, patches, fields, deletes)
 
 
-def reminders_from_bills(bills: DataFrame, as_of: Column | str) -> DataFrame:
+def reminders_from_bills(bills: DataFrame, as_of: R.Day) -> DataFrame:
     """A payment reminder for every dated unpaid bill, some days ahead, never in the past."""
-    day = X.date_column(as_of)
+    day = F.expr(R.day(as_of))
     due = F.col("due_date")["value"]
-    unpaid = bills.where(~F.col("payment_status").eqNullSafe("paid") & due.isNotNull())
+    unpaid = bills.where(~R.is_paid() & due.isNotNull())
     return unpaid.select(
         F.concat(F.lit("rem-"), F.col("bill_id")).alias("reminder_id"),
         S.KEY,

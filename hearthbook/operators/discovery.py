@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from hearthbook import schema as S
-from hearthbook.functions import fields as P, scalars as X
+from hearthbook.functions import coerce, fields as P, scalars as X
 
 # An address cannot tell who supplies energy; these rows say so.
 UNKNOWN_KINDS = {"electricity": "electricity_supplier", "gas": "gas_supplier"}
@@ -102,7 +102,7 @@ def missing_kinds(households: DataFrame, slots: DataFrame) -> DataFrame:
     held = stacked.groupBy(S.KEY).agg(
         F.max("known").alias("known"), F.collect_set("kind").alias("kinds")
     )
-    every = F.array(*map(F.lit, S.SERVICE_KINDS))
+    every = coerce.names(S.SERVICE_KINDS)
     return held.where("known = 1").select(
         S.KEY, F.explode(F.array_except(every, "kinds")).alias("kind")
     )

@@ -8,10 +8,12 @@ are lowered, split and searched once.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthbook import schema as S
-from hearthbook.functions import coerce, fields as P, scalars as X
+from hearthbook.functions import coerce, fields as P, rules as R, scalars as X
 
 # --------------------------------------------------------------------------
 # Names, labels, keywords and patterns that decide the results.
@@ -108,112 +110,95 @@ DUE_DATE = (
     rf"|[A-Za-z]{{3,9}}{_WS}+[0-9]{{1,2}}(?:st|nd|rd|th)?,?{_WS}+[0-9]{{2,4}})"
 )
 LOOSE_DUE_DATE = rf"(?i)due[^0-9A-Za-z]{{0,8}}({_DIGIT_DATE})"
-ISO_DATE = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})$"
-NUMERIC_DATE = r"^([0-9]{1,2})[/\-.]([0-9]{1,2})[/\-.]([0-9]{2,4})$"
-DAY_MONTH_DATE = (
-    rf"^([0-9]{{1,2}})(?:st|nd|rd|th)?{_WS}+(?:of{_WS}+)?([a-z]{{3,9}})\.?{_WS}+([0-9]{{2,4}})$"
+# The date shapes: ISO, day-month-year numbers, day and month name, month name and day.
+DATE_SHAPES = (
+    r"^(?:([0-9]{4})-([0-9]{2})-([0-9]{2})"
+    r"|([0-9]{1,2})[/\-.]([0-9]{1,2})[/\-.]([0-9]{2,4})"
+    rf"|([0-9]{{1,2}})(?:st|nd|rd|th)?{_WS}+(?:of{_WS}+)?([a-z]{{3,9}})\.?{_WS}+([0-9]{{2,4}})"
+    rf"|([a-z]{{3,9}})\.?{_WS}+([0-9]{{1,2}})(?:st|nd|rd|th)?{_WS}+([0-9]{{2,4}}))$"
 )
-MONTH_DAY_DATE = rf"^([a-z]{{3,9}})\.?{_WS}+([0-9]{{1,2}})(?:st|nd|rd|th)?{_WS}+([0-9]{{2,4}})$"
 
 
 # ---- dates ----------------------------------------------------------------
 
 
-def _group(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group)
-
-
-def _day(year: Column, month: Column, day: Column) -> Column:
-    """A DATE from numbers; days that do not exist give null."""
-    text = F.concat_ws(
-        "-",
-        F.lpad(year.cast("string"), 4, "0"),
-        F.lpad(month.cast("string"), 2, "0"),
-        F.lpad(day.cast("string"), 2, "0"),
-    )
-    known = year.isNotNull() & month.isNotNull() & day.isNotNull()
-    return F.when(known, text.try_cast("date"))
-
+def date_parts(text: Column) -> Column:
+    """[ISO year, printed year, month, day] of a printed date, null for other text.
 
-def _month_number(name: Column) -> Column:
-    full = F.array(*[F.lit(month) for month in MONTHS])
-    short = F.array(*[F.lit(month[:3]) for month in MONTHS])
-    place = F.greatest(
-        F.array_position(full, name),
-        F.array_position(short, name),
-        F.when(name == "sept", 9).otherwise(0).cast("bigint"),
-    )
-    return F.nullif(place, F.lit(0).cast("bigint"))
+    One pattern covers all shapes; only one alternative matches, so its groups can be
+    picked by writing the groups of all alternatives next to each other.
+    """
+    value = F.replace(F.lower(coerce.trim(text)), F.lit(","), F.lit(""))
+    picked = F.regexp_replace(value, DATE_SHAPES, r"$1|$6$9$12|$2$5$8$10|$3$4$7$11")
+    return F.when(value.rlike(DATE_SHAPES), F.split(picked, r"\|"))
 
 
-def parse_flexible_date(text: Column, as_of: Column | str) -> Column:
-    """A printed date in one of the usual shapes; day before month when ambiguous.
+def date_from_parts(parts: str, as_of: R.Day) -> Column:
+    """The DATE of a ``date_parts`` column; days that do not exist give null.
 
     Two-digit years belong to the century of ``as_of``; in the all-number shape a
     year more than five back moves to the next century.
     """
-    this_year = F.year(X.date_column(as_of))
+    this_year = dt.date.fromisoformat(str(as_of)).year
     century = this_year - this_year % 100
-    value = F.replace(F.lower(coerce.trim(text)), F.lit(","), F.lit(""))
-
-    def number(pattern: str, group: int) -> Column:
-        return _group(value, pattern, group).try_cast("int")
-
-    iso = _day(number(ISO_DATE, 1), number(ISO_DATE, 2), number(ISO_DATE, 3))
-
-    printed = number(NUMERIC_DATE, 3)
-    in_century = printed + century
-    rolled = F.when(in_century < this_year - 5, in_century + 100).otherwise(in_century)
-    numeric = _day(
-        F.when(printed < 100, rolled).otherwise(printed),
-        number(NUMERIC_DATE, 2),
-        number(NUMERIC_DATE, 1),
+    full = ", ".join(f"'{month}'" for month in MONTHS)
+    short = ", ".join(f"'{month[:3]}'" for month in MONTHS)
+    year = f"CAST({parts}[1] AS INT)"
+    whole_year = (
+        f"CASE WHEN {parts}[0] <> '' THEN CAST({parts}[0] AS INT) "
+        f"WHEN {year} >= 100 THEN {year} "
+        f"WHEN {parts}[2] RLIKE '[a-z]' OR {year} + {century} >= {this_year} - 5 THEN {year} + {century} "
+        f"ELSE {year} + {century + 100} END"
+    )
+    month = (
+        f"CASE WHEN {parts}[2] RLIKE '[a-z]' THEN CAST(nullif(greatest("
+        f"array_position(array({full}), {parts}[2]), array_position(array({short}), {parts}[2]), "
+        f"if({parts}[2] = 'sept', 9L, 0L)), 0L) AS STRING) ELSE {parts}[2] END"
+    )
+    return F.expr(
+        f"try_cast(concat(lpad(CAST({whole_year} AS STRING), 4, '0'), '-', "
+        f"lpad({month}, 2, '0'), '-', lpad({parts}[3], 2, '0')) AS DATE)"
     )
 
-    def worded(pattern: str, day: int, month: int) -> Column:
-        year = number(pattern, 3)
-        full_year = F.when(year < 100, year + century).otherwise(year)
-        return _day(full_year, _month_number(_group(value, pattern, month)), number(pattern, day))
 
-    return F.coalesce(
-        iso, numeric, worded(DAY_MONTH_DATE, 1, 2), worded(MONTH_DAY_DATE, 2, 1)
-    )
+def with_date(rows: DataFrame, text: str, name: str, as_of: R.Day) -> DataFrame:
+    """Add column ``name``: the printed date in column ``text``, day before month."""
+    parts = f"_{name}_parts"
+    split = rows.withColumn(parts, date_parts(F.col(text)))
+    return split.withColumn(name, date_from_parts(parts, as_of)).drop(parts)
 
 
 # ---- keyword rules --------------------------------------------------------
 
 
-def _by_keyword(lowered: Column, rules: dict[str, tuple[str, ...]]) -> Column:
-    chain = F
-    for result, words in rules.items():
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | lowered.contains(word)
-        chain = chain.when(hit, result)
-    return chain.otherwise(F.lit(None).cast("string"))
+def _by_keyword(lowered: str, rules: dict[str, tuple[str, ...]]) -> Column:
+    """First rule one of whose words occurs in the column of lowered text."""
+    branches = [
+        "WHEN " + " OR ".join(f"contains({lowered}, '{word}')" for word in words) + f" THEN '{result}'"
+        for result, words in rules.items()
+    ]
+    return F.expr("CASE " + " ".join(branches) + " END")
 
 
-def detect_frequency(lowered: Column) -> Column:
+def detect_frequency(lowered: str) -> Column:
     return _by_keyword(lowered, FREQUENCY_WORDS)
 
 
-def detect_kind(lowered: Column) -> Column:
+def detect_kind(lowered: str) -> Column:
     return _by_keyword(lowered, KIND_WORDS)
 
 
-def detect_known_provider(text: Column, lowered: Column, word_boundary: bool = False) -> Column:
+def detect_known_provider(text: str, lowered: str, word_boundary: bool = False) -> Column:
     """First listed name that occurs anywhere in the text, in any case.
 
     Matching is plain containment, so 'EE' is found inside 'fee'; with
     ``word_boundary`` a name must stand alone.
     """
+    if not word_boundary:
+        return _by_keyword(lowered, {name: (name.lower(),) for name in KNOWN_PROVIDERS})
     chain = F
     for name in KNOWN_PROVIDERS:
-        if word_boundary:
-            hit = text.rlike(rf"(?iu)(?<!\w)\Q{name}\E(?!\w)")
-        else:
-            hit = lowered.contains(name.lower())
-        chain = chain.when(hit, name)
+        chain = chain.when(F.col(text).rlike(rf"(?iu)(?<!\w)\Q{name}\E(?!\w)"), name)
     return chain.otherwise(F.lit(None).cast("string"))
 
 
@@ -281,7 +266,7 @@ def too_short(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.where(size < S.MIN_BILL_TEXT)
 
 
-def extract_bills(documents: DataFrame, as_of: Column | str, text: str = "text",
+def extract_bills(documents: DataFrame, as_of: R.Day, text: str = "text",
                   hint: str | None = None, word_boundary: bool = False) -> DataFrame:
     """Read every document; the input columns stay, in front of the findings.
 
@@ -296,32 +281,34 @@ def extract_bills(documents: DataFrame, as_of: Column | str, text: str = "text",
 
     found = searched.withColumns(
         {
-            "_known": detect_known_provider(F.col("_text"), F.col("_lower"), word_boundary),
+            "_known": detect_known_provider("_text", "_lower", word_boundary),
             "_money": _money_lines(F.col("_text")),
-            "_due_text": _group(F.col("_text"), DUE_DATE, 1),
-            "_kind": detect_kind(F.col("_lower")),
-            "_frequency": detect_frequency(F.col("_lower")),
+            "_due_text": F.regexp_extract("_text", DUE_DATE, 1),
+            "_kind": detect_kind("_lower"),
+            "_frequency": detect_frequency("_lower"),
         }
     )
-    label_word = F.when(F.col("_known").isNull(), _group(F.col("_text"), PROVIDER_LABEL, 1))
+    label_word = F.when(F.col("_known").isNull(), F.regexp_extract("_text", PROVIDER_LABEL, 1))
     picked = found.withColumns(
         {
-            "_word": F.when(F.length(label_word) >= 3, label_word),
+            "_word": F.nullif(label_word, F.lit("")),
             "_labelled": _labelled_amount(F.col("_money")),
             "_amounts": F.flatten(F.transform("_money", lambda line: line["amounts"])),
-            "_due": F.when(F.col("_due_text") != "", parse_flexible_date(F.col("_due_text"), as_of)),
         }
     )
-    loose = parse_flexible_date(_group(F.col("_text"), LOOSE_DUE_DATE, 1), as_of)
+    strict = with_date(picked, "_due_text", "_due", as_of)
+    # The looser pattern is only searched where the strict one gave no date.
+    retried = strict.withColumn(
+        "_loose_text", F.when(F.col("_due").isNull(), F.regexp_extract("_text", LOOSE_DUE_DATE, 1))
+    )
     unlabelled = F.col("_labelled").isNull() & (F.size("_amounts") > 0)
-    settled = picked.withColumns(
+    settled = with_date(retried, "_loose_text", "_loose", as_of).withColumns(
         {
-            "_provider": F.coalesce("_known", "_word"),
+            "_word": F.when(F.length("_word") >= 3, F.col("_word")),
             "_amount": F.coalesce("_labelled", F.array_max("_amounts")),
-            # The looser pattern is only searched where the strict one gave no date.
-            "_date": F.when(F.col("_due").isNotNull(), F.col("_due")).otherwise(loose),
+            "_date": F.coalesce("_due", "_loose"),
         }
-    )
+    ).withColumn("_provider", F.coalesce("_known", "_word"))
     warnings = F.array_compact(
         F.array(
             F.when(F.col("_known").isNull() & F.col("_word").isNotNull(), "provider_from_label"),

@@ -7,7 +7,7 @@ top-k lists use a window, whose limit Spark applies before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hearthbook import schema as S
 from hearthbook.functions import fields as P, rules as R, scalars as X
@@ -47,7 +47,7 @@ def estimates(bills: DataFrame) -> DataFrame:
     return bills_by_date(bills.where(~R.is_paid() & R.is_estimate()))
 
 
-def section_counts(bills: DataFrame, as_of: Column | str) -> DataFrame:
+def section_counts(bills: DataFrame, as_of: R.Day) -> DataFrame:
     """Bills per household and section; a section without bills has no row."""
     return (
         bills.select(S.KEY, R.bill_section(as_of).alias("section"))
@@ -56,7 +56,7 @@ def section_counts(bills: DataFrame, as_of: Column | str) -> DataFrame:
     )
 
 
-def bill_tiles(bills: DataFrame, as_of: Column | str) -> DataFrame:
+def bill_tiles(bills: DataFrame, as_of: R.Day) -> DataFrame:
     """What a bill tile shows, as codes and formatted text."""
     return bills.select(
         "bill_id",
@@ -69,7 +69,7 @@ def bill_tiles(bills: DataFrame, as_of: Column | str) -> DataFrame:
     )
 
 
-def open_reminders(reminders: DataFrame, as_of: Column | str) -> DataFrame:
+def open_reminders(reminders: DataFrame, as_of: R.Day) -> DataFrame:
     """Reminders not done, by date, with an overdue flag."""
     flagged = reminders.where(R.reminder_open()).withColumn("overdue", R.reminder_overdue(as_of))
     return flagged.orderBy(S.KEY, "due_at", "reminder_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from hearthbook import schema as S
-from hearthbook.functions import scalars as X
+from hearthbook.functions import coerce, scalars as X
 
 
 def search_addresses(requests: DataFrame, addresses: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def masked_bills(bills: DataFrame, current: DataFrame) -> DataFrame:
 def requested_services(requests: DataFrame) -> DataFrame:
     """Distinct requested service kinds in first-mention order, with unknown ones flagged."""
     distinct = F.array_distinct(F.coalesce("services", F.array().cast("array<string>")))
-    known = F.array(*map(F.lit, S.SERVICE_KINDS))
+    known = coerce.names(S.SERVICE_KINDS)
     return requests.select(
         S.KEY,
         F.array_except(distinct, known).alias("unknown"),

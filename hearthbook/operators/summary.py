@@ -33,43 +33,46 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def slot_measures(slots: DataFrame) -> DataFrame:
-    monthly = R.recurring_monthly()
-    return slots.select(
+    measured = slots.select(
         S.KEY,
-        monthly.alias("monthly_recurring_minor"),
-        _one(monthly > 0).alias("monthly_recurring_count"),
-        _one(R.readiness().isin("notFound", "needsConfirmation")).alias("unresolved_provider_count"),
+        R.recurring_monthly().alias("monthly_recurring_minor"),
+        _one(R.is_unresolved()).alias("unresolved_provider_count"),
     )
+    return measured.withColumn("monthly_recurring_count", _one(F.col("monthly_recurring_minor") > 0))
 
 
-def bill_measures(bills: DataFrame, as_of: Column | str, horizon_days: int,
+def bill_measures(bills: DataFrame, as_of: R.Day, horizon_days: int,
                   require_confirmed_overdue: bool) -> DataFrame:
     bucketed = bills.where(~R.is_paid()).select(
         S.KEY,
         R.summary_bucket(as_of, horizon_days).alias("bucket"),
-        F.col("amount_minor")["value"].alias("amount"),
-        P.is_confirmed(F.col("amount_minor")).alias("sure"),
+        F.expr("amount_minor.value").alias("amount"),
+        F.expr(R.SURE).alias("sure"),
+    )
+    late = "bucket = 'overdue' AND sure" if require_confirmed_overdue else "bucket = 'overdue'"
+    counted = f"(bucket = 'due' OR ({late}))"
+    left_out = (
+        "(bucket IN ('undated', 'unpriced', 'due_unconfirmed') "
+        f"OR (bucket = 'overdue' AND NOT ({late})))"
     )
-    bucket = F.col("bucket")
-    overdue = bucket == "overdue"
-    paid_late = overdue & F.col("sure") if require_confirmed_overdue else overdue
-    counted = (bucket == "due") | paid_late
-    left_out = bucket.isin("undated", "unpriced", "due_unconfirmed") | (overdue & ~paid_late)
-    return bucketed.select(
+    flags = {
+        "still_to_pay_count": counted,
+        "excluded_from_totals": left_out,
+        "missing_date_count": "bucket = 'undated'",
+        "overdue_count": "bucket = 'overdue'",
+        "upcoming_count": "bucket IN ('overdue', 'due', 'due_unconfirmed', 'later')",
+        "needs_details_count": "bucket IN ('undated', 'unpriced')",
+        "estimate_count": "bucket = 'estimate'",
+    }
+    return bucketed.selectExpr(
         S.KEY,
-        F.when(counted, F.col("amount")).otherwise(0).alias("still_to_pay_minor"),
-        _one(counted).alias("still_to_pay_count"),
-        _one(left_out).alias("excluded_from_totals"),
-        _one(bucket == "undated").alias("missing_date_count"),
-        _one(overdue).alias("overdue_count"),
-        _one(bucket.isin("overdue", "due", "due_unconfirmed", "later")).alias("upcoming_count"),
-        _one(bucket.isin("undated", "unpriced")).alias("needs_details_count"),
-        _one(bucket == "estimate").alias("estimate_count"),
+        f"if({counted}, amount, 0L) AS still_to_pay_minor",
+        *[f"if({condition}, 1L, 0L) AS {name}" for name, condition in flags.items()],
     )
 
 
 def household_summary(households: DataFrame, slots: DataFrame, bills: DataFrame,
-                      as_of: Column | str, horizon_days: int = S.STILL_TO_PAY_DAYS,
+                      as_of: R.Day, horizon_days: int = S.STILL_TO_PAY_DAYS,
                       require_confirmed_overdue: bool = False) -> DataFrame:
     """One row per household, zeros where nothing is recorded.
 
@@ -88,19 +91,15 @@ def household_summary(households: DataFrame, slots: DataFrame, bills: DataFrame,
             bill_measures(bills, as_of, horizon_days, require_confirmed_overdue),
         ]
     )
-    sums = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in MEASURES]
+    sums = [F.expr(f"coalesce(sum({name}), 0L) AS {name}") for name in MEASURES]
     summed = stacked.groupBy(S.KEY).agg(F.max("known").alias("known"), *sums)
     return summed.where("known = 1").select(
         S.KEY,
         *MEASURES,
-        ((F.col("monthly_recurring_count") > 0) | (F.col("still_to_pay_count") > 0)).alias(
-            "has_reliable_totals"
+        F.expr("monthly_recurring_count > 0 OR still_to_pay_count > 0").alias("has_reliable_totals"),
+        F.expr("excluded_from_totals + unresolved_provider_count + overdue_count").alias(
+            "attention_count"
         ),
-        (
-            F.col("excluded_from_totals")
-            + F.col("unresolved_provider_count")
-            + F.col("overdue_count")
-        ).alias("attention_count"),
     )
 
 
@@ -109,7 +108,7 @@ def services_outstanding(households: DataFrame, slots: DataFrame) -> DataFrame:
     measured = slots.select(
         S.KEY,
         F.lit(1).cast("bigint").alias("service_count"),
-        _one(R.readiness() != "ready").alias("outstanding_count"),
+        _one(~R.is_ready()).alias("outstanding_count"),
         _one(P.has_value(F.col("provider"))).alias("with_provider"),
     )
     stacked = _union([households.select(S.KEY, F.lit(1).alias("known")), measured])
@@ -162,5 +161,5 @@ def household_stages(households: DataFrame, properties: DataFrame) -> DataFrame:
         F.max("onboarding_complete").alias("onboarding_complete"),
     )
     return merged.where("known = 1").select(
-        S.KEY, R.household_stage(F.col("placed").isNotNull()).alias("stage")
+        S.KEY, R.household_stage("placed IS NOT NULL").alias("stage")
     )

@@ -32,7 +32,7 @@ def _unknown(name: str, allowed: tuple[str, ...]) -> Column:
 
 
 def household_rules() -> Rules:
-    known = F.array(*map(F.lit, S.SERVICE_KINDS))
+    known = coerce.names(S.SERVICE_KINDS)
     return {
         "line1_required": _blank("line1"),
         "town_required": _blank("town"),

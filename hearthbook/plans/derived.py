@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 AS_OF = "1998-06-01"
 REMINDER_AS_OF = "2024-01-15"
@@ -203,8 +203,8 @@ RULES: dict[str, Rule] = {
             "ELSE 'unknown' END",
             "document_id": f"CASE WHEN {_O} % 3 = 0 THEN 'doc-' || {_s(_O)} END",
             "notes": "CAST(NULL AS STRING)",
-            "created_at": "o_orderdate",
-            "updated_at": "o_orderdate",
+            "created_at": "CAST(o_orderdate AS TIMESTAMP)",
+            "updated_at": "CAST(o_orderdate AS TIMESTAMP)",
         },
         where="o_custkey % 50 <> 0",
     ),
@@ -223,7 +223,7 @@ RULES: dict[str, Rule] = {
             "extracted_text": f"'Text of ' || {_s(_O)}",
             "notes": "CAST(NULL AS STRING)",
             "bill_id": f"'b-' || {_s(_O)}",
-            "created_at": "o_orderdate",
+            "created_at": "CAST(o_orderdate AS TIMESTAMP)",
         },
         where=f"{_O} % 3 = 0 AND {_O} % 12 <> 0",
     ),
@@ -267,7 +267,7 @@ RULES: dict[str, Rule] = {
             "WHEN 'view' THEN 'not_sure' ELSE 'set' END",
             "value": f"CASE WHEN event_type IN ('purchase', 'signup') THEN ' Set ' || {_s(_E)} END",
             "minor": "CAST(round(value * 100) AS BIGINT)",
-            "ts": "ts",
+            "ts": "CAST(ts AS TIMESTAMP)",
         },
     ),
     "bill_texts": Rule(
@@ -334,20 +334,14 @@ class Ledger:
         return rule.frame(self.raw(rule.source))
 
     def _fields(self, name: str, *fields: str) -> DataFrame:
-        flat = self.flat(name)
-
-        def column(field: str) -> Column:
-            return F.struct(
-                F.col(f"{field}_value").alias("value"),
-                F.col(f"{field}_source").alias("source"),
-                F.col(f"{field}_status").alias("status"),
-                F.lit(None).cast("timestamp").alias("recorded_at"),
-                F.lit(None).cast("string").alias("note"),
-            ).alias(field)
-
         parts = {f"{field}_{part}" for field in fields for part in ("value", "source", "status")}
-        plain = [c for c in flat.columns if c not in parts]
-        return flat.select(*plain, *[column(field) for field in fields])
+        plain = [c for c in RULES[name].columns if c not in parts]
+        structs = [
+            f"named_struct('value', {field}_value, 'source', {field}_source, 'status', {field}_status, "
+            f"'recorded_at', CAST(NULL AS TIMESTAMP), 'note', CAST(NULL AS STRING)) AS {field}"
+            for field in fields
+        ]
+        return self.flat(name).selectExpr(*plain, *structs)
 
     @cached_property
     def households(self) -> DataFrame:
@@ -360,11 +354,11 @@ class Ledger:
     @cached_property
     def slots(self) -> DataFrame:
         table = self._fields("service_slots", "provider", "account_number", "amount_minor", "next_due_date")
-        keys = F.filter(F.split("lookup_keys_text", ","), lambda key: key != "")
-        return table.select(
+        return table.selectExpr(
             "slot_id", "household_id", "kind", "provider", "account_number", "amount_minor",
-            "next_due_date", "frequency", keys.alias("lookup_keys"),
-            F.lit(None).cast("string").alias("note"),
+            "next_due_date", "frequency",
+            "filter(split(lookup_keys_text, ','), key -> key <> '') AS lookup_keys",
+            "CAST(NULL AS STRING) AS note",
         )
 
     @cached_property
@@ -395,13 +389,13 @@ class Ledger:
     def household_requests(self) -> DataFrame:
         flat = self.flat("household_requests")
         services = F.filter(F.split("services_text", ","), lambda kind: kind != "")
-        return flat.drop("services_text").withColumns(
+        return flat.withColumns(
             {
                 "services": services,
                 "address_source": F.lit(None).cast("string"),
                 "is_demo_data": F.lit(None).cast("boolean"),
             }
-        )
+        ).drop("services_text")
 
     @cached_property
     def tables(self) -> dict[str, DataFrame]:

@@ -20,6 +20,7 @@ def local_session(cores: str | int = "*", name: str = "hearthbook", memory: str
         .appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in ENGINE_SETTINGS.items():

@@ -104,44 +104,41 @@ DATE_FIELD = field_type(T.DateType())
 KEY = "household_id"
 
 
-def _table(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
+# Table schemas as DDL text, for ``spark.read.schema`` and ``createDataFrame``.
 _TEXT = TEXT_FIELD.simpleString()
 _MONEY = MONEY_FIELD.simpleString()
 _DATE = DATE_FIELD.simpleString()
 
-HOUSEHOLDS = _table(
+HOUSEHOLDS = (
     "household_id bigint, name string, property_id string, current_member_id string, "
     "onboarding_complete boolean"
 )
-PROPERTIES = _table(
+PROPERTIES = (
     "property_id string, household_id bigint, line1 string, line2 string, town string, "
     "postcode string, uprn string, tenure string, address_source string, is_demo_data boolean"
 )
-SERVICE_SLOTS = _table(
+SERVICE_SLOTS = (
     f"slot_id string, household_id bigint, kind string, provider {_TEXT}, "
     f"account_number {_TEXT}, amount_minor {_MONEY}, next_due_date {_DATE}, "
     "frequency string, lookup_keys array<string>, note string"
 )
-BILLS = _table(
+BILLS = (
     f"bill_id string, household_id bigint, kind string, provider {_TEXT}, "
     f"amount_minor {_MONEY}, due_date {_DATE}, period_start date, period_end date, "
     "frequency string, payment_status string, document_id string, notes string, "
     "created_at timestamp, updated_at timestamp"
 )
-DOCUMENTS = _table(
+DOCUMENTS = (
     "document_id string, household_id bigint, kind string, title string, "
     "provider_name string, file_name string, content_type string, byte_size bigint, "
     "storage_key string, extracted_text string, notes string, bill_id string, "
     "created_at timestamp"
 )
-REMINDERS = _table(
+REMINDERS = (
     "reminder_id string, household_id bigint, kind string, title string, due_at date, "
     "note string, bill_id string, is_done boolean"
 )
-MEMBERS = _table(
+MEMBERS = (
     "member_id string, household_id bigint, name string, email string, role string, "
     "has_accepted_invite boolean, is_current_user boolean, pos bigint"
 )

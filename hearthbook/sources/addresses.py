@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthbook.functions import coerce
 
 # The feed's shape and the placeholder for an unnamed address.
-FEED = T.StructType.fromDDL("results array<struct<DPA: map<string, string>>>")
+FEED = "results array<struct<DPA: map<string, string>>>"
 PLACEHOLDER = "Address"
 
 
