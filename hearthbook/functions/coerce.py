@@ -101,15 +101,24 @@ def child(node: Column, path: str) -> Column:
     return F.try_variant_get(node, path, "variant")
 
 
-def plain_string(node: Column, path: str) -> Column:
-    """The text at ``path`` when it is a JSON string, else null."""
-    item = child(node, path)
-    return F.when(_is_string(item), F.try_variant_get(node, path, "string"))
+def members(node: Column, *names: str) -> Column:
+    """The named members of an object as a struct of VARIANTs; null for other nodes."""
+    inner = ", ".join(f"{name}: variant" for name in names)
+    return F.try_variant_get(node, "$", f"struct<{inner}>")
+
+
+def only_string(node: Column) -> Column:
+    """The text of a JSON string, null for any other node."""
+    return F.when(_is_string(node), F.try_variant_get(node, "$", "string"))
 
 
-def plain_boolean(node: Column, path: str) -> Column:
-    item = child(node, path)
-    return F.when(_is_boolean(item), F.try_variant_get(node, path, "boolean"))
+def only_boolean(node: Column) -> Column:
+    return F.when(_is_boolean(node), F.try_variant_get(node, "$", "boolean"))
+
+
+def plain_string(node: Column, path: str) -> Column:
+    """The text at ``path`` when it is a JSON string, else null."""
+    return only_string(child(node, path))
 
 
 def as_string(node: Column, fallback: str = "") -> Column:
@@ -162,9 +171,8 @@ def as_timestamp(node: Column) -> Column:
 
 def as_list(node: Column) -> Column:
     """Array of VARIANT items; anything that is not a list gives an empty array."""
-    items = F.try_variant_get(node, "$", "array<variant>")
     empty = F.from_json(F.lit("[]"), "array<variant>")
-    return F.when(is_array(node), items).otherwise(empty)
+    return F.coalesce(F.try_variant_get(node, "$", "array<variant>"), empty)
 
 
 def as_object_list(node: Column) -> Column:

@@ -161,41 +161,45 @@ def provenance_class(field: Column) -> Column:
 # ---- decoding -------------------------------------------------------------
 
 
-def decode(node: Column, as_value: Callable[[Column], Column]) -> Column:
-    """Tolerant decode of a VARIANT node into a field.
+def nodes(node: Column) -> Column:
+    """The members of a stored field, still undecoded: what ``decode`` works on."""
+    return coerce.members(
+        node, "value", "source", "status", "recordedAt", "note", "needsConfirmation"
+    )
+
+
+def decode(stored: Column, as_value: Callable[[Column], Column]) -> Column:
+    """Tolerant decode of ``nodes`` into a field.
 
     ``as_value`` turns the VARIANT under ``value`` into the wanted type and gives
     null where it cannot; such a value counts as absent, so the field is missing
     (``undecodable`` reports those). Unknown names fall back to none / missing. An old
-    ``needsConfirmation: true`` without a status means suggested.
+    ``needsConfirmation: true`` without a status means suggested. What is not an
+    object is a missing field.
     """
-    value = as_value(F.try_variant_get(node, "$.value", "variant"))
-    status = coerce.enum(coerce.plain_string(node, "$.status"), S.FIELD_STATUSES, "missing")
-    source = coerce.enum(coerce.plain_string(node, "$.source"), S.FIELD_SOURCES, "none")
-    flagged = F.coalesce(coerce.plain_boolean(node, "$.needsConfirmation"), F.lit(False))
+    value = as_value(stored["value"])
+    status = coerce.enum(coerce.only_string(stored["status"]), S.FIELD_STATUSES, "missing")
+    source = coerce.enum(coerce.only_string(stored["source"]), S.FIELD_SOURCES, "none")
+    flagged = coerce.only_boolean(stored["needsConfirmation"]).eqNullSafe(F.lit(True))
     resolved = (
         F.when(value.isNull(), "missing")
         .when((status == "missing") & flagged, "suggested")
         .otherwise(status)
     )
-    decoded = _build(
+    return _build(
         value,
         source,
         resolved,
-        coerce.timestamp(coerce.plain_string(node, "$.recordedAt")),
-        coerce.plain_string(node, "$.note"),
-    )
-    empty = _build(F.lit(None), "none", "missing", None, None)
-    return F.when(coerce.is_object(node), decoded).otherwise(
-        empty.withField("value", F.when(F.lit(False), value))
+        coerce.timestamp(coerce.only_string(stored["recordedAt"])),
+        coerce.only_string(stored["note"]),
     )
 
 
-def undecodable(node: Column, as_value: Callable[[Column], Column]) -> Column:
+def undecodable(stored: Column, as_value: Callable[[Column], Column]) -> Column:
     """True where a value is present in the document but has no readable form."""
-    raw = F.try_variant_get(node, "$.value", "variant")
+    raw = stored["value"]
     present = raw.isNotNull() & ~F.coalesce(F.is_variant_null(raw), F.lit(True))
-    return F.coalesce(coerce.is_object(node), F.lit(False)) & present & as_value(raw).isNull()
+    return F.coalesce(present, F.lit(False)) & as_value(raw).isNull()
 
 
 def from_mixed(node: Column, as_value: Callable[[Column], Column],
@@ -205,14 +209,14 @@ def from_mixed(node: Column, as_value: Callable[[Column], Column],
     An object with a ``status`` is a full field; anything else is a bare value,
     which the resident typed in, hence confirmed. What cannot be read is missing.
     """
-    full = coerce.is_object(node) & F.try_variant_get(node, "$.status", "variant").isNotNull()
-    value = as_value(F.try_variant_get(node, "$.value", "variant"))
+    stored = nodes(node)
+    value = as_value(stored["value"])
     given = _build(
         value,
-        F.coalesce(coerce.plain_string(node, "$.source"), F.lit("none")),
-        F.when(value.isNull(), "missing").otherwise(coerce.plain_string(node, "$.status")),
-        coerce.timestamp(coerce.plain_string(node, "$.recordedAt")),
-        coerce.plain_string(node, "$.note"),
+        F.coalesce(coerce.only_string(stored["source"]), F.lit("none")),
+        F.when(value.isNull(), "missing").otherwise(coerce.only_string(stored["status"])),
+        coerce.timestamp(coerce.only_string(stored["recordedAt"])),
+        coerce.only_string(stored["note"]),
     )
     bare = confirmed(as_value(node), default_source)
-    return F.when(full, given).otherwise(bare)
+    return F.when(stored["status"].isNotNull(), given).otherwise(bare)

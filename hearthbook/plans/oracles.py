@@ -962,3 +962,170 @@ oracle(
         }.items()
     ),
 )
+
+# ---- validation --------------------------------------------------------------
+
+_K_BILL = "CAST(substr(bill_id, 3) AS BIGINT)"
+oracle(
+    "validate_households", "household_requests",
+    """SELECT * FROM (SELECT household_id, concat_ws(',',
+  CASE WHEN household_id % 31 = 0 THEN 'line1_required' END, CASE WHEN household_id % 37 = 0 THEN 'town_required' END,
+  CASE WHEN household_id % 41 = 0 THEN 'postcode_required' END, CASE WHEN household_id % 4 = 3 THEN 'unknown_tenure' END,
+  CASE WHEN household_id % 5 = 3 THEN 'unknown_service' END) AS codes FROM household_requests) WHERE codes <> ''""",
+)
+oracle(
+    "validate_bills", "bills",
+    f"""SELECT * FROM (SELECT bill_id, concat_ws(',', CASE WHEN {_K_BILL} % 13 = 0 THEN 'unknown_kind' END,
+  CASE WHEN amount_minor_value IS NULL THEN 'amount_required' WHEN {_K_BILL} % 9 = 0 THEN 'amount_not_positive' END) AS codes
+  FROM bills) WHERE codes <> ''""",
+)
+oracle(
+    "validate_bill_updates", "commands",
+    """SELECT seq, concat_ws(',', CASE WHEN seq % 3 = 1 THEN 'unknown_payment_status' END,
+  CASE WHEN seq % 4 = 1 OR (seq % 4 = 0 AND minor - 5000 <= 0) THEN 'amount_not_positive' END) AS codes FROM commands""",
+)
+oracle(
+    "validate_slot_updates", "commands service_slots",
+    """SELECT seq, concat_ws(',', CASE WHEN seq % 11 = 0 THEN 'unknown_action' END,
+  CASE WHEN seq % 11 <> 0 AND action = 'confirm' AND provider_value IS NULL THEN 'nothing_to_confirm' END,
+  CASE WHEN seq % 11 <> 0 AND action = 'set' AND seq % 4 = 0 THEN 'provider_required' END,
+  CASE WHEN seq % 5 = 0 OR (seq % 5 = 1 AND minor - 5000 <= 0) THEN 'amount_not_positive' END) AS codes
+FROM commands c LEFT JOIN service_slots s ON s.household_id = c.household_id AND s.kind = c.kind""",
+)
+oracle(
+    "validate_reminders", "reminders",
+    """SELECT reminder_id,
+  concat_ws(',', CASE WHEN k % 5 <= 1 THEN 'title_required' END, CASE WHEN k % 7 <= 2 THEN 'date_required' END) AS codes,
+  concat_ws(',', CASE WHEN k % 5 = 0 THEN 'title_required' END, CASE WHEN k % 7 <= 1 THEN 'date_required' END) AS update_codes
+FROM (SELECT reminder_id, CAST(substr(reminder_id, 3) AS BIGINT) AS k FROM reminders)""",
+)
+oracle(
+    "validate_documents", "documents_ledger",
+    """SELECT document_id, 'title_required' AS codes FROM documents_ledger
+WHERE CAST(substr(document_id, 5) AS BIGINT) % 10 = 9""",
+)
+oracle(
+    "validate_slots", "service_slots",
+    """SELECT slot_id, 'provider:value_without_status' AS codes FROM service_slots
+WHERE household_id % 3 = 0 AND provider_value IS NOT NULL""",
+)
+oracle(
+    "duplicate_slots", "service_slots",
+    """SELECT household_id, kind, count(*) AS slot_count FROM (SELECT * FROM service_slots
+  UNION ALL SELECT * FROM service_slots WHERE household_id % 4 = 0) GROUP BY household_id, kind HAVING count(*) > 1""",
+)
+oracle("orphan_rows", "bills", "SELECT bill_id, household_id FROM bills WHERE household_id % 20 = 0")
+oracle(
+    "command_permissions", "commands members",
+    """SELECT seq, CASE WHEN seq % 6 = 0 AND coalesce(role, '') <> 'owner' THEN 'may_not_manage'
+  WHEN seq % 6 <> 0 AND (seq % 6 = 1 OR action <> 'not_sure') AND coalesce(role, 'viewer') = 'viewer' THEN 'may_not_edit_bills'
+  ELSE '' END AS codes
+FROM commands c LEFT JOIN members m ON m.household_id = c.household_id AND m.member_id = c.member_id""",
+)
+oracle(
+    "bill_form_checks", "bills",
+    """SELECT bill_id, CASE WHEN household_id % 2 = 0 AND due_date_value IS NULL THEN 'date_required' ELSE '' END AS form_codes,
+  concat_ws(',', CASE WHEN amount_minor_value IS NULL THEN 'amount_required' END,
+    CASE WHEN due_date_value IS NULL THEN 'date_required' END) AS codes FROM bills""",
+)
+oracle(
+    "unknown_enum_warnings", "bills",
+    f"SELECT bill_id, CASE WHEN {_K_BILL} % 5 = 0 THEN 'unknown_frequency' ELSE '' END AS codes FROM bills",
+)
+
+# ---- sources -----------------------------------------------------------------
+
+
+def _flat(*names: str) -> str:
+    out = []
+    for name in names:
+        value = f"{name}_value" if not name.endswith("date") else f"CAST({name}_value AS VARCHAR) AS {name}_value"
+        out.append(f"{value}, {name}_source, {name}_status")
+    return ", ".join(out)
+
+
+_STAMP = "strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at"
+oracle(
+    "json_bills_roundtrip", "bills",
+    f"""SELECT bill_id, household_id, kind, {_flat('provider', 'amount_minor', 'due_date')},
+  CAST(period_start AS VARCHAR) AS period_start, frequency, payment_status, document_id, {_STAMP} FROM bills""",
+)
+oracle(
+    "json_slots_roundtrip", "service_slots",
+    f"""SELECT slot_id, household_id, kind, {_flat('provider', 'account_number', 'amount_minor', 'next_due_date')},
+  frequency, lookup_keys_text AS lookup_keys FROM service_slots""",
+)
+oracle(
+    "json_households_roundtrip", "households properties",
+    """SELECT h.*, line1, nullif(line2, '') AS line2, town, postcode, uprn, tenure, is_demo_data
+FROM households h LEFT JOIN properties p USING (household_id)""",
+)
+oracle(
+    "json_members_roundtrip", "members",
+    "SELECT member_id, household_id, name, role, has_accepted_invite, is_current_user, pos FROM members",
+)
+oracle(
+    "json_reminders_roundtrip", "reminders",
+    "SELECT * REPLACE (CAST(due_at AS VARCHAR) AS due_at) FROM reminders",
+)
+oracle(
+    "json_documents_roundtrip", "documents_ledger",
+    f"SELECT document_id, household_id, kind, title, provider_name, extracted_text, bill_id, {_STAMP} FROM documents_ledger",
+)
+# What each damaged document is meant to be: k is the event id.
+_MESSY = {
+    "messy": """SELECT event_id AS k, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
+  CASE WHEN event_id % 31 = 0 THEN 'not_json' WHEN event_id % 37 = 0 THEN 'not_an_object'
+    WHEN event_id % 29 = 0 THEN 'unknown_version' WHEN event_id % 41 = 0 THEN 'no_household_id' END AS reason FROM events""",
+    "good": "SELECT * FROM messy WHERE reason IS NULL AND k % 7 <> 0",
+}
+oracle(
+    "json_tolerant_decode", "",
+    """SELECT k AS household_id, 'x-' || k AS bill_id, CASE WHEN k % 3 = 0 THEN 'gas' ELSE 'other' END AS kind,
+  CASE WHEN k % 4 <> 2 THEN k END AS amount_minor_value,
+  CASE WHEN k % 5 = 0 THEN 'none' ELSE 'userEntered' END AS amount_minor_source,
+  CASE WHEN k % 4 = 2 THEN 'missing' WHEN k % 2 = 0 THEN 'confirmed' ELSE 'suggested' END AS amount_minor_status,
+  CASE WHEN k % 6 <> 0 THEN day END AS due_date_value, 'none' AS due_date_source,
+  CASE WHEN k % 6 <> 0 THEN 'confirmed' ELSE 'missing' END AS due_date_status,
+  'monthly' AS frequency, 'unknown' AS payment_status FROM good""",
+    **_MESSY,
+)
+oracle(
+    "json_quarantine", "",
+    "SELECT reason, count(*) AS document_count FROM messy WHERE reason IS NOT NULL GROUP BY reason",
+    messy=_MESSY["messy"],
+)
+oracle(
+    "json_unreadable_values", "",
+    "SELECT k AS household_id, 'x-' || k AS bill_id, 'amountMinor' AS unreadable FROM good WHERE k % 4 = 2",
+    **_MESSY,
+)
+
+
+def _count_of(table: str, name: str) -> str:
+    return f"(SELECT count(*) FROM {table} x WHERE x.household_id = h.household_id) AS {name}_count"
+
+
+oracle(
+    "household_payloads", "households properties service_slots bills documents_ledger reminders members",
+    f"""SELECT household_id, CAST(household_id AS VARCHAR) AS id, name, postcode,
+  {_count_of('service_slots', 'services')}, {_count_of('bills', 'bills')}, {_count_of('documents_ledger', 'documents')},
+  {_count_of('reminders', 'reminders')}, {_count_of('members', 'members')}, false AS shows_text
+FROM households h LEFT JOIN (SELECT household_id, postcode FROM properties) p USING (household_id)""",
+)
+oracle(
+    "relational_fields", "bills",
+    f"SELECT bill_id, {_flat('provider', 'amount_minor', 'due_date')} FROM bills",
+)
+oracle(
+    "document_listing", "documents_ledger",
+    """SELECT household_id, document_id, title, strftime(created_at, '%Y-%m-%d') AS created, false AS has_text
+FROM documents_ledger""",
+)
+oracle(
+    "address_feed", "",
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN c_custkey || ' Mill Lane' ELSE 'Address' END AS line1,
+  CAST(NULL AS VARCHAR) AS line2, CASE c_custkey % 4 WHEN 0 THEN 'Leeds' WHEN 1 THEN '' ELSE 'York' END AS town,
+  CASE c_custkey % 4 WHEN 0 THEN 'LS1 2AB' ELSE 'LS9 9ZZ' END AS postcode,
+  CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) END AS uprn FROM customer WHERE c_custkey % 4 <> 2""",
+)

@@ -1012,13 +1012,14 @@ def unknown_enum_warnings(t: Ledger) -> DataFrame:
 # ---- sources -----------------------------------------------------------------
 
 
-def _reread(t: Ledger) -> dict[str, DataFrame]:
-    return documents.household_tables(documents.parse_documents(documents.household_documents(t.tables)))
+def _reread(t: Ledger, name: str) -> DataFrame:
+    """A table after its way into aggregate documents and back."""
+    return documents.READERS[name](documents.parse_documents(documents.household_documents(t.tables)))
 
 
 @query
 def json_bills_roundtrip(t: Ledger) -> DataFrame:
-    return _reread(t)["bills"].select(
+    return _reread(t, "bills").select(
         "bill_id", "household_id", "kind", *parts("provider"), *parts("amount_minor"),
         *parts("due_date"), iso("period_start").alias("period_start"), "frequency", "payment_status",
         "document_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
@@ -1027,7 +1028,7 @@ def json_bills_roundtrip(t: Ledger) -> DataFrame:
 
 @query
 def json_slots_roundtrip(t: Ledger) -> DataFrame:
-    return _reread(t)["service_slots"].select(
+    return _reread(t, "service_slots").select(
         "slot_id", "household_id", "kind", *parts("provider"), *parts("account_number"),
         *parts("amount_minor"), *parts("next_due_date"), "frequency",
         F.array_join("lookup_keys", ",").alias("lookup_keys"),
@@ -1036,28 +1037,28 @@ def json_slots_roundtrip(t: Ledger) -> DataFrame:
 
 @query
 def json_households_roundtrip(t: Ledger) -> DataFrame:
-    back = _reread(t)
-    homes = back["properties"].select(
+    parsed = documents.parse_documents(documents.household_documents(t.tables))
+    homes = documents.read_properties(parsed).select(
         "household_id", "line1", "line2", "town", "postcode", "uprn", "tenure", "is_demo_data"
     )
-    return back["households"].join(homes, "household_id", "left")
+    return documents.read_households(parsed).join(homes, "household_id", "left")
 
 
 @query
 def json_members_roundtrip(t: Ledger) -> DataFrame:
-    return _reread(t)["members"].select(
+    return _reread(t, "members").select(
         "member_id", "household_id", "name", "role", "has_accepted_invite", "is_current_user", "pos"
     )
 
 
 @query
 def json_reminders_roundtrip(t: Ledger) -> DataFrame:
-    return _reread(t)["reminders"].withColumn("due_at", iso("due_at"))
+    return _reread(t, "reminders").withColumn("due_at", iso("due_at"))
 
 
 @query
 def json_documents_roundtrip(t: Ledger) -> DataFrame:
-    return _reread(t)["documents"].select(
+    return _reread(t, "documents").select(
         "document_id", "household_id", "kind", "title", "provider_name", "extracted_text", "bill_id",
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
     )

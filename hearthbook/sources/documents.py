@@ -33,7 +33,17 @@ def parse_documents(raw: DataFrame, text: str = "json", key: str | None = S.KEY)
     document's ``householdId``. ``reason`` is null for usable documents. All the tables
     below read this one: write it out first if parsing once matters.
     """
-    parsed = raw.withColumn("_doc", F.try_parse_json(F.col(text)))
+    # The parser stops after the first value, so trailing junk has to be looked for:
+    # inside brackets only "]" could hide some, before a further member only ",".
+    listed = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]")))
+    ended = F.get_json_object(F.concat(F.lit('{"doc":'), F.col(text), F.lit(',"end":1}')), "$.end")
+    parsed = raw.withColumn("_list", listed).withColumn(
+        "_doc",
+        F.when(
+            coerce.child(F.col("_list"), "$[1]").isNull() & (ended == "1"),
+            coerce.child(F.col("_list"), "$[0]"),
+        ),
+    )
     doc = F.col("_doc")
     inner = coerce.as_int(coerce.child(doc, "$.householdId"))
     version = coerce.as_int(coerce.child(doc, "$.version"))
@@ -56,22 +66,44 @@ def parse_documents(raw: DataFrame, text: str = "json", key: str | None = S.KEY)
 
 def quarantine(parsed: DataFrame) -> DataFrame:
     """The documents that could not be used, with the reason and their text."""
-    return parsed.where(F.col("reason").isNotNull()).select(S.KEY, "reason", "text")
+    bad = F.when(F.col("reason").isNotNull(), F.struct(S.KEY, "reason", "text"))
+    return parsed.select(_one_or_none(bad))
+
+
+def _usable(node: Column) -> Column:
+    """The node where the document is usable, else null.
+
+    A condition inside the projection: a filter would be pushed below it and parse
+    the text once more.
+    """
+    return F.when(F.col("reason").isNull(), node)
+
 
+def _one_or_none(row: Column) -> Column:
+    """The struct as a row if it is not null: like a filter, but kept above the parsing."""
+    return F.inline(F.array_compact(F.array(row)))
 
-def _usable(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("reason").isNull())
 
+def _items(parsed: DataFrame, name: str, plain: str, fields: str = "") -> DataFrame:
+    """One row per list item that is an object with an id.
 
-def _items(parsed: DataFrame, name: str) -> DataFrame:
-    """One row per list item that is an object with an id."""
-    items = coerce.as_object_list(coerce.child(F.col("doc"), f"$.{name}"))
-    exploded = _usable(parsed).select(S.KEY, "part", F.posexplode(items).alias("pos", "item"))
-    return exploded.where(_text("id") != "")
+    Columns: the household, ``part``, ``pos``, ``s`` (the undecoded plain members as a
+    struct) and one undecoded struct per provenance field.
+    """
+    items = coerce.as_object_list(_usable(coerce.child(F.col("doc"), f"$.{name}")))
+    exploded = parsed.select(S.KEY, "part", F.posexplode(items).alias("pos", "item"))
+    named = exploded.where(coerce.as_string(coerce.child(F.col("item"), "$.id")) != "")
+    opened = named.select(
+        S.KEY, "part", "pos",
+        coerce.members(F.col("item"), "id", *plain.split(), *fields.split()).alias("s"),
+    )
+    if not fields:
+        return opened
+    return opened.select("*", *[P.nodes(F.col("s")[field]).alias(field) for field in fields.split()])
 
 
 def _node(name: str) -> Column:
-    return coerce.child(F.col("item"), f"$.{name}")
+    return F.col("s")[name]
 
 
 def _text(name: str, fallback: str = "") -> Column:
@@ -82,22 +114,40 @@ def _optional(name: str) -> Column:
     return coerce.as_string_or_null(_node(name))
 
 
+def _value_text(node: Column) -> Column:
+    """Text of a field value: scalars as text, nothing for lists and objects."""
+    return F.nullif(coerce.as_string(node, "\0"), F.lit("\0"))
+
+
+def _field(name: str, as_value: Callable[[Column], Column]) -> Column:
+    return P.decode(F.col(name), as_value)
+
+
+def _heads_of(parsed: DataFrame, path: str, *names: str) -> DataFrame:
+    """One row per usable first part that has an object at ``path``; members as ``s``."""
+    node = coerce.child(F.col("doc"), path)
+    head = F.struct(S.KEY, coerce.members(node, *names).alias("s"))
+    wanted = F.col("reason").isNull() & (F.col("part") == 0) & coerce.is_object(node)
+    return parsed.select(_one_or_none(F.when(wanted, head)))
+
+
 def read_households(parsed: DataFrame) -> DataFrame:
-    doc = F.col("doc")
-    first = _usable(parsed).where(F.col("part") == 0)
-    return first.select(
+    heads = _heads_of(parsed, "$", "name", "property", "currentMemberId", "onboardingComplete")
+    return heads.select(
         S.KEY,
-        coerce.as_string_or_null(coerce.child(doc, "$.name")).alias("name"),
-        coerce.as_string_or_null(coerce.child(doc, "$.property.id")).alias("property_id"),
-        coerce.as_string_or_null(coerce.child(doc, "$.currentMemberId")).alias("current_member_id"),
-        coerce.as_bool(coerce.child(doc, "$.onboardingComplete")).alias("onboarding_complete"),
+        _optional("name").alias("name"),
+        coerce.as_string_or_null(coerce.child(_node("property"), "$.id")).alias("property_id"),
+        _optional("currentMemberId").alias("current_member_id"),
+        coerce.as_bool(_node("onboardingComplete")).alias("onboarding_complete"),
     )
 
 
 def read_properties(parsed: DataFrame) -> DataFrame:
-    first = _usable(parsed).where(F.col("part") == 0)
-    held = first.select(S.KEY, coerce.child(F.col("doc"), "$.property").alias("item"))
-    return held.where(coerce.is_object(F.col("item")) & (_text("id") != "")).select(
+    heads = _heads_of(
+        parsed, "$.property",
+        "id", "line1", "line2", "town", "postcode", "uprn", "tenure", "addressSource", "isDemoData",
+    )
+    return heads.where(_text("id") != "").select(
         _text("id").alias("property_id"),
         S.KEY,
         _text("line1").alias("line1"),
@@ -112,35 +162,40 @@ def read_properties(parsed: DataFrame) -> DataFrame:
 
 
 def read_slots(parsed: DataFrame) -> DataFrame:
-    return _items(parsed, "services").select(
+    items = _items(
+        parsed, "services", "kind frequency lookupKeys note",
+        "provider accountNumber amountMinor nextDueDate",
+    )
+    return items.select(
         _text("id").alias("slot_id"),
         S.KEY,
         X.service_kind(_text("kind")).alias("kind"),
-        P.decode(_node("provider"), _value_text).alias("provider"),
-        P.decode(_node("accountNumber"), _value_text).alias("account_number"),
-        P.decode(_node("amountMinor"), coerce.as_int).alias("amount_minor"),
-        P.decode(_node("nextDueDate"), coerce.as_date).alias("next_due_date"),
+        _field("provider", _value_text).alias("provider"),
+        _field("accountNumber", _value_text).alias("account_number"),
+        _field("amountMinor", coerce.as_int).alias("amount_minor"),
+        _field("nextDueDate", coerce.as_date).alias("next_due_date"),
         X.frequency(_text("frequency")).alias("frequency"),
         coerce.as_string_list(_node("lookupKeys")).alias("lookup_keys"),
         _optional("note").alias("note"),
     )
 
 
-def _value_text(node: Column) -> Column:
-    """Text of a field value: scalars as text, nothing for lists and objects."""
-    kind = F.schema_of_variant(node)
-    scalar = ~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-    return F.when(scalar, F.try_variant_get(node, "$", "string"))
+BILL_VALUES = {"provider": _value_text, "amountMinor": coerce.as_int, "dueDate": coerce.as_date}
 
 
 def read_bills(parsed: DataFrame) -> DataFrame:
-    return _items(parsed, "bills").select(
+    items = _items(
+        parsed, "bills",
+        "kind periodStart periodEnd frequency paymentStatus documentId notes createdAt updatedAt",
+        " ".join(BILL_VALUES),
+    )
+    return items.select(
         _text("id").alias("bill_id"),
         S.KEY,
         X.service_kind(_text("kind")).alias("kind"),
-        P.decode(_node("provider"), _value_text).alias("provider"),
-        P.decode(_node("amountMinor"), coerce.as_int).alias("amount_minor"),
-        P.decode(_node("dueDate"), coerce.as_date).alias("due_date"),
+        _field("provider", _value_text).alias("provider"),
+        _field("amountMinor", coerce.as_int).alias("amount_minor"),
+        _field("dueDate", coerce.as_date).alias("due_date"),
         coerce.as_date(_node("periodStart")).alias("period_start"),
         coerce.as_date(_node("periodEnd")).alias("period_end"),
         X.frequency(_text("frequency")).alias("frequency"),
@@ -154,18 +209,19 @@ def read_bills(parsed: DataFrame) -> DataFrame:
 
 def unreadable_values(parsed: DataFrame) -> DataFrame:
     """Bill values that are present but have no readable form (read as missing)."""
-    checks = {"provider": _value_text, "amountMinor": coerce.as_int, "dueDate": coerce.as_date}
-    codes = F.array_compact(
-        F.array(*[F.when(P.undecodable(_node(n), reader), n) for n, reader in checks.items()])
-    )
-    return (
-        _items(parsed, "bills")
-        .select(S.KEY, _text("id").alias("bill_id"), F.explode(codes).alias("unreadable"))
+    items = _items(parsed, "bills", "kind", " ".join(BILL_VALUES))
+    codes = [F.when(P.undecodable(F.col(n), reader), n) for n, reader in BILL_VALUES.items()]
+    return items.select(
+        S.KEY, _text("id").alias("bill_id"), F.explode(F.array_compact(F.array(*codes))).alias("unreadable")
     )
 
 
 def read_documents(parsed: DataFrame) -> DataFrame:
-    return _items(parsed, "documents").select(
+    items = _items(
+        parsed, "documents",
+        "kind title providerName fileName contentType byteSize storageKey extractedText notes billId addedAt",
+    )
+    return items.select(
         _text("id").alias("document_id"),
         S.KEY,
         X.document_kind(_text("kind")).alias("kind"),
@@ -183,7 +239,7 @@ def read_documents(parsed: DataFrame) -> DataFrame:
 
 
 def read_reminders(parsed: DataFrame) -> DataFrame:
-    return _items(parsed, "reminders").select(
+    return _items(parsed, "reminders", "kind title dueAt note billId isDone").select(
         _text("id").alias("reminder_id"),
         S.KEY,
         X.reminder_kind(_text("kind")).alias("kind"),
@@ -196,7 +252,8 @@ def read_reminders(parsed: DataFrame) -> DataFrame:
 
 
 def read_members(parsed: DataFrame) -> DataFrame:
-    return _items(parsed, "members").select(
+    items = _items(parsed, "members", "name email role hasAcceptedInvite isCurrentUser")
+    return items.select(
         _text("id").alias("member_id"),
         S.KEY,
         _text("name", "Resident").alias("name"),
