@@ -451,7 +451,10 @@ def _assemble(heads: DataFrame, empty_head: str, tables: dict[str, DataFrame], w
         F.sort_array(F.collect_list(F.when(F.col("list") == name, F.col("entry")))).alias(name)
         for name in LISTS
     ]
-    grouped = rows.groupBy(S.KEY, "part").agg(F.max("head").alias("head"), *lists)
+    # Spread by household and part before grouping: after a shuffled join the rows of a
+    # large household would otherwise stay together.
+    spread_rows = rows.repartition(S.KEY, "part")
+    grouped = spread_rows.groupBy(S.KEY, "part").agg(F.max("head").alias("head"), *lists)
     bodies = []
     for name in LISTS:
         items = F.transform(F.col(name), lambda entry: entry["item"])
