@@ -13,6 +13,12 @@ from pyspark.sql import Column, functions as F
 # White space that trimming removes: the Unicode set plus the byte-order mark.
 SPACE = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
+_SPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680"
+    + "".join(map(chr, range(0x2000, 0x200B)))
+    + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
 _INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -26,8 +32,8 @@ _STAMP = (
 
 
 def trim(text: Column) -> Column:
-    """Strip all white space from both ends (SQL trim only strips blanks)."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Strip all white space from both ends (plain SQL trim only strips blanks)."""
+    return F.btrim(text, F.lit(_SPACE_CHARACTERS))
 
 
 def non_blank(text: Column) -> Column:

@@ -126,11 +126,12 @@ def date_parts(text: Column) -> Column:
     """[ISO year, printed year, month, day] of a printed date, null for other text.
 
     One pattern covers all shapes; only one alternative matches, so its groups can be
-    picked by writing the groups of all alternatives next to each other.
+    picked by writing the groups of all alternatives next to each other. Text that
+    does not match comes back unchanged.
     """
     value = F.replace(F.lower(coerce.trim(text)), F.lit(","), F.lit(""))
     picked = F.regexp_replace(value, DATE_SHAPES, r"$1|$6$9$12|$2$5$8$10|$3$4$7$11")
-    return F.when(value.rlike(DATE_SHAPES), F.split(picked, r"\|"))
+    return F.when((text != "") & (picked != value), F.split(picked, r"\|"))
 
 
 def date_from_parts(parts: str, as_of: R.Day) -> Column:
@@ -219,11 +220,17 @@ def bill_lines(text: Column) -> Column:
     return F.filter(F.transform(lines, coerce.trim), lambda line: line != "")
 
 
+def _pence(amount: Column) -> Column:
+    """Pence of what the money pattern matched: digits, commas, at most one point."""
+    pounds = F.replace(amount, F.lit(","), F.lit("")).try_cast("double")
+    return F.round(pounds * 100, 0).try_cast("bigint")
+
+
 def _money_lines(text: Column) -> Column:
     """Per line that names an amount: label rank, position, all its amounts in pence."""
 
     def read(line: Column, position: Column) -> Column:
-        amounts = F.transform(F.regexp_extract_all(line, F.lit(MONEY), F.lit(1)), X.parse_money)
+        amounts = F.transform(F.regexp_extract_all(line, F.lit(MONEY), F.lit(1)), _pence)
         return F.struct(
             label_priority(F.lower(line)).alias("priority"),
             position.alias("position"),
@@ -252,6 +259,18 @@ def _labelled_amount(money_lines: Column) -> Column:
     return best["minor"]
 
 
+def _due_text() -> Column:
+    """The first date text near a due phrase, '' without one.
+
+    Every phrase of the pattern contains one of three words; a plain search for those
+    spares most texts the pattern.
+    """
+    near = F.expr(
+        "contains(_lower, 'due') OR contains(_lower, 'pay by') OR contains(_lower, 'next payment')"
+    )
+    return F.when(near, F.regexp_extract("_text", DUE_DATE, 1)).otherwise("")
+
+
 # ---- the job --------------------------------------------------------------
 
 
@@ -283,7 +302,7 @@ def extract_bills(documents: DataFrame, as_of: R.Day, text: str = "text",
         {
             "_known": detect_known_provider("_text", "_lower", word_boundary),
             "_money": _money_lines(F.col("_text")),
-            "_due_text": F.regexp_extract("_text", DUE_DATE, 1),
+            "_due_text": _due_text(),
             "_kind": detect_kind("_lower"),
             "_frequency": detect_frequency("_lower"),
         }
@@ -299,7 +318,11 @@ def extract_bills(documents: DataFrame, as_of: R.Day, text: str = "text",
     strict = with_date(picked, "_due_text", "_due", as_of)
     # The looser pattern is only searched where the strict one gave no date.
     retried = strict.withColumn(
-        "_loose_text", F.when(F.col("_due").isNull(), F.regexp_extract("_text", LOOSE_DUE_DATE, 1))
+        "_loose_text",
+        F.when(
+            F.col("_due").isNull() & F.col("_lower").contains("due"),
+            F.regexp_extract("_text", LOOSE_DUE_DATE, 1),
+        ),
     )
     unlabelled = F.col("_labelled").isNull() & (F.size("_amounts") > 0)
     settled = with_date(retried, "_loose_text", "_loose", as_of).withColumns(
