@@ -392,7 +392,8 @@ def accept_extracted(extracted: DataFrame, decisions: DataFrame) -> dict[str, Da
     ``document_id`` plus what the person settled on: ``kind, provider, amount_text,
     due_date, frequency`` and ``decided_at``. Without a readable amount and a date
     nothing is saved; those come back as ``incomplete``. A null in a decision keeps
-    what was read. Returns ``documents``, ``bills``, ``slot_patches`` and ``incomplete``.
+    what was read. Returns ``documents``, ``bills`` and ``incomplete``; for the services
+    of the same kind pass the bills on to ``commands.sync_slots``.
     """
     settled = decisions.select(
         "document_id",

@@ -53,10 +53,15 @@ def service_for_bill(bills: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def bill_documents(bills: DataFrame, documents: DataFrame) -> DataFrame:
-    """Bills with the document they were read from (null where there is none)."""
+    """Bills with the document they were read from (null where there is none).
+
+    Most bills have no document. Those stay out of the join, where they would all
+    meet in the partition of the null key.
+    """
     titles = documents.select("document_id", "title", "provider_name")
-    linked = bills.select("bill_id", S.KEY, "document_id")
-    return linked.join(titles, "document_id", "left")
+    bills = bills.select("document_id", "bill_id", S.KEY)
+    linked = bills.where(F.col("document_id").isNotNull()).join(titles, "document_id", "left")
+    return linked.unionByName(bills.where(F.col("document_id").isNull()), allowMissingColumns=True)
 
 
 def broken_links(bills: DataFrame, documents: DataFrame) -> DataFrame:

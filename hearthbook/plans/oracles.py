@@ -868,18 +868,36 @@ WHERE coalesce(added > removed, added IS NOT NULL) AND (removed IS NOT NULL OR N
     last="""SELECT household_id, kind, max(seq) FILTER (NOT gone) AS added, max(seq) FILTER (gone) AS removed
 FROM changes GROUP BY household_id, kind""",
 )
-oracle(
-    "slot_sync_from_bills", "service_slots bills",
-    f"""SELECT slot_id, {_entered('provider', 'p IS NOT NULL', 'p')}, {_entered('amount_minor', 'a IS NOT NULL', 'a')},
-  {_entered('next_due_date', 'd IS NOT NULL', 'CAST(d AS VARCHAR)').replace('ELSE next_due_date_value', 'ELSE CAST(next_due_date_value AS VARCHAR)')},
-  coalesce(f, s.frequency) AS frequency
+def _synced(newest: str, tables: str, **extra: str) -> str:
+    """Slots overwritten by the newest values ``p, a, f, d`` of their kind."""
+    due = _entered("next_due_date", "d IS NOT NULL", "CAST(d AS VARCHAR)")
+    due = due.replace("ELSE next_due_date_value", "ELSE CAST(next_due_date_value AS VARCHAR)")
+    return _with(
+        tables,
+        f"""SELECT slot_id, {_entered('provider', 'p IS NOT NULL', 'p')}, {_entered('amount_minor', 'a IS NOT NULL', 'a')},
+  {due}, coalesce(f, s.frequency) AS frequency
 FROM service_slots s LEFT JOIN newest n ON n.household_id = s.household_id AND n.kind = s.kind""",
-    newest=f"""SELECT household_id, kind,
+        **extra,
+        newest=newest,
+    )
+
+
+ORACLES["slot_sync_from_bills"] = _synced(
+    f"""SELECT household_id, kind,
   first(provider_value ORDER BY updated_at DESC, bill_id DESC) FILTER (provider_value IS NOT NULL) AS p,
   first(amount_minor_value ORDER BY updated_at DESC, bill_id DESC) AS a,
   first(frequency ORDER BY updated_at DESC, bill_id DESC) AS f,
   first(due_date_value ORDER BY updated_at DESC, bill_id DESC) FILTER (due_date_value IS NOT NULL) AS d
 FROM bills WHERE {SURE} AND NOT {EST} GROUP BY household_id, kind""",
+    "service_slots bills",
+)
+ORACLES["accepted_slot_updates"] = _synced(
+    """SELECT household_id, kind, first(provider ORDER BY document_id DESC) FILTER (provider IS NOT NULL) AS p,
+  first(amount ORDER BY document_id DESC) AS a, first(frequency ORDER BY document_id DESC) AS f,
+  first(due ORDER BY document_id DESC) AS d
+FROM joined WHERE amount IS NOT NULL AND due IS NOT NULL GROUP BY household_id, kind""",
+    "service_slots bill_texts",
+    **_DECIDED,
 )
 oracle(
     "bill_commands", "bills",

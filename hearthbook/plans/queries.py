@@ -637,6 +637,16 @@ def accepted_bill_texts(t: Ledger) -> DataFrame:
     return bills.join(titles, "document_id")
 
 
+@query
+def accepted_slot_updates(t: Ledger) -> DataFrame:
+    """Slots once the accepted bill texts have been carried over to them."""
+    saved = extraction.accept_extracted(_extracted(t), _decisions(t))["bills"]
+    synced = C.sync_slots(t.slots, saved)
+    return synced.select(
+        "slot_id", *parts("provider"), *parts("amount_minor"), *parts("next_due_date"), "frequency"
+    )
+
+
 @query
 def incomplete_bill_texts(t: Ledger) -> DataFrame:
     return extraction.accept_extracted(_extracted(t), _decisions(t))["incomplete"]
