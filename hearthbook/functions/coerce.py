@@ -107,9 +107,12 @@ def child(node: Column, path: str) -> Column:
     return F.try_variant_get(node, path, "variant")
 
 
-def members(node: Column, *names: str) -> Column:
-    """The named members of an object as a struct of VARIANTs; null for other nodes."""
-    inner = ", ".join(f"{name}: variant" for name in names)
+def members(node: Column, *names: str, texts: Sequence[str] = ()) -> Column:
+    """The named members of an object as a struct; null for other nodes.
+
+    Members are VARIANTs, those in ``texts`` strings (JSON text for anything else).
+    """
+    inner = ", ".join([f"{name}: variant" for name in names] + [f"{name}: string" for name in texts])
     return F.try_variant_get(node, "$", f"struct<{inner}>")
 
 

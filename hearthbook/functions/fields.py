@@ -162,9 +162,13 @@ def provenance_class(field: Column) -> Column:
 
 
 def nodes(node: Column) -> Column:
-    """The members of a stored field, still undecoded: what ``decode`` works on."""
+    """The members of a stored field, still undecoded: what ``decode`` works on.
+
+    Names and stamps are read as text at once: no other JSON value has a text that
+    is a known name or a timestamp.
+    """
     return coerce.members(
-        node, "value", "source", "status", "recordedAt", "note", "needsConfirmation"
+        node, "value", "note", "needsConfirmation", texts=("source", "status", "recordedAt")
     )
 
 
@@ -178,8 +182,8 @@ def decode(stored: Column, as_value: Callable[[Column], Column]) -> Column:
     object is a missing field.
     """
     value = as_value(stored["value"])
-    status = coerce.enum(coerce.only_string(stored["status"]), S.FIELD_STATUSES, "missing")
-    source = coerce.enum(coerce.only_string(stored["source"]), S.FIELD_SOURCES, "none")
+    status = coerce.enum(stored["status"], S.FIELD_STATUSES, "missing")
+    source = coerce.enum(stored["source"], S.FIELD_SOURCES, "none")
     flagged = coerce.only_boolean(stored["needsConfirmation"]).eqNullSafe(F.lit(True))
     resolved = (
         F.when(value.isNull(), "missing")
@@ -190,7 +194,7 @@ def decode(stored: Column, as_value: Callable[[Column], Column]) -> Column:
         value,
         source,
         resolved,
-        coerce.timestamp(coerce.only_string(stored["recordedAt"])),
+        coerce.timestamp(stored["recordedAt"]),
         coerce.only_string(stored["note"]),
     )
 
@@ -213,9 +217,9 @@ def from_mixed(node: Column, as_value: Callable[[Column], Column],
     value = as_value(stored["value"])
     given = _build(
         value,
-        F.coalesce(coerce.only_string(stored["source"]), F.lit("none")),
-        F.when(value.isNull(), "missing").otherwise(coerce.only_string(stored["status"])),
-        coerce.timestamp(coerce.only_string(stored["recordedAt"])),
+        F.coalesce(stored["source"], F.lit("none")),
+        F.when(value.isNull(), "missing").otherwise(stored["status"]),
+        coerce.timestamp(stored["recordedAt"]),
         coerce.only_string(stored["note"]),
     )
     bare = confirmed(as_value(node), default_source)

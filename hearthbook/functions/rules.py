@@ -45,12 +45,16 @@ NOT_DONE = "(NOT coalesce(is_done, false))"
 
 
 def _overdue(as_of: Day) -> str:
-    return f"(NOT {PAID} AND coalesce(due_date.value < {day(as_of)}, false))"
+    return f"(NOT {PAID} AND due_date.value IS NOT NULL AND due_date.value < {day(as_of)})"
 
 
 def _due_within(as_of: Day, days: int) -> str:
-    gap = f"datediff(due_date.value, {day(as_of)})"
-    return f"(NOT {PAID} AND coalesce({gap} BETWEEN 0 AND {int(days)}, false))"
+    """A plain date range, null-safe by its first term, so that Parquet can skip on it."""
+    last = dt.date.fromisoformat(str(as_of)) + dt.timedelta(days=days)
+    return (
+        f"(NOT {PAID} AND due_date.value IS NOT NULL AND due_date.value >= {day(as_of)} "
+        f"AND due_date.value <= {day(last)})"
+    )
 
 
 # ---- bills ----------------------------------------------------------------

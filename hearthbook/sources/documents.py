@@ -84,18 +84,18 @@ def _one_or_none(row: Column) -> Column:
     return F.inline(F.array_compact(F.array(row)))
 
 
-def _items(parsed: DataFrame, name: str, plain: str, fields: str = "") -> DataFrame:
+def _items(parsed: DataFrame, name: str, plain: str, fields: str = "", enums: str = "kind") -> DataFrame:
     """One row per list item that is an object with an id.
 
     Columns: the household, ``part``, ``pos``, ``s`` (the undecoded plain members as a
-    struct) and one undecoded struct per provenance field.
+    struct, enum names as text) and one undecoded struct per provenance field.
     """
     items = coerce.as_object_list(_usable(coerce.child(F.col("doc"), f"$.{name}")))
     exploded = parsed.select(S.KEY, "part", F.posexplode(items).alias("pos", "item"))
     named = exploded.where(coerce.as_string(coerce.child(F.col("item"), "$.id")) != "")
     opened = named.select(
         S.KEY, "part", "pos",
-        coerce.members(F.col("item"), "id", *plain.split(), *fields.split()).alias("s"),
+        coerce.members(F.col("item"), "id", *plain.split(), *fields.split(), texts=enums.split()).alias("s"),
     )
     if not fields:
         return opened
@@ -163,18 +163,18 @@ def read_properties(parsed: DataFrame) -> DataFrame:
 
 def read_slots(parsed: DataFrame) -> DataFrame:
     items = _items(
-        parsed, "services", "kind frequency lookupKeys note",
-        "provider accountNumber amountMinor nextDueDate",
+        parsed, "services", "lookupKeys note", "provider accountNumber amountMinor nextDueDate",
+        enums="kind frequency",
     )
     return items.select(
         _text("id").alias("slot_id"),
         S.KEY,
-        X.service_kind(_text("kind")).alias("kind"),
+        X.service_kind(_node("kind")).alias("kind"),
         _field("provider", _value_text).alias("provider"),
         _field("accountNumber", _value_text).alias("account_number"),
         _field("amountMinor", coerce.as_int).alias("amount_minor"),
         _field("nextDueDate", coerce.as_date).alias("next_due_date"),
-        X.frequency(_text("frequency")).alias("frequency"),
+        X.frequency(_node("frequency")).alias("frequency"),
         coerce.as_string_list(_node("lookupKeys")).alias("lookup_keys"),
         _optional("note").alias("note"),
     )
@@ -186,20 +186,21 @@ BILL_VALUES = {"provider": _value_text, "amountMinor": coerce.as_int, "dueDate":
 def read_bills(parsed: DataFrame) -> DataFrame:
     items = _items(
         parsed, "bills",
-        "kind periodStart periodEnd frequency paymentStatus documentId notes createdAt updatedAt",
+        "periodStart periodEnd documentId notes createdAt updatedAt",
         " ".join(BILL_VALUES),
+        enums="kind frequency paymentStatus",
     )
     return items.select(
         _text("id").alias("bill_id"),
         S.KEY,
-        X.service_kind(_text("kind")).alias("kind"),
+        X.service_kind(_node("kind")).alias("kind"),
         _field("provider", _value_text).alias("provider"),
         _field("amountMinor", coerce.as_int).alias("amount_minor"),
         _field("dueDate", coerce.as_date).alias("due_date"),
         coerce.as_date(_node("periodStart")).alias("period_start"),
         coerce.as_date(_node("periodEnd")).alias("period_end"),
-        X.frequency(_text("frequency")).alias("frequency"),
-        X.payment_status(_text("paymentStatus")).alias("payment_status"),
+        X.frequency(_node("frequency")).alias("frequency"),
+        X.payment_status(_node("paymentStatus")).alias("payment_status"),
         _optional("documentId").alias("document_id"),
         _optional("notes").alias("notes"),
         coerce.as_timestamp(_node("createdAt")).alias("created_at"),
@@ -209,7 +210,7 @@ def read_bills(parsed: DataFrame) -> DataFrame:
 
 def unreadable_values(parsed: DataFrame) -> DataFrame:
     """Bill values that are present but have no readable form (read as missing)."""
-    items = _items(parsed, "bills", "kind", " ".join(BILL_VALUES))
+    items = _items(parsed, "bills", "", " ".join(BILL_VALUES))
     codes = [F.when(P.undecodable(F.col(n), reader), n) for n, reader in BILL_VALUES.items()]
     return items.select(
         S.KEY, _text("id").alias("bill_id"), F.explode(F.array_compact(F.array(*codes))).alias("unreadable")
@@ -219,12 +220,12 @@ def unreadable_values(parsed: DataFrame) -> DataFrame:
 def read_documents(parsed: DataFrame) -> DataFrame:
     items = _items(
         parsed, "documents",
-        "kind title providerName fileName contentType byteSize storageKey extractedText notes billId addedAt",
+        "title providerName fileName contentType byteSize storageKey extractedText notes billId addedAt",
     )
     return items.select(
         _text("id").alias("document_id"),
         S.KEY,
-        X.document_kind(_text("kind")).alias("kind"),
+        X.document_kind(_node("kind")).alias("kind"),
         _text("title", "Document").alias("title"),
         _optional("providerName").alias("provider_name"),
         _optional("fileName").alias("file_name"),
@@ -239,10 +240,10 @@ def read_documents(parsed: DataFrame) -> DataFrame:
 
 
 def read_reminders(parsed: DataFrame) -> DataFrame:
-    return _items(parsed, "reminders", "kind title dueAt note billId isDone").select(
+    return _items(parsed, "reminders", "title dueAt note billId isDone").select(
         _text("id").alias("reminder_id"),
         S.KEY,
-        X.reminder_kind(_text("kind")).alias("kind"),
+        X.reminder_kind(_node("kind")).alias("kind"),
         _text("title", "Reminder").alias("title"),
         coerce.as_date(_node("dueAt")).alias("due_at"),
         _optional("note").alias("note"),
@@ -252,13 +253,13 @@ def read_reminders(parsed: DataFrame) -> DataFrame:
 
 
 def read_members(parsed: DataFrame) -> DataFrame:
-    items = _items(parsed, "members", "name email role hasAcceptedInvite isCurrentUser")
+    items = _items(parsed, "members", "name email hasAcceptedInvite isCurrentUser", enums="role")
     return items.select(
         _text("id").alias("member_id"),
         S.KEY,
         _text("name", "Resident").alias("name"),
         _optional("email").alias("email"),
-        X.role(_text("role")).alias("role"),
+        X.role(_node("role")).alias("role"),
         coerce.as_bool(_node("hasAcceptedInvite"), True).alias("has_accepted_invite"),
         coerce.as_bool(_node("isCurrentUser")).alias("is_current_user"),
         (F.col("part") * PART_STRIDE + F.col("pos")).cast("bigint").alias("pos"),
