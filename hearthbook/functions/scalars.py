@@ -19,6 +19,8 @@ DATE_FORMATS = {
     "month": "MMMM",
     "weekday": "EEE",
 }
+DUE_TODAY, DUE_TOMORROW, ONE_DAY_LATE = "Due today", "Due tomorrow", "1 day late"
+DAYS_LATE, DUE_IN_DAYS, DUE_ON = "%s days late", "Due in %s days", "Due %s"
 POSTCODE_FORMAT = r"(?i)^[A-Z]{1,2}[0-9][A-Z0-9]?\s?[0-9][A-Z]{2}$"
 
 
@@ -70,12 +72,12 @@ def format_date(day: Column, style: str) -> Column:
 def relative_due_label(due: Column, as_of: Column) -> Column:
     days = days_between(as_of, due)
     return (
-        F.when(days == 0, "Due today")
-        .when(days == 1, "Due tomorrow")
-        .when(days == -1, "1 day late")
-        .when(days < 0, F.concat((-days).cast("string"), F.lit(" days late")))
-        .when(days < 7, F.concat(F.lit("Due in "), days.cast("string"), F.lit(" days")))
-        .otherwise(F.concat(F.lit("Due "), format_date(due, "short")))
+        F.when(days == 0, DUE_TODAY)
+        .when(days == 1, DUE_TOMORROW)
+        .when(days == -1, ONE_DAY_LATE)
+        .when(days < 0, F.format_string(DAYS_LATE, (-days).cast("string")))
+        .when(days < 7, F.format_string(DUE_IN_DAYS, days.cast("string")))
+        .when(days >= 7, F.format_string(DUE_ON, format_date(due, "short")))
     )
 
 

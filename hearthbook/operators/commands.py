@@ -74,7 +74,7 @@ def create_households(requests: DataFrame) -> dict[str, DataFrame]:
     wanted = F.when(F.coalesce(F.size("services"), F.lit(0)) > 0, F.col("services")).otherwise(default)
     households = requests.select(
         S.KEY,
-        F.coalesce(coerce.non_blank(F.col("name")), F.lit("My Home")).alias("name"),
+        F.coalesce(coerce.non_blank(F.col("name")), F.lit(S.HOUSEHOLD_NAME)).alias("name"),
         property_id.alias("property_id"),
         member_id.alias("current_member_id"),
         F.lit(False).alias("onboarding_complete"),
@@ -88,14 +88,14 @@ def create_households(requests: DataFrame) -> dict[str, DataFrame]:
         X.normalise_postcode(F.col("postcode")).alias("postcode"),
         coerce.non_blank(F.col("uprn")).alias("uprn"),
         "tenure",
-        F.coalesce("address_source", F.lit("Manual entry")).alias("address_source"),
+        F.coalesce("address_source", F.lit(S.ADDRESS_SOURCE)).alias("address_source"),
         F.coalesce("is_demo_data", F.lit(False)).alias("is_demo_data"),
     )
     chosen = requests.select(S.KEY, F.posexplode(F.array_distinct(wanted)).alias("pos", "kind"))
     members = requests.select(
         member_id.alias("member_id"),
         S.KEY,
-        F.coalesce(coerce.non_blank(F.col("resident_name")), F.lit("You")).alias("name"),
+        F.coalesce(coerce.non_blank(F.col("resident_name")), F.lit(S.OWNER_NAME)).alias("name"),
         F.lit(None).cast("string").alias("email"),
         F.lit("owner").alias("role"),
         F.lit(True).alias("has_accepted_invite"),

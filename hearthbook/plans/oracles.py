@@ -553,7 +553,7 @@ oracle(
 
 # ---- text extraction ---------------------------------------------------------
 
-# RE2 forms of the patterns; white space listed as code points.
+# RE2 forms of the extraction patterns; white space listed as code points.
 _WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 

@@ -410,7 +410,9 @@ def tolerant_coercions(t: Ledger) -> DataFrame:
         coerce.as_double(node).alias("as_double"),
         coerce.as_bool(node).alias("as_bool"),
         iso(coerce.as_date(node)).alias("as_date"),
-        F.date_format(coerce.as_timestamp(node), "yyyy-MM-dd HH:mm:ss").alias("as_timestamp"),
+        F.date_format(
+            F.to_utc_timestamp(coerce.as_timestamp(node), F.current_timezone()), "yyyy-MM-dd HH:mm:ss"
+        ).alias("as_timestamp"),
         coerce.is_object(node).alias("is_map"),
         F.concat_ws("|", coerce.as_string_list(node)).alias("as_string_list"),
     )

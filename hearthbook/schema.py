@@ -72,6 +72,14 @@ BILL_STATES = ("paid", "overdue", "dueSoon", "upcoming", "needsDetails")
 READINESS = ("notFound", "needsConfirmation", "needsDetails", "ready")
 CONFIDENCES = ("areaCertain", "areaOnly", "unknown")
 
+# Texts that stand in where a document or request names none.
+HOUSEHOLD_NAME = "My Home"
+OWNER_NAME = "You"
+MEMBER_NAME = "Resident"
+DOCUMENT_TITLE = "Document"
+REMINDER_TITLE = "Reminder"
+ADDRESS_SOURCE = "Manual entry"
+
 DOCUMENT_VERSION = 1
 DUE_SOON_DAYS = 7
 STILL_TO_PAY_DAYS = 30

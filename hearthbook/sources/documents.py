@@ -19,7 +19,9 @@ from hearthbook.plans.joins import join_checked
 
 # Members keep their order; their position is part * PART_STRIDE + index in the part.
 PART_STRIDE = 1_000_000
-ITEMS_PER_PART = 10_000
+# Keeps a part a few megabytes long, well below what a VARIANT may hold.
+ITEMS_PER_PART = 4_000
+VARIANT_BYTES = 128 * 1024 * 1024
 
 # --------------------------------------------------------------------------
 # Reading
@@ -50,7 +52,8 @@ def parse_documents(raw: DataFrame, text: str = "json", key: str | None = S.KEY)
     versioned = coerce.child(doc, "$.version").isNotNull()
     household = inner if key is None else F.col(key)
     reason = (
-        F.when(doc.isNull(), "not_json")
+        F.when(doc.isNull() & (F.octet_length(F.col(text)) > VARIANT_BYTES), "too_large")
+        .when(doc.isNull(), "not_json")
         .when(~coerce.is_object(doc), "not_an_object")
         .when(versioned & ~version.eqNullSafe(F.lit(S.DOCUMENT_VERSION)), "unknown_version")
         .when(household.isNull(), "no_household_id")
@@ -156,7 +159,7 @@ def read_properties(parsed: DataFrame) -> DataFrame:
         _text("postcode").alias("postcode"),
         _optional("uprn").alias("uprn"),
         X.tenure(_text("tenure")).alias("tenure"),
-        _text("addressSource", "Manual entry").alias("address_source"),
+        _text("addressSource", S.ADDRESS_SOURCE).alias("address_source"),
         coerce.as_bool(_node("isDemoData")).alias("is_demo_data"),
     )
 
@@ -226,7 +229,7 @@ def read_documents(parsed: DataFrame) -> DataFrame:
         _text("id").alias("document_id"),
         S.KEY,
         X.document_kind(_node("kind")).alias("kind"),
-        _text("title", "Document").alias("title"),
+        _text("title", S.DOCUMENT_TITLE).alias("title"),
         _optional("providerName").alias("provider_name"),
         _optional("fileName").alias("file_name"),
         _optional("contentType").alias("content_type"),
@@ -244,7 +247,7 @@ def read_reminders(parsed: DataFrame) -> DataFrame:
         _text("id").alias("reminder_id"),
         S.KEY,
         X.reminder_kind(_node("kind")).alias("kind"),
-        _text("title", "Reminder").alias("title"),
+        _text("title", S.REMINDER_TITLE).alias("title"),
         coerce.as_date(_node("dueAt")).alias("due_at"),
         _optional("note").alias("note"),
         _optional("billId").alias("bill_id"),
@@ -257,7 +260,7 @@ def read_members(parsed: DataFrame) -> DataFrame:
     return items.select(
         _text("id").alias("member_id"),
         S.KEY,
-        _text("name", "Resident").alias("name"),
+        _text("name", S.MEMBER_NAME).alias("name"),
         _optional("email").alias("email"),
         X.role(_node("role")).alias("role"),
         coerce.as_bool(_node("hasAcceptedInvite"), True).alias("has_accepted_invite"),
