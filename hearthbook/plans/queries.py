@@ -952,11 +952,11 @@ def validate_reminders(t: Ledger) -> DataFrame:
         F.when(key % 7 == 0, "2024-02-30").when(key % 7 == 1, "next week")
         .when(key % 7 != 2, F.concat(iso("due_at"), F.lit("T09:00:00"))).alias("due_text"),
     )
-    created = V.check(requests, V.reminder_rules()).withColumn("update_codes", F.array())
+    created = V.check(requests, V.reminder_rules())
     updated = V.check(requests, V.reminder_update_rules()).select(
         "reminder_id", F.concat_ws(",", "codes").alias("update_codes")
     )
-    return with_codes(created.drop("update_codes"), "reminder_id").join(updated, "reminder_id")
+    return with_codes(created, "reminder_id").join(updated, "reminder_id")
 
 
 @query
