@@ -27,6 +27,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,43 +54,60 @@ ESCAPE = 0
 
 
 def _fits(small: np.ndarray, count: int) -> np.ndarray:
-    """By place, whether it and the count - 1 places after it are small; beyond the end counts as small."""
+    """By place of each row, whether it and the count - 1 after it are small; beyond the end all are."""
     out, have = small, 1
     while have < count:
         step = min(have, count - have)
-        shifted = np.ones(len(out), bool)
-        shifted[:-step] = out[step:]
+        shifted = np.ones(out.shape, bool)
+        shifted[:, :-step] = out[:, step:]
         out = out & shifted
         have += step
     return out
 
 
-def pack_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, escapes) of up to BLOCK ids (uint64): from the left, as many to a word as will go."""
+def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, first word of each block, escapes, first escape of each block) of uint64 ids.
+
+    From the left of each block, as many ids to a word as will go.
+    """
     n = len(values)
-    selector = np.full(n, ESCAPE, np.int64)
+    blocks = -(-n // block)
+    rows = np.zeros((blocks, block), np.uint64)
+    rows.reshape(-1)[:n] = values
+    selector = np.full((blocks, block), ESCAPE, np.int8)
     for s in range(len(COUNTS) - 1, 0, -1):  # later ones hold more
-        fits = _fits(values < np.uint64(1 << int(WIDTHS[s])), int(COUNTS[s]))
+        fits = _fits(rows < np.uint64(1 << int(WIDTHS[s])), int(COUNTS[s]))
         if not fits.any():
             break
         selector[fits] = s
-    ahead = COUNTS[selector].tolist()
-    starts = []
-    at = 0
-    while at < n:
-        starts.append(at)
-        at += ahead[at]
+    ahead = COUNTS[selector].reshape(-1).tolist()
+    starts: list[int] = []
+    word_starts = []
+    for begin in range(0, n, block):
+        word_starts.append(len(starts))
+        at, end = begin, min(begin + block, n)
+        while at < end:
+            starts.append(at)
+            at += ahead[at]
     first = np.array(starts, np.int64)
-    chosen = selector[first]
+    chosen = selector.reshape(-1)[first] if n else np.empty(0, np.int8)
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([values, np.zeros(60, np.uint64)])
+    flat = rows.reshape(-1)
     for s in np.unique(chosen).tolist():
         if s == ESCAPE:
             continue
         mine = np.flatnonzero(chosen == s)
+        begins = first[mine]
+        room = np.minimum(block - begins % block, int(COUNTS[s]))  # not into the next block
+        made = words[mine]
         for k in range(int(COUNTS[s])):
-            words[mine] |= padded[first[mine] + k] << np.uint64(k * int(WIDTHS[s]))
-    return words, values[first[chosen == ESCAPE]]
+            there = k < room
+            part = flat[np.minimum(begins + k, len(flat) - 1)] << np.uint64(k * int(WIDTHS[s]))
+            made |= part if there.all() else np.where(there, part, np.uint64(0))
+        words[mine] = made
+    escaped = first[chosen == ESCAPE]
+    escape_starts = np.searchsorted(escaped, np.arange(blocks) * block)
+    return words, np.array(word_starts, np.int64), values[escaped], escape_starts
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray, word_starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -117,15 +135,12 @@ def unpack(words: np.ndarray, escapes: np.ndarray, word_starts: np.ndarray, coun
 
 def write_segment(doc_ids: list[int], ids: list[np.ndarray]) -> bytes:
     flat = np.concatenate([np.asarray(x, np.uint64) for x in ids]) if ids else np.empty(0, np.uint64)
-    packed = [pack_block(flat[at : at + BLOCK]) for at in range(0, len(flat), BLOCK)]
-    words = [w for w, _ in packed]
-    escapes = [e for _, e in packed]
-    starts = lambda parts: np.cumsum([0, *map(len, parts)], dtype=np.int64)[:-1].astype("<u4")
-    header = struct.pack("<6I", len(doc_ids), len(packed), BLOCK, sum(map(len, words)), sum(map(len, escapes)), 0)
+    words, word_starts, escapes, escape_starts = pack(flat)
+    header = struct.pack("<6I", len(doc_ids), len(word_starts), BLOCK, len(words), len(escapes), 0)
     return b"".join([
         MAGIC, header, np.array(doc_ids, "<i8").tobytes(), np.array([len(x) for x in ids], "<u4").tobytes(),
-        starts(words).tobytes(), starts(escapes).tobytes(),
-        *(w.astype("<u8").tobytes() for w in words), *(e.astype("<u8").tobytes() for e in escapes),
+        word_starts.astype("<u4").tobytes(), escape_starts.astype("<u4").tobytes(),
+        words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes(),
     ])
 
 
@@ -182,27 +197,28 @@ class _Tokenizer:
 
         self.library = Tokenizer.from_str(definition)
         self.library.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         cut = [units(t) for t in batch]
-        known = self.known
-        new = list({u for us in cut for u in us} - known.keys())
-        if len(known) + len(new) > MEMO:
-            known.clear()
-            new = list({u for us in cut for u in us})
+        known, older = self.known, self.older
+        if len(known) > MEMO:  # what isn't used again before the next time is forgotten
+            self.known, self.older = known, older = {}, known
+        new = []
+        for unit in set().union(*cut):
+            if unit not in known:
+                found = older.get(unit)
+                if found is None:
+                    new.append(unit)
+                else:
+                    known[unit] = found
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
             for unit, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[unit] = found.ids
-        out = []
-        for us in cut:
-            ids: list[int] = []
-            for found in map(known.__getitem__, us):
-                ids += found
-            ids.append(END_ID)
-            out.append(np.array(ids, np.uint64))
-        return out
+                known[unit] = array("I", found.ids).tobytes()
+        end = array("I", [END_ID]).tobytes()
+        return [np.frombuffer(b"".join([*map(known.__getitem__, us), end]), np.uint32) for us in cut]
 
 
 _tokenizers: dict[str, _Tokenizer] = {}
