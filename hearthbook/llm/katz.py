@@ -12,10 +12,10 @@ its order; larger counts keep all but TAIL, so every context leaves some mass. a
 mass that the seen successors of u leave, over the part of P that they don't cover, so each
 context's distribution sums to 1 exactly.
 
-How it runs. Unigrams are counted first. The HOT most frequent words are broadcast with their
-counts (a bounded table); others go by a 64-bit hash. Counts of pairs of the DENSE most frequent
-words come from one more pass, as a matrix of bounded size; positions with such a pair are
-scored where they are read. All other positions are shuffled once, one row per document and
+How it runs. Words are counted first, and with them the pairs of DENSE frequent words, as a
+matrix of bounded size; positions with such a pair are later scored where they are read. The
+HOT most frequent words are broadcast with their counts (a bounded table); others go by a
+64-bit hash. All other positions are shuffled once, one row per document and
 pair: by the pair where the second word is hot, by that word where it is not. A task then has
 all rows of a pair, so it counts the pair, and scores its rows, in one go; no pair beyond DENSE
 is frequent enough to fill a task, and one document adds one row at most. What it finds out
@@ -44,12 +44,18 @@ TAIL = 1e-6
 HOT = 65_536
 DENSE = 1_024
 #: Rows that a task works on at once, and between two sums per document.
-AT_ONCE, FLUSH = 200_000, 1_000_000
+AT_ONCE, FLUSH = 200_000, 2_500_000
+SORTED = 250_000
+#: Share of the documents that the dense words are looked for in.
+DENSE_SAMPLE = 0.02
 MEMO = 300_000
 
 # Ids: hot words by rank from 1, the end 0, the start -1, any other word its hash.
 END, START = 0, -1
-_FIELDS = ("s", "base", "known", *(f"m{r}" for r in range(1, K + 1)), "doc", "tokens")
+_FIELDS = ("s", "base", "known", *(f"m{r}" for r in range(1, K + 1)), "tokens", "doc")
+# A pair of hot ids u, v is one id: (v + 1) * _PAIR + u + 1; it and the hot ids are below _PAIRS.
+_PAIR, _PAIRS = 1 << 17, 1 << 35
+_MOST = 255  # times in one row
 _MARK = -(1 << 63)  # ids from here on mark rows that carry a field of a document
 
 
@@ -77,13 +83,18 @@ def discounts(counts_of_counts: dict[int, int], k: int = K) -> list[float]:
 
 
 class Unigrams:
-    """What is known of single words: totals, the discounts, and the hot words."""
+    """What is known of single words: totals, the discounts, and the hot words.
 
-    def __init__(self, total: int, types: int, documents: int, counts_of_counts: dict[int, int], hot: list[tuple[bytes, int]]):
+    dense: the words with the first ids, of any frequency; hot: ids of further words, with counts.
+    """
+
+    def __init__(self, total: int, types: int, documents: int, counts_of_counts: dict[int, int],
+                 dense: list[bytes], dense_counts: list[int], hot: list[tuple[int, int]]):
         self.total, self.types, self.documents = total, types, documents
         self.d = discounts(counts_of_counts)
-        self.ids = {word: i + 1 for i, (word, _) in enumerate(hot)}
-        self.counts = np.array([documents, *(n for _, n in hot)], np.int64)
+        self.dense = {word: i + 1 for i, word in enumerate(dense)}
+        self.ranks = {x: i + 1 + len(dense) for i, (x, _) in enumerate(hot)}
+        self.counts = np.array([documents, *dense_counts, *(n for _, n in hot)], np.int64)
         small = sum(r * n for r, n in counts_of_counts.items() if r <= K)
         kept = sum(self.d[r] * r * n for r, n in counts_of_counts.items() if r <= K)
         self.unknown = 1.0 - (kept + (1 - TAIL) * (total - small)) / total if total else 1.0
@@ -102,43 +113,29 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def count_words(rows: DataFrame, hot: int = HOT) -> Unigrams:
-    """Counts of the words of training documents, all of them; counted per batch before the shuffle."""
-    wanted = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("documents", pa.int64())])
+def common_words(rows: DataFrame, count: int) -> list[bytes]:
+    """The words that get the dense ids, the most frequent ones of a sample.
+
+    Which words these are decides where a pair is counted, never what comes out.
+    """
+    wanted = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter[bytes] = Counter()
-            documents = 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                if not is_held_out(doc_id):
-                    documents += 1
-                    seen.update(tokens(text))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *seen], pa.binary()), pa.array([0, *seen.values()], pa.int64()), pa.array([documents] + [0] * len(seen), pa.int64())],
-                schema=wanted,
-            )
+            seen = Counter(w for text in texts(batch) for w in tokens(text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema=wanted)
 
-    made = rows.select("doc_id", "text").mapInArrow(run, "word binary, n long, documents long")
-    counts = written(made.groupBy("word").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents")), "katz-unigrams")
-    words = counts.where("word IS NOT NULL")
-    total = counts.agg(
-        F.sum("n"), F.count("word"), F.sum("documents"), *[F.count(F.when((F.col("n") == r) & F.col("word").isNotNull(), 1)) for r in range(1, K + 2)]
-    ).first()
-    documents = total[2] or 0
-    counted = {r: total[2 + r] for r in range(1, K + 2)}
-    if 0 < documents <= K + 1:
-        counted[documents] += 1  # the end is a word too
-    top = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(hot).collect()]
-    return Unigrams((total[0] or 0) + documents, total[1] + (documents > 0), documents, counted, top)
+    made = rows.select("text").sample(DENSE_SAMPLE, seed=7).mapInArrow(run, "word binary, n long")
+    top = made.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(count)
+    return [bytes(r["word"]) for r in top.collect()]
 
 
 class Reader:
     """Turns texts into ids; what a word's id is, is remembered."""
 
-    def __init__(self, words: Unigrams):
-        self.words = words
-        self.memo = dict(words.ids)
+    def __init__(self, dense: dict[bytes, int], ranks: dict[int, int]):
+        self.dense, self.ranks = dense, ranks
+        self.memo = dict(dense)
         self.size = len(self.memo) + MEMO
 
     def ids(self, text: str) -> np.ndarray:
@@ -152,9 +149,10 @@ class Reader:
                     x = known.get(word)
                     if x is None:
                         x = _hash(word)
+                        x = self.ranks.get(x, x)
                         if len(known) >= self.size:
                             known.clear()
-                            known.update(self.words.ids)
+                            known.update(self.dense)
                         known[word] = x
                     out[i] = x
         out.append(END)
@@ -164,56 +162,94 @@ class Reader:
 def _hash(word: bytes) -> int:
     """A word's hash, signed, kept clear of all other ids."""
     x = struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(word)))[0]
-    return x ^ (1 << 61) if -2 <= x <= 1 << 24 or x < _MARK + 64 else x
+    return x ^ (1 << 61) if -2 <= x <= 1 << 40 or x < _MARK + 64 else x
+
 
+def count_words(rows: DataFrame, hot: int = HOT, dense: int = DENSE) -> tuple[Unigrams, np.ndarray]:
+    """Counts over all training documents: of words, and of pairs of dense ids.
 
-def count_dense(rows: DataFrame, shared, dense: int) -> np.ndarray:
-    """Training counts of pairs of ids below dense, the start in the last row: (dense + 1) x dense."""
-    wanted = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
+    The second is a matrix of dense + 1 rows (by the word before; the start is the last one).
+    All counts are summed within each batch before the shuffle.
+    """
+    first = common_words(rows, dense - 1)
+    size = len(first) + 1
+    shared = rows.sparkSession.sparkContext.broadcast({word: i + 1 for i, word in enumerate(first)})
+    wanted = pa.schema([("pair", pa.bool_()), ("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
-        seen = np.zeros((dense + 1) * dense, np.int64)
+        reader = Reader(shared.value, {})
+        pairs = np.zeros((size + 1) * size, np.int64)
         for batch in batches:
+            every = [np.empty(0, np.int64)]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 if not is_held_out(doc_id):
                     v = reader.ids(text)
-                    u = np.concatenate([[dense], v[:-1]])
-                    both = (v >= 0) & (v < dense) & (u >= 0) & ((u < dense) | (np.arange(len(v)) == 0))
-                    pair, n = np.unique(u[both] * dense + v[both], return_counts=True)
-                    seen[pair] += n
-        found = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(seen[found])], schema=wanted)
-
-    made = rows.select("doc_id", "text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    out = np.zeros((dense + 1) * dense, np.int64)
-    found = made.toArrow()  # (dense + 1) * dense rows at most
-    out[found["pair"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(dense + 1, dense)
+                    every.append(v)
+                    u = np.concatenate([[size], v[:-1]])
+                    both = (v >= 0) & (v < size) & (u >= 0) & ((u < size) | (np.arange(len(v)) == 0))
+                    pair, n = np.unique(u[both] * size + v[both], return_counts=True)
+                    pairs[pair] += n
+            ids, n = np.unique(np.concatenate(every), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), bool)), pa.array(ids), pa.array(n)], schema=wanted)
+        found = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), bool)), pa.array(found), pa.array(pairs[found])], schema=wanted)
+
+    made = rows.select("doc_id", "text").mapInArrow(run, "pair boolean, id long, n long")
+    counts = written(made.groupBy("pair", "id").agg(F.sum("n").alias("n")), "katz-unigrams")
+    matrix = np.zeros((size + 1) * size, np.int64)
+    found = counts.where("pair").select("id", "n").toArrow()  # (dense + 1) * dense rows at most
+    matrix[found["id"].to_numpy()] = found["n"].to_numpy()
+    words = counts.where("NOT pair").select("id", "n")
+    total = words.agg(F.sum("n"), F.count("*"), *[F.count(F.when(F.col("n") == r, 1)) for r in range(1, K + 2)]).first()
+    some = dict(words.where(F.col("id").between(0, size - 1)).toArrow().select(["id", "n"]).to_pandas().itertuples(index=False))
+    top = words.where(~F.col("id").between(0, size - 1)).orderBy(F.desc("n"), "id").limit(hot).collect()
+    known = Unigrams(
+        total[0] or 0, total[1], some.get(END, 0), {r: total[1 + r] for r in range(1, K + 2)},
+        first, [some.get(i + 1, 0) for i in range(len(first))], [(r["id"], r["n"]) for r in top],
+    )
+    return known, matrix.reshape(size + 1, size)
 
 
-def positions(rows: DataFrame, shared, dense: int) -> DataFrame:
-    """(v, u, row, n): what can't be settled where it is read, and what is settled there.
+def positions(rows: DataFrame, shared) -> DataFrame:
+    """(v, u, row): what can't be settled where it is read, and what is settled there.
 
-    row tells documents apart (its last bit: held out). Rows with an id from _MARK on carry
-    one sum over the document's settled positions each, in u or (whole numbers) in n.
+    Two hot ids are put together as v, with u 0. row tells documents apart (twice a row id, and
+    1 more if held out), and how often the pair occurs: row * (_MOST + 1) + times. Rows with an id from _MARK on
+    carry one sum over the document's settled positions each, in u.
     """
-    wanted = pa.schema([(c, pa.int64()) for c in ("v", "u", "row", "n")])
+    wanted = pa.schema([(c, pa.int64()) for c in ("v", "u", "row")])
+
+    def sorted_rows(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        v, u, row = (np.concatenate(p) if p else np.empty(0, np.int64) for p in parts)
+        order = np.argsort(v, kind="stable")
+        v, u, row = v[order], u[order], row[order]
+        first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (row[1:] != row[:-1])]) if len(v) else np.empty(0, np.int64)
+        n = np.diff(np.append(first, len(v)))
+        marks = v[first] < _MARK + len(_FIELDS)
+        n[marks] = 0
+        copies = np.where(marks, 1, (n + _MOST - 1) // _MOST)
+        at = np.repeat(first, copies)
+        last = np.cumsum(copies) - 1
+        times = np.full(len(at), _MOST)
+        times[last] = n - (copies - 1) * _MOST
+        return pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(u[at]), pa.array(row[at] * (_MOST + 1) + times)], schema=wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, matrix = shared.value
-        reader = Reader(words)
+        reader = Reader(words.dense, words.ranks)
+        dense, hot_ids = matrix.shape[1], len(words.counts)
         hot_base = words.base(words.counts)
         hot_log = np.log10(np.maximum(words.counts, 1))
         start_log = math.log10(words.documents) if words.documents else 0.0
+        parts: list[list[np.ndarray]] = [[], [], []]
+        held = 0
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], []]
             for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 row = 2 * row + is_held_out(doc_id)
                 v = reader.ids(text)
                 u = np.concatenate([[START], v[:-1]])
-                hot = v[(v >= 0) & (v <= len(words.ids))]
-                known = hot if words.documents else hot[hot != END]
+                hot = v[(v >= 0) & (v < hot_ids)]
+                known = hot[words.counts[hot] > 0]
                 context = hot[hot != END]
                 in_matrix = (v >= 0) & (v < dense) & (u >= START) & (u < dense)
                 seen = np.zeros(len(v), np.int64)
@@ -221,30 +257,22 @@ def positions(rows: DataFrame, shared, dense: int) -> DataFrame:
                 seen[in_matrix] = matrix[at[in_matrix], v[in_matrix]]
                 done = seen > 0
                 c = seen[done]
-                whole = {
-                    "s": float(log_count(c).sum() - hot_log[context].sum() - start_log), "base": float(hot_base[hot].sum()),
-                    "known": len(known), "doc": doc_id, "tokens": len(v),
-                } | {f"m{r}": int((c == r).sum()) for r in range(1, K + 1)}
-                for i, name in enumerate(_FIELDS):
-                    value = whole[name]
-                    if value is None or (value == 0 and name != "doc"):
-                        continue
-                    whole_number = isinstance(value, int)
-                    parts[0].append(np.array([_MARK + i]))
-                    parts[1].append(np.zeros(1, np.int64) if whole_number else np.array([value]).view(np.int64))
-                    parts[2].append(np.array([row]))
-                    parts[3].append(np.array([value if whole_number else 0]))
+                sums = np.array([log_count(c).sum() - hot_log[context].sum() - start_log, hot_base[hot].sum()])
+                whole = [len(known), *np.bincount(c[c <= K], minlength=K + 1)[1:].tolist(), len(v)]
+                fields = [*sums.view(np.int64).tolist(), *whole, *([] if doc_id is None else [doc_id])]
+                kept = [i for i, x in enumerate(fields) if x or i == len(_FIELDS) - 1]
                 v, u = v[~done], u[~done]
-                order = np.lexsort((u, v))
-                v, u = v[order], u[order]
-                first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])]) if len(v) else np.empty(0, np.int64)
-                parts[0].append(v[first])
-                parts[1].append(u[first])
-                parts[2].append(np.full(len(first), row))
-                parts[3].append(np.diff(np.append(first, len(v))))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else np.empty(0, np.int64), pa.int64()) for p in parts], schema=wanted)
+                both = (v >= 0) & (v < hot_ids) & (u >= START) & (u < hot_ids)
+                parts[0] += [np.array(kept) + _MARK, np.where(both, (v + 1) * _PAIR + u + 1, v)]
+                parts[1] += [np.array([fields[i] for i in kept]), np.where(both, 0, u)]
+                parts[2].append(np.full(len(kept) + len(v), row))
+                held += len(kept) + len(v)
+                if held >= SORTED:
+                    yield sorted_rows(parts)
+                    parts, held = [[], [], []], 0
+        yield sorted_rows(parts)
 
-    return rows.select("row", "doc_id", "text").mapInArrow(run, "v long, u long, row long, n long")
+    return rows.select("row", "doc_id", "text").mapInArrow(run, "v long, u long, row long")
 
 
 _OUT = "kind int, key long, x double, y double, c0 long, " + ", ".join(f"c{r} int" for r in range(1, K + 2)) + ", doc long, tokens long"
@@ -261,26 +289,33 @@ class _Task:
         ])
         self.rows: list[np.ndarray] = []
         self.sums: list[np.ndarray] = []
+        self.marks: list[np.ndarray] = []
         self.contexts: list[np.ndarray] = []
         self.held = 0
 
     def out(self, kind: int, n: int, **columns) -> pa.RecordBatch:
         columns["kind"] = np.full(n, kind, np.int32)
         arrays = [
-            pa.array(columns[f.name]).cast(f.type) if f.name in columns else pa.array(np.zeros(n), f.type) if f.name not in ("doc", "tokens") else pa.nulls(n, f.type)
+            (columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name])).cast(f.type) if f.name in columns else pa.array(np.zeros(n), f.type) if f.name not in ("doc", "tokens") else pa.nulls(n, f.type)
             for f in self.schema
         ]
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
-    def work(self, v: np.ndarray, u: np.ndarray, row: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """v, u, row, n: whole groups, in order of v and u."""
+    def work(self, v: np.ndarray, u: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """v, u, row: whole groups, in order of v, as positions() packs them."""
+        order = np.lexsort((u, v))
+        v, u, row = v[order], u[order], row[order]
+        n = row % (_MOST + 1)
+        row = row // (_MOST + 1)
         words = self.words
         marks = int(np.searchsorted(v, _MARK + len(_FIELDS)))
         if marks:
-            yield from self.fields(v[:marks] - _MARK, u[:marks], row[:marks], n[:marks])
+            yield self.fields(v[:marks] - _MARK, u[:marks], row[:marks])
             v, u, row, n = v[marks:], u[marks:], row[marks:], n[marks:]
         if not len(v):
             return
+        both = (v >= _PAIR) & (v < _PAIRS)
+        v, u = np.where(both, v // _PAIR - 1, v), np.where(both, v % _PAIR - 1, u)
         trained = np.where(row & 1, 0, n)
         new_word = np.r_[True, v[1:] != v[:-1]]
         new_pair = new_word | np.r_[True, u[1:] != u[:-1]]
@@ -294,10 +329,10 @@ class _Task:
         p = words.chance(c_word)
         s = n * np.where(seen, log_count(c), np.log10(p))
         s -= np.where(cold & (c_word > 0), n * np.log10(np.maximum(c_word, 1)), 0.0)
-        parts = [s, np.where(cold, n * words.base(c_word), 0.0), np.where(cold & (c_word > 0), n, 0)]
-        parts += [np.where(c == r, n, 0) for r in range(1, K + 1)]
         self.rows.append(row)
-        self.sums.append(np.stack(parts).astype(np.float64))
+        self.sums.append(np.stack([s, np.where(cold, n * words.base(c_word), 0.0)]))
+        # Per position: its times, its count up to K, and whether it is a known cold word.
+        self.marks.append(np.stack([n, np.where(c <= K, c, 0), cold & (c_word > 0)]).astype(np.int32))
         first = np.flatnonzero(new_pair)
         first = first[c[first] > 0]
         self.contexts.append(np.stack([u[first], c[first], p[first].view(np.int64)]))
@@ -308,19 +343,29 @@ class _Task:
         if self.held >= FLUSH:
             yield from self.flush()
 
-    def fields(self, field: np.ndarray, u: np.ndarray, row: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def fields(self, field: np.ndarray, value: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+        """One row of sums for each document of which fields have come."""
+        rows, of = np.unique(row, return_inverse=True)
+        columns: dict = {"key": rows}
         for i, name in enumerate(_FIELDS):
             mine = field == i
-            if mine.any():
-                column = {"s": "x", "base": "y", "known": "c0"}.get(name, name.replace("m", "c") if name[0] == "m" else name)
-                values = u[mine].copy().view(np.float64) if name in ("s", "base") else n[mine]
-                yield self.out(0, int(mine.sum()), key=row[mine], **{column: values})
+            column = {"s": "x", "base": "y", "known": "c0"}.get(name, f"c{name[1:]}" if name[0] == "m" else name)
+            made = np.zeros(len(rows), np.float64 if name in ("s", "base") else np.int64)
+            made[of[mine]] = value[mine].copy().view(made.dtype)
+            if name in ("doc", "tokens"):
+                there = np.zeros(len(rows), bool)
+                there[of[mine]] = True
+                made = pa.array(made, mask=~there)
+            columns[column] = made
+        return self.out(0, len(rows), **columns)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.rows:
             row, of = np.unique(np.concatenate(self.rows), return_inverse=True)
             sums = np.concatenate(self.sums, axis=1)
-            total = [np.bincount(of, x, len(row)) for x in sums]
+            n, c, known = np.concatenate(self.marks, axis=1)
+            total = [np.bincount(of, x, len(row)) for x in (sums[0], sums[1], n * known)]
+            total += [np.bincount(of, np.where(c == r, n, 0), len(row)) for r in range(1, K + 1)]
             yield self.out(
                 0, len(row), key=row, x=total[0], y=total[1], c0=total[2].astype(np.int64),
                 **{f"c{r}": total[2 + r].astype(np.int64) for r in range(1, K + 1)},
@@ -332,15 +377,14 @@ class _Task:
                 c0=np.bincount(of, every[1], len(context)).astype(np.int64),
                 **{f"c{r}": np.bincount(of, every[1] == r, len(context)).astype(np.int64) for r in range(1, K + 2)},
             )
-        self.rows, self.sums, self.contexts, self.held = [], [], [], 0
+        self.rows, self.sums, self.marks, self.contexts, self.held = [], [], [], [], 0
 
 
 def settled(found: DataFrame, shared) -> DataFrame:
     """Sums per document (kind 0) and per context (1), and positions that back off (2)."""
-    hot = int(len(shared.value[0].counts))
     key = (
-        F.when((F.col("v") >= 0) & (F.col("v") < hot), F.xxhash64("u", "v"))
-        .when(F.col("v") < _MARK + len(_FIELDS), F.col("row")).otherwise(F.col("v"))
+        F.when(F.col("v") < _MARK + len(_FIELDS), F.col("row"))
+        .when((F.col("v") >= 0) & (F.col("v") < _PAIRS), F.xxhash64("u", "v")).otherwise(F.col("v"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,14 +392,13 @@ def settled(found: DataFrame, shared) -> DataFrame:
         held: list[list[np.ndarray]] = []
         size = 0
         for batch in batches:
-            held.append([batch.column(c).to_numpy() for c in ("v", "u", "row", "n")])
+            held.append([batch.column(c).to_numpy() for c in ("v", "u", "row")])
             size += batch.num_rows
-            last = held[-1]
-            if size < AT_ONCE or not batch.num_rows or held[0][0][0] == last[0][-1] >= hot:
+            if size < AT_ONCE or not batch.num_rows:
                 continue
             rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            v, u = rows[0], rows[1]
-            end = np.flatnonzero((v != v[-1]) | ((u != u[-1]) if 0 <= v[-1] < hot else False))
+            v = rows[0]
+            end = np.flatnonzero(v != v[-1])
             cut = int(end[-1]) + 1 if len(end) else 0
             if cut:
                 yield from task.work(*(x[:cut] for x in rows))
@@ -365,7 +408,7 @@ def settled(found: DataFrame, shared) -> DataFrame:
             yield from task.work(*(np.concatenate(x) for x in zip(*held, strict=True)))
         yield from task.flush()
 
-    return found.repartition(key).sortWithinPartitions("v", "u").mapInArrow(run, _OUT)
+    return found.repartition(key).sortWithinPartitions("v").mapInArrow(run, _OUT)
 
 
 def dense_contexts(words: Unigrams, matrix: np.ndarray) -> list[tuple]:
@@ -388,11 +431,10 @@ def scores(docs: DataFrame, hot: int = HOT, dense: int = DENSE) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    words = count_words(rows, hot)
-    matrix = count_dense(rows, spark.sparkContext.broadcast(words), dense)
+    words, matrix = count_words(rows, hot, dense)
     shared = spark.sparkContext.broadcast((words, matrix))
     path = new_path(spark, "katz-sums")
-    settled(positions(rows, shared, dense), shared).write.partitionBy("kind").parquet(path)
+    settled(positions(rows, shared), shared).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     stored = spark.read.schema(_OUT).parquet(path)
 
     counts = [F.sum(f"c{r}").alias(f"c{r}") for r in range(1, K + 2)]
