@@ -27,8 +27,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from hearthbook.llm.common import map_batches, text_of, texts
 
 #: Units of text, and pairs of tokens, that a worker remembers; beyond, it forgets them all.
-MEMO_UNITS = 300_000
-MEMO_PAIRS = 500_000
+MEMO_UNITS = 200_000
+MEMO_PAIRS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,15 +55,25 @@ def merge_halves(ranks: dict[bytes, int]) -> dict[int, tuple[int, int]]:
     return halves
 
 
+def bytes_by_rank(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
+def decode_ids(bytes_of: list[bytes], ids: np.ndarray) -> bytes:
+    """The bytes of an array of ids."""
+    return b"".join(map(bytes_of.__getitem__, ids.tolist()))
+
+
 class Codec:
-    """Encodes and decodes by one vocabulary and one pattern."""
+    """Encodes by one vocabulary and one pattern."""
 
     def __init__(self, ranks: dict[bytes, int], halves: dict[int, tuple[int, int]], pattern: str):
         self.ranks, self.halves = ranks, halves
         self.pieces = regex.compile(pattern).findall
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+        self.bytes_of = bytes_by_rank(ranks)
         self.sizes = list(map(len, self.bytes_of))
         self.merged = {(a, b): rank for rank, (a, b) in halves.items()}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
@@ -182,12 +192,6 @@ class Codec:
             out = out + found if out else found
         return out
 
-    # ---- decoding
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of an array of ids."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-
 
 def units(text: str) -> list[str]:
     """Cut before each blank that is followed by anything but white space."""
@@ -282,18 +286,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with the bytes that the ids stand for in one more column; null ids have none."""
-    vocab = _shared(docs, path)
+    shared = docs.sparkSession.sparkContext.broadcast(bytes_by_rank(vocabulary(path)[0]))
     rows = docs.drop(out)
     kept = [f for f in rows.schema.fields]
     schema = StructType([*kept, StructField(out, BinaryType())])
 
     def per_batch(batch: pa.RecordBatch) -> dict:
-        codec = _codec(vocab, "")
+        bytes_of = shared.value
         column = batch.column(ids)
         ends = column.offsets.to_numpy()
         values = column.values.to_numpy(zero_copy_only=False)
         made = {f.name: batch.column(f.name) for f in kept}
-        made[out] = pa.array([codec.decode(values[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+        made[out] = pa.array([decode_ids(bytes_of, values[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
         return made
 
     return map_batches(rows, per_batch, schema)
