@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from hearthbook.llm.common import map_batches, text_of, texts
+from hearthbook.llm.common import map_batches, remembered, text_of, texts
 
 #: Units of text, and pairs of tokens, that a worker remembers; beyond, it forgets them all.
 MEMO_UNITS = 200_000
@@ -229,16 +229,10 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[int, tuple[int, int]]]
     return ranks, merge_halves(ranks)
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def _codec(shared, pattern: str) -> Codec:
-    """The worker's codec for a broadcast vocabulary, made once and kept with its memory."""
-    key = (shared.value[0], pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(shared.value[1], shared.value[2], pattern)
-    return _CODECS[key]
+    """The worker's codec for a broadcast vocabulary."""
+    path, ranks, halves = shared.value
+    return remembered(("byte_bpe", path, pattern), lambda: Codec(ranks, halves, pattern))
 
 
 def _shared(docs: DataFrame, path: str):

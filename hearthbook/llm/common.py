@@ -81,6 +81,21 @@ def map_batches(frame: DataFrame, function: Callable[[pa.RecordBatch], dict], sc
     return frame.mapInArrow(run, schema)
 
 
+_memory: dict = {"owner": None, "value": None}
+
+
+def remembered(owner: tuple, make: Callable[[], object]):
+    """What an operator keeps between batches and tasks of one Python worker.
+
+    A worker serves one stage after another; when another owner comes, the last one's memory goes.
+    """
+    if _memory["owner"] != owner:
+        _memory["owner"] = _memory["value"] = None
+        _memory["value"] = make()
+        _memory["owner"] = owner
+    return _memory["value"]
+
+
 def as_batch(values: dict, wanted: pa.Schema) -> pa.RecordBatch:
     arrays = [
         v if isinstance(v, pa.Array) else pa.array(v, type=f.type)

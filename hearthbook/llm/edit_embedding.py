@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hearthbook.llm.common import map_batches, text_of, texts, written
+from hearthbook.llm.common import map_batches, remembered, text_of, texts, written
 from hearthbook.llm.components import components
 from hearthbook.llm.ordered import borders, part_of, shuffle_width
 
@@ -120,14 +120,9 @@ def likeness(a: bytes, b: bytes) -> float:
     return float((np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean())
 
 
-_walkers: list[Walker] = []
-
-
 def walker() -> Walker:
     """The worker's own, kept between batches and tasks."""
-    if not _walkers:
-        _walkers.append(Walker())
-    return _walkers[0]
+    return remembered(("edit_embedding",), Walker)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from hearthbook.llm.common import fold_of, map_batches, text_of, texts
+from hearthbook.llm.common import fold_of, map_batches, remembered, text_of, texts
 from hearthbook.llm.labelled import HELD_OUT_FOLDS, labelled_texts, training_labels
 
 #: Labelled documents that are compared with: those of the smallest id hashes. With DIMENSIONS
@@ -29,7 +29,7 @@ DIMENSIONS = 48
 NEIGHBOURS = 25
 POWER = 8.0
 BLOCK = 512
-MEMO = 300_000
+MEMO = 150_000
 
 _SHAPE = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^\x00-\x7f]+")
 
@@ -44,20 +44,12 @@ def _place(name: str) -> int:
 
 
 _SAME = _place("\x00same as the word before")
-_words: dict[str, tuple[int, int, int]] = {}
 
 
 def _word_features(word: str) -> tuple[int, int, int]:
     """Places of the word itself, of its ending and of its form."""
-    found = _words.get(word)
-    if found is None:
-        low = word.lower()
-        found = (_place(f"w{low}"), _place(f"e{low[-3:]}"), _place(f"s{_shape(word)}"))
-        if len(_words) >= MEMO:
-            _words.clear()
-        if len(word) <= 64:
-            _words[word] = found
-    return found
+    low = word.lower()
+    return _place(f"w{low}"), _place(f"e{low[-3:]}"), _place(f"s{_shape(word)}")
 
 
 def counts(text: str) -> np.ndarray:
@@ -65,8 +57,16 @@ def counts(text: str) -> np.ndarray:
     words = text.split()
     out = np.zeros(FEATURES, np.float32)
     if words:
-        flat = np.array([f for w in words for f in _word_features(w)], np.int32)
-        out += np.bincount(flat, minlength=FEATURES)
+        known: dict[str, tuple[int, int, int]] = remembered(("quality_knn",), dict)
+        if len(known) >= MEMO:
+            known.clear()
+        flat: list[int] = []
+        for word in words:
+            found = known.get(word)
+            if found is None:
+                found = known[word] = _word_features(word)
+            flat += found
+        out += np.bincount(np.array(flat, np.int32), minlength=FEATURES)
         out[_SAME] += sum(map(str.__eq__, words, words[1:]))
     return out
 

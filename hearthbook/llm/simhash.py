@@ -84,6 +84,7 @@ def _signed(x: int) -> int:
 
 def forest(fps: np.ndarray, max_distance: int) -> tuple[list[int], list[int]]:
     """Links that join what is within max_distance of each other, without spare ones."""
+    bits = np.ascontiguousarray(fps).view(np.uint64)  # numpy counts the bits of a negative number's absolute value
     left = np.ones(len(fps), bool)
     parents: list[int] = []
     found: list[int] = []
@@ -94,7 +95,7 @@ def forest(fps: np.ndarray, max_distance: int) -> tuple[list[int], list[int]]:
         while queue:
             node = queue.pop()
             rest = np.flatnonzero(left)
-            near = rest[np.bitwise_count(fps[rest] ^ fps[node]) <= max_distance]
+            near = rest[np.bitwise_count(bits[rest] ^ bits[node]) <= max_distance]
             left[near] = False
             parents += [int(fps[node])] * len(near)
             found += fps[near].tolist()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hearthbook.llm.byte_bpe import units
-from hearthbook.llm.common import new_path, text_of, texts
+from hearthbook.llm.common import new_path, remembered, text_of, texts
 from hearthbook.llm.ordered import borders, in_parts, shuffle_width
 
 MAGIC = b"HBS8B001"
@@ -230,15 +230,9 @@ class _Tokenizer:
         return [np.frombuffer(b"".join([*map(known.__getitem__, us), end]), np.uint32) for us in cut]
 
 
-_tokenizers: dict[str, _Tokenizer] = {}
-
-
 def _tokenizer(shared) -> _Tokenizer:
     name, definition = shared.value
-    if name not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[name] = _Tokenizer(definition)
-    return _tokenizers[name]
+    return remembered(("simple8b", name), lambda: _Tokenizer(definition))
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
