@@ -27,8 +27,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 from hearthbook.llm.common import map_batches, remembered, text_of, texts
 
 #: Units of text, and pairs of tokens, that a worker remembers; beyond, it forgets them all.
-MEMO_UNITS = 200_000
-MEMO_PAIRS = 300_000
+MEMO_UNITS = 100_000
+MEMO_PAIRS = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
