@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 from pathlib import Path
 
 import ahocorasick
@@ -29,6 +30,8 @@ from hearthbook.llm.common import map_batches, remembered, text_of, texts
 #: Units of text, and pairs of tokens, that a worker remembers; beyond, it forgets them all.
 MEMO_UNITS = 100_000
 MEMO_PAIRS = 150_000
+#: Texts that a worker holds ids of before it hands them on.
+ROWS_AT_ONCE = 1_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -75,6 +78,7 @@ class Codec:
         self.pieces = regex.compile(pattern).findall
         self.bytes_of = bytes_by_rank(ranks)
         self.sizes = list(map(len, self.bytes_of))
+        self.names = list(map(str, range(len(self.bytes_of))))
         self.merged = {(a, b): rank for rank, (a, b) in halves.items()}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in ranks.items():
@@ -298,12 +302,30 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: encoded, and decoded again."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row: encoded, and decoded again.
+
+    Both happen in one pass over the texts, so a task needs one Python worker, not two.
+    """
+    vocab = _shared(docs, path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    coded = encode(rows, path, pattern).drop("text")
-    back = decode(coded, path)
-    return back.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if with_ids else []),
-    )
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+
+    def per_batch(batch: pa.RecordBatch) -> dict:
+        codec = _codec(vocab, pattern)
+        sizes, ids_digests, decoded_digests, flat = [], [], [], []
+        for t in texts(batch):
+            ids = codec.encode(t)
+            sizes.append(len(ids))
+            ids_digests.append(hashlib.sha256(" ".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
+            packed = np.array(ids, np.int32)
+            decoded_digests.append(hashlib.sha256(decode_ids(codec.bytes_of, packed)).hexdigest())
+            if with_ids:
+                flat.append(packed)
+        made = {"doc_id": batch.column("doc_id"), "n_tokens": sizes, "ids_sha256": ids_digests, "decoded_sha256": decoded_digests}
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            values = np.concatenate(flat) if flat else np.empty(0, np.int32)
+            made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+        return made
+
+    return map_batches(rows, per_batch, schema, rows=ROWS_AT_ONCE)

@@ -69,14 +69,18 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def map_batches(frame: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str | StructType) -> DataFrame:
-    """function(batch) -> {column: values} for each Arrow batch; values in the order of schema."""
+def map_batches(frame: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str | StructType, rows: int | None = None) -> DataFrame:
+    """function(batch) -> {column: values} for each Arrow batch; values in the order of schema.
+
+    With rows, a batch is handed over in parts of so many rows.
+    """
     wanted = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = function(batch)
-            yield as_batch(made, wanted)
+            step = rows or max(batch.num_rows, 1)
+            for at in range(0, max(batch.num_rows, 1), step):
+                yield as_batch(function(batch.slice(at, step)), wanted)
 
     return frame.mapInArrow(run, schema)
 
