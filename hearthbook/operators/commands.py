@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthbook import schema as S
 from hearthbook.functions import coerce, fields as P, rules as R, scalars as X
@@ -43,13 +43,30 @@ def patch(state: DataFrame, patches: DataFrame, key: Sequence[str], fields: Sequ
     )
 
 
+def fresh(inserts: DataFrame, state: DataFrame, key: str, order: str = "seq") -> DataFrame:
+    """One insert per id that the state doesn't hold yet: the last by ``order``, where there is one.
+
+    Of inserts that tie, the greatest counts. The state is only looked up by the ids that
+    are inserted, so few inserts don't shuffle it.
+    """
+    names = [name for name in inserts.columns if name != key]
+    ordered = [order] if order in names else []
+    newest = inserts.groupBy(key).agg(F.max(F.struct(*ordered, *[n for n in names if n not in ordered])).alias("_row"))
+    there = state.select(key).join(inserts.select(key), key, "left_semi")
+    kept = [name for name in names if name != "seq" or name in state.columns]
+    return newest.join(there, key, "left_anti").select(key, *[F.col("_row")[name].alias(name) for name in kept])
+
+
 def fold(state: DataFrame, key: str, inserts: DataFrame | None = None,
          patches: DataFrame | None = None, fields: Sequence[str] = (),
          deletes: DataFrame | None = None) -> DataFrame:
-    """Insert, patch and delete by id. An id is used once: a deleted row stays deleted."""
+    """Insert, patch and delete by id. An id is used once: a deleted row stays deleted.
+
+    Inserts are taken once per id (see ``fresh``), so a batch may be applied again.
+    """
     rows = state
     if inserts is not None:
-        rows = rows.unionByName(inserts, allowMissingColumns=True)
+        rows = rows.unionByName(fresh(inserts, state, key), allowMissingColumns=True)
     if deletes is not None:
         rows = rows.join(deletes.select(key), key, "left_anti").select(*state.columns)
     if patches is not None:
@@ -218,19 +235,22 @@ def edit_slots(slots: DataFrame, edits: DataFrame) -> DataFrame:
     ``edits``: ``household_id, kind, seq`` and the nullable ``account_number, amount_minor,
     frequency, next_due_date (text)``; null means not mentioned. A blank account number
     or an unreadable date clears the field; an amount that is not positive is ignored
-    (validation reports it).
+    (validation reports it). The optional ``ts`` is when the edit was made.
     """
     usable = edits.withColumn("amount_minor", F.when(F.col("amount_minor") > 0, F.col("amount_minor")))
     names = ["account_number", "amount_minor", "frequency", "next_due_date"]
-    joined = slots.join(latest(usable, SLOT_KEY, names), SLOT_KEY, "left")
-    account, due = F.col("_new_account_number"), F.col("_new_next_due_date")
+    made = _time_of(edits)
+    stamped = usable.select(
+        *SLOT_KEY, "seq",
+        *[F.when(F.col(n).isNotNull(), F.struct(F.col(n).alias("value"), made.alias("at"))).alias(n) for n in names],
+    )
+    joined = slots.join(latest(stamped, SLOT_KEY, names), SLOT_KEY, "left")
+    account, amount, due = (F.col(f"_new_{n}") for n in ("account_number", "amount_minor", "next_due_date"))
     changed = {
-        "account_number": F.when(account.isNotNull(), P.edited(coerce.non_blank(account))),
-        "amount_minor": F.when(
-            F.col("_new_amount_minor").isNotNull(), P.edited(F.col("_new_amount_minor"))
-        ),
-        "frequency": F.col("_new_frequency"),
-        "next_due_date": F.when(due.isNotNull(), P.edited(coerce.date(due))),
+        "account_number": F.when(account.isNotNull(), P.edited(coerce.non_blank(account["value"]), account["at"])),
+        "amount_minor": F.when(amount.isNotNull(), P.edited(amount["value"], amount["at"])),
+        "frequency": F.col("_new_frequency")["value"],
+        "next_due_date": F.when(due.isNotNull(), P.edited(coerce.date(due["value"]), due["at"])),
     }
     return joined.select(
         *[
@@ -240,11 +260,16 @@ def edit_slots(slots: DataFrame, edits: DataFrame) -> DataFrame:
     )
 
 
+def _time_of(commands: DataFrame) -> Column:
+    """When commands were given; null where they don't say."""
+    return (F.col("ts") if "ts" in commands.columns else F.lit(None)).cast("timestamp")
+
+
 def slot_form_edits(forms: DataFrame) -> DataFrame:
     """A filled-in details form as commands and edits: blanks mean keep the old value.
 
     ``forms``: ``household_id, kind, seq, provider, account_number, amount_text,
-    frequency, next_due_date (date)``. Only a non-blank provider or account number, a
+    frequency, next_due_date (date)`` and the optional ``ts``. Only a non-blank provider or account number, a
     positive amount (with its frequency) and a known date are passed on.
     """
     minor = X.parse_money(F.col("amount_text"))
@@ -257,14 +282,14 @@ def slot_form_edits(forms: DataFrame) -> DataFrame:
         amount.alias("amount_minor"),
         F.when(amount.isNotNull(), F.col("frequency")).alias("frequency"),
         F.col("next_due_date").cast("string").alias("next_due_date"),
+        _time_of(forms).alias("ts"),
     )
 
 
 def apply_slot_forms(slots: DataFrame, forms: DataFrame) -> DataFrame:
     edits = slot_form_edits(forms)
     named = edits.where(F.col("value").isNotNull()).select(
-        *SLOT_KEY, "seq", F.lit("set").alias("action"), "value",
-        F.lit(None).cast("timestamp").alias("ts"),
+        *SLOT_KEY, "seq", F.lit("set").alias("action"), "value", "ts",
     )
     return edit_slots(answer_providers(slots, named), edits)
 
@@ -296,30 +321,36 @@ def sync_slots(slots: DataFrame, bills: DataFrame) -> DataFrame:
     """Bring slots in step with the latest confirmed, non-estimate bill of their kind.
 
     Provider (where the bill has one), amount with frequency, and date (where known)
-    each come from the newest bill that has them.
+    each come from the newest bill that has them, and are recorded at its ``updated_at``. What
+    a slot has recorded since then stays.
     """
     sure = P.is_confirmed(F.col("amount_minor")) & ~P.is_estimate(F.col("amount_minor"))
     newest = F.struct(F.col("updated_at"), F.col("bill_id"))
     provider = coerce.non_blank(F.col("provider")["value"])
     due = F.col("due_date")["value"]
+    at = F.col("updated_at").cast("timestamp").alias("at")
     latest_bill = (
         bills.where(sure)
         .groupBy(*SLOT_KEY)
         .agg(
-            F.max_by(provider, F.when(provider.isNotNull(), newest)).alias("_provider"),
-            F.max_by(F.struct(F.col("amount_minor")["value"].alias("minor"), "frequency"), newest).alias(
+            F.max_by(F.struct(provider.alias("value"), at), F.when(provider.isNotNull(), newest)).alias("_provider"),
+            F.max_by(F.struct(F.col("amount_minor")["value"].alias("value"), "frequency", at), newest).alias(
                 "_amount"
             ),
-            F.max_by(due, F.when(due.isNotNull(), newest)).alias("_due"),
+            F.max_by(F.struct(due.alias("value"), at), F.when(due.isNotNull(), newest)).alias("_due"),
         )
     )
     joined = slots.join(latest_bill, SLOT_KEY, "left")
+
+    def is_newer(found: str, name: str) -> Column:
+        recorded_later = F.coalesce(F.col(name)["recorded_at"] > F.col(found)["at"], F.lit(False))
+        return F.col(found).isNotNull() & ~recorded_later
+
     changed = {
-        "provider": F.when(F.col("_provider").isNotNull(), P.edited(F.col("_provider"))),
-        "amount_minor": F.when(F.col("_amount").isNotNull(), P.edited(F.col("_amount")["minor"])),
-        "frequency": F.col("_amount")["frequency"],
-        "next_due_date": F.when(F.col("_due").isNotNull(), P.edited(F.col("_due"))),
+        name: F.when(is_newer(found, name), P.edited(F.col(found)["value"], F.col(found)["at"]))
+        for name, found in (("provider", "_provider"), ("amount_minor", "_amount"), ("next_due_date", "_due"))
     }
+    changed["frequency"] = F.when(is_newer("_amount", "amount_minor"), F.col("_amount")["frequency"])
     return joined.select(
         *[
             F.coalesce(changed[name], F.col(name)).alias(name) if name in changed else F.col(name)
@@ -342,9 +373,13 @@ def paid_patches(commands: DataFrame) -> DataFrame:
 
 def change_bills(bills: DataFrame, inserts: DataFrame | None = None,
                  patches: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
-    """Insert, patch and delete bills. Patches hold any of ``BILL_PATCH_FIELDS``."""
+    """Insert, patch and delete bills. Patches hold any of ``BILL_PATCH_FIELDS``.
+
+    A null means not mentioned; a blank note clears the note.
+    """
     fields = [] if patches is None else [f for f in BILL_PATCH_FIELDS if f in patches.columns]
-    return fold(bills, "bill_id", inserts, patches, fields, deletes)
+    changed = fold(bills, "bill_id", inserts, patches, fields, deletes)
+    return changed.withColumn("notes", coerce.non_blank(F.col("notes"))) if "notes" in fields else changed
 
 
 def reminders_from_bills(bills: DataFrame, as_of: R.Day) -> DataFrame:
@@ -385,7 +420,7 @@ def change_members(households: DataFrame, members: DataFrame, invites: DataFrame
     """Invite, change role, remove and choose members; returns households and members.
 
     ``invites``: ``member_id, household_id, name, email, role, seq``, placed after the
-    members there are. ``choices``: ``household_id, member_id, seq``. When the current
+    members there are; a repeated invite counts once. ``choices``: ``household_id, member_id, seq``. When the current
     member is gone the first one left takes over.
     """
     rows = members
@@ -401,7 +436,7 @@ def change_members(households: DataFrame, members: DataFrame, invites: DataFrame
             F.lit(False).alias("is_current_user"),
             (F.coalesce("_last", F.lit(-1)) + 1 + F.col("seq")).alias("pos"),
         )
-        rows = rows.withColumn("pos", F.col("pos").cast("bigint")).unionByName(added)
+        rows = rows.withColumn("pos", F.col("pos").cast("bigint")).unionByName(fresh(added, members, "member_id", "pos"))
     if removals is not None:
         rows = rows.join(removals.select("member_id"), "member_id", "left_anti").select(*rows.columns)
     if roles is not None:

@@ -392,10 +392,12 @@ def accept_extracted(extracted: DataFrame, decisions: DataFrame) -> dict[str, Da
     ``document_id`` plus what the person settled on: ``kind, provider, amount_text,
     due_date, frequency`` and ``decided_at``. Without a readable amount and a date
     nothing is saved; those come back as ``incomplete``. A null in a decision keeps
-    what was read. Returns ``documents``, ``bills`` and ``incomplete``; for the services
+    what was read. Of several decisions on one text the last by ``decided_at`` counts. Returns ``documents``, ``bills`` and ``incomplete``; for the services
     of the same kind pass the bills on to ``commands.sync_slots``.
     """
-    settled = decisions.select(
+    choices = ["decided_at", "kind", "provider", "amount_text", "due_date", "frequency"]
+    last = decisions.groupBy("document_id").agg(F.max(F.struct(*choices)).alias("_last"))
+    settled = last.select("document_id", "_last.*").select(
         "document_id",
         F.col("kind").alias("_kind"),
         coerce.non_blank(F.col("provider")).alias("_provider"),

@@ -155,13 +155,18 @@ def orphans(children: DataFrame, parents: DataFrame, key: str = S.KEY) -> DataFr
 
 EDIT_ACTIONS = ("bill_insert", "bill_update", "bill_delete", "set_paid", "confirm", "reject", "set")
 MANAGE_ACTIONS = ("member_add", "member_role", "member_remove", "reset", "replace_property")
+#: What any member may do.
+OPEN_ACTIONS = (
+    "not_sure", "add", "remove", "edit_slot", "set_tenure", "complete_onboarding", "choose_member",
+    "reminder_insert", "reminder_update", "reminder_delete", "document_insert", "document_delete",
+)
 
 
 def check_permissions(commands: DataFrame, members: DataFrame) -> DataFrame:
     """Commands with codes for what the role of the acting member does not allow.
 
     ``commands`` has ``household_id, member_id, action``. An unknown member may do
-    nothing that needs a permission.
+    nothing that needs a permission. An action of no list is reported, not let through.
     """
     roles = members.select(S.KEY, "member_id", "role")
     joined = commands.join(roles, [S.KEY, "member_id"], "left")
@@ -170,6 +175,7 @@ def check_permissions(commands: DataFrame, members: DataFrame) -> DataFrame:
     return check(
         joined,
         {
+            "unknown_action": _unknown("action", (*EDIT_ACTIONS, *MANAGE_ACTIONS, *OPEN_ACTIONS)),
             "may_not_edit_bills": action.isin(*EDIT_ACTIONS) & ~X.can_edit_bills(role),
             "may_not_manage": action.isin(*MANAGE_ACTIONS) & ~X.can_manage_household(role),
         },

@@ -1,7 +1,7 @@
 """Expected results of the registered queries, as DuckDB SQL on the same Parquet tables.
 
 Written apart from the operators: joins, windows and CASE over the flat derived
-tables. Queries without an entry are checked by tests on small fixtures instead.
+tables. Every query of the ledger has an entry.
 """
 
 from __future__ import annotations
@@ -804,18 +804,25 @@ oracle(
   CASE WHEN l.seq IS NULL AND c.seq IS NOT NULL AND provider_value IS NOT NULL THEN 'confirmed'
     WHEN l.seq IS NULL THEN provider_status WHEN l.action = 'reject' THEN 'missing' ELSE 'confirmed' END AS provider_status,
   CASE WHEN l.action = 'reject' THEN 'rejected: ' || coalesce(
-    CASE WHEN l.prior_seq IS NULL THEN provider_value WHEN l.prior_action = 'set' THEN l.prior_value END, '') END AS provider_note
+    CASE WHEN l.prior_seq IS NULL THEN provider_value WHEN l.prior_action = 'set' THEN l.prior_value END, '') END AS provider_note,
+  strftime(CASE WHEN l.seq IS NULL THEN CASE WHEN provider_value IS NOT NULL THEN c.ts END
+    WHEN l.action = 'set' THEN CASE WHEN c.seq > l.seq THEN c.ts ELSE l.ts END END, '%Y-%m-%d %H:%M:%S') AS provider_recorded_at
 FROM service_slots s
 LEFT JOIN (SELECT * FROM assigned QUALIFY row_number() OVER (PARTITION BY household_id, kind ORDER BY seq DESC) = 1) l
   ON l.household_id = s.household_id AND l.kind = s.kind
-LEFT JOIN (SELECT household_id, kind, max(seq) AS seq FROM commands WHERE action = 'confirm' GROUP BY ALL) c
+LEFT JOIN (SELECT household_id, kind, max(seq) AS seq, arg_max(ts, seq) AS ts FROM commands WHERE action = 'confirm' GROUP BY ALL) c
   ON c.household_id = s.household_id AND c.kind = s.kind""",
-    assigned="""SELECT household_id, kind, seq, action, trim(value) AS value,
+    assigned="""SELECT household_id, kind, seq, ts, action, trim(value) AS value,
   lag(seq) OVER w AS prior_seq, lag(action) OVER w AS prior_action, lag(trim(value)) OVER w AS prior_value
 FROM commands WHERE action IN ('set', 'reject') WINDOW w AS (PARTITION BY household_id, kind ORDER BY seq)""",
 )
 
 
+def _stamped(**times: str) -> str:
+    """When fields were recorded, as text, from a condition and a time each."""
+    return ", ".join(f"strftime({time}, '%Y-%m-%d %H:%M:%S') AS {name}_recorded_at" for name, time in times.items())
+
+
 def _entered(name: str, new: str, value: str) -> str:
     """A field overwritten by the resident where ``new`` holds."""
     return (
@@ -830,13 +837,16 @@ oracle(
     f"""SELECT slot_id, {_entered('account_number', 'account IS NOT NULL', "nullif(trim(account), '')")},
   {_entered('amount_minor', 'amount IS NOT NULL', 'amount')},
   {_entered('next_due_date', 'due IS NOT NULL', 'CAST(try_cast(due AS DATE) AS VARCHAR)').replace('ELSE next_due_date_value', 'ELSE CAST(next_due_date_value AS VARCHAR)')},
-  coalesce(e.frequency, s.frequency) AS frequency
+  coalesce(e.frequency, s.frequency) AS frequency, {_stamped(
+    account_number="CASE WHEN trim(account) <> '' THEN account_at END", amount_minor='amount_at',
+    next_due_date='CASE WHEN try_cast(due AS DATE) IS NOT NULL THEN due_at END')}
 FROM service_slots s LEFT JOIN edits e ON e.household_id = s.household_id AND e.kind = s.kind""",
     edits="""SELECT household_id, kind, arg_max(account, seq) FILTER (account IS NOT NULL) AS account,
   arg_max(amount, seq) FILTER (amount > 0) AS amount,
   arg_max('quarterly', seq) FILTER (seq % 5 = 0) AS frequency,
-  arg_max(due, seq) FILTER (due IS NOT NULL) AS due
-FROM (SELECT household_id, kind, seq,
+  arg_max(due, seq) FILTER (due IS NOT NULL) AS due, arg_max(ts, seq) FILTER (account IS NOT NULL) AS account_at,
+  arg_max(ts, seq) FILTER (amount > 0) AS amount_at, arg_max(ts, seq) FILTER (due IS NOT NULL) AS due_at
+FROM (SELECT household_id, kind, seq, ts,
   CASE WHEN seq % 4 = 0 THEN ' N' || seq WHEN seq % 12 = 1 THEN ' ' END AS account,
   CASE WHEN seq % 3 = 0 THEN minor - 1000 END AS amount,
   CASE WHEN seq % 7 = 0 THEN CAST(CAST(ts AS DATE) AS VARCHAR) WHEN seq % 7 = 1 THEN 'soon' END AS due FROM commands)
@@ -848,10 +858,13 @@ oracle(
   {_entered('account_number', 'n IS NOT NULL', "'N' || n")},
   {_entered('amount_minor', 'a IS NOT NULL', 'a * 100')},
   {_entered('next_due_date', 'due IS NOT NULL', 'CAST(due AS VARCHAR)').replace('ELSE next_due_date_value', 'ELSE CAST(next_due_date_value AS VARCHAR)')},
-  CASE WHEN a IS NOT NULL THEN 'weekly' ELSE frequency END AS frequency
+  CASE WHEN a IS NOT NULL THEN 'weekly' ELSE frequency END AS frequency,
+  {_stamped(provider='p_at', account_number='n_at', amount_minor='a_at', next_due_date='due_at')}
 FROM service_slots s LEFT JOIN edits e ON e.household_id = s.household_id AND e.kind = s.kind""",
     edits="""SELECT household_id, kind, max(seq) FILTER (seq % 3 = 0) AS p, max(seq) FILTER (seq % 4 = 0) AS n,
-  max(seq) FILTER (seq % 5 = 1) AS a, arg_max(CAST(ts AS DATE), seq) FILTER (seq % 7 = 0) AS due
+  max(seq) FILTER (seq % 5 = 1) AS a, arg_max(CAST(ts AS DATE), seq) FILTER (seq % 7 = 0) AS due,
+  arg_max(ts, seq) FILTER (seq % 3 = 0) AS p_at, arg_max(ts, seq) FILTER (seq % 4 = 0) AS n_at,
+  arg_max(ts, seq) FILTER (seq % 5 = 1) AS a_at, arg_max(ts, seq) FILTER (seq % 7 = 0) AS due_at
 FROM commands GROUP BY household_id, kind""",
 )
 oracle(
@@ -870,26 +883,35 @@ FROM changes GROUP BY household_id, kind""",
 )
 def _synced(newest: str, tables: str, **extra: str) -> str:
     """Slots overwritten by the newest values ``p, a, f, d`` of their kind."""
+    return _with(tables, f"SELECT {_synced_columns('p IS NOT NULL', 'a IS NOT NULL')} {_SYNCED}", **extra, newest=newest)
+
+
+_SYNCED = "FROM service_slots s LEFT JOIN newest n ON n.household_id = s.household_id AND n.kind = s.kind"
+
+
+def _synced_columns(new_provider: str, new_amount: str) -> str:
     due = _entered("next_due_date", "d IS NOT NULL", "CAST(d AS VARCHAR)")
     due = due.replace("ELSE next_due_date_value", "ELSE CAST(next_due_date_value AS VARCHAR)")
-    return _with(
-        tables,
-        f"""SELECT slot_id, {_entered('provider', 'p IS NOT NULL', 'p')}, {_entered('amount_minor', 'a IS NOT NULL', 'a')},
-  {due}, coalesce(f, s.frequency) AS frequency
-FROM service_slots s LEFT JOIN newest n ON n.household_id = s.household_id AND n.kind = s.kind""",
-        **extra,
-        newest=newest,
-    )
+    return f"""slot_id, {_entered('provider', new_provider, 'p')}, {_entered('amount_minor', new_amount, 'a')},
+  {due}, CASE WHEN {new_amount} THEN f ELSE s.frequency END AS frequency"""
 
 
-ORACLES["slot_sync_from_bills"] = _synced(
-    f"""SELECT household_id, kind,
+_SINCE = "s.household_id % 3 = 0 AND {} < TIMESTAMP '1997-01-01'"
+_NEW_P, _NEW_A = (f"(n.kind IS NOT NULL AND {x} IS NOT NULL AND NOT ({_SINCE.format(x + '_at')}))" for x in "pa")
+_BEFORE = "WHEN s.household_id % 3 = 0 THEN TIMESTAMP '1997-01-01' END"
+oracle(
+    "slot_sync_from_bills", "service_slots bills",
+    f"""SELECT {_synced_columns(_NEW_P, _NEW_A)}, {_stamped(
+      provider=f'CASE WHEN {_NEW_P} THEN p_at {_BEFORE}', amount_minor=f'CASE WHEN {_NEW_A} THEN a_at {_BEFORE}',
+      next_due_date='d_at')} {_SYNCED}""",
+    newest=f"""SELECT household_id, kind,
+  max(updated_at) FILTER (provider_value IS NOT NULL) AS p_at, max(updated_at) AS a_at,
+  max(updated_at) FILTER (due_date_value IS NOT NULL) AS d_at,
   first(provider_value ORDER BY updated_at DESC, bill_id DESC) FILTER (provider_value IS NOT NULL) AS p,
   first(amount_minor_value ORDER BY updated_at DESC, bill_id DESC) AS a,
   first(frequency ORDER BY updated_at DESC, bill_id DESC) AS f,
   first(due_date_value ORDER BY updated_at DESC, bill_id DESC) FILTER (due_date_value IS NOT NULL) AS d
 FROM bills WHERE {SURE} AND NOT {EST} GROUP BY household_id, kind""",
-    "service_slots bills",
 )
 ORACLES["accepted_slot_updates"] = _synced(
     """SELECT household_id, kind, first(provider ORDER BY document_id DESC) FILTER (provider IS NOT NULL) AS p,
@@ -904,12 +926,18 @@ oracle(
     f"""SELECT bill_id, household_id, {_entered('amount_minor', 'a IS NOT NULL', 'a')},
   {_entered('due_date', 'd IS NOT NULL', 'CAST(d AS VARCHAR)').replace('ELSE due_date_value', 'ELSE CAST(due_date_value AS VARCHAR)')},
   CASE WHEN paid_seq IS NULL THEN payment_status WHEN paid_seq % 2 = 0 THEN 'paid' ELSE 'unknown' END AS payment_status,
-  CASE WHEN note_seq IS NOT NULL THEN 'note ' || note_seq ELSE notes END AS notes
-FROM bills LEFT JOIN patches USING (bill_id)
-WHERE bill_id NOT IN (SELECT 'b-' || event_id % 7000 FROM events WHERE event_id % 5 = 3 AND event_id % 2 = 0)
-UNION ALL SELECT 'n-' || event_id, user_id, CAST(round(value * 100) AS BIGINT), 'userEntered', 'confirmed',
-  NULL, 'none', 'missing', 'unknown', NULL FROM events WHERE event_id % 5 = 2""",
-    patches="""SELECT 'b-' || event_id % 7000 AS bill_id, max(event_id) FILTER (event_id % 5 = 0) AS paid_seq,
+  CASE WHEN note_seq % 15 = 1 THEN NULL WHEN note_seq IS NOT NULL THEN 'note ' || note_seq ELSE notes END AS notes
+FROM rows_now LEFT JOIN patches USING (bill_id)
+WHERE bill_id NOT IN (SELECT 'b-' || event_id % 7000 FROM events WHERE event_id % 5 = 3 AND event_id % 2 = 0)""",
+    inserted="""SELECT *, CASE WHEN event_id % 30 = 4 THEN 'b-' || event_id % 7000 ELSE 'n-' || (event_id - event_id % 10) END AS bill_id
+FROM events WHERE event_id % 5 IN (2, 4)""",
+    rows_now="""SELECT bill_id, household_id, amount_minor_value, amount_minor_source, amount_minor_status,
+  due_date_value, due_date_source, due_date_status, payment_status, notes FROM bills
+UNION ALL SELECT bill_id, user_id, CAST(round(value * 100) AS BIGINT), 'userEntered', 'confirmed',
+  NULL, 'none', 'missing', 'unknown', NULL FROM inserted i WHERE NOT EXISTS (SELECT 1 FROM bills b WHERE b.bill_id = i.bill_id)
+QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY event_id DESC) = 1""",
+    patches="""SELECT 'b-' || event_id % 7000 AS bill_id,
+  max(event_id) FILTER (event_id % 5 = 0 OR (event_id % 5 = 3 AND event_id % 2 = 1)) AS paid_seq,
   max(event_id) FILTER (event_id % 5 = 1) AS note_seq,
   arg_max(CAST(round(value * 100) AS BIGINT), event_id) FILTER (event_id % 5 = 1 AND round(value * 100) > 0) AS a,
   arg_max(CAST(ts AS DATE), event_id) FILTER (event_id % 5 = 1 AND event_id % 3 = 0) AS d
@@ -1036,6 +1064,7 @@ oracle("orphan_rows", "bills", "SELECT bill_id, household_id FROM bills WHERE ho
 oracle(
     "command_permissions", "commands members",
     """SELECT seq, CASE WHEN seq % 6 = 0 AND coalesce(role, '') <> 'owner' THEN 'may_not_manage'
+  WHEN seq % 18 = 3 THEN 'unknown_action' WHEN seq % 6 = 2 THEN ''
   WHEN seq % 6 <> 0 AND (seq % 6 = 1 OR action <> 'not_sure') AND coalesce(role, 'viewer') = 'viewer' THEN 'may_not_edit_bills'
   ELSE '' END AS codes
 FROM commands c LEFT JOIN members m ON m.household_id = c.household_id AND m.member_id = c.member_id""",

@@ -52,6 +52,11 @@ def parts(name: str, *which: str) -> list[Column]:
     return out
 
 
+def recorded(*names: str) -> list[Column]:
+    """When fields were recorded, as text."""
+    return [F.date_format(F.col(n)["recorded_at"], "yyyy-MM-dd HH:mm:ss").alias(f"{n}_recorded_at") for n in names]
+
+
 def codes(name: str = "codes") -> Column:
     return F.concat_ws(",", F.col(name)).alias(name)
 
@@ -616,6 +621,17 @@ def extract_document_corpus(t: Ledger) -> DataFrame:
 
 
 def _decisions(t: Ledger) -> DataFrame:
+    """Decisions on every other text; some had been decided otherwise a day before."""
+    key = F.col("order_key")
+    earlier = t.bill_texts.where(key % 4 == 0).select(
+        "document_id", F.lit("water").alias("kind"), F.lit("Earlier").alias("provider"),
+        F.lit("£1").alias("amount_text"), F.lit("2026-04-04").cast("date").alias("due_date"),
+        F.lit("weekly").alias("frequency"), F.lit("2026-01-01").cast("timestamp").alias("decided_at"),
+    )
+    return earlier.unionByName(_last_decisions(t))
+
+
+def _last_decisions(t: Ledger) -> DataFrame:
     key = F.col("order_key")
     return t.bill_texts.where(key % 2 == 0).select(
         "document_id",
@@ -630,13 +646,10 @@ def _decisions(t: Ledger) -> DataFrame:
 
 @query
 def accepted_bill_texts(t: Ledger) -> DataFrame:
-    saved = extraction.accept_extracted(_extracted(t), _decisions(t))
-    bills = saved["bills"].select(
+    return extraction.accept_extracted(_extracted(t), _decisions(t))["bills"].select(
         "document_id", "bill_id", "kind", *parts("provider"), *parts("amount_minor"),
-        *parts("due_date"), "frequency",
+        *parts("due_date"), "frequency", F.concat(X.kind_label(F.col("kind")), F.lit(" bill")).alias("title"),
     )
-    titles = saved["documents"].select("document_id", "title")
-    return bills.join(titles, "document_id")
 
 
 @query
@@ -682,7 +695,7 @@ def create_household_slots(t: Ledger) -> DataFrame:
 @query
 def slot_commands(t: Ledger) -> DataFrame:
     answered = C.answer_providers(t.slots, t.commands)
-    return answered.select("slot_id", *parts("provider", "value", "source", "status", "note"))
+    return answered.select("slot_id", *parts("provider", "value", "source", "status", "note"), *recorded("provider"))
 
 
 def _slot_edits(t: Ledger) -> DataFrame:
@@ -694,6 +707,7 @@ def _slot_edits(t: Ledger) -> DataFrame:
         F.when(seq % 3 == 0, F.col("minor") - 1000).alias("amount_minor"),
         F.when(seq % 5 == 0, F.lit("quarterly")).alias("frequency"),
         F.when(seq % 7 == 0, iso(F.to_date("ts"))).when(seq % 7 == 1, "soon").alias("next_due_date"),
+        "ts",
     )
 
 
@@ -701,7 +715,8 @@ def _slot_edits(t: Ledger) -> DataFrame:
 def slot_edits(t: Ledger) -> DataFrame:
     edited = C.edit_slots(t.slots, _slot_edits(t))
     return edited.select(
-        "slot_id", *parts("account_number"), *parts("amount_minor"), *parts("next_due_date"), "frequency"
+        "slot_id", *parts("account_number"), *parts("amount_minor"), *parts("next_due_date"), "frequency",
+        *recorded("account_number", "amount_minor", "next_due_date"),
     )
 
 
@@ -716,11 +731,13 @@ def partial_slot_edits(t: Ledger) -> DataFrame:
         .otherwise("?").alias("amount_text"),
         F.lit("weekly").alias("frequency"),
         F.when(seq % 7 == 0, F.to_date("ts")).alias("next_due_date"),
+        "ts",
     )
     edited = C.apply_slot_forms(t.slots, forms)
     return edited.select(
         "slot_id", *parts("provider"), *parts("account_number"), *parts("amount_minor"),
         *parts("next_due_date"), "frequency",
+        *recorded("provider", "account_number", "amount_minor", "next_due_date"),
     )
 
 
@@ -743,30 +760,38 @@ def slot_membership(t: Ledger) -> DataFrame:
 
 @query
 def slot_sync_from_bills(t: Ledger) -> DataFrame:
-    synced = C.sync_slots(t.slots, t.bills)
+    """Every third household has recorded its providers and amounts at the start of 1997."""
+    at = F.when(F.col("household_id") % 3 == 0, F.lit("1997-01-01").cast("timestamp"))
+    slots = t.slots.withColumns({n: F.col(n).withField("recorded_at", at) for n in ("provider", "amount_minor")})
+    synced = C.sync_slots(slots, t.bills)
     return synced.select(
-        "slot_id", *parts("provider"), *parts("amount_minor"), *parts("next_due_date"), "frequency"
+        "slot_id", *parts("provider"), *parts("amount_minor"), *parts("next_due_date"), "frequency",
+        *recorded("provider", "amount_minor", "next_due_date"),
     )
 
 
 @query
 def bill_commands(t: Ledger) -> DataFrame:
-    """Bills inserted, paid, re-priced, noted and deleted by event."""
+    """Bills inserted, paid, re-priced, noted and deleted by event.
+
+    Inserts come several to an id, and some name a bill there is; some notes are blank.
+    """
     seq = F.col("event_id")
     target = F.concat(F.lit("b-"), (seq % 7000).cast("string")).alias("bill_id")
     events = t.raw("events")
     minor = F.round(F.col("value") * 100).cast("bigint")
     paid = C.paid_patches(
-        events.where(seq % 5 == 0).select(target, seq.alias("seq"), (seq % 2 == 0).alias("paid"))
+        events.where((seq % 5 == 0) | ((seq % 5 == 3) & (seq % 2 == 1))).select(target, seq.alias("seq"), (seq % 2 == 0).alias("paid"))
     )
     priced = events.where(seq % 5 == 1).select(
         target, seq.alias("seq"),
         F.when(minor > 0, P.confirmed(minor, "userEntered")).alias("amount_minor"),
         F.when(seq % 3 == 0, P.confirmed(F.to_date("ts"), "userEntered")).alias("due_date"),
-        F.concat(F.lit("note "), seq.cast("string")).alias("notes"),
+        F.when(seq % 15 == 1, "  ").otherwise(F.concat(F.lit(" note "), seq.cast("string"))).alias("notes"),
     )
-    inserts = events.where(seq % 5 == 2).select(
-        F.concat(F.lit("n-"), seq.cast("string")).alias("bill_id"),
+    inserts = events.where((seq % 5 == 2) | (seq % 5 == 4)).select(
+        F.when(seq % 30 == 4, target).otherwise(F.concat(F.lit("n-"), (seq - seq % 10).cast("string"))).alias("bill_id"),
+        seq.alias("seq"),
         F.col("user_id").alias("household_id"),
         F.lit("gas").alias("kind"),
         P.missing("string").alias("provider"),
@@ -952,11 +977,8 @@ def validate_reminders(t: Ledger) -> DataFrame:
         F.when(key % 7 == 0, "2024-02-30").when(key % 7 == 1, "next week")
         .when(key % 7 != 2, F.concat(iso("due_at"), F.lit("T09:00:00"))).alias("due_text"),
     )
-    created = V.check(requests, V.reminder_rules())
-    updated = V.check(requests, V.reminder_update_rules()).select(
-        "reminder_id", F.concat_ws(",", "codes").alias("update_codes")
-    )
-    return with_codes(created, "reminder_id").join(updated, "reminder_id")
+    updated = V.check(requests, V.reminder_update_rules()).withColumnRenamed("codes", "update_codes")
+    return V.check(updated, V.reminder_rules()).select("reminder_id", codes(), codes("update_codes"))
 
 
 @query
@@ -997,7 +1019,9 @@ def orphan_rows(t: Ledger) -> DataFrame:
 def command_permissions(t: Ledger) -> DataFrame:
     seq = F.col("seq")
     asked = t.commands.withColumn(
-        "action", F.when(seq % 6 == 0, "member_role").when(seq % 6 == 1, "set_paid").otherwise(F.col("action"))
+        "action",
+        F.when(seq % 6 == 0, "member_role").when(seq % 6 == 1, "set_paid").when(seq % 6 == 2, "add")
+        .when(seq % 18 == 3, "borrow").otherwise(F.col("action")),
     ).select("seq", "household_id", "member_id", "action")
     return with_codes(V.check_permissions(asked, t.members), "seq")
 

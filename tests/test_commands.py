@@ -185,3 +185,49 @@ def test_permissions(spark):
 
 def test_helpers_read_days():
     assert day("2026-01-01") == dt.date(2026, 1, 1)
+
+
+def test_a_newer_answer_is_not_overwritten_by_an_older_bill(spark):
+    typed = slots(spark, [slot("gas", confirmed("Own", "userEntered"))]).withColumn(
+        "provider", F.col("provider").withField("recorded_at", F.lit(STAMP)))
+    older = bill("a", confirmed(100), kind="gas", provider=confirmed("Old"), updated="2025-12-31")
+    newer = bill("b", confirmed(200), kind="gas", provider=confirmed("New"), updated="2026-01-02")
+    row = C.sync_slots(typed, bills(spark, [older])).first()
+    assert (row.provider.value, row.amount_minor.value) == ("Own", 100)
+    assert row.amount_minor.recorded_at == dt.datetime(2025, 12, 31)
+    assert C.sync_slots(typed, bills(spark, [older, newer])).first().provider.value == "New"
+
+
+def test_edits_say_when_they_were_made(spark):
+    edits = spark.createDataFrame(
+        [(1, "gas", 1, "A1", 100, None, None, STAMP), (1, "gas", 2, " ", None, None, None, STAMP)],
+        "household_id bigint, kind string, seq bigint, account_number string, amount_minor bigint, "
+        "frequency string, next_due_date string, ts timestamp")
+    row = C.edit_slots(slots(spark, [slot("gas")]), edits).first()
+    assert (row.amount_minor.recorded_at, row.account_number.recorded_at) == (STAMP, None)
+
+
+def test_a_batch_of_bill_changes_can_be_repeated(spark):
+    table = bills(spark, [bill("a", confirmed(1))])
+    wanted = bills(spark, [bill("a", confirmed(7)), bill("n", confirmed(4)), bill("n", confirmed(5))])
+    inserts = wanted.withColumn("seq", F.col("amount_minor.value"))
+    once = C.change_bills(table, inserts)
+    assert sorted((r.bill_id, r.amount_minor.value) for r in once.collect()) == [("a", 1), ("n", 5)]
+    assert once.columns == table.columns
+    assert C.change_bills(once, inserts).exceptAll(once).isEmpty()
+
+
+def test_a_blank_note_clears_the_note(spark):
+    notes = "bill_id string, seq bigint, notes string"
+    noted = C.change_bills(bills(spark, [bill("a", confirmed(1))]), patches=spark.createDataFrame([("a", 1, " first ")], notes))
+    assert noted.first().notes == "first"
+    kept = C.change_bills(noted, patches=spark.createDataFrame([("a", 2, None)], notes))
+    assert kept.first().notes == "first"
+    assert C.change_bills(kept, patches=spark.createDataFrame([("a", 3, " ")], notes)).first().notes is None
+
+
+def test_unknown_actions_are_reported(spark):
+    members = spark.createDataFrame([("v", 1, "V", None, "viewer", True, True, 0)], S.MEMBERS)
+    asked = spark.createDataFrame([(1, "v", "add"), (1, "v", "borrow"), (1, "v", None)], "household_id bigint, member_id string, action string")
+    found = {r.action: r.codes for r in V.check_permissions(asked, members).collect()}
+    assert found == {"add": [], "borrow": ["unknown_action"], None: ["unknown_action"]}
