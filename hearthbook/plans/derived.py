@@ -47,7 +47,6 @@ def _s(expression: str) -> str:
 class Rule:
     source: str
     columns: dict[str, str]
-    where: str = "1 = 1"
     copies: int = 0  # rows per source row, numbered by column o from 0
 
     def sql(self) -> str:
@@ -56,14 +55,14 @@ class Rule:
         if self.copies:
             source = f"(SELECT *, unnest(range({self.copies})) AS o FROM {source})"
         columns = ", ".join(f"{expr} AS {name}" for name, expr in self.columns.items())
-        return f"SELECT {columns} FROM {source} WHERE {self.where}"
+        return f"SELECT {columns} FROM {source}"
 
     def frame(self, source: DataFrame) -> DataFrame:
         """The table as a Spark DataFrame."""
         if self.copies:
             source = source.selectExpr("*", f"explode(sequence(0L, {self.copies - 1}L)) AS o")
         columns = [f"{expr} AS {name}" for name, expr in self.columns.items()]
-        return source.where(self.where).selectExpr(*columns)
+        return source.selectExpr(*columns)
 
 
 _C, _O, _E = "c_custkey", "o_orderkey", "event_id"
@@ -118,6 +117,12 @@ _POSTCODE = (
     f"chr(CAST(65 + {_digit(4500, 26)} AS INT)) || chr(CAST(65 + {_digit(117000, 26)} AS INT))"
 )
 
+
+def _unowned(every: int) -> str:
+    """The customer as household; every so many rows belong to one that does not exist."""
+    return f"CASE WHEN {_C} % {every} = 0 THEN -1 - {_C} ELSE {_C} END"
+
+
 RULES: dict[str, Rule] = {
     "households": Rule(
         "customer",
@@ -134,7 +139,7 @@ RULES: dict[str, Rule] = {
         "customer",
         {
             "property_id": f"'prop-' || {_s(_C)}",
-            "household_id": _C,
+            "household_id": _unowned(20),
             "line1": f"{_s(_C + ' % 200 + 1')} || ' Example Street'",
             "line2": f"CASE {_C} % 3 WHEN 0 THEN 'Flat ' || {_s(_C + ' % 9')} WHEN 1 THEN '' END",
             "town": f"CASE {_C} % 8 WHEN 1 THEN 'Cardiff' WHEN 2 THEN 'Leeds' WHEN 3 THEN 'Manchester' "
@@ -147,13 +152,12 @@ RULES: dict[str, Rule] = {
             "address_source": "'Manual entry'",
             "is_demo_data": f"{_C} % 13 = 0",
         },
-        where=f"{_C} % 20 <> 0",
     ),
     "service_slots": Rule(
         "customer",
         {
             "slot_id": f"'svc-' || {_s(_C)} || '-' || {_s('o')}",
-            "household_id": _C,
+            "household_id": _unowned(25),
             "kind": KINDS5.format(k="o"),
             "provider_value": f"CASE WHEN (7 * {_C} + o) % 5 <> 0 THEN 'Supplier ' || {_s(f'({_C} + o) % 6')} END",
             "provider_source": f"CASE (7 * {_C} + o) % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'postcodeLookup' "
@@ -176,14 +180,13 @@ RULES: dict[str, Rule] = {
             f"THEN 'retired_key,gas_supplier' WHEN o = 1 THEN 'gas_supplier' WHEN {_C} % 4 = 0 THEN '' "
             "WHEN o <= 3 THEN 'water_provider' ELSE 'council_tax,find_council' END",
         },
-        where=f"{_C} % 25 <> 0",
         copies=5,
     ),
     "bills": Rule(
         "orders",
         {
             "bill_id": f"'b-' || {_s(_O)}",
-            "household_id": "o_custkey",
+            "household_id": "CASE WHEN o_custkey % 50 = 0 THEN o_custkey + 1 ELSE o_custkey END",
             "kind": KINDS9.format(k=_O),
             "provider_value": f"CASE WHEN {_O} % 8 <> 0 THEN 'Provider ' || {_s(_O + ' % 9')} END",
             "provider_source": f"CASE WHEN {_O} % 8 <> 0 THEN 'userEntered' ELSE 'none' END",
@@ -206,12 +209,11 @@ RULES: dict[str, Rule] = {
             "created_at": "CAST(o_orderdate AS TIMESTAMP)",
             "updated_at": "CAST(o_orderdate AS TIMESTAMP)",
         },
-        where="o_custkey % 50 <> 0",
     ),
     "documents_ledger": Rule(
         "orders",
         {
-            "document_id": f"'doc-' || {_s(_O)}",
+            "document_id": f"CASE WHEN {_O} % 3 = 0 AND {_O} % 12 <> 0 THEN 'doc-' ELSE 'old-' END || {_s(_O)}",
             "household_id": "o_custkey",
             "kind": f"CASE {_O} % 4 WHEN 0 THEN 'bill' WHEN 1 THEN 'statement' WHEN 2 THEN 'receipt' ELSE 'policy' END",
             "title": f"'Document ' || {_s(_O)}",
@@ -225,7 +227,6 @@ RULES: dict[str, Rule] = {
             "bill_id": f"'b-' || {_s(_O)}",
             "created_at": "CAST(o_orderdate AS TIMESTAMP)",
         },
-        where=f"{_O} % 3 = 0 AND {_O} % 12 <> 0",
     ),
     "reminders": Rule(
         "events",
@@ -302,10 +303,9 @@ RULES: dict[str, Rule] = {
         {
             "line1": f"{_s(_C + ' % 8 + 1')} || ' Example Street'",
             "town": f"'Town ' || {_s(_C + ' % 5')}",
-            "postcode": _POSTCODE,
+            "postcode": f"CASE WHEN {_C} % 16 = 3 THEN 'GY1 1AA' ELSE {_POSTCODE} END",
             "uprn": f"'U' || {_s(_C)}",
         },
-        where=f"{_C} % 16 <> 3",
     ),
     "address_requests": Rule(
         "customer",

@@ -433,8 +433,9 @@ _DISCOVERY = {
     )
     + ") AS v(prefix, kind, provider, confidence, lookup_keys)",
     "suggestions": """SELECT household_id, kind, provider, confidence, lookup_keys
-FROM properties JOIN areas ON CASE WHEN household_id % 8 IN (0, 7) THEN 'BS' WHEN household_id % 8 = 1 THEN 'CF'
-  WHEN household_id % 8 = 2 THEN 'LS' WHEN household_id % 8 = 3 THEN 'M' WHEN household_id % 8 = 4 THEN 'SW' END = prefix
+FROM (SELECT household_id, CAST(substr(property_id, 6) AS BIGINT) % 8 AS place FROM properties)
+JOIN areas ON CASE WHEN place IN (0, 7) THEN 'BS' WHEN place = 1 THEN 'CF'
+  WHEN place = 2 THEN 'LS' WHEN place = 3 THEN 'M' WHEN place = 4 THEN 'SW' END = prefix
 UNION ALL SELECT household_id, 'electricity', NULL, 'unknown', 'electricity_supplier' FROM properties
 UNION ALL SELECT household_id, 'gas', NULL, 'unknown', 'gas_supplier' FROM properties""",
 }
@@ -1103,9 +1104,12 @@ oracle(
   frequency, lookup_keys_text AS lookup_keys FROM service_slots""",
 )
 oracle(
-    "json_households_roundtrip", "households properties",
-    """SELECT h.*, line1, nullif(line2, '') AS line2, town, postcode, uprn, tenure, is_demo_data
-FROM households h LEFT JOIN properties p USING (household_id)""",
+    "json_households_roundtrip", "households properties service_slots",
+    """SELECT household_id, h.name, coalesce(h.property_id, p.property_id) AS property_id, h.current_member_id,
+  coalesce(h.onboarding_complete, false) AS onboarding_complete,
+  line1, nullif(line2, '') AS line2, town, postcode, uprn, tenure, is_demo_data
+FROM households h FULL JOIN properties p USING (household_id)
+FULL JOIN (SELECT DISTINCT household_id FROM service_slots) s USING (household_id)""",
 )
 oracle(
     "json_members_roundtrip", "members",
@@ -1155,10 +1159,13 @@ def _count_of(table: str, name: str) -> str:
 
 oracle(
     "household_payloads", "households properties service_slots bills documents_ledger reminders members",
-    f"""SELECT household_id, CAST(household_id AS VARCHAR) AS id, name, postcode,
+    f"""SELECT household_id, id, name, postcode,
   {_count_of('service_slots', 'services')}, {_count_of('bills', 'bills')}, {_count_of('documents_ledger', 'documents')},
   {_count_of('reminders', 'reminders')}, {_count_of('members', 'members')}, false AS shows_text
-FROM households h LEFT JOIN (SELECT household_id, postcode FROM properties) p USING (household_id)""",
+FROM (SELECT household_id, id, name, postcode FROM known
+  FULL JOIN (SELECT DISTINCT household_id FROM service_slots) s USING (household_id)) h""",
+    known="""SELECT household_id, CAST(household_id AS VARCHAR) AS id, h.name, p.postcode
+FROM households h FULL JOIN properties p USING (household_id)""",
 )
 oracle(
     "relational_fields", "bills",

@@ -480,6 +480,7 @@ def _assemble(heads: DataFrame, empty_head: str, tables: dict[str, DataFrame], w
 
 
 def _heads(households: DataFrame, properties: DataFrame, *columns: Column) -> DataFrame:
+    """What a document says before its lists; a property of an unknown household is kept too."""
     home = properties.select(
         S.KEY,
         F.struct(
@@ -494,7 +495,7 @@ def _heads(households: DataFrame, properties: DataFrame, *columns: Column) -> Da
             F.col("is_demo_data").alias("isDemoData"),
         ).alias("property"),
     )
-    joined = households.join(home, S.KEY, "left")
+    joined = households.join(home, S.KEY, "full")
     text = _json(*columns, F.col("property"))
     return joined.select(S.KEY, F.substr(text, F.lit(2), F.length(text) - 2).alias("head"))
 
