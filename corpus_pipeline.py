@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthbook.llm import byte_bpe, decontamination, pii, quality_knn, simhash
+from hearthbook.llm import byte_bpe, decontamination, near_copies, pii, quality_knn
 from hearthbook.llm.common import table, written
 
 
@@ -19,8 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies (SimHash of five words, 3 bits or fewer)."""
-    return simhash.keep_one(docs, words=5)
+    """The smallest doc_id of each group of near copies (0.8 or more of five-word shingles)."""
+    return near_copies.keep_one(docs, words=5, least=0.8)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,24 +24,33 @@ HASH_SEED = 42
 _AT_ONCE = 65_536
 
 
-def simhash(text: str, words: int = 3) -> int:
-    """The signed 64-bit fingerprint: a bit is set where over half of the shingle hashes set it."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The unsigned hash of each shingle, in order; a text of fewer words is one shingle."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, "<u8")
     if len(tokens) < words:
         shingles = [b" ".join(tokens)]
     else:
         shingles = list(map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)))
+    return np.fromiter((xxhash.xxh64_intdigest(s, HASH_SEED) for s in shingles), "<u8", len(shingles))
+
+
+def fold(hashes: np.ndarray) -> int:
+    """The signed 64-bit fingerprint: a bit is set where over half of the shingle hashes set it."""
     set_bits = np.zeros(64, np.int64)
-    for at in range(0, len(shingles), _AT_ONCE):
-        part = shingles[at : at + _AT_ONCE]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, HASH_SEED) for s in part), "<u8", len(part))
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    packed = np.packbits(set_bits * 2 > len(shingles), bitorder="little")
+    for at in range(0, len(hashes), _AT_ONCE):
+        part = hashes[at : at + _AT_ONCE]
+        set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    packed = np.packbits(set_bits * 2 > len(hashes), bitorder="little")
     return int(packed.view("<i8")[0])
 
 
+def simhash(text: str, words: int = 3) -> int:
+    """The fingerprint of a text; zero for a blank one."""
+    return fold(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, seen_as: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp) for each row of docs, repeated rows included.
 
@@ -227,9 +236,13 @@ def keep_one(docs: DataFrame, words: int = 3, max_distance: int = 3, block: int
     text with the smallest hash stays. Any other columns are kept as they are.
     """
     marked = written(fingerprints(docs, words), "simhash-marks")
+    return kept_rows(docs, marked.join(classes_by_root(marked, max_distance, block), "fp"))
+
+
+def kept_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each root in rooted (doc_id, text_hash, root), the smallest id."""
     best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    roots = classes_by_root(marked, max_distance, block)
-    chosen = marked.join(roots, "fp").groupBy("root").agg(F.min(best).alias("best"))
+    chosen = rooted.groupBy("root").agg(F.min(best).alias("best"))
     chosen = chosen.select(
         F.col("best.doc_id").alias("__kept_id"), F.col("best.text_hash").alias("__kept_hash")
     )

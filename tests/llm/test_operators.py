@@ -15,7 +15,7 @@ import xxhash
 
 import corpus_pipeline
 from hearthbook.llm import (
-    byte_bpe, common, components, decontamination, edit_embedding, katz, merkle_fixity, pii, quality_knn, simhash,
+    byte_bpe, common, components, decontamination, edit_embedding, katz, merkle_fixity, near_copies, pii, quality_knn, simhash,
     simple8b, toxicity_mil,
 )
 from hearthbook.llm.queries import QUERIES
@@ -399,6 +399,56 @@ def test_components_of_a_long_path(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def brute_near_copies(texts, least):
+    """By id, the smallest id of those that links of likeness `least` or more bring together."""
+    sets = {i: set(shingles(t, 5, lambda x: x.lower())[0]) or {tuple(shingles(t, 5)[1])} for i, t in texts.items()}
+    low = {}
+    for i in sorted(sets):
+        if i in low:
+            continue
+        queue, low[i] = [i], i
+        while queue:
+            a = sets[queue.pop()]
+            for j, b in sets.items():
+                if j not in low and min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b):
+                    low[j] = i
+                    queue.append(j)
+    return low
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_near_copies_are_those_of_brute_force(spark, block):
+    rng = np.random.default_rng(block)
+    words = [f"w{i}" for i in range(3000)]
+    line = " ".join(rng.choice(words, 40))
+    texts = {}
+    for group in range(30):
+        base = list(rng.choice(words, int(rng.integers(12, 250))))
+        for _ in range(int(rng.integers(1, 10)) if group else 60):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), int(rng.integers(0, max(2, len(copy) // 25)))):
+                copy[at] = str(rng.choice(words))
+            texts[len(texts)] = " ".join(copy) + (f" {line}" if group % 3 == 0 else "")
+    texts |= {1000: "", 1001: " ", 1002: "one two", 1003: "ONE two", 1004: "one two three"}
+    wanted = brute_near_copies(texts, 0.8)
+    prints = {i: simhash.simhash(t, 5) & (1 << 64) - 1 for i, t in texts.items()}
+    assert len(set(wanted.values())) < len(set(brute_components(prints, 3).values()))  # fingerprints alone miss some
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"] for r in near_copies.keep_one(docs, block=block).collect()}
+    assert found == set(wanted.values())
+
+
+def test_pipeline_joins_no_texts_below_the_likeness(spark, edges, nothing):
+    larger = common.table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r["doc_id"]: r["text"] or "" for r in larger.collect()}
+    found = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, larger, "").collect()}
+    assert found == set(brute_near_copies(texts, 0.8).values())
+    kept = near_copies.keep_one(edges)
+    assert kept.where("doc_id = 7").count() == 1 and kept.columns == edges.columns
+    assert sorted(r["doc_id"] for r in kept.where("trim(coalesce(text, '')) IN ('', '\\n')").collect()) == [-5]
+    assert near_copies.keep_one(nothing).count() == 0
+
+
 # ---- the pipeline
 
 
