@@ -3,11 +3,12 @@
 Four base patterns find what is personal data by its form; each match is checked (octets,
 check digit, number of digits). Wider patterns propose further, overlapping spans: numbers
 in any grouping, and addresses with their signs spelt out. Boosted trees then judge every
-proposal from its format and its context. They learn from the checked base spans against
-proposals that no base pattern matches, and don't see what makes a base pattern fire (the
-plus sign, the at sign), so that what looks alike without it can be found. For each kind a
-threshold is calibrated on documents that weren't used for training; proposals above it
-that overlap no base span are added. Base spans always stay.
+proposal from its format and its context. They learn from the checked base spans, and from
+the same spans with their signs masked (no plus sign, the at sign spelt out), against
+proposals that fail a check. Any other proposal has no label: it may be what is looked for,
+however common that is. For each kind a threshold is calibrated on documents that weren't
+used for training; proposals above it that overlap no base span are added. Base spans
+always stay.
 
 Everything is DataFrame operations and Spark's own GBTClassifier; no Python runs in tasks.
 Positions are code points. Java's matcher keeps its place between matches, so `\\G` marks the
@@ -160,8 +161,8 @@ def proposals(found: DataFrame) -> DataFrame:
     """The proposed spans with their features, whether they overlap a base span, and a label.
 
     label 1: the proposal is a checked base span, or holds one and only a sign more; 0: it
-    overlaps none. A proposal that overlaps a base span in another way has no label. Where
-    base spans lie is found by one ordered pass over the spans of a row.
+    overlaps none and fails a check. All others have no label. Where base spans lie is found
+    by one ordered pass over the spans of a row.
     """
     base = F.col("valid") & (F.col("kind") < NUMBER)
     spans = found.where(F.col("kind").isNotNull() & (base | (F.col("kind") >= NUMBER)))
@@ -181,10 +182,51 @@ def proposals(found: DataFrame) -> DataFrame:
         alike(F.col("next_first"), F.col("next_beyond")), F.lit(False)
     )
     return featured(
-        spans.withColumn("overlaps", overlaps)
-        .withColumn("label", F.when(same, 1.0).when(~overlaps, 0.0))
+        spans.withColumn("overlaps", overlaps).withColumn("same", same)
         .drop("base_beyond", "base_first", "next_first", "next_beyond")
-    ).withColumn("fold", F.pmod("text_hash", F.lit(CALIBRATION_FOLDS)))
+    ).withColumn("label", F.when(F.col("same"), 1.0).when(~F.col("overlaps") & fails(), 0.0)).drop("same").withColumn(
+        "fold", F.pmod("text_hash", F.lit(CALIBRATION_FOLDS))
+    )
+
+
+def fails() -> Column:
+    """Whether a featured proposal can't be personal data by its form.
+
+    Numbers: inside a word such as a hex token, 16 to 19 digits without a right check digit,
+    four dotted groups that are no octets, a date. Addresses: misplaced dots or dashes, an
+    ending in mixed case ("home.Then"), or a plain word, "at" and a name with dots, which is
+    prose or a web address.
+    """
+    piece = F.col("piece")
+    number = (
+        (((F.col("letter_before") == 1) & (F.col("label_before") == 0)) | (F.col("letter_after") == 1))
+        | (F.col("digits").between(16, 19) & (F.col("luhn") == 0))
+        | (piece.rlike(r"^[0-9]+(?:\.[0-9]+){3}$") & (F.col("octets") == 0))
+        | piece.rlike(r"^(?:19|20)[0-9]{2}[-./](?:0?[1-9]|1[0-2])[-./](?:0?[1-9]|[12][0-9]|3[01])(?:\x20[0-9]{1,2})?$")
+    )
+    spelt = (
+        piece.rlike(r"^[.]|[.]{2}|^[^@\x20(\[]*[.](?:@|\x20|[(\[])")
+        | piece.rlike(r"(?:@|\x20|[)\].])-|-(?:[.\x20]|[(\[]dot)")
+        | piece.rlike(r"[A-Z][a-z]+$|[a-z][A-Z]+$")
+        | piece.rlike(r"^[a-z]+\x20at\x20[A-Za-z0-9-]+(?:\.[A-Za-z]+)+$")
+    )
+    return F.when(F.col("kind") == NUMBER, number).otherwise(spelt)
+
+
+def masked(proposed: DataFrame) -> DataFrame:
+    """What true proposals look like without the signs of their base pattern, one row for each way."""
+    true = proposed.where("label = 1").drop(*FEATURES)
+    piece = F.col("piece")
+    host = F.substring_index(piece, "@", -1)
+    spelt = [
+        F.concat(F.substring_index(piece, "@", 1), F.lit(at), F.replace(host, F.lit("."), F.lit(dot)))
+        for at, dot in ((" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), (" (at) ", "."))
+    ]
+    ways = F.when((F.col("kind") == SPELT) & F.contains(piece, F.lit("@")), F.array(*spelt)).when(
+        (F.col("kind") == NUMBER) & F.startswith(piece, F.lit("+")), F.array(F.substring(piece, 2, 80))
+    )
+    made = true.withColumn("piece", F.explode(ways))
+    return featured(made).select(*proposed.columns)
 
 
 def kind_of_proposal() -> Column:
@@ -205,7 +247,7 @@ def fit(proposed: DataFrame, rows: int = TRAIN_ROWS) -> GBTClassificationModel |
     sample, the same on every run. Documents of fold 0 are kept for calibration.
     """
     known = proposed.where("label IS NOT NULL AND fold != 0").select(
-        "label", *FEATURES, F.xxhash64("text_hash", "first", "kind").alias("order")
+        "label", *FEATURES, F.xxhash64("text_hash", "first", "kind", "piece").alias("order")
     )
     taken = [known.where(F.col("label") == label).orderBy("order", "first_group").limit(rows) for label in (0.0, 1.0)]
     sample = written(taken[0].unionByName(taken[1]), "pii-sample").orderBy("order", "label").coalesce(1)
@@ -222,7 +264,7 @@ def judged(proposed: DataFrame, model: GBTClassificationModel) -> DataFrame:
 
 
 def thresholds(scored: DataFrame) -> dict[int, float]:
-    """By kind, the lowest chance, 0.5 at least, from which fold 0 is PRECISION true.
+    """By kind, the lowest chance, 0.5 at least, from which the labelled proposals of fold 0 are PRECISION true.
 
     It is read from BINS counts per kind over all of that fold. A kind without a true
     proposal there, or that never gets so precise, has no threshold and nothing is added.
@@ -257,6 +299,7 @@ def spans(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     out = base.where("kind IS NOT NULL").select(*keep, F.lit(True).alias("base"))
     nothing = empty.select(*keep[:4], F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("beyond"), F.lit(True).alias("base"))
     proposed = proposals(found)
+    proposed = proposed.unionByName(masked(proposed))  # these overlap base spans, so they are never added
     model = fit(proposed, train_rows)
     if model is not None:
         scored = judged(proposed, model)

@@ -328,6 +328,38 @@ def test_base_spans_of_odd_texts(spark, nothing):
     assert pii.listed(nothing).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.02, 0.1, 1 / 3])
+def test_signless_spans_are_added_however_common(spark, share):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("aeioulmnrst"), 6))
+    digits = lambda n: "".join(map(str, rng.integers(1, 10, n)))
+    ways = [(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot ")]
+    rows, planted = [], {}
+    for i in range(900):
+        phone = f"1 ({digits(3)}) {digits(3)}-{digits(4)}"
+        text = f"{word()} {word()}, "
+        if i % 4 == 0:
+            text += f"{word()} +{phone} {word()}, {word()}.{digits(2)}@{word()}.{word()}.example, "
+        if i % 4 == 1:
+            card = digits(15)
+            text += f'token = "{digits(3)}c0a{digits(8)}e{digits(9)}fb{digits(3)}" ' + card + str(next(d for d in range(10) if pii_luhn(card + str(d)) != 0)) + " "
+        if rng.random() < share:
+            at, dot = ways[i % 3]
+            mail = f"{word()}.{digits(2)}{at}{word()}{dot}example"
+            for kind, piece in (("phone", phone), ("email", mail)):
+                text += f"{word()}: "
+                planted.setdefault(i, []).append(f"{kind}:{len(text)}:{len(text) + len(piece)}")
+                text += f"{piece}; "
+        rows.append((i, text + word()))
+    found = {r["doc_id"]: r for r in pii.listed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(set(spans) <= set(found[i]["spans"].split(",")) for i, spans in planted.items())
+    assert all(r["n_added"] == len(planted.get(i, [])) for i, r in found.items())
+
+
+def pii_luhn(number):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(number))) % 10
+
+
 def test_redaction_rewrites_only_spans(spark):
     docs = spark.createDataFrame(
         [(1, "🙂 mail a@b.co now", 17, "s"), (2, "nothing", 7, "s"), (None, None, None, "s"), (3, "1.2.3.4 +1 (729) 555-7725", 25, "s")],
