@@ -32,7 +32,6 @@ from hearthbook.llm.ordered import borders, part_of, shuffle_width
 SAMPLES = 128
 PERIOD = 4096
 SEED = 20161
-BANDS = 16
 PARTS_PER_PARTITION = 4
 
 
@@ -145,14 +144,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 # ---- near-duplicates: bands of sampled places, then verification
 
 
-def band_links(prints: DataFrame, least: float = 0.8, bands: int = BANDS, block: int = 1024) -> DataFrame:
+def band_links(prints: DataFrame, least: float = 0.8, bands: int | None = None, block: int = 1024) -> DataFrame:
     """(src, dst): links between different fingerprints that are alike to `least` or more.
 
-    A band is every bands-th sample. Fingerprints that agree on one are compared on all samples,
-    and enough of the links found are kept to hold each band's components together. A band
+    A band is every bands-th sample. There are more bands than samples in which two that are
+    alike may differ (32 bands of 4 samples at 0.8), so these agree on one band at least.
+    Fingerprints that agree on one are compared on all samples, and enough of the links found are kept to hold each band's components together. A band
     value shared by more than `block` fingerprints is dealt out by blocks, a task for each
     pair of blocks, so all of them are compared in bounded memory and none is left out.
     """
+    allowed = int((1 - least) * SAMPLES + 1e-9)
+    bands = bands or band_count(allowed)
     distinct = prints.select("fingerprint").where("fingerprint IS NOT NULL").distinct()
     cut = F.array(*[
         F.xxhash64(*[F.substring("fingerprint", 2 * i + 1, 2) for i in range(b, SAMPLES, bands)]) for b in range(bands)
@@ -167,7 +169,6 @@ def band_links(prints: DataFrame, least: float = 0.8, bands: int = BANDS, block:
     )
     keys = ["band", "value", "one", "two"]
     wanted = pa.schema([("src", pa.string()), ("dst", pa.string())])
-    allowed = int((1 - least) * SAMPLES + 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
@@ -182,6 +183,11 @@ def band_links(prints: DataFrame, least: float = 0.8, bands: int = BANDS, block:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src string, dst string").distinct()
 
 
+def band_count(allowed: int) -> int:
+    """The fewest bands of equal size that `allowed` differing samples can't all break."""
+    return next(n for n in range(allowed + 1, SAMPLES + 1) if SAMPLES % n == 0)
+
+
 def _forest(members: list[str], allowed: int) -> tuple[list[str], list[str]]:
     if len(members) < 2:
         return [], []

@@ -164,6 +164,28 @@ def test_edit_embedding_survives_insertions_and_links_classes(spark):
     assert len(set(classes.values())) >= 8
 
 
+@pytest.mark.parametrize("block", [8, 1024])
+def test_band_links_miss_no_pair(spark, block):
+    rng = np.random.default_rng(block)
+    marks = []
+    for _ in range(40):
+        one = rng.integers(0, 256, edit_embedding.SAMPLES, np.uint8)
+        # 25 differing samples, spread over all residues of 16; then one too many
+        places = rng.permutation(16) + 16 * rng.integers(0, 8, 16)
+        places = np.append(places, rng.permutation(np.setdiff1d(np.arange(edit_embedding.SAMPLES), places))[:10])
+        near, far = one.copy(), one.copy()
+        near[places[:25]] += 1
+        far[places] += 1
+        marks += [one, near] if rng.random() < 0.5 else [one, far]
+    prints = {i: m.tobytes() for i, m in enumerate(marks)}
+    frame = spark.createDataFrame([(p.hex(),) for p in prints.values()], "fingerprint string")
+    links = edit_embedding.band_links(frame, 0.8, block=block).collect()
+    found = {frozenset((r["src"], r["dst"])) for r in links}
+    assert found == {frozenset((a.hex(), b.hex())) for i, a in prints.items() for j, b in prints.items()
+                     if i < j and edit_embedding.likeness(a, b) >= 0.8}
+    assert 0 < len(found) < 40
+
+
 # ---- 4 and 5
 
 
