@@ -107,23 +107,23 @@ def by_fingerprint(marked: DataFrame, max_distance: int) -> DataFrame:
     return same.union(near)
 
 
-def shared_prefixes(sets: DataFrame) -> DataFrame:
+def shared_prefixes(sets: DataFrame, least: float) -> DataFrame:
     """(shingle, n, set_id, place, before): prefix shingles that more than one set has.
 
     Rows are range-sorted by (shingle, n, set_id), so a frequent shingle is spread over tasks;
-    before is the set ahead under the same shingle. Rows at the ends of a task are all kept,
+    before is the set ahead under the same shingle, if sizes and places allow them to be alike. Rows at the ends of a task are all kept,
     as the rest of their group may be in the next one.
     """
     rows = sets.select("n", "set_id", F.posexplode("prefix").alias("place", "shingle")).select("shingle", "n", "set_id", "place")
     names = ("shingle", "n", "set_id", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((6, 0), np.int64)  # the last row: its columns, whether it follows its like, and the set before
+        held = np.empty((7, 0), np.int64)  # the last row: its columns, whether it follows its like, the set before, and whether to compare them
 
         def out(done: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
             kept = done[:, keep]
             columns = [pa.array(c, pa.int64()) for c in kept[:4]]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(kept[5], pa.int64(), mask=kept[4] == 0)], names=[*names, "before"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array(kept[5], pa.int64(), mask=kept[6] == 0)], names=[*names, "before"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -133,7 +133,10 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
             alike = both[0, 1:] == both[0, :-1]
             follows = np.concatenate([held[4] if held.shape[1] else [0], alike]).astype(np.int64)
             ahead = np.concatenate([held[5] if held.shape[1] else [0], both[2, :-1]])
-            done = np.vstack([both, follows, ahead])
+            left = both[1] - both[3]
+            near = alike & (np.minimum(left[1:], left[:-1]) >= (both[1, 1:] + both[1, :-1]) * (least / (1 + least)) - 1e-6)
+            compare = np.concatenate([held[6] if held.shape[1] else [0], near]).astype(np.int64)
+            done = np.vstack([both, follows, ahead, compare])
             keep = (follows[:-1] == 1) | alike
             if not held.shape[1] and len(keep):
                 keep[0] = True
@@ -241,7 +244,7 @@ def verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, words: int, l
 def classes_by_root(docs: DataFrame, marked: DataFrame, words: int, least: float, max_distance: int, block: int) -> DataFrame:
     """(set_id, root): each shingle set and the one that stands for its component."""
     sets = marked.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    shared = written(shared_prefixes(sets), "near-copies-shared")
+    shared = written(shared_prefixes(sets, least), "near-copies-shared")
     beside = shared.where("before IS NOT NULL").select(F.col("before").alias("src"), F.col("set_id").alias("dst"))
     sure = written(verified(by_fingerprint(marked, max_distance).union(beside), docs, marked, words, least), "near-copies-links")
     stars = components(sure).select(F.col("node").alias("set_id"), "root")
