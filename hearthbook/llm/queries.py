@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hearthbook.llm import (
-    byte_bpe, decontamination, edit_embedding, katz, merkle_fixity, pii, prefix_trie, quality_knn, simhash, simple8b, toxicity_mil,
+    byte_bpe, decontamination, edit_embedding, katz, merkle_fixity, pii, prefix_trie, quality_knn, simhash, simple8b, toxicity_mil, whitening,
 )
 from hearthbook.llm.common import table
 
@@ -58,11 +58,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("enter", "leave")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_merkle_fixity, op2_byte_bpe, op3_edit_embedding, op4_toxicity_mil, op5_quality_knn,
         op6_decontamination, op7_katz, op8_pii, op9_simple8b, op10_simhash,
-        op11_prefix_trie,
+        op11_prefix_trie, op12_whitening,
     )
 }
