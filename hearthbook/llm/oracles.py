@@ -81,4 +81,29 @@ SELECT conv_id, o.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_to
 FROM open o JOIN below b ON b.prefix = o.prefix AND b.depth = o.depth
 """
 
-ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op11_prefix_trie": OP11}
+OP13 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x != '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS one, b.doc_id AS two, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id != b.doc_id GROUP BY ALL
+), links AS (
+  SELECT one, two FROM shared JOIN sizes x ON x.doc_id = one JOIN sizes y ON y.doc_id = two
+  WHERE 100 * common >= 80 * (x.n + y.n - common)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM words
+  UNION
+  SELECT r.doc_id, l.two FROM reach r JOIN links l ON l.one = r.other
+)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op6_decontamination": OP6, "op11_prefix_trie": OP11, "op13_jaccard_groups": OP13}

@@ -103,7 +103,7 @@ def nodes_of(parts: DataFrame) -> DataFrame:
         F.col("depth").alias("up"), F.col("at1").alias("up1"), F.col("at2").alias("up2"),
         F.col("id").alias("parent"), F.col("conv_id").alias("parent_conv_id"),
     )
-    root = ranked.where("depth = 0").select(F.lit(0).cast("long").alias("up"), F.col("conv_id").alias("root_conv_id"))
+    root = ranked.where("depth < 1").select(F.col("depth").alias("up"), F.col("conv_id").alias("root_conv_id"))
     joined = below.join(above, ["up", "up1", "up2"], "left").join(F.broadcast(root), "up", "left")  # one row
     return joined.select(
         "id", "conv_id", "depth", F.when(F.col("up") == 0, 0).otherwise(F.col("parent")).alias("parent"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hearthbook.llm import (
-    byte_bpe, decontamination, edit_embedding, katz, merkle_fixity, pii, prefix_trie, quality_knn, simhash, simple8b, toxicity_mil, whitening,
+    byte_bpe, decontamination, edit_embedding, jaccard_groups, katz, merkle_fixity, pii, prefix_trie, quality_knn, simhash, simple8b, toxicity_mil, whitening,
 )
 from hearthbook.llm.common import table
 
@@ -62,11 +62,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op13_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_merkle_fixity, op2_byte_bpe, op3_edit_embedding, op4_toxicity_mil, op5_quality_knn,
         op6_decontamination, op7_katz, op8_pii, op9_simple8b, op10_simhash,
-        op11_prefix_trie, op12_whitening,
+        op11_prefix_trie, op12_whitening, op13_jaccard_groups,
     )
 }
