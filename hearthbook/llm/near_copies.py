@@ -1,265 +1,43 @@
 """Groups of near copies: texts linked by the exact Jaccard likeness of their shingle sets.
 
-SimHash alone doesn't settle this: texts of likeness 0.8 may differ in over ten bits, and
-texts within three bits may be less alike. So fingerprints only propose the first pairs, and
-every link is verified on the shingles.
-
-What fingerprints miss is found by a prefix join. All shingles are put in one order, rare
-ones first; of a set of n shingles the first n - ceil(least * n) + 1 are its prefix, and two
-sets alike to `least` share a shingle of their prefixes. Any order gives the same pairs; a
-sample of the texts says which shingles are frequent, so that those come last.
-
-A large group of near copies shares its shingles, and its pairs grow with its square. So
-links are made in two rounds: first each set is compared with its neighbour in size under
-each shingle; then only sets that the verified links have not yet brought together.
-
-Sets are compared as 64-bit hashes of their shingles. Texts of the same set are one node.
+SimHash alone doesn't settle this: texts of likeness 0.8 may differ in over ten bits, and texts
+within three bits may be less alike. So fingerprints only propose pairs, every link is verified on
+the shingles, and what fingerprints miss is found by the groups of jaccard_groups.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from hearthbook.llm import simhash
-from hearthbook.llm.common import map_batches, text_of, texts, written
-from hearthbook.llm.components import components
-
-#: One text in SAMPLE is read for frequent shingles; those in OFTEN of them or more come last, FREQUENT at most.
-SAMPLE, OFTEN, FREQUENT = 32, 4, 50_000
-#: Sets under one shingle that one task compares at once; more are split.
-BLOCK = 1024
-_PAIRS_AT_ONCE = 65_536
-
-
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The different shingle hashes, ascending. A text of fewer words is one shingle, a blank one none."""
-    return np.unique(simhash.shingle_hashes(text, words)).view(np.int64)
-
-
-def prefix_length(n: int, least: float) -> int:
-    return n - math.ceil(round(n * least, 9)) + 1 if n else 0
-
-
-def frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles that many of the sampled texts hold, the most frequent last."""
-    def per_batch(batch: pa.RecordBatch) -> dict:
-        sets = [shingle_set(t, words) for t in texts(batch)]
-        return {"shingle": pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64), pa.int64())}
-
-    some = docs.select(text_of().alias("text")).where(F.pmod(F.xxhash64("text", F.lit(SAMPLE)), F.lit(SAMPLE)) == 0)
-    counts = map_batches(some, per_batch, "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN)
-    rows = counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
-    return np.array([r["shingle"] for r in reversed(rows)], np.int64)
-
-
-def marks(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(doc_id, text_hash, fp, set_id, n, prefix), a row for each row of docs.
-
-    set_id stands for the text's shingle set of n; blank texts have the empty one.
-    """
-    ranked = frequent(docs, words)
-    order = np.argsort(ranked)
-    values = ranked[order]
-
-    def prefix(found: np.ndarray) -> np.ndarray:
-        rank = np.zeros(len(found), np.int64)
-        if len(values):
-            at = np.minimum(np.searchsorted(values, found), len(values) - 1)
-            rank = np.where(values[at] == found, order[at] + 1, 0)
-        return found[np.lexsort((found, rank))[: prefix_length(len(found), least)]]
-
-    def per_batch(batch: pa.RecordBatch) -> dict:
-        out: dict = {k: [] for k in ("fp", "set_id", "n", "prefix")}
-        for text in texts(batch):
-            hashes = simhash.shingle_hashes(text, words)
-            found = np.unique(hashes).view(np.int64)
-            out["fp"].append(simhash.fold(hashes))
-            out["set_id"].append(set_id(found))
-            out["n"].append(len(found))
-            out["prefix"].append(prefix(found))
-        return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), **out}
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
-    schema = "doc_id long, text_hash long, fp long, set_id long, n int, prefix array<long>"
-    return map_batches(rows, per_batch, schema, rows=1024)
-
-
-def set_id(found: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), simhash.HASH_SEED)).astype(np.int64))
+from hearthbook.llm import jaccard_groups, simhash
+from hearthbook.llm.common import written
 
 
 def by_fingerprint(marked: DataFrame, max_distance: int) -> DataFrame:
     """(src, dst): sets of equal or near fingerprints, as pairs to be verified."""
-    first = marked.groupBy("fp").agg(F.min("set_id").alias("first_set"))
-    same = marked.select("fp", "set_id").distinct().join(first, "fp").select(F.col("set_id").alias("src"), F.col("first_set").alias("dst"))
+    full = marked.where("n > 0")
+    first = full.groupBy("fp").agg(F.min("set_id").alias("first_set"))
+    same = full.select("fp", "set_id").distinct().join(first, "fp").select(F.col("set_id").alias("src"), F.col("first_set").alias("dst"))
     near = (
-        simhash.links(marked, max_distance)
+        simhash.links(full, max_distance)
         .join(first.select(F.col("fp").alias("src"), F.col("first_set").alias("a")), "src")
         .join(first.select(F.col("fp").alias("dst"), F.col("first_set").alias("b")), "dst")
         .select(F.col("a").alias("src"), F.col("b").alias("dst"))
     )
-    return same.union(near)
-
-
-def shared_prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(shingle, n, set_id, place, before): prefix shingles that more than one set has.
-
-    Rows are range-sorted by (shingle, n, set_id), so a frequent shingle is spread over tasks;
-    before is the set ahead under the same shingle, if sizes and places allow them to be alike. Rows at the ends of a task are all kept,
-    as the rest of their group may be in the next one.
-    """
-    rows = sets.select("n", "set_id", F.posexplode("prefix").alias("place", "shingle")).select("shingle", "n", "set_id", "place")
-    names = ("shingle", "n", "set_id", "place")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((7, 0), np.int64)  # the last row: its columns, whether it follows its like, the set before, and whether to compare them
-
-        def out(done: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
-            kept = done[:, keep]
-            columns = [pa.array(c, pa.int64()) for c in kept[:4]]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(kept[5], pa.int64(), mask=kept[6] == 0)], names=[*names, "before"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
-            both = np.concatenate([held[:4], new], axis=1)
-            alike = both[0, 1:] == both[0, :-1]
-            follows = np.concatenate([held[4] if held.shape[1] else [0], alike]).astype(np.int64)
-            ahead = np.concatenate([held[5] if held.shape[1] else [0], both[2, :-1]])
-            left = both[1] - both[3]
-            near = alike & (np.minimum(left[1:], left[:-1]) >= (both[1, 1:] + both[1, :-1]) * (least / (1 + least)) - 1e-6)
-            compare = np.concatenate([held[6] if held.shape[1] else [0], near]).astype(np.int64)
-            done = np.vstack([both, follows, ahead, compare])
-            keep = (follows[:-1] == 1) | alike
-            if not held.shape[1] and len(keep):
-                keep[0] = True
-            yield out(done[:, :-1], keep)
-            held = done[:, -1:]
-        if held.shape[1]:
-            yield out(held, np.array([True]))
-
-    return (
-        rows.repartitionByRange(*[F.col(c) for c in names[:3]]).sortWithinPartitions(*names[:3])
-        .mapInArrow(run, "shingle long, n long, set_id long, place long, before long")
-    )
-
-
-def between_groups(shared: DataFrame, roots: DataFrame, least: float, block: int) -> DataFrame:
-    """(src, dst): pairs under one shingle of different roots that sizes and places allow to be alike.
-
-    A shingle of over `block` sets is dealt out by blocks, a task for each pair of blocks.
-    """
-    rooted = shared.join(roots, "set_id", "left").select("shingle", "n", "set_id", "place", F.coalesce("root", "set_id").alias("root"))
-    rooted = written(rooted, "near-copies-rooted")
-    open_ones = rooted.groupBy("shingle").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / block).alias("blocks")
-    ).where("low != high").select("shingle", "blocks")
-    dealt = (
-        rooted.join(open_ones, "shingle")
-        .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
-        .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-        .select("shingle", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "n", "set_id", "place", "root")
-    )
-    keys = ["shingle", "one", "two"]
-    names = [*keys, "n", "set_id", "place", "root"]
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-
-    def pairs(group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, ids, place, root = group[3:]
-        src, dst, held = [], [], 0
-        for i in range(len(ids) - 1):
-            both = n[i] + n[i + 1 :]
-            most = np.minimum(n[i] - place[i], n[i + 1 :] - place[i + 1 :])
-            near = np.flatnonzero((root[i + 1 :] != root[i]) & (most >= both * (least / (1 + least)) - 1e-6)) + i + 1
-            src.append(np.full(len(near), ids[i]))
-            dst.append(ids[near])
-            held += len(near)
-            if held >= _PAIRS_AT_ONCE:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (src, dst)], schema=schema)
-                src, dst, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (src, dst)], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((7, 0), np.int64)
-        for batch in batches:
-            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
-            rows = np.concatenate([held, new], axis=1)
-            cuts = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1
-            at = 0
-            for cut in cuts.tolist():
-                yield from pairs(rows[:, at:cut])
-                at = cut
-            held = rows[:, at:]
-        yield from pairs(held)
-
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, marked: DataFrame, words: int, least: float) -> DataFrame:
-    """(src, dst): the pairs whose shingle sets are alike to `least`, each once."""
-    size = marked.groupBy("set_id").agg(F.first("n").alias("n"), F.min("text_hash").alias("text_hash"))
-    pairs = pairs.where("src != dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    pairs = (
-        pairs.join(size.select(F.col("set_id").alias("src"), F.col("n").alias("n_src")), "src")
-        .join(size.select(F.col("set_id").alias("dst"), F.col("n").alias("n_dst")), "dst")
-        .where(F.least("n_src", "n_dst") >= F.greatest("n_src", "n_dst") * least - 1e-6)
-    )
-    pairs = written(pairs.select("src", "dst"), "near-copies-pairs")
-    named = pairs.select(F.col("src").alias("set_id")).union(pairs.select("dst")).distinct().join(size, "set_id").select("text_hash")
-
-    def per_batch(batch: pa.RecordBatch) -> dict:
-        sets = [shingle_set(t, words) for t in texts(batch)]
-        return {"set_id": [set_id(s) for s in sets], "shingles": sets}
-
-    rows = docs.select(text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash")).join(named, "text_hash", "left_semi")
-    rows = rows.dropDuplicates(["text_hash"]).select("text")
-    sets = written(map_batches(rows, per_batch, "set_id long, shingles array<long>", rows=1024), "near-copies-sets")
-    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= least * (len(a) + len(b) - both) - 1e-6)
-            kept = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("src", "dst")], schema=schema)
-
-    return (
-        pairs.join(sets.select(F.col("set_id").alias("src"), F.col("shingles").alias("a")), "src")
-        .join(sets.select(F.col("set_id").alias("dst"), F.col("shingles").alias("b")), "dst")
-        .select("src", "dst", "a", "b").mapInArrow(compare, "src long, dst long")
-    )
-
-
-def classes_by_root(docs: DataFrame, marked: DataFrame, words: int, least: float, max_distance: int, block: int) -> DataFrame:
-    """(set_id, root): each shingle set and the one that stands for its component."""
-    sets = marked.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    shared = written(shared_prefixes(sets, least), "near-copies-shared")
-    beside = shared.where("before IS NOT NULL").select(F.col("before").alias("src"), F.col("set_id").alias("dst"))
-    sure = written(verified(by_fingerprint(marked, max_distance).union(beside), docs, marked, words, least), "near-copies-links")
-    stars = components(sure).select(F.col("node").alias("set_id"), "root")
-    rest = written(verified(between_groups(shared, stars, least, block), docs, marked, words, least), "near-copies-links")
-    stars = components(sure.union(rest)).select(F.col("node").alias("set_id"), "root")
-    return marked.select("set_id").distinct().join(stars, "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
+    return same.union(near).where("src != dst")
 
 
-def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, max_distance: int = 3, block: int = BLOCK) -> DataFrame:
+def keep_one(
+    docs: DataFrame, words: int = 5, least: float = 0.8, max_distance: int = 3, block: int = jaccard_groups.MEMBERS
+) -> DataFrame:
     """docs without all but one document of each group of near copies: the smallest doc_id stays.
 
     Two texts are linked where their sets of `words`-word shingles have a Jaccard likeness of
     `least` or more, and a group is a component of links. Blank texts are one group. Rows of
-    the same doc_id and text count as one; what stays is chosen as in simhash.keep_one.
+    the same doc_id and text count as one; what stays is chosen as in simhash.keep_one. block is
+    how many sets a group of the join holds.
     """
-    marked = written(marks(docs, words, least), "near-copies-marks")
-    roots = classes_by_root(docs, marked, words, least, max_distance, block)
-    return simhash.kept_rows(docs, marked.select("doc_id", "text_hash", "set_id").join(roots, "set_id"))
+    marked = written(jaccard_groups.marks(docs, words, least, simhash.fold), "near-copies-marks")
+    roots = jaccard_groups.roots_of(marked, docs, words, least, by_fingerprint(marked, max_distance), members=block)
+    rooted = marked.select("doc_id", "text_hash", "set_id").join(roots, "set_id", "left")
+    return simhash.kept_rows(docs, rooted.withColumn("root", F.coalesce("root", "set_id")))

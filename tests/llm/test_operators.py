@@ -516,8 +516,7 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
         kept[name] = {r["doc_id"]: r["text"] for r in now.collect()}
     quality, near, clean, redacted = kept.values()
     assert set(redacted) == set(clean) <= set(near) <= set(quality) < set(_texts(spark))
-    prints = {i: simhash.simhash(t, 5) & (1 << 64) - 1 for i, t in sorted(quality.items())}
-    assert set(near) == set(brute_components(prints, 3).values())
+    assert set(near) == set(brute_near_copies(quality, 0.8).values())
     items = {r["item_id"]: r["text"] for r in common.table(spark, SF, "benchmark").collect()}
     assert set(clean) == set(near) - {d for d, _ in brute_items(near, items)}
     for i, text in clean.items():
