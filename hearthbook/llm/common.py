@@ -66,7 +66,17 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = new_path(spark, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    found = spark.read.schema(frame.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing will be computed from them any more."""
+    for frame in frames:
+        jvm, session = frame.sparkSession._jvm, frame.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(frame._written_to)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def map_batches(frame: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str | StructType, rows: int | None = None) -> DataFrame:

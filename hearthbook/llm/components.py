@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from hearthbook.llm.common import written
+from hearthbook.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
     links = written(links, "links")
     before = _digest(links)
     while True:
-        links = written(_small_star(_large_star(links)), "links")
+        last, links = links, written(_small_star(_large_star(links)), "links")
+        discard(last)
         now = _digest(links)
         if now == before:
             return links

@@ -7,14 +7,17 @@ them from there on. A set is a query against every group; what the matrix says b
 shingles that it can share with any set of the group, and only where that reaches the threshold is the group opened
 and the set compared with all its members, exactly.
 
-The bound: of a set of n shingles the first n - ceil(least * n) + 1 are its prefix, two sets alike to
-`least` share a shingle of their prefixes, and from the first one they share, at place i of one and j
-of the other, at most min(n - i, m - j) can be common. Alike sets have least / (1 + least) * (n + m)
-in common. Any order of shingles gives the same links; which shingles are frequent is estimated from
-a sample, so that those come last.
+Shingles have one order: rare ones by their hash, then frequent ones, the most frequent last. Of a set
+of n shingles the first n - ceil(least * n) + 1 are its prefix, and two sets alike to `least`
+share a shingle of their prefixes. Below a hash that no prefix ends before, all rare shingles of
+either set are in its prefix; so what two sets have in common is at most the rare shingles that
+their prefixes share, and all that either one has beyond that hash. For sets whose prefixes share
+frequent shingles only, the first of these bounds the rest: from place i on a set of n has n - i. Alike sets have
+least / (1 + least) * (n + m) in common, and groups that can't reach it stay closed. Which
+shingles are frequent is estimated from a sample; any order gives the same links.
 
 A dense cluster of k sets in g groups would open k * g groups, though k - 1 links join it. So groups are
-opened in two rounds: first each set opens its own group, and that of the set next to it under each of its
+opened in two rounds: first each set opens the group of the set that is next to it under most of its
 shingles; then only groups with sets that the links found have not yet brought to the query's component.
 
 Sets are compared as 64-bit hashes of their shingles, and only texts whose group is opened, or that
@@ -32,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from hearthbook.llm.common import map_batches, text_of, texts, written
+from hearthbook.llm.common import discard, map_batches, text_of, texts, written
 from hearthbook.llm.components import components
 
 #: One text in SAMPLE is read for frequent shingles; those in OFTEN of them or more come last, FREQUENT at most.
@@ -41,6 +44,8 @@ SAMPLE, OFTEN, FREQUENT = 32, 4, 50_000
 MEMBERS, TOKENS = 128, 1_000_000
 #: Queries that one task compares with a group; for more, the group is given to several tasks.
 QUERIES = 4096
+#: Steps of the hash up to which a set counts its rare shingles.
+CELLS = 128
 #: Keys that are broadcast to choose texts; beyond that many the texts are shuffled.
 BROADCAST_KEYS = 500_000
 SEED = 42
@@ -110,91 +115,108 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def marks(docs: DataFrame, words: int, least: float, fingerprint=None) -> DataFrame:
-    """(doc_id, text_hash, fp, set_id, n, prefix), a row for each row of docs.
+    """(doc_id, text_hash, fp, set_id, n, prefix, rare, below), a row for each row of docs.
 
-    set_id stands for the text's shingle set of n; prefix has its rarest shingles in order. fp is
-    fingerprint(hashes), or null without one.
+    set_id stands for the text's shingle set of n; prefix has its first shingles in order, of which so many
+    are rare. below[k] counts its rare shingles in the first k of CELLS steps of the hash, as far as all of them are in the prefix.
+    fp is fingerprint(hashes), or null without one.
     """
     ranked = frequent(docs, words)
     order = np.argsort(ranked)
     values = ranked[order]
     share = share_of(least)
     shingler = Shingler(words)
+    steps = np.array([-(1 << 63) + k * (1 << 64) // CELLS for k in range(CELLS)], np.int64)  # where each step begins
 
-    def prefix(found: np.ndarray) -> np.ndarray:
-        rank = np.zeros(len(found), np.int64)
+    def prefix(found: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+        found = np.sort(found)
+        often = np.zeros(len(found), bool)
         if len(values):
             at = np.minimum(np.searchsorted(values, found), len(values) - 1)
-            rank = np.where(values[at] == found, order[at] + 1, 0)
-        return found[np.lexsort((found, rank))[: prefix_length(len(found), share)]]
+            often = values[at] == found
+        size = prefix_length(len(found), share)
+        rare = found[~often]
+        if len(rare) >= size:
+            known = rare[:size]
+            ended = int(np.searchsorted(steps, known[-1], "right")) - 1 if size else 0  # the last step may go on
+            return known, size, np.searchsorted(known, steps[: ended + 1], "left")
+        rest = found[often]
+        rest = rest[np.argsort(order[at[often]], kind="stable")][: size - len(rare)]
+        return np.concatenate([rare, rest]), len(rare), np.append(np.searchsorted(rare, steps, "left"), len(rare))
 
     def per_batch(batch: pa.RecordBatch) -> dict:
-        out: dict = {k: [] for k in ("fp", "set_id", "n", "prefix")}
+        out: dict = {k: [] for k in ("fp", "set_id", "n", "prefix", "rare", "below")}
         for text in texts(batch):
             hashes = shingler.hashes(text)
             found = np.unique(hashes).view(np.int64)
             out["fp"].append(fingerprint(hashes) if fingerprint else None)
             out["set_id"].append(set_id(found))
             out["n"].append(len(found))
-            out["prefix"].append(prefix(found))
+            for name, value in zip(("prefix", "rare", "below"), prefix(found), strict=True):
+                out[name].append(value)
         return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), **out}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
-    return map_batches(rows, per_batch, "doc_id long, text_hash long, fp long, set_id long, n int, prefix array<long>", rows=1024)
+    schema = "doc_id long, text_hash long, fp long, set_id long, n int, prefix array<long>, rare int, below array<int>"
+    return map_batches(rows, per_batch, schema, rows=1024)
 
 
 def grouped(marked: DataFrame, members: int = MEMBERS, tokens: int = TOKENS) -> DataFrame:
-    """(set_id, n, text_hash, prefix, group): each different set that isn't empty, once.
+    """(set_id, n, text_hash, prefix, rare, below, group): each different set that isn't empty, once.
 
     Sets of one first shingle make a group; where there are more than `members` of them, or more
     than `tokens` shingles in all, they are dealt over as many groups as keep within that.
     """
     sets = written(
         marked.where("n > 0").groupBy("set_id").agg(
-            F.first("n").cast("long").alias("n"), F.min("text_hash").alias("text_hash"), F.first("prefix").alias("prefix")
+            F.first("n").cast("long").alias("n"), F.min("text_hash").alias("text_hash"),
+            *[F.first(c).alias(c) for c in ("prefix", "rare", "below")],
         ).withColumn("lead", F.element_at("prefix", 1)),
         "groups-sets",
     )
     large = sets.groupBy("lead").agg(
         F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / tokens)).cast("long").alias("cuts")
     ).where("cuts > 1")
-    return sets.join(large, "lead", "left").select(
-        "set_id", "n", "text_hash", "prefix",
-        F.xxhash64("lead", F.pmod(F.xxhash64("set_id"), F.coalesce("cuts", F.lit(1)))).alias("group"),
+    found = written(
+        sets.join(large, "lead", "left").select(
+            "set_id", "n", "text_hash", "prefix", "rare", "below",
+            F.xxhash64("lead", F.pmod(F.xxhash64("set_id"), F.coalesce("cuts", F.lit(1)))).alias("group"),
+        ),
+        "groups-members",
     )
+    discard(sets)
+    return found
 
 
-def shared_tokens(sets: DataFrame, least: float) -> DataFrame:
-    """(shingle, n, set_id, group, place, before): prefix shingles that more than one set has.
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """(shingle, n, set_id, group, place, often, before, before_n): prefix shingles that more than one set has.
 
     Rows are range-sorted by (shingle, n, set_id), so a frequent shingle is spread over tasks. before
-    is the group of the set ahead under the same shingle, where it is another group and sizes and
-    places allow the two sets to be alike. Rows at the ends of a task are kept, as their like may be in the next.
+    is the set ahead under the same shingle. Rows at the ends of a task are kept, as their like may be in the next.
     """
-    names = ("shingle", "n", "set_id", "group", "place")
-    rows = sets.select("n", "set_id", "group", F.posexplode("prefix").alias("place", "shingle")).select(*names)
-    share = float(share_of(least) / (1 + share_of(least)))
+    names = ("shingle", "n", "set_id", "group", "place", "often")
+    rows = sets.select("n", "set_id", "group", "rare", F.posexplode("prefix").alias("place", "shingle")).select(
+        "shingle", "n", "set_id", "group", "place", (F.col("place") >= F.col("rare")).cast("int").alias("often")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((8, 0), np.int64)  # the last row: its columns, whether it follows its like, the group before it, and whether to open that
+        held = np.empty((9, 0), np.int64)  # the last row: its columns, whether it follows its like, the set before it, and that one's size
 
         def out(done: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
             kept = done[:, keep]
-            columns = [pa.array(c, pa.int64()) for c in kept[:5]]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(kept[6], pa.int64(), mask=kept[7] == 0)], names=[*names, "before"])
+            first = kept[6] == 0
+            columns = [*(pa.array(c, pa.int64()) for c in kept[:6]), *(pa.array(c, pa.int64(), mask=first) for c in kept[7:])]
+            return pa.RecordBatch.from_arrays(columns, names=[*names, "before", "before_n"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
-            both = np.concatenate([held[:5], new], axis=1)
+            both = np.concatenate([held[:6], new], axis=1)
             alike = both[0, 1:] == both[0, :-1]
-            left = both[1] - both[4]
-            may = np.minimum(left[1:], left[:-1]) >= (both[1, 1:] + both[1, :-1]) * share - 1e-6
-            beside = alike & may & (both[3, 1:] != both[3, :-1])
-            tail = [np.concatenate([held[i] if held.shape[1] else [0], x]).astype(np.int64) for i, x in ((5, alike), (6, both[3, :-1]), (7, beside))]
+            tail = [np.concatenate([held[i] if held.shape[1] else [0], x]).astype(np.int64) for i, x in ((6, alike), (7, both[2, :-1]), (8, both[1, :-1]))]
             done = np.vstack([both, *tail])
-            keep = (done[5, :-1] == 1) | alike
+            keep = (done[6, :-1] == 1) | alike
             if not held.shape[1] and len(keep):
                 keep[0] = True
             if len(keep):
@@ -205,37 +227,58 @@ def shared_tokens(sets: DataFrame, least: float) -> DataFrame:
 
     return (
         rows.repartitionByRange(*names[:3]).sortWithinPartitions(*names[:3])
-        .mapInArrow(run, "shingle long, n long, set_id long, group long, place long, before long")
+        .mapInArrow(run, "shingle long, n long, set_id long, group long, place long, often long, before long, before_n long")
+    )
+
+
+def neighbours(shared: DataFrame, least: float) -> DataFrame:
+    """(set_id, dst): of each set, the one that is ahead of it under most shingles, if these are about as many as alike sets share.
+
+    Only a first choice: what it leaves out is found by qualifying().
+    """
+    share = share_of(least)
+    pairs = shared.where("before IS NOT NULL").groupBy("set_id", F.col("before").alias("dst")).agg(
+        F.count("*").alias("c"), F.first("n").alias("n"), F.first("before_n").alias("m")
     )
+    beyond = F.least(*[F.ceil(F.col(x) * float(share) - 1e-9) - 1 for x in ("n", "m")])
+    need = (F.col("n") + F.col("m")) * float(share / (1 + share)) - beyond
+    return pairs.where(F.col("c") * 2 >= need).groupBy("set_id").agg(F.max(F.struct("c", "dst")).alias("best")).select("set_id", "best.dst")
 
 
-def qualifying(shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+def qualifying(shared: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(set_id, group): groups that a set has to open after the first round, each once.
 
     The token-group matrix has a row for each shingle, group and component in it. Of two groups the
     one with the larger id is asked for by the other's sets only, as a link is found from either side.
     """
-    rooted = written(
-        shared.join(roots, "set_id", "left").select("shingle", "n", "set_id", "group", "place", F.coalesce("root", "set_id").alias("root")),
-        "groups-rooted",
+    rooted = shared.join(roots, "set_id", "left").select(
+        "shingle", "n", "set_id", "group", "place", "often", F.coalesce("root", "set_id").alias("root")
     )
-    open_ones = rooted.groupBy("shingle").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.min("group").alias("one"), F.max("group").alias("two")
-    ).where("low != high AND one != two").select("shingle")
+    open_ones = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
     rooted = written(rooted.join(open_ones, "shingle", "left_semi"), "groups-open")
     matrix = rooted.groupBy("shingle", F.col("group").alias("with_group"), F.col("root").alias("with_root")).agg(
         F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("place")).alias("rest")
     )
     share = share_of(least)
     up, down = int(share.numerator), int(share.denominator)
-    # the smallest set of the group that can be alike to the query at all
-    other = F.greatest(F.col("least_n").cast("double"), F.ceil(F.col("n") * up / down - 1e-9).cast("double"))
-    common = (F.col("n") + other) * float(share / (1 + share))
-    return rooted.join(matrix, "shingle").where(
-        (F.col("group") < F.col("with_group")) & (F.col("root") != F.col("with_root"))
+    half = float(share / (1 + share))
+    # what the query and the smallest set of the group that can be alike to it at all must have in common
+    common = (F.col("n") + F.greatest(F.col("least_n").cast("double"), F.ceil(F.col("n") * up / down - 1e-9).cast("double"))) * half - 1e-6
+    met = rooted.join(matrix, "shingle").where(
+        (F.col("group") <= F.col("with_group")) & (F.col("root") != F.col("with_root"))
         & (F.col("most_n") * down >= F.col("n") * up) & (F.col("n") * down >= F.col("least_n") * up)
-        & (F.least(F.col("n") - F.col("place"), F.col("rest")) >= common - 1e-6)
-    ).select("set_id", F.col("with_group").alias("group")).distinct()
+        & ((F.col("often") == 0) | (F.least(F.col("n") - F.col("place"), F.col("rest")) >= common))
+    )
+    counted = met.groupBy("set_id", "with_group", "with_root").agg(
+        F.count(F.when(F.col("often") == 0, 1)).alias("c"), F.max("often").alias("often"), F.min("least_n").alias("least_n")
+    )
+    sizes = sets.select("set_id", "n", "below")
+    reach = sets.groupBy(F.col("group").alias("with_group")).agg(F.min(F.size("below") - 1).alias("reach"))
+    joined = counted.join(sizes, "set_id").join(reach, "with_group")
+    known = F.element_at("below", (F.least(F.size("below") - 1, F.col("reach")) + 1).cast("int"))
+    return joined.where((F.col("often") > 0) | (F.col("c") + F.col("n") - known >= common)).select(
+        "set_id", F.col("with_group").alias("group")
+    ).distinct()
 
 
 class OpenGroup:
@@ -293,32 +336,31 @@ class OpenGroup:
         return [(other, self.ids[near[i]]) for i in first.tolist()]
 
 
-def opened(openings: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: float, own: bool, queries: int = QUERIES) -> DataFrame:
-    """(src, dst): exact links that opening groups finds, for openings (set_id, group), each once.
+def opened(
+    openings: DataFrame, own: DataFrame | None, sets: DataFrame, docs: DataFrame, words: int, least: float, queries: int = QUERIES
+) -> DataFrame:
+    """(src, dst): exact links that opening groups finds, for openings (set_id, group), each once, written.
 
-    With own, groups of several members are opened to each other as well. A group asked for by more
-    than `queries` sets goes to several tasks with a part of them each.
+    The groups in own (group) are opened to their own members as well. A group asked for by more than `queries` sets
+    goes to several tasks with a part of them each.
     """
-    asked = openings.groupBy("group").agg(F.count("*").alias("asked"))
+    parts = openings.groupBy("group").agg(F.ceil(F.count("*") / queries).cast("long").alias("parts"), F.lit(0).alias("own"))
+    if own is not None:
+        parts = parts.union(own.select("group", F.lit(1).cast("long"), F.lit(1)))
+    parts = written(parts.groupBy("group").agg(F.max("parts").alias("parts"), F.max("own").alias("own")), "groups-parts")
     home = sets.select("set_id", "text_hash", "group")
-    several = home.groupBy("group").agg(F.count("*").alias("size")).where("size > 1").select("group") if own else None
-    parts = asked.select("group", F.ceil(F.col("asked") / queries).cast("long").alias("parts"))
-    if several is not None:
-        parts = parts.union(several.withColumn("parts", F.lit(1).cast("long"))).groupBy("group").agg(F.max("parts").alias("parts"))
-    parts = written(parts, "groups-parts")
     members = home.join(parts, "group").select(
-        "group", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(0).alias("kind"), "set_id", "text_hash"
+        "group", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.when(F.col("own") == 1, 0).otherwise(1).alias("kind"), "set_id", "text_hash"
     )
     asking = (
         openings.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")))
         .join(home.select("set_id", "text_hash"), "set_id")
-        .select("group", "part", F.lit(1).alias("kind"), "set_id", "text_hash")
+        .select("group", "part", F.lit(2).alias("kind"), "set_id", "text_hash")
     )
     rows = written(members.union(asking), "groups-rows")
     wanted = written(rows.select("text_hash").distinct(), "groups-texts")
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    found = docs.select(text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash")).join(wanted, "text_hash", "left_semi")
+    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    found = docs.select(text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash")).join(keys, "text_hash", "left_semi")
     found = found.groupBy("text_hash").agg(F.first("text").alias("text"))
     share = share_of(least)
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
@@ -332,8 +374,8 @@ def opened(openings: DataFrame, sets: DataFrame, docs: DataFrame, words: int, le
                 if (key, part) != now:
                     if not closed:
                         links += group.own_links()
-                    now, group, closed = (key, part), OpenGroup(share), not own or part > 0
-                if kind == 0:
+                    now, group, closed = (key, part), OpenGroup(share), kind > 0 or part > 0
+                if kind < 2:
                     group.add(member, shingler.set(text.as_py()))
                     continue
                 if not closed:
@@ -345,11 +387,14 @@ def opened(openings: DataFrame, sets: DataFrame, docs: DataFrame, words: int, le
         if not closed and (links := group.own_links()):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], schema=schema)
 
-    return (
+    links = written(
         rows.join(found, "text_hash").select("group", "part", "kind", "set_id", "text")
         .repartition("group", "part").sortWithinPartitions("group", "part", "kind")
-        .mapInArrow(compare, "src long, dst long")
+        .mapInArrow(compare, "src long, dst long"),
+        "groups-links",
     )
+    discard(parts, rows, wanted)
+    return links
 
 
 def roots_of(
@@ -361,18 +406,24 @@ def roots_of(
     marked is what marks() gives for docs, written. proposed (src, dst) names sets that may be alike;
     they are compared in the first round, and the result is the same with or without them.
     """
-    sets = written(grouped(marked, members, tokens), "groups-members")
-    shared = written(shared_tokens(sets, least), "groups-shared")
-    first = shared.where("before IS NOT NULL").select("set_id", F.col("before").alias("group"))
+    sets = grouped(marked, members, tokens)
+    shared = written(shared_tokens(sets), "groups-shared")
+    pairs = neighbours(shared, least)
     if proposed is not None:
-        home = sets.select(F.col("set_id").alias("dst"), "group")
-        own = sets.select(F.col("set_id").alias("src"), F.col("group").alias("own"))
-        first = first.union(proposed.join(home, "dst").join(own, "src").where("group != own").select(F.col("src").alias("set_id"), "group"))
-    first = written(first.distinct(), "groups-first")
-    sure = written(opened(first, sets, docs, words, least, True, queries), "groups-links")
+        pairs = pairs.union(proposed.select(F.col("src").alias("set_id"), "dst"))
+    homes = sets.select(F.col("set_id").alias("dst"), "group")
+    placed = written(
+        pairs.distinct().join(homes, "dst").join(sets.select("set_id", F.col("group").alias("home")), "set_id").select("set_id", "group", "home").distinct(),
+        "groups-first",
+    )
+    first, own = placed.where("group != home").select("set_id", "group"), placed.where("group = home").select("group").distinct()
+    sure = opened(first, own, sets, docs, words, least, queries)
     stars = components(sure).select(F.col("node").alias("set_id"), "root")
-    second = written(qualifying(shared, stars, least).join(first, ["set_id", "group"], "left_anti"), "groups-second")
-    rest = written(opened(second, sets, docs, words, least, False, queries), "groups-links")
+    settled = first.union(sets.join(own, "group", "left_semi").select("set_id", "group"))
+    second = written(qualifying(shared, stars, sets, least).join(settled, ["set_id", "group"], "left_anti"), "groups-second")
+    discard(shared)
+    rest = opened(second, None, sets, docs, words, least, queries)
+    discard(sets, placed, second)
     return components(sure.union(rest)).select(F.col("node").alias("set_id"), "root")
 
 

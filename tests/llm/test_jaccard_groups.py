@@ -101,9 +101,11 @@ def test_few_texts_are_opened(spark, crowd):
     frame = spark.createDataFrame([(i, t) for i, t in crowd], "doc_id long, text string")
     marked = common.written(jaccard_groups.marks(frame, 5, 0.8), "test-marks")
     sets = jaccard_groups.grouped(marked, members=4)
-    shared = common.written(jaccard_groups.shared_tokens(sets, 0.8), "test-shared")
-    first = shared.where("before IS NOT NULL").select("set_id", "before").distinct().count()
-    assert first < 12 * sets.count()
+    shared = common.written(jaccard_groups.shared_tokens(sets), "test-shared")
+    first = jaccard_groups.neighbours(shared, 0.8)
+    assert 150 < first.count() <= sets.count()
+    roots = jaccard_groups.roots_of(marked, frame, 5, 0.8, None, members=4)
+    assert jaccard_groups.qualifying(shared, roots, sets, 0.8).count() < 40
 
 
 def test_shingles_of_few_words_differ_from_longer_ones():
