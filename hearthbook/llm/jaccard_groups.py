@@ -1,7 +1,7 @@
 """Jaccard join of shingle sets through a token-group matrix.
 
-Sets that agree on their first shingle, in an order that puts rare ones first, are likely alike and
-make a group; a large group is cut into several of bounded size. The token-group matrix says for
+Sets that agree on the shingle of the smallest hash are likely alike and make a group; a large group
+is cut into several of bounded size. The token-group matrix says for
 each shingle which groups have it among the prefixes of their sets, with the sizes of those sets and what is left of
 them from there on. A set is a query against every group; what the matrix says bounds the
 shingles that it can share with any set of the group, and only where that reaches the threshold is the group opened
@@ -115,9 +115,9 @@ def frequent(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def marks(docs: DataFrame, words: int, least: float, fingerprint=None) -> DataFrame:
-    """(doc_id, text_hash, fp, set_id, n, prefix, rare, below), a row for each row of docs.
+    """(doc_id, text_hash, fp, set_id, n, lead, prefix, rare, below), a row for each row of docs.
 
-    set_id stands for the text's shingle set of n; prefix has its first shingles in order, of which so many
+    set_id stands for the text's shingle set of n, lead is its smallest hash; prefix has its first shingles in order, of which so many
     are rare. below[k] counts its rare shingles in the first k of CELLS steps of the hash, as far as all of them are in the prefix.
     fp is fingerprint(hashes), or null without one.
     """
@@ -145,10 +145,11 @@ def marks(docs: DataFrame, words: int, least: float, fingerprint=None) -> DataFr
         return np.concatenate([rare, rest]), len(rare), np.append(np.searchsorted(rare, steps, "left"), len(rare))
 
     def per_batch(batch: pa.RecordBatch) -> dict:
-        out: dict = {k: [] for k in ("fp", "set_id", "n", "prefix", "rare", "below")}
+        out: dict = {k: [] for k in ("fp", "set_id", "n", "lead", "prefix", "rare", "below")}
         for text in texts(batch):
             hashes = shingler.hashes(text)
             found = np.unique(hashes).view(np.int64)
+            out["lead"].append(int(found[0]) if len(found) else None)
             out["fp"].append(fingerprint(hashes) if fingerprint else None)
             out["set_id"].append(set_id(found))
             out["n"].append(len(found))
@@ -157,21 +158,21 @@ def marks(docs: DataFrame, words: int, least: float, fingerprint=None) -> DataFr
         return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), **out}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.xxhash64(text_of()).alias("text_hash"))
-    schema = "doc_id long, text_hash long, fp long, set_id long, n int, prefix array<long>, rare int, below array<int>"
+    schema = "doc_id long, text_hash long, fp long, set_id long, n int, lead long, prefix array<long>, rare int, below array<int>"
     return map_batches(rows, per_batch, schema, rows=1024)
 
 
 def grouped(marked: DataFrame, members: int = MEMBERS, tokens: int = TOKENS) -> DataFrame:
     """(set_id, n, text_hash, prefix, rare, below, group): each different set that isn't empty, once.
 
-    Sets of one first shingle make a group; where there are more than `members` of them, or more
+    Sets of one lead make a group; where there are more than `members` of them, or more
     than `tokens` shingles in all, they are dealt over as many groups as keep within that.
     """
     sets = written(
         marked.where("n > 0").groupBy("set_id").agg(
             F.first("n").cast("long").alias("n"), F.min("text_hash").alias("text_hash"),
-            *[F.first(c).alias(c) for c in ("prefix", "rare", "below")],
-        ).withColumn("lead", F.element_at("prefix", 1)),
+            *[F.first(c).alias(c) for c in ("lead", "prefix", "rare", "below")],
+        ),
         "groups-sets",
     )
     large = sets.groupBy("lead").agg(
@@ -273,10 +274,15 @@ def qualifying(shared: DataFrame, roots: DataFrame, sets: DataFrame, least: floa
         F.count(F.when(F.col("often") == 0, 1)).alias("c"), F.max("often").alias("often"), F.min("least_n").alias("least_n")
     )
     sizes = sets.select("set_id", "n", "below")
-    reach = sets.groupBy(F.col("group").alias("with_group")).agg(F.min(F.size("below") - 1).alias("reach"))
+    reach = sets.groupBy("group").agg(F.min(F.size("below") - 1).alias("reach"))
+    reach = sets.join(reach, "group").groupBy(F.col("group").alias("with_group"), "reach").agg(
+        F.max(F.col("n") - F.element_at("below", F.col("reach") + 1)).alias("beyond")
+    )
     joined = counted.join(sizes, "set_id").join(reach, "with_group")
-    known = F.element_at("below", (F.least(F.size("below") - 1, F.col("reach")) + 1).cast("int"))
-    return joined.where((F.col("often") > 0) | (F.col("c") + F.col("n") - known >= common)).select(
+    own = F.size("below") - 1
+    mine = F.col("n") - F.element_at("below", F.least(own, "reach") + 1)
+    either = F.when(own >= F.col("reach"), F.least(mine, "beyond")).otherwise(mine)
+    return joined.where((F.col("often") > 0) | (F.col("c") + either >= common)).select(
         "set_id", F.col("with_group").alias("group")
     ).distinct()
 
