@@ -193,3 +193,33 @@ def as_string_list(node: Column) -> Column:
     """The items of a list as text, empty ones left out."""
     texts = F.transform(as_list(node), lambda item: as_string(item))
     return F.filter(texts, lambda text: text != "")
+
+
+# ---- JSON texts -------------------------------------------------------------
+
+
+def whole_object(text: Column, ddl: str) -> Column:
+    """A JSON object as a struct, null for any text that isn't one object and nothing else.
+
+    The parser stops after the first value. So the text is put between a key and an element that it
+    cannot foresee (its own checksum): only if both are found as they were written has it been
+    one value. Of repeated keys the last one counts; members of another type than wanted are null.
+    """
+    mark = F.md5(text)
+    wrapped = F.concat(F.lit('[{"doc":'), text, F.lit('},{"'), mark, F.lit('":{}}]'))
+
+    def checked(found: Column) -> Column:
+        one, two = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+        alone = (F.size(found) == 2) & (F.map_keys(one) == F.array(F.lit("doc"))) & (F.map_keys(two) == F.array(mark))
+        return F.when(F.coalesce(alone, F.lit(False)), F.try_element_at(one, F.lit("doc")))
+
+    parsed = F.from_json(wrapped, f"array<map<string, {ddl}>>")
+    return F.get(F.transform(F.array(parsed), checked), F.lit(0))  # bound to a name, so that it is parsed once
+
+
+def some_value(text: Column) -> Column:
+    """True for sound JSON of any kind."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    ended = F.get_json_object(F.concat(F.lit('{"doc":'), text, F.lit(',"end":1}')), "$.end")
+    alone = child(listed, "$[0]").isNotNull() & child(listed, "$[1]").isNull()
+    return F.coalesce(alone & (ended == "1"), F.lit(False))

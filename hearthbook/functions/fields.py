@@ -161,6 +161,10 @@ def provenance_class(field: Column) -> Column:
 # ---- decoding -------------------------------------------------------------
 
 
+#: Members of a stored field, as a schema.
+STORED = "value: variant, note: variant, needsConfirmation: variant, source: string, status: string, recordedAt: string"
+
+
 def nodes(node: Column) -> Column:
     """The members of a stored field, still undecoded: what ``decode`` works on.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthbook import schema as S
 from hearthbook.functions import coerce, fields as P, scalars as X
@@ -15,22 +15,47 @@ _SUGGESTION = (
 )
 
 
-def discover(properties: DataFrame, area_providers: DataFrame) -> DataFrame:
+def by_area(area_providers: DataFrame) -> DataFrame:
+    """``prefix, kind, provider_count, provider, confidence, lookup_keys``: what is known of each area and kind.
+
+    With several providers in an area none of them is certain: provider is null and confidence is
+    ``unknown``; the pages that can settle it stay. Repeated rows of one provider count once.
+    """
+    many = F.min("provider") != F.max("provider")
+    entry = F.min_by(F.struct("provider", "confidence", "lookup_keys"), "provider")
+    found = area_providers.where(F.col("kind").isin(*S.SERVICE_KINDS) & F.col("provider").isNotNull()).groupBy("prefix", "kind").agg(
+        F.countDistinct("provider").alias("provider_count"), F.coalesce(many, F.lit(False)).alias("_many"), entry.alias("_entry")
+    )
+    return found.select(
+        "prefix", "kind", "provider_count",
+        F.when(~F.col("_many"), F.col("_entry.provider")).alias("provider"),
+        F.when(F.col("_many"), "unknown").otherwise(F.col("_entry.confidence")).alias("confidence"),
+        F.col("_entry.lookup_keys").alias("lookup_keys"),
+    )
+
+
+def ambiguous_areas(area_providers: DataFrame) -> DataFrame:
+    """``prefix, kind, provider_count, provider``: each provider of the areas that have several for a kind."""
+    several = by_area(area_providers).where("provider_count > 1").select("prefix", "kind", "provider_count")
+    return area_providers.select("prefix", "kind", "provider").distinct().join(several, ["prefix", "kind"]).select(
+        "prefix", "kind", "provider_count", "provider"
+    )
+
+
+def discover(properties: DataFrame, area_providers: DataFrame, at: Column | None = None) -> DataFrame:
     """Suggestions per household: regional providers, plus unknown energy rows.
 
     ``area_providers`` has ``prefix, kind, provider, confidence, lookup_keys`` (see
     ``sources.dimensions.area_providers``). It is folded to one row per area, so
-    properties are read once and joined once. The join carries no hint: Spark
-    broadcasts the areas while they are below its size threshold and shuffles
-    beyond it.
+    properties are read once and joined once; a kind with several providers in an area is suggested
+    as unknown (``by_area``). ``at`` is when suggestions are made: what they are recorded with.
+    The join carries no hint: Spark broadcasts the areas while they are below its size threshold and
+    shuffles beyond it.
     """
-    entry = F.struct("kind", "provider", "confidence", "lookup_keys")
-    by_area = (
-        area_providers.where(F.col("kind").isin(*S.SERVICE_KINDS))
-        .groupBy("prefix", "kind")
-        .agg(F.min_by(entry, "provider").alias("entry"))
+    known = (
+        by_area(area_providers)
         .groupBy("prefix")
-        .agg(F.collect_list("entry").alias("found"))
+        .agg(F.collect_list(F.struct("kind", "provider", "confidence", "lookup_keys")).alias("found"))
     )
     unknown = F.array(
         *[
@@ -45,14 +70,14 @@ def discover(properties: DataFrame, area_providers: DataFrame) -> DataFrame:
     ).cast(_SUGGESTION)
     nothing = F.array().cast(_SUGGESTION)
     placed = properties.select(S.KEY, X.area_prefix(F.col("postcode")).alias("prefix"))
-    found = placed.join(by_area, "prefix", "left").select(
+    found = placed.join(known, "prefix", "left").select(
         S.KEY,
         F.explode(F.concat(F.coalesce(F.col("found").cast(_SUGGESTION), nothing), unknown)).alias("s"),
     )
     return found.select(
         S.KEY,
         F.col("s.kind").alias("kind"),
-        P.suggested(F.col("s.provider"), "postcodeLookup", F.col("s.confidence")).alias("provider"),
+        P.suggested(F.col("s.provider"), "postcodeLookup", F.col("s.confidence"), at).alias("provider"),
         F.col("s.confidence").alias("confidence"),
         F.col("s.lookup_keys").alias("lookup_keys"),
     )

@@ -286,13 +286,14 @@ def too_short(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def extract_bills(documents: DataFrame, as_of: R.Day, text: str = "text",
-                  hint: str | None = None, word_boundary: bool = False) -> DataFrame:
+                  hint: str | None = None, word_boundary: bool = False, at: Column | None = None) -> DataFrame:
     """Read every document; the input columns stay, in front of the findings.
 
     Adds ``provider``, ``amount_minor`` and ``due_date`` (suggested or missing fields),
     ``detected_kind``, ``frequency`` and ``warnings`` (codes). ``hint`` names a column
-    whose kind, where present, wins over the detected one. Too short texts are read
-    as well: take them out with ``readable`` first.
+    whose kind, where present, wins over the detected one. ``at`` is when the texts are read: what
+    suggestions are recorded with. Too short texts are read as well: take them out with
+    ``readable`` first.
     """
     source = F.lit("billExtraction")
     raw = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\r\n"), F.lit("\n"))
@@ -350,16 +351,19 @@ def extract_bills(documents: DataFrame, as_of: R.Day, text: str = "text",
             F.col("_provider"),
             source,
             F.when(F.col("_known").isNotNull(), "name_list").otherwise("label"),
+            at,
         ).alias("provider"),
         P.suggested(
             F.col("_amount"),
             source,
             F.when(F.col("_labelled").isNotNull(), "labelled").otherwise("largest"),
+            at,
         ).alias("amount_minor"),
         P.suggested(
             F.col("_date"),
             source,
             F.when(F.col("_due").isNotNull(), "due_line").otherwise("loose"),
+            at,
         ).alias("due_date"),
         kind.alias("detected_kind"),
         F.col("_frequency").alias("frequency"),
@@ -392,11 +396,12 @@ def accept_extracted(extracted: DataFrame, decisions: DataFrame) -> dict[str, Da
     ``document_id`` plus what the person settled on: ``kind, provider, amount_text,
     due_date, frequency`` and ``decided_at``. Without a readable amount and a date
     nothing is saved; those come back as ``incomplete``. A null in a decision keeps
-    what was read. Of several decisions on one text the last by ``decided_at`` counts. Returns ``documents``, ``bills`` and ``incomplete``; for the services
+    what was read. Of several decisions on one text the last by ``decided_at`` counts; one without it has not
+    been made. Returns ``documents``, ``bills`` and ``incomplete``; for the services
     of the same kind pass the bills on to ``commands.sync_slots``.
     """
     choices = ["decided_at", "kind", "provider", "amount_text", "due_date", "frequency"]
-    last = decisions.groupBy("document_id").agg(F.max(F.struct(*choices)).alias("_last"))
+    last = decisions.where("decided_at IS NOT NULL").groupBy("document_id").agg(F.max(F.struct(*choices)).alias("_last"))
     settled = last.select("document_id", "_last.*").select(
         "document_id",
         F.col("kind").alias("_kind"),

@@ -17,6 +17,7 @@ AS_OF = "1998-06-01"
 REMINDER_AS_OF = "2024-01-15"
 TEXT_AS_OF = "2026-01-01"
 MONTH = "1998-06-01"
+SUGGESTED_AT = "2026-01-03 10:00:00"
 
 KINDS9 = (
     "CASE {k} % 9 WHEN 0 THEN 'electricity' WHEN 1 THEN 'gas' WHEN 2 THEN 'water' "
@@ -219,8 +220,8 @@ RULES: dict[str, Rule] = {
             "title": f"'Document ' || {_s(_O)}",
             "provider_name": f"CASE WHEN {_O} % 8 <> 0 THEN 'Provider ' || {_s(_O + ' % 9')} END",
             "file_name": "CAST(NULL AS STRING)",
-            "content_type": "CAST(NULL AS STRING)",
-            "byte_size": "CAST(NULL AS BIGINT)",
+            "content_type": f"CASE WHEN {_O} % 3 <> 1 THEN 'application/pdf' END",
+            "byte_size": f"CASE WHEN {_O} % 3 <> 1 THEN CAST({_O} * 10 AS BIGINT) END",
             "storage_key": "CAST(NULL AS STRING)",
             "extracted_text": f"'Text of ' || {_s(_O)}",
             "notes": "CAST(NULL AS STRING)",
@@ -307,6 +308,18 @@ RULES: dict[str, Rule] = {
             "uprn": f"'U' || {_s(_C)}",
         },
     ),
+    # Two of six areas have several providers; in the others one is named again and again.
+    "areas_by_supplier": Rule(
+        "supplier",
+        {
+            "prefix": "CASE s_suppkey % 6 WHEN 0 THEN 'BS' WHEN 1 THEN 'CF' WHEN 2 THEN 'LS' WHEN 3 THEN 'M' WHEN 4 THEN 'SW' ELSE 'EH' END",
+            "kind": "CASE o WHEN 0 THEN 'water' ELSE 'councilTax' END",
+            "provider": "CASE WHEN s_suppkey % 6 + o <= 1 THEN s_name ELSE 'Regional ' || CAST(s_suppkey % 6 AS STRING) END",
+            "confidence": "'areaCertain'",
+            "lookup_key": "CASE o WHEN 0 THEN 'water_provider' ELSE 'council_tax' END",
+        },
+        copies=2,
+    ),
     "address_requests": Rule(
         "customer",
         {

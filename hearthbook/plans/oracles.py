@@ -443,10 +443,35 @@ oracle(
     "provider_discovery", "properties",
     """SELECT household_id, kind, provider AS provider_value,
   CASE WHEN provider IS NULL THEN 'none' ELSE 'postcodeLookup' END AS provider_source,
-  CASE WHEN provider IS NULL THEN 'missing' ELSE 'suggested' END AS provider_status, confidence, lookup_keys
+  CASE WHEN provider IS NULL THEN 'missing' ELSE 'suggested' END AS provider_status,
+  CASE WHEN provider IS NOT NULL THEN '2026-01-03 10:00:00' END AS provider_recorded_at, confidence, lookup_keys
 FROM suggestions""",
     **_DISCOVERY,
 )
+_SEVERAL = {
+    "areas": """SELECT prefix, kind, count(DISTINCT provider) AS provider_count, min(provider) AS provider,
+  min(lookup_key) AS lookup_keys FROM areas_by_supplier GROUP BY prefix, kind""",
+    "asked": """SELECT household_id, CASE CAST(substr(property_id, 6) AS BIGINT) % 8 WHEN 0 THEN 'BS' WHEN 7 THEN 'BS' WHEN 1 THEN 'CF'
+  WHEN 2 THEN 'LS' WHEN 3 THEN 'M' WHEN 4 THEN 'SW' WHEN 5 THEN 'EH' END AS prefix FROM properties""",
+    "offers": """SELECT household_id, kind, CASE WHEN provider_count = 1 THEN provider END AS provider, lookup_keys FROM asked JOIN areas USING (prefix)
+UNION ALL SELECT household_id, 'electricity', NULL, 'electricity_supplier' FROM asked
+UNION ALL SELECT household_id, 'gas', NULL, 'gas_supplier' FROM asked""",
+}
+oracle(
+    "ambiguous_areas", "areas_by_supplier",
+    """SELECT DISTINCT prefix, kind, provider_count, b.provider FROM areas_by_supplier b
+JOIN (SELECT prefix, kind, provider_count FROM areas WHERE provider_count > 1) USING (prefix, kind)""",
+    areas=_SEVERAL["areas"],
+)
+oracle(
+    "provider_discovery_several", "properties areas_by_supplier",
+    """SELECT household_id, kind, provider AS provider_value,
+  CASE WHEN provider IS NULL THEN 'none' ELSE 'postcodeLookup' END AS provider_source,
+  CASE WHEN provider IS NULL THEN 'missing' ELSE 'suggested' END AS provider_status,
+  CASE WHEN provider IS NOT NULL THEN '2026-01-03 10:00:00' END AS provider_recorded_at,
+  CASE WHEN provider IS NULL THEN 'unknown' ELSE 'areaCertain' END AS confidence, lookup_keys FROM offers""",
+    **_SEVERAL,
+)
 _MERGED = {
     **_DISCOVERY,
     "merged": """SELECT s.*, g.provider, g.lookup_keys,
@@ -458,6 +483,7 @@ oracle(
     """SELECT slot_id, CASE WHEN applied THEN provider ELSE provider_value END AS provider_value,
   CASE WHEN applied THEN 'postcodeLookup' ELSE provider_source END AS provider_source,
   CASE WHEN applied THEN 'suggested' ELSE provider_status END AS provider_status,
+  CASE WHEN applied THEN '2026-01-03 10:00:00' END AS provider_recorded_at,
   CASE WHEN applied AND lookup_keys_text = '' THEN lookup_keys ELSE lookup_keys_text END AS lookup_keys,
   coalesce(applied, false) AS applied FROM merged""",
     **_MERGED,
@@ -681,7 +707,8 @@ _TEXTS = _extraction(
 def _suggested(value: str, note: str, name: str) -> str:
     return (
         f"{value} AS {name}_value, CASE WHEN {value} IS NULL THEN 'missing' ELSE 'suggested' END AS {name}_status, "
-        f"CASE WHEN {value} IS NOT NULL THEN {note} END AS {name}_note"
+        f"CASE WHEN {value} IS NOT NULL THEN {note} END AS {name}_note, "
+        f"CASE WHEN {value} IS NOT NULL THEN '2026-01-03 10:00:00' END AS {name}_recorded_at"
     )
 
 
@@ -718,6 +745,23 @@ oracle(
     "SELECT id AS document_id, kind AS detected_kind, frequency FROM found",
     **_TEXTS,
 )
+_ALONE = "CASE " + " ".join(
+    f"WHEN regexp_matches(txt, '(^|[^\\w]){n.replace('.', chr(92) + '.')}($|[^\\w])', 'i') THEN '{n}'" for n in KNOWN_PROVIDERS
+) + " END"
+oracle(
+    "extract_provider_whole_words", "",
+    """SELECT id AS doc_id, provider AS provider_value,
+  CASE WHEN provider IS NOT NULL THEN CASE WHEN known IS NULL THEN 'label' ELSE 'name_list' END END AS provider_note
+FROM (SELECT id, known, coalesce(known, CASE WHEN length(word) >= 3 THEN word END) AS provider FROM named)""",
+    t="SELECT doc_id AS id, replace(text, chr(13) || chr(10), chr(10)) AS txt FROM documents",
+    named=f"SELECT id, {_ALONE} AS known, regexp_extract(txt, 'Provider:{_WS}*(\\w+)', 1) AS word FROM t",
+)
+oracle(
+    "extract_kind_with_hint", "bill_texts",
+    """SELECT id AS document_id, CASE WHEN order_key % 3 = 0 THEN 'broadband' ELSE kind END AS detected_kind
+FROM found JOIN (SELECT document_id, order_key FROM bill_texts) ON document_id = id""",
+    **_TEXTS,
+)
 _FIELDS = "CAST((provider IS NOT NULL)::INT + (amount IS NOT NULL)::INT + (due IS NOT NULL)::INT AS BIGINT)"
 oracle(
     "extract_warnings", "bill_texts",
@@ -929,20 +973,21 @@ oracle(
   CASE WHEN paid_seq IS NULL THEN payment_status WHEN paid_seq % 2 = 0 THEN 'paid' ELSE 'unknown' END AS payment_status,
   CASE WHEN note_seq % 15 = 1 THEN NULL WHEN note_seq IS NOT NULL THEN 'note ' || note_seq ELSE notes END AS notes
 FROM rows_now LEFT JOIN patches USING (bill_id)
-WHERE bill_id NOT IN (SELECT 'b-' || event_id % 7000 FROM events WHERE event_id % 5 = 3 AND event_id % 2 = 0)""",
-    inserted="""SELECT *, CASE WHEN event_id % 30 = 4 THEN 'b-' || event_id % 7000 ELSE 'n-' || (event_id - event_id % 10) END AS bill_id
-FROM events WHERE event_id % 5 IN (2, 4)""",
+WHERE bill_id NOT IN (SELECT bill_id FROM aimed WHERE event_id % 5 = 3 AND event_id % 2 = 0)""",
+    aimed="SELECT *, 'b-' || ((event_id - event_id % 10) * 3 // 2 + event_id % 3) AS bill_id FROM events",
+    inserted="""SELECT * REPLACE (CASE WHEN event_id % 30 = 4 THEN bill_id ELSE 'n-' || (event_id - event_id % 10) END AS bill_id)
+FROM aimed WHERE event_id % 5 IN (2, 4)""",
     rows_now="""SELECT bill_id, household_id, amount_minor_value, amount_minor_source, amount_minor_status,
   due_date_value, due_date_source, due_date_status, payment_status, notes FROM bills
 UNION ALL SELECT bill_id, user_id, CAST(round(value * 100) AS BIGINT), 'userEntered', 'confirmed',
   NULL, 'none', 'missing', 'unknown', NULL FROM inserted i WHERE NOT EXISTS (SELECT 1 FROM bills b WHERE b.bill_id = i.bill_id)
 QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY event_id DESC) = 1""",
-    patches="""SELECT 'b-' || event_id % 7000 AS bill_id,
+    patches="""SELECT bill_id,
   max(event_id) FILTER (event_id % 5 = 0 OR (event_id % 5 = 3 AND event_id % 2 = 1)) AS paid_seq,
   max(event_id) FILTER (event_id % 5 = 1) AS note_seq,
   arg_max(CAST(round(value * 100) AS BIGINT), event_id) FILTER (event_id % 5 = 1 AND round(value * 100) > 0) AS a,
   arg_max(CAST(ts AS DATE), event_id) FILTER (event_id % 5 = 1 AND event_id % 3 = 0) AS d
-FROM events GROUP BY 1""",
+FROM aimed GROUP BY 1""",
 )
 oracle(
     "reminders_from_bills", "bills",
@@ -952,15 +997,17 @@ FROM bills WHERE NOT {PAID} AND due_date_value IS NOT NULL""",
 )
 oracle(
     "reminder_commands", "reminders",
-    """SELECT reminder_id, household_id, CASE WHEN t IS NOT NULL THEN 'T' || t ELSE title END AS title,
-  CAST(coalesce(d, due_at) AS VARCHAR) AS due_at, CASE WHEN o IS NOT NULL THEN o % 16 = 0 ELSE is_done END AS is_done
+    """SELECT reminder_id, household_id, coalesce(t, title) AS title, CAST(coalesce(d, due_at) AS VARCHAR) AS due_at,
+  coalesce(o, is_done) AS is_done
 FROM reminders LEFT JOIN patches USING (reminder_id)
-WHERE reminder_id NOT IN (SELECT 'r-' || event_id % 3000 FROM events WHERE event_id % 40 = 2)
+WHERE reminder_id NOT IN (SELECT 'r-' || (event_id - event_id % 4) FROM events WHERE event_id % 40 = 2)
 UNION ALL SELECT 'new-' || event_id, user_id, 'Added', CAST(CAST(ts AS DATE) AS VARCHAR), false
 FROM events WHERE event_id % 4 = 1""",
-    patches="""SELECT 'r-' || event_id % 3000 AS reminder_id, max(event_id) AS o,
-  max(event_id) FILTER (event_id % 8 = 0) AS t, arg_max(CAST(ts AS DATE), event_id) FILTER (event_id % 12 = 0) AS d
-FROM events WHERE event_id % 4 = 0 GROUP BY 1""",
+    patches="""SELECT 'r-' || (event_id - event_id % 4) AS reminder_id,
+  arg_max(CASE WHEN event_id % 4 = 0 THEN 'T' ELSE 'U' END || event_id, event_id) FILTER (event_id % 8 = 0 OR event_id % 4 = 2) AS t,
+  arg_max(CAST(ts AS DATE), event_id) FILTER (event_id % 12 = 0 OR event_id % 4 = 3) AS d,
+  arg_max(CASE WHEN event_id % 4 = 0 THEN event_id % 16 = 0 ELSE event_id % 3 = 0 END, event_id) FILTER (event_id % 4 IN (0, 3)) AS o
+FROM events WHERE event_id % 4 <> 1 AND event_id % 40 <> 2 GROUP BY 1""",
 )
 oracle(
     "document_commands", "bill_texts documents_ledger",
@@ -1093,35 +1140,41 @@ def _flat(*names: str) -> str:
 
 
 _STAMP = "strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at"
+# The property that a written item names: that of its household.
+_HOMES = "(SELECT household_id, min(property_id) AS property_id FROM properties GROUP BY household_id) homes"
 oracle(
-    "json_bills_roundtrip", "bills",
+    "json_bills_roundtrip", "bills properties",
     f"""SELECT bill_id, household_id, kind, {_flat('provider', 'amount_minor', 'due_date')},
-  CAST(period_start AS VARCHAR) AS period_start, frequency, payment_status, document_id, {_STAMP} FROM bills""",
+  CAST(period_start AS VARCHAR) AS period_start, frequency, payment_status, document_id, {_STAMP}, property_id
+FROM bills LEFT JOIN {_HOMES} USING (household_id)""",
 )
 oracle(
-    "json_slots_roundtrip", "service_slots",
+    "json_slots_roundtrip", "service_slots properties",
     f"""SELECT slot_id, household_id, kind, {_flat('provider', 'account_number', 'amount_minor', 'next_due_date')},
-  frequency, lookup_keys_text AS lookup_keys FROM service_slots""",
+  frequency, lookup_keys_text AS lookup_keys, property_id
+FROM service_slots LEFT JOIN {_HOMES} USING (household_id)""",
 )
 oracle(
-    "json_households_roundtrip", "households properties service_slots",
+    "json_households_roundtrip", "households properties service_slots bills documents_ledger reminders members",
     """SELECT household_id, h.name, coalesce(h.property_id, p.property_id) AS property_id, h.current_member_id,
-  coalesce(h.onboarding_complete, false) AS onboarding_complete,
+  coalesce(h.onboarding_complete, false) AS onboarding_complete, coalesce(is_demo_data, false) AS document_is_demo_data,
   line1, nullif(line2, '') AS line2, town, postcode, uprn, tenure, is_demo_data
 FROM households h FULL JOIN properties p USING (household_id)
-FULL JOIN (SELECT DISTINCT household_id FROM service_slots) s USING (household_id)""",
+FULL JOIN (SELECT household_id FROM service_slots UNION SELECT household_id FROM bills UNION SELECT household_id FROM documents_ledger
+  UNION SELECT household_id FROM reminders UNION SELECT household_id FROM members) s USING (household_id)""",
 )
 oracle(
     "json_members_roundtrip", "members",
     "SELECT member_id, household_id, name, role, has_accepted_invite, is_current_user, pos FROM members",
 )
 oracle(
-    "json_reminders_roundtrip", "reminders",
-    "SELECT * REPLACE (CAST(due_at AS VARCHAR) AS due_at) FROM reminders",
+    "json_reminders_roundtrip", "reminders properties",
+    f"SELECT * REPLACE (CAST(due_at AS VARCHAR) AS due_at) FROM reminders LEFT JOIN {_HOMES} USING (household_id)",
 )
 oracle(
-    "json_documents_roundtrip", "documents_ledger",
-    f"SELECT document_id, household_id, kind, title, provider_name, extracted_text, bill_id, {_STAMP} FROM documents_ledger",
+    "json_documents_roundtrip", "documents_ledger properties",
+    f"""SELECT document_id, household_id, kind, title, provider_name, content_type, byte_size, extracted_text, bill_id, {_STAMP},
+  property_id FROM documents_ledger LEFT JOIN {_HOMES} USING (household_id)""",
 )
 # What each damaged document is meant to be: k is the event id.
 _MESSY = {
@@ -1153,24 +1206,56 @@ oracle(
 )
 
 
-def _count_of(table: str, name: str) -> str:
-    return f"(SELECT count(*) FROM {table} x WHERE x.household_id = h.household_id) AS {name}_count"
-
-
+_ITEMS = {
+    "known": """SELECT coalesce(h.household_id, p.household_id) AS household_id, h.name, p.postcode
+FROM households h FULL JOIN properties p ON p.household_id = h.household_id""",
+    "entries": """SELECT household_id, 'services' AS list, slot_id AS id, kind, CAST(amount_minor_value AS VARCHAR) AS value,
+  amount_minor_status AS status, provider_value AS label FROM service_slots
+UNION ALL SELECT household_id, 'bills', bill_id, kind, CAST(amount_minor_value AS VARCHAR), amount_minor_status, provider_value FROM bills
+UNION ALL SELECT household_id, 'documents', document_id, kind, title, bill_id, provider_name FROM documents_ledger
+UNION ALL SELECT household_id, 'reminders', reminder_id, kind, title, CAST(is_done AS VARCHAR), CAST(due_at AS VARCHAR) FROM reminders
+UNION ALL SELECT household_id, 'members', member_id, role, name, CAST(has_accepted_invite AS VARCHAR), CAST(is_current_user AS VARCHAR) FROM members""",
+    "heads": """SELECT household_id, name, postcode FROM known
+UNION ALL SELECT DISTINCT household_id, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM entries
+WHERE household_id NOT IN (SELECT household_id FROM known)""",
+}
+_ITEM_TABLES = "households properties service_slots bills documents_ledger reminders members"
+oracle(
+    "household_payloads", _ITEM_TABLES,
+    """SELECT household_id, 'head' AS list, name AS id, postcode AS kind, CAST(NULL AS VARCHAR) AS value,
+  CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS label, false AS shows_text FROM heads
+UNION ALL SELECT household_id, list, id, kind, value, status, label, false FROM entries""",
+    **_ITEMS,
+)
 oracle(
-    "household_payloads", "households properties service_slots bills documents_ledger reminders members",
-    f"""SELECT household_id, id, name, postcode,
-  {_count_of('service_slots', 'services')}, {_count_of('bills', 'bills')}, {_count_of('documents_ledger', 'documents')},
-  {_count_of('reminders', 'reminders')}, {_count_of('members', 'members')}, false AS shows_text
-FROM (SELECT household_id, id, name, postcode FROM known
-  FULL JOIN (SELECT DISTINCT household_id FROM service_slots) s USING (household_id)) h""",
-    known="""SELECT household_id, CAST(household_id AS VARCHAR) AS id, h.name, p.postcode
-FROM households h FULL JOIN properties p USING (household_id)""",
+    "payload_pieces", _ITEM_TABLES,
+    """SELECT household_id, 6 + count(list) AS piece_count, count(list) - count(DISTINCT list) AS comma_count, 6 AS frame_count,
+  ']}' AS last_piece, count(DISTINCT list) AS filled_lists
+FROM heads LEFT JOIN entries USING (household_id) GROUP BY household_id""",
+    **_ITEMS,
 )
 oracle(
     "relational_fields", "bills",
     f"SELECT bill_id, {_flat('provider', 'amount_minor', 'due_date')} FROM bills",
 )
+_DAMAGED = {"n": "SELECT *, CAST(substr(bill_id, 3) AS BIGINT) % 16 AS m FROM bills"}
+oracle(
+    "relational_damaged_fields", "bills",
+    f"""SELECT bill_id, CASE WHEN m IN (3, 5, 9, 13) THEN NULL WHEN m = 7 THEN 12 WHEN m = 11 THEN 7 ELSE amount_minor_value END AS amount_minor_value,
+  CASE WHEN m IN (3, 5, 9, 11, 13) THEN 'none' WHEN m = 7 THEN 'userEntered' ELSE amount_minor_source END AS amount_minor_source,
+  CASE WHEN m IN (3, 5, 9, 13) THEN 'missing' WHEN m IN (7, 11) THEN 'confirmed' ELSE amount_minor_status END AS amount_minor_status,
+  {_flat('due_date')} FROM n""",
+    **_DAMAGED,
+)
+oracle(
+    "relational_unreadable", "bills",
+    """SELECT bill_id, 'amount_minor' AS field, CASE m WHEN 9 THEN 'unreadable_value,unknown_source,unknown_status'
+  WHEN 11 THEN 'unknown_source,unreadable_time' ELSE 'not_an_object' END AS codes,
+  CASE m WHEN 3 THEN 'oops' WHEN 5 THEN '[1]' WHEN 9 THEN '{"value":"lots","source":"rumour","status":"sure"}'
+  WHEN 11 THEN '{"value":7,"source":"rumour","status":"confirmed","recordedAt":"yesterday"}' ELSE '{"value":1}}' END AS text
+FROM n WHERE m IN (3, 5, 9, 11, 13)""",
+    **_DAMAGED,
+)
 oracle(
     "document_listing", "documents_ledger",
     """SELECT household_id, document_id, title, strftime(created_at, '%Y-%m-%d') AS created, false AS has_text
@@ -1183,3 +1268,17 @@ oracle(
   CASE c_custkey % 4 WHEN 0 THEN 'LS1 2AB' ELSE 'LS9 9ZZ' END AS postcode,
   CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey AS VARCHAR) END AS uprn FROM customer WHERE c_custkey % 4 <> 2""",
 )
+oracle(
+    "address_feed_damaged", "",
+    """SELECT c_custkey, 'Address' AS line1, CAST(NULL AS VARCHAR) AS line2, CASE WHEN c_custkey % 13 = 6 THEN 'Hull' ELSE '' END AS town,
+  'LS9 9ZZ' AS postcode, CASE WHEN c_custkey % 13 = 6 THEN '9' ELSE CAST(c_custkey AS VARCHAR) END AS uprn
+FROM customer WHERE c_custkey % 13 NOT IN (1, 2, 3, 4, 5, 7)""",
+)
+oracle(
+    "address_feed_quarantine", "",
+    """SELECT c_custkey, CAST(position AS BIGINT) AS position, reason, json FROM customer JOIN (VALUES
+  (1, NULL, 'not_json', 'oops'), (2, NULL, 'not_an_object', '[1]'), (3, NULL, 'results_not_a_list', '{"results":"none"}'),
+  (4, NULL, 'no_results', '{}'), (6, 0, 'not_an_object', 'text'), (6, 1, 'not_an_object', '7'),
+  (6, 2, 'no_address', '{"LPI":{"UPRN":"1"}}'), (6, 3, 'no_address', '{"DPA":[]}'),
+  (7, NULL, 'not_json', '{"results":[{"DPA":{"UPRN":"7"}}]}}')) AS v(place, position, reason, json) ON c_custkey % 13 = place""",
+)

@@ -22,7 +22,7 @@ from hearthbook.operators import (
     summary,
     validation as V,
 )
-from hearthbook.plans.derived import AS_OF, MONTH, REMINDER_AS_OF, TEXT_AS_OF, Ledger
+from hearthbook.plans.derived import AS_OF, MONTH, REMINDER_AS_OF, SUGGESTED_AT, TEXT_AS_OF, Ledger
 from hearthbook.sources import addresses, dimensions, documents, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -449,7 +449,11 @@ def enum_fallbacks(t: Ledger) -> DataFrame:
 
 
 def _suggestions(t: Ledger) -> DataFrame:
-    return discovery.discover(t.properties, dimensions.sample_area_providers(t.spark))
+    return discovery.discover(t.properties, dimensions.sample_area_providers(t.spark), _suggested_at())
+
+
+def _suggested_at() -> Column:
+    return F.lit(SUGGESTED_AT).cast("timestamp")
 
 
 @query
@@ -458,6 +462,7 @@ def provider_discovery(t: Ledger) -> DataFrame:
         "household_id",
         "kind",
         *parts("provider"),
+        *recorded("provider"),
         "confidence",
         F.array_join("lookup_keys", ",").alias("lookup_keys"),
     )
@@ -469,11 +474,31 @@ def apply_suggestions(t: Ledger) -> DataFrame:
     return merged.select(
         "slot_id",
         *parts("provider"),
+        *recorded("provider"),
         F.array_join("lookup_keys", ",").alias("lookup_keys"),
         "applied",
     )
 
 
+def _areas_by_supplier(t: Ledger) -> DataFrame:
+    return t.flat("areas_by_supplier").withColumn("lookup_keys", F.array("lookup_key"))
+
+
+@query
+def ambiguous_areas(t: Ledger) -> DataFrame:
+    return discovery.ambiguous_areas(_areas_by_supplier(t))
+
+
+@query
+def provider_discovery_several(t: Ledger) -> DataFrame:
+    """Discovery where some areas have several providers for a kind: there nothing is certain."""
+    found = discovery.discover(t.properties, _areas_by_supplier(t), _suggested_at())
+    return found.select(
+        "household_id", "kind", *parts("provider"), *recorded("provider"), "confidence",
+        F.array_join("lookup_keys", ",").alias("lookup_keys"),
+    )
+
+
 @query
 def applied_suggestion_counts(t: Ledger) -> DataFrame:
     return discovery.applied_counts(discovery.apply_suggestions(t.slots, _suggestions(t)))
@@ -559,7 +584,7 @@ def requested_services(t: Ledger) -> DataFrame:
 
 
 def _extracted(t: Ledger) -> DataFrame:
-    return extraction.extract_bills(extraction.readable(t.bill_texts), TEXT_AS_OF)
+    return extraction.extract_bills(extraction.readable(t.bill_texts), TEXT_AS_OF, at=_suggested_at())
 
 
 @query
@@ -571,17 +596,17 @@ def bill_text_lines(t: Ledger) -> DataFrame:
 
 @query
 def extract_provider(t: Ledger) -> DataFrame:
-    return _extracted(t).select("document_id", *parts("provider", "value", "status", "note"))
+    return _extracted(t).select("document_id", *parts("provider", "value", "status", "note"), *recorded("provider"))
 
 
 @query
 def extract_amount(t: Ledger) -> DataFrame:
-    return _extracted(t).select("document_id", *parts("amount_minor", "value", "status", "note"))
+    return _extracted(t).select("document_id", *parts("amount_minor", "value", "status", "note"), *recorded("amount_minor"))
 
 
 @query
 def extract_due_date(t: Ledger) -> DataFrame:
-    return _extracted(t).select("document_id", *parts("due_date", "value", "status", "note"))
+    return _extracted(t).select("document_id", *parts("due_date", "value", "status", "note"), *recorded("due_date"))
 
 
 @query
@@ -589,6 +614,20 @@ def extract_kind_frequency(t: Ledger) -> DataFrame:
     return _extracted(t).select("document_id", "detected_kind", "frequency")
 
 
+@query
+def extract_provider_whole_words(t: Ledger) -> DataFrame:
+    """Provider names that stand alone in free prose, where short ones are parts of many words."""
+    found = extraction.extract_bills(t.raw("documents").select("doc_id", "text"), TEXT_AS_OF, word_boundary=True)
+    return found.select("doc_id", *parts("provider", "value", "note"))
+
+
+@query
+def extract_kind_with_hint(t: Ledger) -> DataFrame:
+    """Kinds where the resident has said for some texts what they are about."""
+    hinted = extraction.readable(t.bill_texts).withColumn("said", F.when(F.col("order_key") % 3 == 0, "broadband"))
+    return extraction.extract_bills(hinted, TEXT_AS_OF, hint="said").select("document_id", "detected_kind")
+
+
 @query
 def extract_warnings(t: Ledger) -> DataFrame:
     found = _extracted(t)
@@ -621,26 +660,26 @@ def extract_document_corpus(t: Ledger) -> DataFrame:
 
 
 def _decisions(t: Ledger) -> DataFrame:
-    """Decisions on every other text; some had been decided otherwise a day before."""
+    """Two decisions a text, a day apart; those without a time have not been made yet."""
     key = F.col("order_key")
-    earlier = t.bill_texts.where(key % 4 == 0).select(
+    earlier = t.bill_texts.select(
         "document_id", F.lit("water").alias("kind"), F.lit("Earlier").alias("provider"),
         F.lit("£1").alias("amount_text"), F.lit("2026-04-04").cast("date").alias("due_date"),
-        F.lit("weekly").alias("frequency"), F.lit("2026-01-01").cast("timestamp").alias("decided_at"),
+        F.lit("weekly").alias("frequency"), F.when(key % 4 == 0, F.lit("2026-01-01").cast("timestamp")).alias("decided_at"),
     )
     return earlier.unionByName(_last_decisions(t))
 
 
 def _last_decisions(t: Ledger) -> DataFrame:
     key = F.col("order_key")
-    return t.bill_texts.where(key % 2 == 0).select(
+    return t.bill_texts.select(
         "document_id",
         F.when(key % 4 == 0, "gas").alias("kind"),
         F.when(key % 6 == 0, " Chosen Ltd ").alias("provider"),
         F.when(key % 10 == 0, "£12.34").when(key % 10 == 2, "unclear").alias("amount_text"),
         F.when(key % 14 == 0, F.lit("2026-05-05").cast("date")).alias("due_date"),
         F.lit(None).cast("string").alias("frequency"),
-        F.lit("2026-01-02").cast("timestamp").alias("decided_at"),
+        F.when(key % 2 == 0, F.lit("2026-01-02").cast("timestamp")).alias("decided_at"),
     )
 
 
@@ -777,7 +816,8 @@ def bill_commands(t: Ledger) -> DataFrame:
     Inserts come several to an id, and some name a bill there is; some notes are blank.
     """
     seq = F.col("event_id")
-    target = F.concat(F.lit("b-"), (seq % 7000).cast("string")).alias("bill_id")
+    # Ten events meet in three bills, all over the range of bills.
+    target = F.concat(F.lit("b-"), F.expr("(event_id - event_id % 10) * 3 div 2 + event_id % 3").cast("string")).alias("bill_id")
     events = t.raw("events")
     minor = F.round(F.col("value") * 100).cast("bigint")
     paid = C.paid_patches(
@@ -817,16 +857,17 @@ def reminders_from_bills(t: Ledger) -> DataFrame:
 
 @query
 def reminder_commands(t: Ledger) -> DataFrame:
-    """Reminders changed, added and removed by event; half of the events change nothing."""
+    """Reminders changed, added and removed by event; four events meet in one reminder."""
     seq = F.col("event_id")
     events = t.raw("events")
-    target = F.concat(F.lit("r-"), (seq % 3000).cast("string")).alias("reminder_id")
+    target = F.concat(F.lit("r-"), (seq - seq % 4).cast("string")).alias("reminder_id")
     patches = events.where((seq % 4 != 1) & (seq % 40 != 2)).select(
         target,
         seq.alias("seq"),
-        F.when(seq % 8 == 0, F.concat(F.lit("T"), seq.cast("string"))).alias("title"),
-        F.when(seq % 12 == 0, F.to_date("ts")).alias("due_at"),
-        F.when(seq % 4 == 0, seq % 16 == 0).alias("is_done"),
+        F.when(seq % 8 == 0, F.concat(F.lit("T"), seq.cast("string")))
+        .when(seq % 4 == 2, F.concat(F.lit("U"), seq.cast("string"))).alias("title"),
+        F.when((seq % 12 == 0) | (seq % 4 == 3), F.to_date("ts")).alias("due_at"),
+        F.when(seq % 4 == 0, seq % 16 == 0).when(seq % 4 == 3, seq % 3 == 0).alias("is_done"),
     )
     inserts = events.where(seq % 4 == 1).select(
         F.concat(F.lit("new-"), seq.cast("string")).alias("reminder_id"),
@@ -1059,7 +1100,7 @@ def json_bills_roundtrip(t: Ledger) -> DataFrame:
     return _reread(t, "bills").select(
         "bill_id", "household_id", "kind", *parts("provider"), *parts("amount_minor"),
         *parts("due_date"), iso("period_start").alias("period_start"), "frequency", "payment_status",
-        "document_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        "document_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "property_id",
     )
 
 
@@ -1068,7 +1109,7 @@ def json_slots_roundtrip(t: Ledger) -> DataFrame:
     return _reread(t, "service_slots").select(
         "slot_id", "household_id", "kind", *parts("provider"), *parts("account_number"),
         *parts("amount_minor"), *parts("next_due_date"), "frequency",
-        F.array_join("lookup_keys", ",").alias("lookup_keys"),
+        F.array_join("lookup_keys", ",").alias("lookup_keys"), "property_id",
     )
 
 
@@ -1078,7 +1119,8 @@ def json_households_roundtrip(t: Ledger) -> DataFrame:
     homes = documents.read_properties(parsed).select(
         "household_id", "line1", "line2", "town", "postcode", "uprn", "tenure", "is_demo_data"
     )
-    return documents.read_households(parsed).join(homes, "household_id", "left")
+    heads = documents.read_households(parsed).withColumnRenamed("is_demo_data", "document_is_demo_data")
+    return heads.join(homes, "household_id", "left")
 
 
 @query
@@ -1096,8 +1138,8 @@ def json_reminders_roundtrip(t: Ledger) -> DataFrame:
 @query
 def json_documents_roundtrip(t: Ledger) -> DataFrame:
     return _reread(t, "documents").select(
-        "document_id", "household_id", "kind", "title", "provider_name", "extracted_text", "bill_id",
-        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        "document_id", "household_id", "kind", "title", "provider_name", "content_type", "byte_size", "extracted_text",
+        "bill_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "property_id",
     )
 
 
@@ -1106,7 +1148,7 @@ def _messy_documents(t: Ledger) -> DataFrame:
     key = F.col("event_id")
     text = key.cast("string")
     bill = F.concat(
-        F.lit('{"id":"x-'), text, F.lit('","kind":"'),
+        F.lit('{"id":"x-'), text, F.when(key % 11 == 0, F.lit('","kind":"water')).otherwise(""), F.lit('","kind":"'),
         F.when(key % 3 == 0, "gas").otherwise(F.col("event_type")),
         F.lit('","amountMinor":{"value":'),
         F.when(key % 4 == 0, F.concat(F.lit('"'), text, F.lit('"')))
@@ -1159,20 +1201,40 @@ def json_unreadable_values(t: Ledger) -> DataFrame:
 
 @query
 def household_payloads(t: Ledger) -> DataFrame:
-    """What the payload documents hold, counted by reading them back."""
+    """What the payload lines hold, read back: a row per head and per item."""
     parsed = documents.parse_documents(documents.household_payloads(t.tables))
     doc = F.col("doc")
-    sizes = [
-        F.size(coerce.as_list(coerce.child(doc, f"$.{name}"))).cast("bigint").alias(f"{name}_count")
-        for name in documents.LISTS
-    ]
-    return parsed.select(
-        "household_id",
-        coerce.plain_string(doc, "$.id").alias("id"),
-        coerce.plain_string(doc, "$.name").alias("name"),
-        coerce.plain_string(doc, "$.property.postcode").alias("postcode"),
-        *sizes,
-        F.contains(F.col("text"), F.lit("extractedText")).alias("shows_text"),
+    heads = parsed.where("NOT item_line AND reason IS NULL").select(
+        "household_id", F.lit("head").alias("list"), coerce.as_string_or_null(doc["name"]).alias("id"),
+        coerce.as_string_or_null(doc["property"]["postcode"]).alias("kind"),
+        *[F.lit(None).cast("string").alias(c) for c in ("value", "status", "label")], F.lit(False).alias("shows_text"),
+    )
+
+    def text(path: str) -> Column:
+        return coerce.as_string_or_null(coerce.child(F.col("item"), path))
+
+    items = documents.tagged_items(parsed).select(
+        "household_id", "list", text("$.id").alias("id"),
+        F.coalesce(text("$.kind"), text("$.role")).alias("kind"),
+        F.coalesce(text("$.amountMinor.value"), text("$.title"), text("$.name")).alias("value"),
+        F.coalesce(text("$.amountMinor.status"), text("$.billId"), text("$.isDone"), text("$.hasAcceptedInvite")).alias("status"),
+        F.coalesce(text("$.provider.value"), text("$.providerName"), text("$.dueAt"), text("$.isCurrentUser")).alias("label"),
+        coerce.child(F.col("item"), "$.extractedText").isNotNull().alias("shows_text"),
+    )
+    return heads.unionByName(items)
+
+
+@query
+def payload_pieces(t: Ledger) -> DataFrame:
+    """Of each household's payload text: its pieces and commas, and where they stand."""
+    pieces = documents.payload_pieces(t.tables)
+    starts = F.when(F.startswith("piece", F.lit(",")), 1).otherwise(0)
+    return pieces.groupBy("household_id").agg(
+        F.count("*").alias("piece_count"),
+        F.sum(starts.cast("bigint")).alias("comma_count"),
+        F.sum(F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint")).alias("frame_count"),
+        F.max(F.when(F.col("kind") == 0, F.struct("list", "piece")))["piece"].alias("last_piece"),
+        F.countDistinct(F.when(F.col("kind") == 1, F.col("list"))).alias("filled_lists"),
     )
 
 
@@ -1184,6 +1246,31 @@ def relational_fields(t: Ledger) -> DataFrame:
     return back.select("bill_id", *parts("provider"), *parts("amount_minor"), *parts("due_date"))
 
 
+def _damaged_bills(t: Ledger) -> DataFrame:
+    """Stored bills with amounts that are no field, of another type, or badly named, by bill number."""
+    number = F.substring("bill_id", 3, 20).cast("bigint") % 16
+    stored = relational.encode_fields(t.bills, "bills")
+    text = (
+        F.when(number == 3, "oops").when(number == 5, "[1]")
+        .when(number == 7, '{"value":"12","source":"none","source":"userEntered","status":"confirmed"}')
+        .when(number == 9, '{"value":"lots","source":"rumour","status":"sure"}')
+        .when(number == 11, '{"value":7,"source":"rumour","status":"confirmed","recordedAt":"yesterday"}')
+        .when(number == 13, '{"value":1}}')
+    )
+    return stored.withColumn("amount_minor", F.coalesce(text, "amount_minor"))
+
+
+@query
+def relational_damaged_fields(t: Ledger) -> DataFrame:
+    return relational.decode_fields(_damaged_bills(t), "bills").select("bill_id", *parts("amount_minor"), *parts("due_date"))
+
+
+@query
+def relational_unreadable(t: Ledger) -> DataFrame:
+    """What decoding the damaged bills leaves out, and why."""
+    return relational.unreadable_fields(_damaged_bills(t), "bills", "bill_id").select("bill_id", "field", codes(), "text")
+
+
 @query
 def document_listing(t: Ledger) -> DataFrame:
     listed = relational.list_documents(t.documents)
@@ -1212,3 +1299,29 @@ def address_feed(t: Ledger) -> DataFrame:
         F.concat(F.lit('{"results":['), first, F.lit(',{"LPI":{"UPRN":"1"}}]}')).alias("json"),
     )
     return addresses.parse_feed(responses)
+
+
+def _damaged_feed(t: Ledger) -> DataFrame:
+    """A feed response per customer, some broken as a whole or in single results."""
+    key = F.col("c_custkey") % 13
+    json = (
+        F.when(key == 1, "oops").when(key == 2, "[1]").when(key == 3, '{"results":"none"}').when(key == 4, "{}")
+        .when(key == 5, '{"results":[]}')
+        .when(key == 6, '{"results":["text",7,{"LPI":{"UPRN":"1"}},{"DPA":[]},{"DPA":{"UPRN":"9","POST_TOWN":"Hull"}}]}')
+        .when(key == 7, '{"results":[{"DPA":{"UPRN":"7"}}]}}')
+        .otherwise(F.concat(F.lit('{"results":[{"DPA":{"UPRN":"'), F.col("c_custkey").cast("string"), F.lit('"}}]}')))
+    )
+    return t.raw("customer").select("c_custkey", F.lit("LS9 9ZZ").alias("postcode"), json.alias("json"))
+
+
+@query
+def address_feed_damaged(t: Ledger) -> DataFrame:
+    """The addresses that the damaged feed still gives."""
+    return addresses.parse_feed(_damaged_feed(t))
+
+
+@query
+def address_feed_quarantine(t: Ledger) -> DataFrame:
+    return addresses.feed_quarantine(addresses.read_feed(_damaged_feed(t))).select(
+        "c_custkey", F.col("position").cast("bigint").alias("position"), "reason", "json"
+    )

@@ -1,27 +1,50 @@
-"""Aggregate household documents: one JSON object with a household's whole state.
+"""Aggregate household documents: JSON with a household's whole state.
 
-Reading keeps every input row: what cannot be used goes to a quarantine table with
-a reason. Writing splits very large households over several *parts*, each a valid
-document of bounded size, because no row (and no task) should have to hold a
-household of any size. Reading puts the parts together again.
+A document is one JSON object, or comes as *lines*: a head line with what the household is, and a
+line for each item of its lists with its position. Every line is a small document of its own,
+so both are read by the same functions, and a household of any size is written and read without a
+row or task that holds it. `document_pieces` gives the text of the one object in
+order, to be passed on as it comes.
+
+Reading keeps every input row: what cannot be used goes to a quarantine table with a reason. Each
+text is parsed once, into typed head members and lists of VARIANT items.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearthbook import schema as S
 from hearthbook.functions import coerce, fields as P, scalars as X
-from hearthbook.plans.joins import join_checked
 
-# Members keep their order; their position is part * PART_STRIDE + index in the part.
-PART_STRIDE = 1_000_000
-# Keeps a part a few megabytes long, well below what a VARIANT may hold.
-ITEMS_PER_PART = 4_000
-VARIANT_BYTES = 128 * 1024 * 1024
+LISTS = ("services", "bills", "documents", "reminders", "members")
+
+# Members of list items: undecoded ones, names read as text, and provenance fields.
+_PLAIN = {
+    "services": "id propertyId lookupKeys note",
+    "bills": "id propertyId periodStart periodEnd documentId notes createdAt updatedAt",
+    "documents": "id propertyId title providerName fileName contentType byteSize storageKey extractedText notes billId addedAt",
+    "reminders": "id propertyId title dueAt note billId isDone",
+    "members": "id name email hasAcceptedInvite isCurrentUser",
+}
+_NAMES = {
+    "services": "kind frequency", "bills": "kind frequency paymentStatus", "documents": "kind", "reminders": "kind", "members": "role",
+}
+_FIELDS = {"services": "provider accountNumber amountMinor nextDueDate", "bills": "provider amountMinor dueDate"}
+
+_HOME = ("id", "line1", "line2", "town", "postcode", "uprn", "tenure", "addressSource", "isDemoData")
+_HEAD = ("version", "householdId", "itemLine", "pos", "name", "currentMemberId", "onboardingComplete", "isDemoData")
+
+
+def _document(item: str) -> str:
+    """The schema of a document whose lists hold items of a type."""
+    members = [f"{name}: variant" for name in _HEAD]
+    members.append("property: struct<" + ", ".join(f"{name}: variant" for name in _HOME) + ">")
+    return "struct<" + ", ".join(members + [f"{name}: array<{item}>" for name in LISTS]) + ">"
+
 
 # --------------------------------------------------------------------------
 # Reading
@@ -29,80 +52,94 @@ VARIANT_BYTES = 128 * 1024 * 1024
 
 
 def parse_documents(raw: DataFrame, text: str = "json", key: str | None = S.KEY) -> DataFrame:
-    """Parse JSON text into ``household_id, part, doc (VARIANT), text, reason``.
+    """Parse JSON text into ``household_id, item_line, pos, doc, text, reason``.
 
-    ``key`` names the column with the household id; with None it is read from the
-    document's ``householdId``. ``reason`` is null for usable documents. All the tables
-    below read this one: write it out first if parsing once matters.
+    ``key`` names the column with the household id; with None it is read from the document's
+    ``householdId``. ``reason`` is null for usable documents; ``item_line`` says that the text is the
+    line of an item, at ``pos``. Of repeated keys the last one counts. All the tables below read this one; write it, or its
+    ``tagged_items``, out first if several of them are wanted.
     """
-    # The parser stops after the first value, so trailing junk has to be looked for:
-    # inside brackets only "]" could hide some, before a further member only ",".
-    listed = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit("]")))
-    ended = F.get_json_object(F.concat(F.lit('{"doc":'), F.col(text), F.lit(',"end":1}')), "$.end")
-    parsed = raw.withColumn("_list", listed).withColumn(
-        "_doc",
-        F.when(
-            coerce.child(F.col("_list"), "$[1]").isNull() & (ended == "1"),
-            coerce.child(F.col("_list"), "$[0]"),
-        ),
-    )
+    parsed = raw.withColumn("_doc", F.coalesce(coerce.whole_object(F.col(text), _document("variant")), _without_lists(F.col(text))))
     doc = F.col("_doc")
-    inner = coerce.as_int(coerce.child(doc, "$.householdId"))
-    version = coerce.as_int(coerce.child(doc, "$.version"))
-    versioned = coerce.child(doc, "$.version").isNotNull()
-    household = inner if key is None else F.col(key)
+    household = coerce.as_int(doc["householdId"]) if key is None else F.col(key)
     reason = (
-        F.when(doc.isNull() & (F.octet_length(F.col(text)) > VARIANT_BYTES), "too_large")
+        F.when(doc.isNull() & coerce.some_value(F.col(text)), "not_an_object")
         .when(doc.isNull(), "not_json")
-        .when(~coerce.is_object(doc), "not_an_object")
-        .when(versioned & ~version.eqNullSafe(F.lit(S.DOCUMENT_VERSION)), "unknown_version")
+        .when(doc["version"].isNotNull() & ~coerce.as_int(doc["version"]).eqNullSafe(F.lit(S.DOCUMENT_VERSION)), "unknown_version")
         .when(household.isNull(), "no_household_id")
     )
     return parsed.select(
-        household.alias(S.KEY),
-        F.coalesce(coerce.as_int(coerce.child(doc, "$.part")), F.lit(0)).alias("part"),
-        doc.alias("doc"),
-        F.col(text).alias("text"),
-        reason.alias("reason"),
+        household.alias(S.KEY), coerce.as_bool(doc["itemLine"]).alias("item_line"), coerce.as_int(doc["pos"]).alias("pos"), doc.alias("doc"), F.col(text).alias("text"), reason.alias("reason")
     )
 
 
+def _without_lists(text: Column) -> Column:
+    """The head members of a document that can't be read with its lists: an item may repeat a key, which no VARIANT does.
+
+    Only looked at for such texts; their lists are read by ``_list``.
+    """
+    def head(doc: Column) -> Column:
+        lists = [F.lit(None).cast("array<variant>").alias(name) for name in LISTS]
+        return F.when(doc.isNotNull(), F.struct(*[doc[name].alias(name) for name in (*_HEAD, "property")], *lists))
+
+    return F.get(F.transform(F.array(coerce.whole_object(text, _document("string"))), head), F.lit(0))
+
+
 def quarantine(parsed: DataFrame) -> DataFrame:
     """The documents that could not be used, with the reason and their text."""
     bad = F.when(F.col("reason").isNotNull(), F.struct(S.KEY, "reason", "text"))
     return parsed.select(_one_or_none(bad))
 
 
-def _usable(node: Column) -> Column:
-    """The node where the document is usable, else null.
+def _one_or_none(row: Column) -> Column:
+    """The struct as a row if it is not null: like a filter, but kept above the parsing."""
+    return F.inline(F.array_compact(F.array(row)))
+
 
-    A condition inside the projection: a filter would be pushed below it and parse
-    the text once more.
+def _list(name: str) -> Column:
+    """The items of a list of a usable document, null where there are none.
+
+    A VARIANT has no repeated keys, so a list in which an item repeats one does not come
+    out of the parse. Such a list is read again, item by item into typed members.
     """
-    return F.when(F.col("reason").isNull(), node)
+    fields = [f"{n}: struct<{P.STORED}>" for n in _FIELDS.get(name, "").split()]
+    members = [f"{n}: variant" for n in _PLAIN[name].split()] + [f"{n}: string" for n in _NAMES[name].split()] + fields
+    again = F.from_json(F.col("text"), f"struct<{name}: array<string>>")[name]
+    typed = F.transform(again, lambda item: F.to_variant_object(F.from_json(item, f"struct<{', '.join(members)}>")))
+    missed = F.when(F.contains(F.col("text"), F.lit(f'"{name}"')), typed)
+    return F.when(F.col("reason").isNull(), F.coalesce(F.col("doc")[name], missed))
 
 
-def _one_or_none(row: Column) -> Column:
-    """The struct as a row if it is not null: like a filter, but kept above the parsing."""
-    return F.inline(F.array_compact(F.array(row)))
+def tagged_items(parsed: DataFrame, lists: Sequence[str] = LISTS) -> DataFrame:
+    """``household_id, list, pos, item (VARIANT)``: the items of several lists from one parse of each text.
+
+    What the readers of lists make tables of. ``pos`` is the item's place in its list, from 0, or
+    what its line says.
+    """
+    def tagged(name: str) -> Column:
+        return F.transform(
+            _list(name), lambda item, i: F.struct(F.lit(name).alias("list"), F.when(F.col("item_line"), F.col("pos")).otherwise(i).alias("pos"), item.alias("item"))
+        )
+
+    several = [F.coalesce(tagged(name), F.array().cast("array<struct<list: string, pos: bigint, item: variant>>")) for name in lists]
+    return parsed.select(S.KEY, F.inline(F.concat(*several) if len(several) > 1 else several[0]))
 
 
-def _items(parsed: DataFrame, name: str, plain: str, fields: str = "", enums: str = "kind") -> DataFrame:
-    """One row per list item that is an object with an id.
+def _items(source: DataFrame, name: str) -> DataFrame:
+    """One row per list item that is an object with an id, from parsed documents or tagged items.
 
-    Columns: the household, ``part``, ``pos``, ``s`` (the undecoded plain members as a
-    struct, enum names as text) and one undecoded struct per provenance field.
+    Columns: the household, ``pos``, ``s`` (the undecoded plain members as a struct, enum
+    names as text) and one undecoded struct per provenance field.
     """
-    items = coerce.as_object_list(_usable(coerce.child(F.col("doc"), f"$.{name}")))
-    exploded = parsed.select(S.KEY, "part", F.posexplode(items).alias("pos", "item"))
-    named = exploded.where(coerce.as_string(coerce.child(F.col("item"), "$.id")) != "")
+    tagged = source if "item" in source.columns else tagged_items(source, [name])
+    item, fields = F.col("item"), _FIELDS.get(name, "").split()
+    named = tagged.where((F.col("list") == name) & (coerce.as_string(coerce.child(item, "$.id")) != ""))
     opened = named.select(
-        S.KEY, "part", "pos",
-        coerce.members(F.col("item"), "id", *plain.split(), *fields.split(), texts=enums.split()).alias("s"),
+        S.KEY, "pos", coerce.members(item, *_PLAIN[name].split(), *fields, texts=_NAMES[name].split()).alias("s")
     )
     if not fields:
         return opened
-    return opened.select("*", *[P.nodes(F.col("s")[field]).alias(field) for field in fields.split()])
+    return opened.select("*", *[P.nodes(F.col("s")[field]).alias(field) for field in fields])
 
 
 def _node(name: str) -> Column:
@@ -117,7 +154,7 @@ def _optional(name: str) -> Column:
     return coerce.as_string_or_null(_node(name))
 
 
-def _value_text(node: Column) -> Column:
+def value_text(node: Column) -> Column:
     """Text of a field value: scalars as text, nothing for lists and objects."""
     return F.nullif(coerce.as_string(node, "\0"), F.lit("\0"))
 
@@ -126,30 +163,27 @@ def _field(name: str, as_value: Callable[[Column], Column]) -> Column:
     return P.decode(F.col(name), as_value)
 
 
-def _heads_of(parsed: DataFrame, path: str, *names: str) -> DataFrame:
-    """One row per usable first part that has an object at ``path``; members as ``s``."""
-    node = coerce.child(F.col("doc"), path)
-    head = F.struct(S.KEY, coerce.members(node, *names).alias("s"))
-    wanted = F.col("reason").isNull() & (F.col("part") == 0) & coerce.is_object(node)
-    return parsed.select(_one_or_none(F.when(wanted, head)))
+def _heads_of(parsed: DataFrame, wanted: Column, node: Column) -> DataFrame:
+    """``household_id, s``: the node of each head (a whole document, or the head line) that is wanted."""
+    head = F.struct(S.KEY, node.alias("s"))
+    return parsed.select(_one_or_none(F.when(F.col("reason").isNull() & ~F.col("item_line") & wanted, head)))
 
 
 def read_households(parsed: DataFrame) -> DataFrame:
-    heads = _heads_of(parsed, "$", "name", "property", "currentMemberId", "onboardingComplete")
+    heads = _heads_of(parsed, F.lit(True), F.col("doc"))
     return heads.select(
         S.KEY,
         _optional("name").alias("name"),
-        coerce.as_string_or_null(coerce.child(_node("property"), "$.id")).alias("property_id"),
+        coerce.as_string_or_null(_node("property")["id"]).alias("property_id"),
         _optional("currentMemberId").alias("current_member_id"),
         coerce.as_bool(_node("onboardingComplete")).alias("onboarding_complete"),
+        coerce.as_bool(_node("isDemoData")).alias("is_demo_data"),
     )
 
 
 def read_properties(parsed: DataFrame) -> DataFrame:
-    heads = _heads_of(
-        parsed, "$.property",
-        "id", "line1", "line2", "town", "postcode", "uprn", "tenure", "addressSource", "isDemoData",
-    )
+    home = F.col("doc")["property"]
+    heads = _heads_of(parsed, home.isNotNull(), home)
     return heads.where(_text("id") != "").select(
         _text("id").alias("property_id"),
         S.KEY,
@@ -165,39 +199,30 @@ def read_properties(parsed: DataFrame) -> DataFrame:
 
 
 def read_slots(parsed: DataFrame) -> DataFrame:
-    items = _items(
-        parsed, "services", "lookupKeys note", "provider accountNumber amountMinor nextDueDate",
-        enums="kind frequency",
-    )
-    return items.select(
+    return _items(parsed, "services").select(
         _text("id").alias("slot_id"),
         S.KEY,
         X.service_kind(_node("kind")).alias("kind"),
-        _field("provider", _value_text).alias("provider"),
-        _field("accountNumber", _value_text).alias("account_number"),
+        _field("provider", value_text).alias("provider"),
+        _field("accountNumber", value_text).alias("account_number"),
         _field("amountMinor", coerce.as_int).alias("amount_minor"),
         _field("nextDueDate", coerce.as_date).alias("next_due_date"),
         X.frequency(_node("frequency")).alias("frequency"),
         coerce.as_string_list(_node("lookupKeys")).alias("lookup_keys"),
         _optional("note").alias("note"),
+        _optional("propertyId").alias("property_id"),
     )
 
 
-BILL_VALUES = {"provider": _value_text, "amountMinor": coerce.as_int, "dueDate": coerce.as_date}
+BILL_VALUES = {"provider": value_text, "amountMinor": coerce.as_int, "dueDate": coerce.as_date}
 
 
 def read_bills(parsed: DataFrame) -> DataFrame:
-    items = _items(
-        parsed, "bills",
-        "periodStart periodEnd documentId notes createdAt updatedAt",
-        " ".join(BILL_VALUES),
-        enums="kind frequency paymentStatus",
-    )
-    return items.select(
+    return _items(parsed, "bills").select(
         _text("id").alias("bill_id"),
         S.KEY,
         X.service_kind(_node("kind")).alias("kind"),
-        _field("provider", _value_text).alias("provider"),
+        _field("provider", value_text).alias("provider"),
         _field("amountMinor", coerce.as_int).alias("amount_minor"),
         _field("dueDate", coerce.as_date).alias("due_date"),
         coerce.as_date(_node("periodStart")).alias("period_start"),
@@ -208,12 +233,13 @@ def read_bills(parsed: DataFrame) -> DataFrame:
         _optional("notes").alias("notes"),
         coerce.as_timestamp(_node("createdAt")).alias("created_at"),
         coerce.as_timestamp(_node("updatedAt")).alias("updated_at"),
+        _optional("propertyId").alias("property_id"),
     )
 
 
 def unreadable_values(parsed: DataFrame) -> DataFrame:
     """Bill values that are present but have no readable form (read as missing)."""
-    items = _items(parsed, "bills", "", " ".join(BILL_VALUES))
+    items = _items(parsed, "bills")
     codes = [F.when(P.undecodable(F.col(n), reader), n) for n, reader in BILL_VALUES.items()]
     return items.select(
         S.KEY, _text("id").alias("bill_id"), F.explode(F.array_compact(F.array(*codes))).alias("unreadable")
@@ -221,11 +247,7 @@ def unreadable_values(parsed: DataFrame) -> DataFrame:
 
 
 def read_documents(parsed: DataFrame) -> DataFrame:
-    items = _items(
-        parsed, "documents",
-        "title providerName fileName contentType byteSize storageKey extractedText notes billId addedAt",
-    )
-    return items.select(
+    return _items(parsed, "documents").select(
         _text("id").alias("document_id"),
         S.KEY,
         X.document_kind(_node("kind")).alias("kind"),
@@ -239,11 +261,12 @@ def read_documents(parsed: DataFrame) -> DataFrame:
         _optional("notes").alias("notes"),
         _optional("billId").alias("bill_id"),
         coerce.as_timestamp(_node("addedAt")).alias("created_at"),
+        _optional("propertyId").alias("property_id"),
     )
 
 
 def read_reminders(parsed: DataFrame) -> DataFrame:
-    return _items(parsed, "reminders", "title dueAt note billId isDone").select(
+    return _items(parsed, "reminders").select(
         _text("id").alias("reminder_id"),
         S.KEY,
         X.reminder_kind(_node("kind")).alias("kind"),
@@ -252,12 +275,12 @@ def read_reminders(parsed: DataFrame) -> DataFrame:
         _optional("note").alias("note"),
         _optional("billId").alias("bill_id"),
         coerce.as_bool(_node("isDone")).alias("is_done"),
+        _optional("propertyId").alias("property_id"),
     )
 
 
 def read_members(parsed: DataFrame) -> DataFrame:
-    items = _items(parsed, "members", "name email hasAcceptedInvite isCurrentUser", enums="role")
-    return items.select(
+    return _items(parsed, "members").select(
         _text("id").alias("member_id"),
         S.KEY,
         _text("name", S.MEMBER_NAME).alias("name"),
@@ -265,7 +288,7 @@ def read_members(parsed: DataFrame) -> DataFrame:
         X.role(_node("role")).alias("role"),
         coerce.as_bool(_node("hasAcceptedInvite"), True).alias("has_accepted_invite"),
         coerce.as_bool(_node("isCurrentUser")).alias("is_current_user"),
-        (F.col("part") * PART_STRIDE + F.col("pos")).cast("bigint").alias("pos"),
+        F.col("pos").cast("bigint").alias("pos"),
     )
 
 
@@ -280,9 +303,10 @@ READERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def household_tables(parsed: DataFrame) -> dict[str, DataFrame]:
-    """All ledger tables of the parsed documents."""
-    return {name: read(parsed) for name, read in READERS.items()}
+def household_tables(parsed: DataFrame, items: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All ledger tables of the parsed documents; lists from ``items`` if these are given (``tagged_items``, written out)."""
+    heads = ("households", "properties")
+    return {name: read(parsed if items is None or name in heads else items) for name, read in READERS.items()}
 
 
 # --------------------------------------------------------------------------
@@ -309,178 +333,69 @@ def _micros(name: str) -> Column:
     return F.coalesce(F.unix_micros(F.col(name)), F.lit(0))
 
 
-def _encoded_slots(slots: DataFrame) -> DataFrame:
-    return slots.select(
-        S.KEY,
-        F.lit("services").alias("list"),
-        X.kind_ordinal(F.col("kind")).cast("bigint").alias("rank"),
-        F.col("slot_id").alias("id"),
-        F.lit(1).cast("bigint").alias("weight"),
-        _json(
-            F.col("slot_id").alias("id"),
-            "kind",
-            _field_json("provider", "provider"),
-            _field_json("account_number", "accountNumber"),
-            _field_json("amount_minor", "amountMinor"),
-            "frequency",
-            _field_json("next_due_date", "nextDueDate"),
-            F.col("lookup_keys").alias("lookupKeys"),
-            "note",
-        ).alias("item"),
+def _entry(table: DataFrame, name: str, pos: Column, key: str, *members: Column | str) -> DataFrame:
+    """``household_id, list, pos, id, body``: the rows of a table as items of a list; list counts from 1."""
+    return table.select(
+        S.KEY, F.lit(LISTS.index(name) + 1).alias("list"), pos.cast("bigint").alias("pos"), F.col(key).alias("id"), _json(*members).alias("body")
     )
 
 
-def _encoded_bills(bills: DataFrame) -> DataFrame:
-    return bills.select(
-        S.KEY,
-        F.lit("bills").alias("list"),
-        _micros("created_at").alias("rank"),
-        F.col("bill_id").alias("id"),
-        F.lit(1).cast("bigint").alias("weight"),
-        _json(
-            F.col("bill_id").alias("id"),
-            "kind",
-            _field_json("provider", "provider"),
-            _field_json("amount_minor", "amountMinor"),
-            _field_json("due_date", "dueDate"),
-            F.col("period_start").alias("periodStart"),
-            F.col("period_end").alias("periodEnd"),
-            "frequency",
-            F.col("payment_status").alias("paymentStatus"),
-            F.col("document_id").alias("documentId"),
-            "notes",
-            F.col("created_at").alias("createdAt"),
-            F.col("updated_at").alias("updatedAt"),
-        ).alias("item"),
-    )
-
+def _with_property(table: DataFrame, homes: DataFrame) -> DataFrame:
+    """The table with ``property_id``, its own or else that of its household."""
+    return table if "property_id" in table.columns else table.join(homes, S.KEY, "left")
 
-def _encoded_documents(documents: DataFrame, with_text: bool) -> DataFrame:
-    text = [F.col("extracted_text").alias("extractedText")] if with_text else []
-    size = F.coalesce(F.length("extracted_text"), F.lit(0)) if with_text else F.lit(0)
-    return documents.select(
-        S.KEY,
-        F.lit("documents").alias("list"),
-        (-_micros("created_at")).alias("rank"),
-        F.col("document_id").alias("id"),
-        (F.lit(1) + F.call_function("div", size, F.lit(1000))).cast("bigint").alias("weight"),
-        _json(
-            F.col("document_id").alias("id"),
-            "kind",
-            "title",
-            F.col("provider_name").alias("providerName"),
-            F.col("file_name").alias("fileName"),
-            F.col("storage_key").alias("storageKey"),
-            *text,
-            "notes",
-            F.col("bill_id").alias("billId"),
-            F.col("created_at").alias("addedAt"),
-        ).alias("item"),
-    )
 
+def _entries(tables: dict[str, DataFrame], with_text: bool) -> DataFrame:
+    """All items of all lists; ``pos`` and then ``id`` are the order of a list.
 
-def _encoded_reminders(reminders: DataFrame) -> DataFrame:
-    return reminders.select(
-        S.KEY,
-        F.lit("reminders").alias("list"),
-        F.unix_date("due_at").cast("bigint").alias("rank"),
-        F.col("reminder_id").alias("id"),
-        F.lit(1).cast("bigint").alias("weight"),
-        _json(
-            F.col("reminder_id").alias("id"),
-            "kind",
-            "title",
-            F.col("due_at").alias("dueAt"),
-            "note",
-            F.col("bill_id").alias("billId"),
-            F.col("is_done").alias("isDone"),
-        ).alias("item"),
-    )
+    Documents name the property in each item, and hold transcripts; payloads do neither.
+    """
+    homes = tables["properties"].groupBy(S.KEY).agg(F.min("property_id").alias("property_id"))
+    home = [F.coalesce("property_id", F.lit("")).alias("propertyId")] if with_text else []
 
+    def placed(name: str) -> DataFrame:
+        return _with_property(tables[name], homes) if with_text else tables[name]
 
-def _encoded_members(members: DataFrame) -> DataFrame:
-    return members.select(
-        S.KEY,
-        F.lit("members").alias("list"),
-        F.col("pos").cast("bigint").alias("rank"),
-        F.col("member_id").alias("id"),
-        F.lit(1).cast("bigint").alias("weight"),
-        _json(
-            F.col("member_id").alias("id"),
-            "name",
-            "role",
-            "email",
-            F.col("is_current_user").alias("isCurrentUser"),
-            F.col("has_accepted_invite").alias("hasAcceptedInvite"),
-        ).alias("item"),
+    slots = _entry(
+        placed("service_slots"), "services", X.kind_ordinal(F.col("kind")), "slot_id",
+        F.col("slot_id").alias("id"), *home, "kind",
+        _field_json("provider", "provider"), _field_json("account_number", "accountNumber"), _field_json("amount_minor", "amountMinor"),
+        "frequency", _field_json("next_due_date", "nextDueDate"), F.col("lookup_keys").alias("lookupKeys"), "note",
     )
-
-
-LISTS = ("services", "bills", "documents", "reminders", "members")
-
-
-def _assemble(heads: DataFrame, empty_head: str, tables: dict[str, DataFrame], with_text: bool,
-              items_per_part: int) -> DataFrame:
-    """``household_id, part, json`` from head objects and the encoded child rows.
-
-    All lists are stacked and grouped once, by household and part. Large households
-    are found by counting, and only they get more than one part.
-    """
-    encoded = reduce(
-        DataFrame.unionByName,
-        [
-            _encoded_slots(tables["service_slots"]),
-            _encoded_bills(tables["bills"]),
-            _encoded_documents(tables["documents"], with_text),
-            _encoded_reminders(tables["reminders"]),
-            _encoded_members(tables["members"]),
-        ],
+    bills = _entry(
+        placed("bills"), "bills", _micros("created_at"), "bill_id",
+        F.col("bill_id").alias("id"), *home, "kind",
+        _field_json("provider", "provider"), _field_json("amount_minor", "amountMinor"), _field_json("due_date", "dueDate"),
+        F.col("period_start").alias("periodStart"), F.col("period_end").alias("periodEnd"), "frequency",
+        F.col("payment_status").alias("paymentStatus"), F.col("document_id").alias("documentId"), "notes",
+        F.col("created_at").alias("createdAt"), F.col("updated_at").alias("updatedAt"),
     )
-    large = (
-        encoded.groupBy(S.KEY)
-        .agg(F.sum("weight").alias("weight"))
-        .where(F.col("weight") > items_per_part)
-        .select(S.KEY, F.ceil(F.col("weight") / items_per_part).alias("parts"))
+    documents = _entry(
+        placed("documents"), "documents", -_micros("created_at"), "document_id",
+        F.col("document_id").alias("id"), *home, "kind", "title",
+        F.col("provider_name").alias("providerName"), F.col("file_name").alias("fileName"), F.col("content_type").alias("contentType"),
+        F.col("byte_size").alias("byteSize"), F.col("storage_key").alias("storageKey"),
+        *([F.col("extracted_text").alias("extractedText")] if with_text else []),
+        "notes", F.col("bill_id").alias("billId"), F.col("created_at").alias("addedAt"),
     )
-    placed = join_checked(encoded, large, [S.KEY], "left")
-    spread = F.pmod(F.xxhash64("list", "id"), F.coalesce("parts", F.lit(1)))
-    in_order = F.call_function("div", F.col("rank"), F.lit(items_per_part))
-    part = F.when(F.col("list") == "members", in_order).otherwise(spread)
-    rows = placed.select(
-        S.KEY, part.cast("bigint").alias("part"), "list",
-        F.struct("rank", "id", "item").alias("entry"),
-    ).unionByName(heads.select(S.KEY, F.lit(0).cast("bigint").alias("part"), "head"),
-                  allowMissingColumns=True)
-    lists = [
-        F.sort_array(F.collect_list(F.when(F.col("list") == name, F.col("entry")))).alias(name)
-        for name in LISTS
-    ]
-    # Spread by household and part before grouping: after a shuffled join the rows of a
-    # large household would otherwise stay together.
-    spread_rows = rows.repartition(S.KEY, "part")
-    grouped = spread_rows.groupBy(S.KEY, "part").agg(F.max("head").alias("head"), *lists)
-    bodies = []
-    for name in LISTS:
-        items = F.transform(F.col(name), lambda entry: entry["item"])
-        bodies += [F.lit(f',"{name}":['), F.array_join(items, ","), F.lit("]")]
-    return grouped.select(
-        S.KEY,
-        "part",
-        F.concat(
-            F.lit('{"version":' + str(S.DOCUMENT_VERSION) + ',"householdId":'),
-            F.col(S.KEY).cast("string"),
-            F.lit(',"part":'),
-            F.col("part").cast("string"),
-            F.lit(","),
-            F.coalesce("head", F.lit(empty_head)),
-            *bodies,
-            F.lit("}"),
-        ).alias("json"),
+    reminders = _entry(
+        placed("reminders"), "reminders", F.unix_date("due_at"), "reminder_id",
+        F.col("reminder_id").alias("id"), *home, "kind", "title", F.col("due_at").alias("dueAt"), "note",
+        F.col("bill_id").alias("billId"), F.col("is_done").alias("isDone"),
     )
+    members = _entry(
+        tables["members"], "members", F.col("pos"), "member_id",
+        F.col("member_id").alias("id"), "name", "role", "email",
+        F.col("is_current_user").alias("isCurrentUser"), F.col("has_accepted_invite").alias("hasAcceptedInvite"),
+    )
+    return reduce(DataFrame.unionByName, [slots, bills, documents, reminders, members])
+
 
+def _heads(households: DataFrame, properties: DataFrame, items: DataFrame, *columns: Column) -> DataFrame:
+    """``household_id, body``: what a document says before its lists.
 
-def _heads(households: DataFrame, properties: DataFrame, *columns: Column) -> DataFrame:
-    """What a document says before its lists; a property of an unknown household is kept too."""
+    A property of an unknown household has a head too, and so has a household of which only items are known.
+    """
     home = properties.select(
         S.KEY,
         F.struct(
@@ -495,35 +410,102 @@ def _heads(households: DataFrame, properties: DataFrame, *columns: Column) -> Da
             F.col("is_demo_data").alias("isDemoData"),
         ).alias("property"),
     )
-    joined = households.join(home, S.KEY, "full")
-    text = _json(*columns, F.col("property"))
-    return joined.select(S.KEY, F.substr(text, F.lit(2), F.length(text) - 2).alias("head"))
+    known = households.join(home, S.KEY, "full")
+    strays = items.select(S.KEY).distinct().join(known, S.KEY, "left_anti").select(S.KEY, F.lit('{"property":null}').alias("body"))
+    return known.select(S.KEY, _json(*columns, F.col("property")).alias("body")).unionByName(strays)
+
+
+def _opening() -> Column:
+    return F.concat(F.lit('{"version":' + str(S.DOCUMENT_VERSION) + ',"householdId":'), F.coalesce(F.col(S.KEY).cast("string"), F.lit("null")), F.lit(","))
+
+
+def _inside(body: Column) -> Column:
+    """The members of an object, without its braces."""
+    return F.substr(body, F.lit(2), F.length(body) - 2)
+
+
+def _lines(heads: DataFrame, items: DataFrame) -> DataFrame:
+    """``household_id, list, pos, id, json``: a head line per household (list 0) and a line per item."""
+    head = heads.select(
+        S.KEY, F.lit(0).alias("list"), F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("id"),
+        F.concat(_opening(), _inside(F.col("body")), F.lit("}")).alias("json"),
+    )
+    place = F.coalesce(F.col("pos").cast("string"), F.lit("null"))
+    item = F.concat(
+        _opening(), F.lit('"itemLine":true,"pos":'), place, F.lit(',"'), F.element_at(coerce.names(LISTS), F.col("list")), F.lit('":['), F.col("body"), F.lit("]}")
+    )
+    return head.unionByName(items.select(S.KEY, "list", "pos", "id", item.alias("json")))
+
 
+def _pieces(heads: DataFrame, items: DataFrame) -> DataFrame:
+    """``household_id, list, kind, pos, id, piece``: text that in the order of these columns is one JSON object per household.
 
-def household_documents(tables: dict[str, DataFrame], items_per_part: int = ITEMS_PER_PART) -> DataFrame:
-    """Aggregate documents, transcripts included: what ``parse_documents`` reads back."""
+    Before the items of each list stands a piece that opens it (kind 0); a last one closes the object.
+    Nothing is gathered: the first item of each list, which has no comma before it, is found by a minimum.
+    """
+    opens = F.array(*[
+        F.struct(
+            F.lit(i + 1).alias("list"),
+            (F.concat(_opening(), _inside(F.col("body")), F.lit(',"' + name + '":[')) if i == 0 else F.lit('],"' + name + '":[')).alias("piece"),
+        )
+        for i, name in enumerate(LISTS)
+    ], F.struct(F.lit(len(LISTS) + 1).alias("list"), F.lit("]}").alias("piece")))
+    frames = heads.select(S.KEY, F.inline(opens)).select(
+        S.KEY, "list", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("id"), "piece"
+    )
+    first = items.groupBy(S.KEY, "list").agg(F.min(F.struct("pos", "id")).alias("first"))
+    leads = F.struct("pos", "id").eqNullSafe(F.col("first"))
+    return frames.unionByName(
+        items.join(first, [S.KEY, "list"]).select(
+            S.KEY, "list", F.lit(1).alias("kind"), "pos", "id", F.concat(F.when(leads, "").otherwise(","), F.col("body")).alias("piece")
+        )
+    )
+
+
+def _document_parts(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    own = "is_demo_data" in tables["households"].columns
+    items = _entries(tables, True)
     heads = _heads(
-        tables["households"],
-        tables["properties"],
+        tables["households"], tables["properties"], items,
         F.col("name"),
         F.col("current_member_id").alias("currentMemberId"),
         F.col("onboarding_complete").alias("onboardingComplete"),
-        F.coalesce(F.col("property")["isDemoData"], F.lit(False)).alias("isDemoData"),
+        F.coalesce(*([F.col("is_demo_data")] if own else []), F.col("property")["isDemoData"], F.lit(False)).alias("isDemoData"),
     )
-    return _assemble(heads, '"property":null', tables, True, items_per_part)
+    return heads, items
+
+
+def _payload_parts(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    items = _entries(tables, False)
+    return _heads(tables["households"], tables["properties"], items, F.col(S.KEY).cast("string").alias("id"), F.col("name")), items
+
 
+def household_documents(tables: dict[str, DataFrame]) -> DataFrame:
+    """Aggregate documents as lines, transcripts included: what ``parse_documents`` reads back."""
+    return _lines(*_document_parts(tables))
 
-def household_payloads(tables: dict[str, DataFrame], items_per_part: int = ITEMS_PER_PART) -> DataFrame:
+
+def household_payloads(tables: dict[str, DataFrame]) -> DataFrame:
     """What a client gets of a household: as the document, without transcripts."""
-    heads = _heads(
-        tables["households"],
-        tables["properties"],
-        F.col(S.KEY).cast("string").alias("id"),
-        F.col("name"),
-    )
-    return _assemble(heads, '"property":null', tables, False, items_per_part)
+    return _lines(*_payload_parts(tables))
+
+
+def document_pieces(tables: dict[str, DataFrame]) -> DataFrame:
+    """The documents as pieces of text: in order, those of a household are one JSON object, whatever its size."""
+    return _pieces(*_document_parts(tables))
+
+
+def payload_pieces(tables: dict[str, DataFrame]) -> DataFrame:
+    """The payloads as pieces of text: in order, those of a household are one JSON object, whatever its size."""
+    return _pieces(*_payload_parts(tables))
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """Lines or pieces in order over range partitions, so that a large household is spread over several."""
+    keys = [c for c in (S.KEY, "list", "kind", "pos", "id") if c in lines.columns]
+    return lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One document per line, to be read with ``spark.read.text``."""
-    documents.select("json").write.mode("overwrite").text(path)
+def write_documents(lines: DataFrame, path: str) -> None:
+    """One line of a document per line of text, in order, to be read with ``spark.read.text``."""
+    in_order(lines).select("json").write.mode("overwrite").text(path)

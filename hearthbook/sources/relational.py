@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from hearthbook import schema as S
+from hearthbook.functions import coerce, fields as P
+from hearthbook.sources.documents import value_text
 
 FIELD_COLUMNS = {
     "service_slots": {
@@ -26,18 +28,22 @@ def _camel(name: str) -> str:
     return head + "".join(part.title() for part in rest)
 
 
+_READERS = {"string": value_text, "bigint": coerce.as_int, "date": coerce.as_date}
+
+
+def _stored(text: Column) -> Column:
+    """The members of a field's JSON text, still undecoded; null for what is no JSON object."""
+    return coerce.whole_object(text, f"struct<{P.STORED}>")
+
+
 def field_from_json(text: Column, field: T.StructType) -> Column:
-    """A field from its JSON text. Unreadable text gives a missing field."""
-    stored = T.StructType([T.StructField(_camel(f.name), f.dataType) for f in field.fields])
-    parsed = F.from_json(text, stored, {"mode": "PERMISSIVE"})
-    held = parsed["value"].isNotNull()
-    return F.struct(
-        parsed["value"].alias("value"),
-        F.coalesce(parsed["source"], F.lit("none")).alias("source"),
-        F.when(held, F.coalesce(parsed["status"], F.lit("missing"))).otherwise("missing").alias("status"),
-        parsed["recordedAt"].alias("recorded_at"),
-        parsed["note"].alias("note"),
-    )
+    """A field from its JSON text, read as tolerantly as those of documents.
+
+    Values are read by what they are (`"12"` is an amount of 12), unknown names fall back, and text
+    that can't be read gives a missing field; ``unreadable_fields`` says what was not understood.
+    """
+    reader = _READERS[field["value"].dataType.simpleString()]
+    return F.get(F.transform(F.array(_stored(text)), lambda stored: P.decode(stored, reader)), F.lit(0))
 
 
 def decode_fields(table: DataFrame, name: str) -> DataFrame:
@@ -46,6 +52,32 @@ def decode_fields(table: DataFrame, name: str) -> DataFrame:
     return table.withColumns({c: field_from_json(F.col(c), t) for c, t in fields.items()})
 
 
+def _problems(text: Column, field: T.StructType) -> Column:
+    """Codes of what decoding a field's text left out; none for null text."""
+    reader = _READERS[field["value"].dataType.simpleString()]
+
+    def codes(stored: Column) -> Column:
+        when = stored["recordedAt"]
+        return F.array_compact(F.array(
+            F.when(stored.isNull(), "not_an_object"),
+            F.when(P.undecodable(stored, reader), "unreadable_value"),
+            F.when(~F.coalesce(stored["source"], F.lit("none")).isin(*S.FIELD_SOURCES), "unknown_source"),
+            F.when(~F.coalesce(stored["status"], F.lit("missing")).isin(*S.FIELD_STATUSES), "unknown_status"),
+            F.when(when.isNotNull() & coerce.timestamp(when).isNull(), "unreadable_time"),
+        ))
+
+    found = F.get(F.transform(F.array(_stored(text)), codes), F.lit(0))
+    return F.when(text.isNotNull(), found).otherwise(F.array().cast("array<string>"))
+
+
+def unreadable_fields(table: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``*keys, field, codes, text``: the stored fields of which decoding leaves something out."""
+    each = F.array(*[
+        F.struct(F.lit(c).alias("field"), _problems(F.col(c), t).alias("codes"), F.col(c).alias("text")) for c, t in FIELD_COLUMNS[name].items()
+    ])
+    return table.select(*keys, F.inline(F.filter(each, lambda e: F.size(e["codes"]) > 0)))
+
+
 def encode_fields(table: DataFrame, name: str) -> DataFrame:
     """Field structs back to JSON text, nulls written out."""
     def text(column: str) -> Column:
