@@ -101,14 +101,15 @@ _WS = f"[{coerce.SPACE}]"
 PROVIDER_LABEL = rf"Provider:{_WS}*(\w+)"
 MONEY = rf"£{_WS}?([0-9][0-9,]*\.?[0-9]{{0,2}})"
 _DIGIT_DATE = r"[0-9]{1,2}[/\-.][0-9]{1,2}[/\-.][0-9]{2,4}"
-DUE_DATE = (
-    r"(?i)(?:due date|due on|due by|payment due|please pay by|pay by|instalment due|next payment|due\b)"
+_NEAR_DUE = (
+    r"(?:due date|due on|due by|payment due|please pay by|pay by|instalment due|next payment|due\b)"
     rf"{_WS}*[^0-9]{{0,24}}"
     rf"({_DIGIT_DATE}"
     r"|[0-9]{4}-[0-9]{2}-[0-9]{2}"
     rf"|[0-9]{{1,2}}(?:st|nd|rd|th)?{_WS}+(?:of{_WS}+)?[A-Za-z]{{3,9}}{_WS}+[0-9]{{2,4}}"
     rf"|[A-Za-z]{{3,9}}{_WS}+[0-9]{{1,2}}(?:st|nd|rd|th)?,?{_WS}+[0-9]{{2,4}})"
 )
+DUE_DATE = rf"(?i){_NEAR_DUE}"
 LOOSE_DUE_DATE = rf"(?i)due[^0-9A-Za-z]{{0,8}}({_DIGIT_DATE})"
 # The date shapes: ISO, day-month-year numbers, day and month name, month name and day.
 DATE_SHAPES = (
@@ -259,16 +260,35 @@ def _labelled_amount(money_lines: Column) -> Column:
     return best["minor"]
 
 
+# Every phrase of the pattern contains one of these words, at most so many characters after its start.
+_SEEDS, _BEFORE = r"(?=due|pay by|next payment)", len("instalment ")
+# A phrase, the gap and a date fit in such a window unless white space runs on and on.
+_WINDOW, _LONG_GAP = 300, rf"{_WS}{{40}}"
+
+
 def _due_text() -> Column:
     """The first date text near a due phrase, '' without one.
 
-    Every phrase of the pattern contains one of three words; a plain search for those
-    spares most texts the pattern.
+    The text is cut before each word that a phrase contains, by a plain search in lower case, and
+    the pattern is anchored at these places one after another, until it matches: it is never tried anywhere
+    else. The few texts whose places differ in lower case, or that hold a very long gap, are
+    searched as a whole.
     """
-    near = F.expr(
-        "contains(_lower, 'due') OR contains(_lower, 'pay by') OR contains(_lower, 'next payment')"
-    )
-    return F.when(near, F.regexp_extract("_text", DUE_DATE, 1)).otherwise("")
+    text, lower = F.col("_text"), F.col("_lower")
+    anchored = rf"(?is)^.{{0,{_BEFORE}}}?{_NEAR_DUE}"
+
+    def step(state: Column, part: Column) -> Column:
+        start = F.greatest(state["place"] - _BEFORE, F.lit(0)) + 1
+        found = F.when(state["found"] != "", state["found"]).otherwise(
+            F.regexp_extract(F.substr(text, start, F.lit(_WINDOW)), anchored, 1)
+        )
+        return F.struct((state["place"] + F.length(part)).alias("place"), found.alias("found"))
+
+    begin = F.struct(F.lit(0).alias("place"), F.lit("").alias("found"))
+    seeded = F.aggregate(F.split(lower, _SEEDS), begin, step)["found"]
+    near = F.expr("contains(_lower, 'due') OR contains(_lower, 'pay by') OR contains(_lower, 'next payment')")
+    odd = (F.length(lower) != F.length(text)) | text.rlike(_LONG_GAP)
+    return F.when(near & odd, F.regexp_extract(text, DUE_DATE, 1)).when(near, seeded).otherwise("")
 
 
 # ---- the job --------------------------------------------------------------

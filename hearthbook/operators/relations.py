@@ -9,7 +9,11 @@ from hearthbook.functions import coerce, scalars as X
 
 
 def search_addresses(requests: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Addresses at each requested postcode. ``requests`` has ``request_id, postcode``."""
+    """Addresses at each requested postcode. ``requests`` has ``request_id, postcode``.
+
+    Stored addresses with a ``postcode_key`` are joined by that column as it is (``sources.addresses.store``);
+    others are normalised on the way.
+    """
     wanted = _valid_requests(requests)
     return wanted.join(_by_postcode(addresses), "postcode")
 
@@ -32,6 +36,8 @@ def _valid_requests(requests: DataFrame) -> DataFrame:
 
 
 def _by_postcode(addresses: DataFrame) -> DataFrame:
+    if "postcode_key" in addresses.columns:
+        return addresses.drop("postcode").withColumnRenamed("postcode_key", "postcode")
     return addresses.withColumn("postcode", X.normalise_postcode(F.col("postcode")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthbook.functions import coerce
+from hearthbook.functions import coerce, scalars as X
 
 # The feed's shape and the placeholder for an unnamed address.
 FEED = "struct<results: array<string>>"
@@ -80,3 +80,17 @@ def parse_feed(responses: DataFrame, text: str = "json", postcode: str = "postco
         coerce.trim(F.coalesce(given("POSTCODE"), F.col("_asked"))).alias("postcode"),
         given("UPRN").alias("uprn"),
     )
+
+
+def keyed(addresses: DataFrame) -> DataFrame:
+    """Addresses with ``postcode_key``, the postcode in its normal form: worked out once, where they come in."""
+    return addresses.withColumn("postcode_key", X.normalise_postcode(F.col("postcode")))
+
+
+def store(addresses: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Write keyed addresses as a table in buckets of ``postcode_key``, sorted within.
+
+    Searches join it where it lies: only the requests are shuffled, to its buckets.
+    """
+    writer = keyed(addresses).write.bucketBy(buckets, "postcode_key").sortBy("postcode_key").mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(table)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from hearthbook import schema as S
@@ -99,6 +101,61 @@ def write_table(table: DataFrame, path: str, name: str) -> None:
     stored.write.mode("overwrite").parquet(path)
 
 
+# ---- tables in buckets ------------------------------------------------------
+
+#: Folders that the households of a table are dealt to.
+BUCKETS = 256
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(S.KEY)), F.lit(buckets)).cast("int")
+
+
+def write_buckets(table: DataFrame, path: str, name: str, buckets: int = BUCKETS) -> None:
+    """Write a ledger table as Parquet in a folder per bucket of households, so that batches can be applied to parts of it.
+
+    The rows of a bucket are spread over as many tasks as they need: a large household does not make a large task.
+    """
+    _write(table, path, name, buckets, "static")
+
+
+def read_buckets(spark: SparkSession, path: str, name: str, only: list[int] | None = None) -> DataFrame:
+    """The table that ``write_buckets`` wrote, or the buckets of it that are asked for."""
+    stored = spark.read.parquet(path)
+    if only is not None:
+        stored = stored.where(F.col("bucket").isin(only))
+    table = stored.where("in_use").drop("bucket", "in_use")
+    return decode_fields(table, name) if name in FIELD_COLUMNS else table
+
+
+def change_buckets(spark: SparkSession, path: str, name: str, households: DataFrame,
+                   change: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS) -> list[int]:
+    """Apply a batch to a table in buckets: only buckets with a household that it names are read and rewritten.
+
+    ``households`` has the household of every row that the batch may touch or add; ``change`` gets the rows of
+    those buckets and returns what shall be there. The folds of ``operators.commands`` may be applied
+    again, so a batch that failed half way is simply run once more. Returns the buckets, of
+    which there are never more than ``buckets``.
+    """
+    named = [r["bucket"] for r in households.select(_bucket(buckets).alias("bucket")).distinct().collect()]
+    if named:
+        changed = change(read_buckets(spark, path, name, named))
+        # A row out of use in each of them: a bucket that ends up empty is overwritten as well.
+        _write(changed, path, name, buckets, "dynamic", spark.createDataFrame([(n,) for n in named], "bucket int"))
+    return sorted(named)
+
+
+def _write(table: DataFrame, path: str, name: str, buckets: int, mode: str, named: DataFrame | None = None) -> None:
+    stored = encode_fields(table, name) if name in FIELD_COLUMNS else table
+    rows = stored.withColumns({"in_use": F.lit(True), "bucket": _bucket(buckets)})
+    if named is not None:
+        rows = rows.unionByName(named.withColumn("in_use", F.lit(False)), allowMissingColumns=True)
+    rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("bucket").parquet(path)
+
+
+# ---- listings ---------------------------------------------------------------
+
+
 def list_documents(documents: DataFrame, include_text: bool = False) -> DataFrame:
     """Documents per household, newest first; transcripts only on request."""
     listed = documents if include_text else documents.drop("extracted_text")

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from hearthbook.operators import extraction as X
 
@@ -122,3 +124,15 @@ def test_extraction_needs_no_shuffle(spark):
 def test_short_texts_are_set_apart(spark):
     frame = spark.createDataFrame([("  a short text  ",), ("a text that is long enough",), (None,)], "text string")
     assert X.readable(frame).count() == 1 and X.too_short(frame).count() == 2
+
+
+def test_seeded_search_finds_what_the_whole_pattern_finds(spark):
+    rng = random.Random(7)
+    words = ["due", "Due date", "due on", "DUE BY", "payment due", "please pay by", "pay by", "instalment due", "next payment", "Next Payment due",
+             "residue", "dues", "undue", "pay", "by", ":", " ", "  ", "\n", "\t", "-", "of", "the", "5", "31/12/2026", "1.2.26", "2026-10-28", "28th of October 2026",
+             "March 5, 2026", "5 March 26", "sept", "99", "£", "é", "İ", "x" * 30, "next", "payment", " " * 45]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
+    frame = spark.createDataFrame([(t,) for t in texts], "_text string").withColumn("_lower", F.lower("_text"))
+    pairs = frame.select("_text", X._due_text().alias("seeded"), F.regexp_extract("_text", X.DUE_DATE, 1).alias("whole")).collect()
+    assert [r for r in pairs if r.seeded != r.whole] == []
+    assert sum(r.whole != "" for r in pairs) > 1000
