@@ -24,6 +24,7 @@ shard holds a range of doc_ids; shards, segments and documents are in ascending
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -81,16 +82,18 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
         if not fits.any():
             break
         selector[fits] = s
-    ahead = COUNTS[selector].reshape(-1).tolist()
-    starts: list[int] = []
-    word_starts = []
-    for begin in range(0, n, block):
-        word_starts.append(len(starts))
-        at, end = begin, min(begin + block, n)
-        while at < end:
-            starts.append(at)
-            at += ahead[at]
-    first = np.array(starts, np.int64)
+    # The words of all blocks are cut at once, each time the next one of every block.
+    ahead = COUNTS[selector].reshape(-1)
+    at = np.arange(blocks) * block
+    ends = np.minimum(at + block, n)
+    rounds = []
+    while len(at):
+        rounds.append(at)
+        at = at + ahead[at]
+        open_ones = at < ends
+        at, ends = at[open_ones], ends[open_ones]
+    first = np.sort(np.concatenate(rounds)) if rounds else np.empty(0, np.int64)
+    word_starts = np.searchsorted(first, np.arange(blocks) * block)
     chosen = selector.reshape(-1)[first] if n else np.empty(0, np.int8)
     words = chosen.astype(np.uint64) << np.uint64(60)
     flat = rows.reshape(-1)
@@ -108,7 +111,7 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
         words[mine] = made
     escaped = first[chosen == ESCAPE]
     escape_starts = np.searchsorted(escaped, np.arange(blocks) * block)
-    return words, np.array(word_starts, np.int64), values[escaped], escape_starts
+    return words, word_starts, values[escaped], escape_starts
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray, word_starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -185,12 +188,31 @@ def read_block(payload: bytes, number: int) -> np.ndarray:
 # ---- documents to files and back
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {**{b: b for b in plain}, **{b: 256 + i for i, b in enumerate(others)}}
+
+
+def _splits_at_words(definition: dict) -> bool:
+    """Whether a tokenizers file says: bytes, cut at words and blanks, merged by one vocabulary, nothing else."""
+    cutter = definition.get("pre_tokenizer") or {}
+    return (
+        definition.get("normalizer") is None
+        and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+        and (definition.get("model") or {}).get("type") == "BPE"
+    )
+
+
 class _Tokenizer:
     """The tokenizers library over units of text; what a unit gives is remembered.
 
-    A byte-level tokenizer cuts a text before each blank that something else than white space
-    follows, and between a letter and the signs after it, so the ids of a text are those of
-    its units, and those of a unit are its word's and its ending's.
+    A byte-level tokenizer that cuts at words (as its definition must say) cuts a text before each blank that something else than
+    white space follows, and between letters and the signs after them. So the ids of a text are those of
+    its units, those of a unit are its word's and its ending's, and a word of letters is one piece,
+    which goes to the vocabulary's merges at once. Texts that name an added token, and all texts under another definition, go
+    to the library as they are.
     """
 
     def __init__(self, definition: str):
@@ -198,36 +220,59 @@ class _Tokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _look_up(self, new: list[str]) -> None:
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for unit, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[unit] = array("I", found.ids).tobytes()
+        self.model = self.library.model
+        said = json.loads(definition)
+        self.added = [t["content"] for t in said.get("added_tokens") or []]
+        self.by_units = _splits_at_words(said)
+        self.letters = _byte_letters()
+        self.known = _Units(self)
+        self.end = array("I", [END_ID]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        pieces = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return array("I", [p.id for p in pieces]).tobytes()
+
+    def unit(self, unit: str) -> bytes:
+        word = unit[1:] if unit[0] == " " else unit
+        if word.isalpha():
+            return self._word(unit)
+        stem = unit.rstrip(ENDINGS)
+        if stem != unit and stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()):
+            return self.known[stem] + self.known[unit[len(stem):]]
+        return self.whole(unit)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
-        cut = [units(t) for t in batch]
-        known, older = self.known, self.older
-        if len(known) > MEMO:  # what isn't used again before the next time is forgotten
-            self.known, self.older = known, older = {}, known
-        new = []
-        for unit in set().union(*cut):
-            if unit not in known:
-                found = older.get(unit)
-                if found is None:
-                    new.append(unit)
-                else:
-                    known[unit] = found
-        ending = {u: stem for u in new if (stem := u.rstrip(ENDINGS)) != u and stem and stem[-1].isalpha()}
-        plain = {ending.get(u, u) for u in new} | {u[len(stem):] for u, stem in ending.items()}
-        self._look_up([u for u in plain if u not in known])
-        for unit, stem in ending.items():
-            known[unit] = known[stem] + known[unit[len(stem):]]
-        end = array("I", [END_ID]).tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, us), end]), np.uint32) for us in cut]
+        self.known.forget()
+        find, out = self.known.__getitem__, []
+        for text in batch:
+            if self.by_units and not any(a in text for a in self.added):
+                found = b"".join([*map(find, units(text)), self.end])
+            else:
+                found = self.whole(text) + self.end
+            out.append(np.frombuffer(found, np.uint32))
+        return out
+
+
+class _Units(dict):
+    """Ids by unit. What isn't used again before the next time is forgotten."""
+
+    def __init__(self, tokenizer: _Tokenizer):
+        self.tokenizer, self.older = tokenizer, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.older.get(unit)
+        if found is None:
+            found = self.tokenizer.unit(unit)
+        self[unit] = found
+        return found
+
+    def forget(self) -> None:
+        if len(self) > MEMO:
+            self.older = dict(self)
+            self.clear()
 
 
 def _tokenizer(shared) -> _Tokenizer:

@@ -101,7 +101,6 @@ def test_simple8b_files_hold_the_ids_in_order(spark, edges, nothing):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(simple8b.default_tokenizer())
-    library.encode_special_tokens = True
     start, found = 0, rows_of(spark, "op9_simple8b")
     for doc_id, text in sorted(_texts(spark).items()):
         ids = [*library.encode(text, add_special_tokens=False).ids, 0]
@@ -115,6 +114,37 @@ def test_simple8b_files_hold_the_ids_in_order(spark, edges, nothing):
     assert simple8b.stored_ids(nothing, simple8b.default_tokenizer()).count() == 0
 
 
+def test_tokenizer_by_units_is_the_library_as_it_loads(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(simple8b.default_tokenizer())
+    with open(simple8b.default_tokenizer(), encoding="utf-8") as file:
+        own = simple8b._Tokenizer(file.read())
+    rng = np.random.default_rng(9)
+    parts = ["a", "word", "Word", " ", "  ", "\n", "\t", ".", ",", "!?", "'s", "'ll", "1", "2024", "é", "ß", "漢字", "🙂", "\u00a0", "\u3000", "\u2028", "\x1c", "\x85",
+             "ǅ", "ª", "²", "_", "-", "x" * 40, "<|endoftext|>", "<|end", "of", "\u0301", "\ufeff", "ʰ", "Ⅷ"]
+    texts = ["a<|endoftext|>b", " <|endoftext|> ", "", " ", *("".join(rng.choice(parts, int(rng.integers(1, 14)))) for _ in range(4000))]
+    for text, found in zip(texts, own.encode(texts), strict=True):
+        assert found.tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], text
+    docs = spark.createDataFrame(list(enumerate(texts[:50])), "doc_id long, text string")
+    counts = {r["doc_id"]: r["n_tokens"] for r in simple8b.stored_ids(docs, simple8b.default_tokenizer()).collect()}
+    assert counts == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts[:50])}
+
+
+def test_other_definitions_go_to_the_library_as_they_are():
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(simple8b.default_tokenizer(), encoding="utf-8") as file:
+        said = json.load(file)
+    said["normalizer"] = {"type": "Lowercase"}
+    own, library = simple8b._Tokenizer(json.dumps(said)), Tokenizer.from_str(json.dumps(said))
+    for text in ("Some WORDS here", " Ünd  so"):
+        assert own.encode([text])[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+    assert not own.by_units
+
+
 def test_simple8b_packs_any_numbers():
     rng = np.random.default_rng(1)
     for turn in range(60):
