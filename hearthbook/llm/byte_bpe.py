@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from pathlib import Path
 
 import ahocorasick
@@ -27,9 +28,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from hearthbook.llm.common import map_batches, remembered, text_of, texts
 
-#: Units of text, and pairs of tokens, that a worker remembers; beyond, it forgets them all.
-MEMO_UNITS = 100_000
-MEMO_PAIRS = 150_000
+#: Units of text that a worker remembers before it forgets those not used since the last time; pairs of tokens before it forgets them all.
+MEMO_UNITS = 250_000
+MEMO_PAIRS = 300_000
 #: Texts that a worker holds ids of before it hands them on.
 ROWS_AT_ONCE = 1_000
 
@@ -73,8 +74,9 @@ def decode_ids(bytes_of: list[bytes], ids: np.ndarray) -> bytes:
 class Codec:
     """Encodes by one vocabulary and one pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], halves: dict[int, tuple[int, int]], pattern: str):
-        self.ranks, self.halves = ranks, halves
+    def __init__(self, ranks: dict[bytes, int], halves: dict[int, tuple[int, int]], pattern: str, by_units: bool = False):
+        """by_units says that the pattern begins a piece at each blank before anything but white space."""
+        self.ranks, self.halves, self.cut = ranks, halves, units if by_units else _whole
         self.pieces = regex.compile(pattern).findall
         self.bytes_of = bytes_by_rank(ranks)
         self.sizes = list(map(len, self.bytes_of))
@@ -90,9 +92,7 @@ class Codec:
         for token, rank in ranks.items():
             self.shorter[rank] = next((ranks[token[:end]] for end in range(len(token) - 1, 0, -1) if token[:end] in ranks), -1)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.units: dict[str, tuple[int, ...]] = {}
-        self.known_pieces: dict[str, tuple[int, ...]] = {}
-        self.tables = None
+        self.units = _Memo(self._of_unit)
 
     # ---- encoding
 
@@ -164,37 +164,48 @@ class Codec:
                 token = shorter[token]
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a text.
+        """The ids of a text."""
+        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
 
-        A blank before anything but white space always begins a piece, whatever surrounds
-        it, so the text falls into units at these blanks, and a unit's ids are remembered.
+    def encode_packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers.
+
+        Under the default pattern a blank before anything but white space always begins a piece, whatever
+        surrounds it, so the text falls into units at these blanks, and a unit's ids are remembered. Under
+        any other pattern the text is cut as a whole, and the ids of its pieces are.
         """
-        ids: list[int] = []
-        known = self.units
-        for unit in units(text):
-            found = known.get(unit)
-            if found is None:
-                found = self._of_pieces(self.pieces(unit))
-                if len(unit) <= 64:
-                    if len(known) >= MEMO_UNITS:
-                        known.clear()
-                    known[unit] = found
-            ids += found
-        return ids
-
-    def _of_pieces(self, pieces: list[str]) -> tuple[int, ...]:
-        known = self.known_pieces
-        out: tuple[int, ...] = ()
-        for piece in pieces:
-            found = known.get(piece)
-            if found is None:
-                found = tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
-                if len(piece) <= 64:
-                    if len(known) >= MEMO_UNITS:
-                        known.clear()
-                    known[piece] = found
-            out = out + found if out else found
-        return out
+        self.units.forget()
+        return b"".join(map(self.units.__getitem__, self.cut(text)))
+
+    def _of_unit(self, unit: str) -> bytes:
+        pieces = self.pieces(unit)
+        if pieces == [unit]:
+            return array("i", self.encode_piece(unit.encode("utf-8", "surrogatepass"))).tobytes()
+        return b"".join(map(self.units.__getitem__, pieces))
+
+
+class _Memo(dict):
+    """What make(unit) gives for short units; what isn't used again before the next time is forgotten."""
+
+    def __init__(self, make):
+        self.make, self.older = make, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self.older.get(unit)
+        if found is None:
+            found = self.make(unit)
+        if len(unit) <= 64:
+            self[unit] = found
+        return found
+
+    def forget(self) -> None:
+        if len(self) > MEMO_UNITS:
+            self.older = dict(self)
+            self.clear()
+
+
+def _whole(text: str) -> list[str]:
+    return [text] if text else []
 
 
 def units(text: str) -> list[str]:
@@ -235,13 +246,13 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], dict[int, tuple[int, int]]]
 
 def _codec(shared, pattern: str) -> Codec:
     """The worker's codec for a broadcast vocabulary."""
-    path, ranks, halves = shared.value
-    return remembered(("byte_bpe", path, pattern), lambda: Codec(ranks, halves, pattern))
+    path, by_units, ranks, halves = shared.value
+    return remembered(("byte_bpe", path, pattern), lambda: Codec(ranks, halves, pattern, by_units))
 
 
-def _shared(docs: DataFrame, path: str):
+def _shared(docs: DataFrame, path: str, pattern: str):
     """The vocabulary for all executors: its size is that of the file, whatever the data."""
-    return docs.sparkSession.sparkContext.broadcast((path, *vocabulary(path)))
+    return docs.sparkSession.sparkContext.broadcast((path, pattern == default_pattern(), *vocabulary(path)))
 
 
 def default_path() -> str:
@@ -261,7 +272,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
     A column of that name is replaced. The vocabulary file is read by the driver.
     """
-    vocab = _shared(docs, path)
+    vocab = _shared(docs, path, pattern)
     rows = docs.drop(out)
     kept = [f for f in rows.schema.fields]
     schema = StructType([*kept, StructField(out, ArrayType(IntegerType(), True))])
@@ -271,8 +282,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         ends = [0]
         flat: list[np.ndarray] = []
         for t in texts(batch, text):
-            ids = codec.encode(t)
-            flat.append(np.array(ids, np.int32))
+            ids = np.frombuffer(codec.encode_packed(t), np.int32)
+            flat.append(ids)
             ends.append(ends[-1] + len(ids))
         values = np.concatenate(flat) if flat else np.empty(0, np.int32)
         made = {f.name: batch.column(f.name) for f in kept}
@@ -306,7 +317,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
 
     Both happen in one pass over the texts, so a task needs one Python worker, not two.
     """
-    vocab = _shared(docs, path)
+    vocab = _shared(docs, path, pattern)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
@@ -314,11 +325,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
         codec = _codec(vocab, pattern)
         sizes, ids_digests, decoded_digests, flat = [], [], [], []
         for t in texts(batch):
-            ids = codec.encode(t)
+            packed = np.frombuffer(codec.encode_packed(t), np.int32)
+            ids = packed.tolist()
             sizes.append(len(ids))
             ids_digests.append(hashlib.sha256(" ".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
-            packed = np.array(ids, np.int32)
-            decoded_digests.append(hashlib.sha256(decode_ids(codec.bytes_of, packed)).hexdigest())
+            decoded_digests.append(hashlib.sha256(b"".join(map(codec.bytes_of.__getitem__, ids))).hexdigest())
             if with_ids:
                 flat.append(packed)
         made = {"doc_id": batch.column("doc_id"), "n_tokens": sizes, "ids_sha256": ids_digests, "decoded_sha256": decoded_digests}

@@ -24,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare_name(frame: DataFrame, wanted: str) -> str:
+    """A column name that the table doesn't have yet, in any case of letters."""
+    taken = {c.lower() for c in frame.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def text_of(column: str = "text") -> Column:
     """A text column; null counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -21,7 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearthbook.llm.common import WORD_GAPS, text_of, written
+from hearthbook.llm.common import WORD_GAPS, spare_name, text_of, written
 
 #: Sketch rows (about 40 bytes each) up to which the sketch table is broadcast; a larger
 #: one is joined by a shuffle on the hash. The rows found are the same.
@@ -97,8 +97,8 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, threshold:
     )
     if not parts:
         return texts.where("false").select(
-            "doc_id", "text_hash", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("shared"),
-            F.lit(0).alias("item_shingles"),
+            "doc_id", "text_hash", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("int").alias("shared"),
+            F.lit(None).cast("int").alias("item_shingles"),
         )
     limit, highest = F.lit(None).cast("long"), None
     for part in parts:
@@ -153,12 +153,12 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, threshold: fl
 
 def without_benchmark(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs in which no item is found, with all their columns."""
+    found_id, found_hash = spare_name(docs, "found_id"), spare_name(docs, "found_hash")
     found = contained_items(docs, items, size, threshold).select(
-        F.col("doc_id").alias("__found_id"), F.col("text_hash").alias("__found_hash")
+        F.col("doc_id").alias(found_id), F.col("text_hash").alias(found_hash)
     ).distinct()
     return docs.join(
         found,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("__found_id"))
-        & (F.xxhash64(text_of()) == F.col("__found_hash")),
+        F.col("doc_id").cast("long").eqNullSafe(F.col(found_id)) & (F.xxhash64(text_of()) == F.col(found_hash)),
         "left_anti",
     )

@@ -23,7 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hearthbook.llm.common import text_of, written
+from hearthbook.llm.common import spare_name, text_of, written
 
 # Kinds in the order of output, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -345,14 +345,17 @@ def redacted(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     Overlapping spans become one, named by the first. Rows without spans stay as they are.
     """
     one = F.struct("first", "beyond", "kind")
+    span_id, span_hash, own_spans, own_merged, own_hash = (
+        spare_name(docs, c) for c in ("span_id", "span_hash", "own_spans", "own_merged", "own_hash")
+    )
     found = (
         spans(docs, train_rows).where("kind IS NOT NULL")
-        .groupBy(F.col("doc_id").alias("__span_id"), F.col("text_hash").alias("__span_hash"))
-        .agg(F.array_sort(F.collect_set(one)).alias("__spans"))
+        .groupBy(F.col("doc_id").alias(span_id), F.col("text_hash").alias(span_hash))
+        .agg(F.array_sort(F.collect_set(one)).alias(own_spans))
     )
     # Union of overlapping spans, then the text between them; spans are few next to a text.
     merged = F.aggregate(
-        "__spans", F.array().cast("array<struct<first:bigint,beyond:bigint,kind:int>>"),
+        own_spans, F.array().cast("array<struct<first:bigint,beyond:bigint,kind:int>>"),
         lambda done, s: F.when(
             (F.size(done) > 0) & (F.element_at(done, -1)["beyond"] > s["first"]),
             F.concat(
@@ -368,30 +371,30 @@ def redacted(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     cut = lambda a, n: F.substring(F.col("text"), (a + 1).cast("int"), n.cast("int"))
     pieces = F.transform(
-        "__merged",
+        own_merged,
         lambda s, i: F.concat(
             cut(
-                F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__merged"), i - 1)["beyond"]),
-                s["first"] - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__merged"), i - 1)["beyond"]),
+                F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(own_merged), i - 1)["beyond"]),
+                s["first"] - F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(own_merged), i - 1)["beyond"]),
             ),
             F.element_at(tags, s["kind"] + 1),
         ),
     )
-    tail = F.element_at(F.col("__merged"), -1)["beyond"]
+    tail = F.element_at(F.col(own_merged), -1)["beyond"]
     text = F.when(
-        F.col("__merged").isNotNull(),
+        F.col(own_merged).isNotNull(),
         F.concat(F.array_join(pieces, ""), cut(tail, F.char_length("text") - tail)),
     ).otherwise(F.col("text"))
-    rows = docs.withColumn("__text_hash", F.xxhash64(text_of()))
+    rows = docs.withColumn(own_hash, F.xxhash64(text_of()))
     joined = rows.join(
         found,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("__span_id")) & (F.col("__text_hash") == F.col("__span_hash")),
+        F.col("doc_id").cast("long").eqNullSafe(F.col(span_id)) & (F.col(own_hash) == F.col(span_hash)),
         "left",
-    ).withColumn("__merged", F.when(F.col("__spans").isNotNull(), merged))
+    ).withColumn(own_merged, F.when(F.col(own_spans).isNotNull(), merged))
     changed = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         changed = changed.withColumn(
-            "n_chars", F.when(F.col("__merged").isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("n_chars"))
+            "n_chars", F.when(F.col(own_merged).isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("n_chars"))
         )
     return changed.select(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from hearthbook.llm.common import map_batches, text_of, texts, written
+from hearthbook.llm.common import map_batches, spare_name, text_of, texts, written
 from hearthbook.llm.components import components
 
 #: Distinct fingerprints under one signature that one task compares at once; more are split.
@@ -243,16 +243,15 @@ def kept_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each root in rooted (doc_id, text_hash, root), the smallest id."""
     best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     chosen = rooted.groupBy("root").agg(F.min(best).alias("best"))
-    chosen = chosen.select(
-        F.col("best.doc_id").alias("__kept_id"), F.col("best.text_hash").alias("__kept_hash")
-    )
-    rows = docs.withColumn("__text_hash", F.xxhash64(text_of()))
+    kept_id, kept_hash, own_hash = (spare_name(docs, c) for c in ("kept_id", "kept_hash", "own_hash"))
+    chosen = chosen.select(F.col("best.doc_id").alias(kept_id), F.col("best.text_hash").alias(kept_hash))
+    rows = docs.withColumn(own_hash, F.xxhash64(text_of()))
     kept = rows.join(
         chosen,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__text_hash") == F.col("__kept_hash")),
+        F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash)),
         "left_semi",
     )
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", own_hash]).select(*docs.columns)
 
 
 def classes_by_root(marked: DataFrame, max_distance: int, block: int) -> DataFrame:

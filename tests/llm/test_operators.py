@@ -570,3 +570,29 @@ def test_oracle_of_decontamination(spark):
         wanted = sorted(duck.execute(f"SELECT doc_id, item_id, shared, item_shingles, containment FROM ({OP6})").fetchall())
     columns = ["doc_id", "item_id", "shared", "item_shingles", "containment"]
     assert sorted(map(tuple, QUERIES["op6_decontamination"](spark, SF).select(columns).collect())) == wanted
+
+
+# ---- odd tables
+
+
+def test_empty_benchmark_and_short_items_find_nothing(spark, edges):
+    items = spark.createDataFrame([(1, "too few words"), (2, None), (3, "")], "item_id long, text string")
+    for some in (items, items.limit(0)):
+        found = decontamination.contaminated(edges, some)
+        assert found.columns == ["doc_id", "item_id", "shared", "item_shingles", "containment"] and found.count() == 0
+        assert decontamination.without_benchmark(edges, some).count() == edges.count()
+
+
+def test_stages_take_tables_with_their_own_names(spark):
+    """Columns that are named like those that the operators work with pass through."""
+    text = "mail me at jane.doe@example.org now " + " ".join(f"w{i}" for i in range(30))
+    names = ["found_id", "found_hash", "kept_id", "kept_hash", "own_hash", "span_id", "span_hash", "own_spans", "own_merged", "__spans", "root", "set_id"]
+    docs = spark.createDataFrame([(1, text, *names), (2, text, *names), (3, "other", *names)], ["doc_id", "text", *names])
+    items = spark.createDataFrame([(1, "nothing of the kind is said here")], "item_id long, text string")
+    clean = decontamination.without_benchmark(docs, items)
+    assert clean.columns == docs.columns and clean.count() == 3
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    redacted = pii.redacted(docs)
+    assert redacted.columns == docs.columns
+    assert all("[EMAIL]" in r["text"] and r["found_id"] == "found_id" for r in redacted.where("doc_id < 3").collect())
