@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from hearthbook.llm.common import fold_of, map_batches, remembered, text_of, texts
+from hearthbook.llm.common import fold_of, map_batches, remembered, spare_name, text_of, texts
 from hearthbook.llm.labelled import HELD_OUT_FOLDS, labelled_texts, training_labels
 
 #: Labelled documents that are compared with: those of the smallest id hashes. With DIMENSIONS
@@ -28,6 +28,8 @@ FEATURES = 2048
 DIMENSIONS = 48
 NEIGHBOURS = 25
 POWER = 8.0
+#: Steps of a similarity; products are of double precision.
+STEPS = 1e9
 BLOCK = 512
 MEMO = 150_000
 
@@ -94,7 +96,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    made = np.log1p(rows) * idf
+    made = np.log1p(rows, dtype=np.float64) * idf
     return made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
 
 
@@ -106,21 +108,24 @@ def latent_directions(matrix: np.ndarray, dimensions: int) -> np.ndarray:
     for _ in range(6):
         basis = np.linalg.qr(matrix.T @ (matrix @ basis))[0]
     _, _, right = np.linalg.svd(matrix @ basis, full_matrices=False)
-    return (basis @ right.T)[:, :size].astype(np.float32)
+    return (basis @ right.T)[:, :size].astype(np.float64)
 
 
 def votes(latent: np.ndarray, known: np.ndarray, labels: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
     """For each row of latent, the labels of its nearest rows of known, weighted by similarity.
 
-    Both sides have length 1 or 0; nothing similar to anything gets the mean label. Ties at the last
-    place go to the earlier rows of known.
+    Both sides have length 1 or 0; nothing similar to anything gets the mean label. Similarities count
+    in STEPS of one, far more than what the order of a matrix product's sums can change, so that equal
+    texts have equal scores in any block. Ties at the last place go to the earlier rows of known.
     """
     if not len(known):
         return np.full(len(latent), 0.5)
-    near = latent @ known.T
+    near = np.rint((latent @ known.T) * STEPS).astype(np.int64)
     k = min(neighbours, len(known))
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(known) else np.tile(np.arange(k), (len(near), 1))
-    weight = np.maximum(np.take_along_axis(near, best, axis=1), 0.0).astype(np.float64) ** POWER
+    ranked = near * len(known) + np.arange(len(known) - 1, -1, -1)  # no two alike: the earlier row is ahead
+    best = np.argpartition(-ranked, k - 1, axis=1)[:, :k] if k < len(known) else np.tile(np.arange(k), (len(near), 1))
+    best.sort(axis=1)  # sums in one order
+    weight = (np.maximum(np.take_along_axis(near, best, axis=1), 0) / STEPS) ** POWER
     total = weight.sum(axis=1)
     share = (weight * labels[best]).sum(axis=1) / np.where(total > 0, total, 1.0)
     return np.where(total > 0, np.clip(share, 0.0, 1.0), labels.mean())
@@ -164,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, name: str = "quality", limit: int =
     matrix = np.zeros((len(rows), FEATURES), np.float32)
     for i, row in enumerate(rows):
         matrix[i, row["places"]] = row["times"]
-    directions = latent_directions(weighted(matrix, idf), DIMENSIONS)
+    directions = latent_directions(weighted(matrix, idf).astype(np.float32), DIMENSIONS)
     model = Model(idf, directions, np.zeros((0, 1), np.float32), np.array([r["label"] for r in rows], np.float64))
     model.known = model.latent(matrix)
     return model
@@ -193,5 +198,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 def of_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score threshold or more."""
-    name = "__quality"
+    name = spare_name(docs, "quality_score")
     return scored(docs, fit(docs, labels), name).where(F.col(name) >= threshold).drop(name)

@@ -596,3 +596,59 @@ def test_stages_take_tables_with_their_own_names(spark):
     redacted = pii.redacted(docs)
     assert redacted.columns == docs.columns
     assert all("[EMAIL]" in r["text"] and r["found_id"] == "found_id" for r in redacted.where("doc_id < 3").collect())
+
+
+def test_neighbours_tie_to_the_earlier_row():
+    rng = np.random.default_rng(0)
+    known = rng.integers(0, 2, (40, 6)).astype(float)
+    known /= np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-12)
+    labels = rng.integers(0, 2, 40).astype(float)
+    for _ in range(50):
+        latent = known[rng.permutation(40)[:7]]
+        found = quality_knn.votes(latent, known, labels, 5)
+        for row, score in zip(latent, found, strict=True):
+            near = [round(float(row @ k) * 1e9) for k in known]
+            best = sorted(sorted(range(40), key=lambda j: (-near[j], j))[:5])
+            weights = [max(near[j], 0) / 1e9 for j in best]
+            total = sum(w**8 for w in weights)
+            wanted = sum(w**8 * labels[j] for w, j in zip(weights, best, strict=True)) / total if total else labels.mean()
+            assert abs(score - wanted) < 1e-12
+
+
+def test_quality_scores_are_those_of_plain_loops(spark):
+    """Features, weights, cosines and votes by loops over sf0.001; the directions are those that the fit found."""
+    docs, labels = common.table(spark, SF, "documents"), common.table(spark, SF, "labels")
+    model = quality_knn.fit(docs, labels)
+    texts = _texts(spark)
+    features = {i: quality_knn.counts(t) for i, t in texts.items()}
+    seen = sum((f > 0).astype(int) for f in features.values())
+    idf = np.log((1.0 + len(texts)) / (1.0 + seen)).astype(np.float32) + np.float32(0.1)
+    assert np.array_equal(idf, model.idf)
+    assert np.abs(model.directions.T @ model.directions - np.eye(model.directions.shape[1])).max() < 1e-4
+    marked = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    learned = sorted(i for i in marked if zlib.crc32(str(i).encode()) % 5 and i in texts)
+    assert model.labels.tolist() == [marked[i] for i in learned]
+
+    def latent(i):
+        row = np.array([math.log1p(x) for x in features[i]]) * idf
+        row = row / max(np.linalg.norm(row), 1e-12) @ model.directions
+        return row / max(np.linalg.norm(row), 1e-12)
+
+    known = [latent(i) for i in learned]
+    for i, row in rows_of(spark, "op5_quality_knn").items():
+        mine = latent(i)
+        near = [round(float(mine @ k) * 1e9) for k in known]
+        best = sorted(range(len(known)), key=lambda j: (-near[j], j))[: quality_knn.NEIGHBOURS]
+        weights = {j: (max(near[j], 0) / 1e9) ** quality_knn.POWER for j in best}
+        total = sum(weights.values())
+        wanted = sum(w * marked[learned[j]] for j, w in weights.items()) / total if total else np.mean(model.labels)
+        assert abs(row["score"] - wanted) < 1e-6
+
+
+def test_equal_texts_have_equal_quality(spark):
+    docs, labels = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "labels")
+    rows = docs.select("doc_id", "text").join(quality_knn.quality_scores(docs, labels).select("doc_id", "score"), "doc_id").collect()
+    by_text = {}
+    for r in rows:
+        by_text.setdefault(r["text"] or "", set()).add(r["score"])
+    assert len(by_text) < len(rows) and all(len(s) == 1 for s in by_text.values())
