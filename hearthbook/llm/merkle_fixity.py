@@ -7,14 +7,17 @@ roots of two replicas, then the children of nodes that differ, level by level, a
 the records of the leaves that differ: sound branches are never opened.
 
 A record takes up some bytes, so a range holds a bounded number of them however large an
-archive is; no archive is ever gathered in one group below its root.
+archive is; no archive is ever gathered in one group, and offsets are running totals over many tasks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearthbook.llm.common import text_of, written
+from hearthbook.llm.scans import running
 
 LEAF = 1 << 16
 FANOUT = 16
@@ -46,9 +49,13 @@ def archived(pages: DataFrame) -> DataFrame:
         F.floor(F.col("page_id") / PAGES_PER_ARCHIVE).alias("archive"), "page_id",
         F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("record_hash"),
     )
-    before = Window.partitionBy("archive").orderBy("page_id", "record_hash").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select(
-        "archive", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "page_id", "record_hash"
+    # Repeated records are counted before they move, so neither they nor a large archive meet in one task.
+    counted = rows.groupBy("archive", "page_id", "record_hash").agg(F.first("length").alias("length"), F.count("*").alias("times"))
+    sized = counted.withColumn("total", F.col("length") * F.col("times"))
+    placed = running(sized, "archive", ["page_id", "record_hash"], sums=["total"], name="warc-offsets")
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("turn")
+    return placed.select("archive", "page_id", "record_hash", "length", (F.col("total_run") - F.col("total")).alias("start"), turn).select(
+        "archive", (F.col("start") + F.col("turn") * F.col("length")).alias("offset"), "page_id", "record_hash"
     )
 
 
@@ -63,17 +70,21 @@ def tree(records: DataFrame) -> DataFrame:
 
     records has archive, offset and record_hash. An archive without records has no tree.
     """
+    nodes = [level.select(F.lit(height).alias("level"), "archive", "node", "hash") for height, level in enumerate(levels(records))]
+    return reduce(DataFrame.union, nodes)
+
+
+def levels(records: DataFrame) -> list[DataFrame]:
+    """(archive, node, hash) for each level of the tree, leaves first: each written once, and made of the one below."""
     level = records.groupBy("archive", F.floor(F.col("offset") / LEAF).alias("node")).agg(
         _joined_hash("offset", "offset", "record_hash").alias("hash")
     )
-    level = written(level, "merkle-0")
-    nodes = level.select(F.lit(0).alias("level"), "archive", "node", "hash")
+    made = [written(level, "merkle-0")]
     for height in range(1, LEVELS + 1):
         parent = F.floor(F.col("node") / FANOUT) if height < LEVELS else F.lit(0).cast("long")
-        level = level.groupBy("archive", parent.alias("parent")).agg(_joined_hash("node", "node", "hash").alias("hash"))
-        level = level.withColumnRenamed("parent", "node")
-        nodes = nodes.union(level.select(F.lit(height), "archive", "node", "hash"))
-    return nodes
+        level = made[-1].groupBy("archive", parent.alias("parent")).agg(_joined_hash("node", "node", "hash").alias("hash"))
+        made.append(written(level.withColumnRenamed("parent", "node"), f"merkle-{height}"))
+    return made
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
@@ -84,12 +95,12 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     two empty tables, give no rows. Records at the same offset are compared as a pair by
     their order of hash; archives of only one side come out whole.
     """
-    one, two = written(tree(primary), "merkle-primary"), written(tree(replica), "merkle-replica")
+    one, two = levels(primary), levels(replica)
 
     def differing(height: int, parents: DataFrame | None) -> DataFrame:
         sides = []
         for name, nodes in (("primary", one), ("replica", two)):
-            level = nodes.where(F.col("level") == height).select("archive", "node", F.col("hash").alias(f"{name}_node"))
+            level = nodes[height].select("archive", "node", F.col("hash").alias(f"{name}_node"))
             if parents is not None:
                 up = F.floor(F.col("node") / FANOUT) if height < LEVELS - 1 else F.lit(0).cast("long")
                 level = level.withColumn("parent", up).join(

@@ -71,6 +71,34 @@ def test_offsets_follow_the_records_of_an_archive(spark):
     assert rows[0] == (-1, 0, -1) and rows[1] == (0, 0, 1) and rows[2] == (0, first, 2) and len(rows) == 4
 
 
+def test_offsets_of_repeated_and_odd_records(spark):
+    """A third of the records repeat one page, others have no id; long pages and clashing names too."""
+    rows = [(5, "u", "same")] * 300 + [(None, "v", f"x{i % 7}") for i in range(200)] + [(i, "w", "y" * (i % 50)) for i in range(400)] + [(900, "z", "é" * 300_000)]
+    names = "page_id long, url string, html string, archive string, offset string, record_hash string, level int"
+    pages = spark.createDataFrame([(*r, "a", "b", "c", 1) for r in rows], names).repartition(11)
+    records = merkle_fixity.archived(pages).collect()
+    assert len(records) == len(rows)
+
+    def length(page_id, url, html):
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nWARC-Record-ID: <urn:page:{page_id}>\r\nContent-Length: {len(html.encode())}\r\n\r\n"
+        return len((head + html + "\r\n\r\n").encode())
+
+    sizes = {}
+    for page_id, url, html in rows:
+        page_id = -1 if page_id is None else page_id
+        sizes.setdefault(page_id // 256, []).append(length(page_id, url, html))
+    for archive, found in sizes.items():
+        offsets = sorted(r["offset"] for r in records if r["archive"] == archive)
+        assert offsets[0] == 0 and len(set(offsets)) == len(found)
+        gaps = [b - a for a, b in zip(offsets, offsets[1:], strict=False)]
+        last = sorted(found)
+        for gap in gaps:
+            last.remove(gap)
+        assert len(last) == 1
+    frame = merkle_fixity.archived(pages)
+    assert merkle_fixity.audit(frame, frame).count() == 0
+
+
 # ---- 2 and 9
 
 
