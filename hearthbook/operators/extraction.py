@@ -120,6 +120,10 @@ DATE_SHAPES = (
 )
 
 
+#: The note of a document that was read from a bill text, its fields settled by a person.
+CAPTURED = "captured_from_bill_text"
+
+
 # ---- dates ----------------------------------------------------------------
 
 
@@ -456,6 +460,7 @@ def accept_extracted(extracted: DataFrame, decisions: DataFrame) -> dict[str, Da
         F.concat(X.kind_label(F.col("kind")), F.lit(" bill")).alias("title"),
         "provider_name",
         "extracted_text",
+        F.lit(CAPTURED).alias("notes"),
         F.col("decided_at").alias("created_at"),
     )
     bills = saved.select(

@@ -1 +1 @@
-"""Session settings, checked joins, derived tables, and the registered queries."""
+"""Session settings, derived tables, and the registered queries."""

@@ -1011,9 +1011,10 @@ FROM events WHERE event_id % 4 <> 1 AND event_id % 40 <> 2 GROUP BY 1""",
 )
 oracle(
     "document_commands", "bill_texts documents_ledger",
-    f"""SELECT household_id, 'read-' || document_id AS document_id, {KIND_LABEL} || ' bill' AS title, '2026-01-02' AS created
+    f"""SELECT household_id, 'read-' || document_id AS document_id, {KIND_LABEL} || ' bill' AS title,
+  'captured_from_bill_text' AS notes, '2026-01-02' AS created
 FROM joined WHERE amount IS NOT NULL AND due IS NOT NULL
-UNION ALL SELECT household_id, document_id, title, strftime(created_at, '%Y-%m-%d') FROM documents_ledger
+UNION ALL SELECT household_id, document_id, title, notes, strftime(created_at, '%Y-%m-%d') FROM documents_ledger
 WHERE CAST(substr(document_id, 5) AS BIGINT) % 4 <> 0""",
     **_DECIDED,
 )

@@ -893,7 +893,7 @@ def document_commands(t: Ledger) -> DataFrame:
     changed = C.change_documents(t.documents, added, deletes)
     listed = relational.list_documents(changed)
     return listed.select(
-        "household_id", "document_id", "title", F.date_format("created_at", "yyyy-MM-dd").alias("created")
+        "household_id", "document_id", "title", "notes", F.date_format("created_at", "yyyy-MM-dd").alias("created")
     )
 
 
