@@ -19,7 +19,7 @@ A segment is one binary value, little-endian:
 
 The files are Parquet with a segment per row, (shard, segment, ids, payload), uncompressed:
 any store that Spark writes will do, and a task that is run again leaves no half file. A
-shard holds a range of doc_ids; shards, segments and documents are in ascending order.
+shard holds a range of documents; shards, segments and documents are in ascending order.
 """
 
 from __future__ import annotations
@@ -33,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hearthbook.llm.byte_bpe import units
 from hearthbook.llm.common import new_path, remembered, text_of, texts
-from hearthbook.llm.ordered import borders, in_parts, shuffle_width
+from hearthbook.llm.ordered import shuffle_width
 
 MAGIC = b"HBS8B001"
 BLOCK = 4096
@@ -45,7 +46,6 @@ BLOCK = 4096
 SEGMENT_IDS = 262_144
 END_ID = 0
 NULL_ID = -(1 << 63)
-PARTS_PER_PARTITION = 4
 MEMO = 400_000
 ENDINGS = ".,;:!?)"
 
@@ -283,19 +283,21 @@ def _tokenizer(shared) -> _Tokenizer:
 def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
     """Encodes every whole text (null: empty) and writes the ids, END_ID after each document.
 
-    Documents are in ascending doc_id order (null first, equal ids by text): shard by shard,
-    and within a shard by segment. tokenizer is a tokenizers file, read by the driver; its
+    Documents are in ascending doc_id order (null first, equal ids by a hash of the text): shard by shard,
+    and within a shard by segment. A shard is a range of rows, of equal ones too, so no id makes a large one. tokenizer is a tokenizers file, read by the driver; its
     size doesn't depend on the data.
     """
     with open(tokenizer, encoding="utf-8") as file:
         shared = docs.sparkSession.sparkContext.broadcast((tokenizer, file.read()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    cuts = borders(rows, shuffle_width(docs) * PARTS_PER_PARTITION)
-    ordered = in_parts(rows.withColumn("text_hash", F.xxhash64("text")), cuts, "text_hash")
+    # The last key deals out repeated rows, too: they are alike, so their order doesn't matter.
+    keys = ["doc_id", "text_hash", "turn"]
+    ordered = rows.withColumns({"text_hash": F.xxhash64("text"), "turn": F.monotonically_increasing_id()})
+    ordered = ordered.repartitionByRange(shuffle_width(docs), *keys).sortWithinPartitions(*keys)
     wanted = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("ids", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, segment, doc_ids, ids, held = None, 0, [], [], 0
+        shard, segment, doc_ids, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def close() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -309,19 +311,18 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str) -> None:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 encoded = known.encode(texts(some))
-                for part, doc_id, found in zip(some.column("part").to_pylist(), some.column("doc_id").to_pylist(), encoded, strict=True):
-                    if doc_ids and (part != shard or held + len(found) > SEGMENT_IDS):
+                for doc_id, found in zip(some.column("doc_id").to_pylist(), encoded, strict=True):
+                    if doc_ids and held + len(found) > SEGMENT_IDS:
                         yield close()
-                        segment = segment + 1 if part == shard else 0
+                        segment += 1
                         doc_ids, ids, held = [], [], 0
-                    shard = part
                     doc_ids.append(NULL_ID if doc_id is None else doc_id)
                     ids.append(found)
                     held += len(found)
         if doc_ids:
             yield close()
 
-    made = ordered.select("part", "doc_id", "text").mapInArrow(run, "shard int, segment int, ids long, payload binary")
+    made = ordered.select("doc_id", "text").mapInArrow(run, "shard int, segment int, ids long, payload binary")
     made.write.option("compression", "uncompressed").parquet(path)
 
 

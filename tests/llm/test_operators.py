@@ -142,6 +142,19 @@ def test_simple8b_files_hold_the_ids_in_order(spark, edges, nothing):
     assert simple8b.stored_ids(nothing, simple8b.default_tokenizer()).count() == 0
 
 
+def test_shards_split_a_third_of_equal_rows(spark):
+    rows = [(None, "no id at all")] * 400 + [(5, f"text {i}") for i in range(400)] + [(i, "x y") for i in range(10, 410)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    path = common.new_path(spark, "ids-of-equal-rows")
+    simple8b.write_ids(docs, simple8b.default_tokenizer(), path)
+    per_shard = [r["n"] for r in spark.read.parquet(path).groupBy("shard").agg({"ids": "sum"}).withColumnRenamed("sum(ids)", "n").collect()]
+    assert len(per_shard) == 4 and max(per_shard) < 2 * sum(per_shard) / 4
+    stored = sorted(simple8b.read_ids(spark, path).collect(), key=lambda r: r["start"])
+    assert len(stored) == len(rows) and [r["doc_id"] is None for r in stored] == [True] * 400 + [False] * 800
+    ids = [r["doc_id"] for r in stored[400:]]
+    assert ids == sorted(ids) and all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(stored, stored[1:], strict=False))
+
+
 def test_tokenizer_by_units_is_the_library_as_it_loads(spark):
     from tokenizers import Tokenizer
 
