@@ -15,8 +15,9 @@ context's distribution sums to 1 exactly.
 How it runs. Words are counted first, and with them the pairs of DENSE frequent words, as a
 matrix of bounded size; positions with such a pair are later scored where they are read. The
 HOT most frequent words are broadcast with their counts (a bounded table); others go by a
-64-bit hash. All other positions are shuffled once, one row per document and
-pair: by the pair where the second word is hot, by that word where it is not. A task then has
+64-bit hash. All other positions are shuffled once, one entry per document and
+pair: by the pair where the second word is hot, by that word where it is not. Entries are dealt to parts
+and packed where they are read, so that Spark moves one row for many of them. A task then has
 all rows of a pair, so it counts the pair, and scores its rows, in one go; no pair beyond DENSE
 is frequent enough to fill a task, and one document adds one row at most. What it finds out
 is stored in tables partitioned by kind: sums per document, sums per context, and the positions
@@ -43,9 +44,10 @@ K = 5
 TAIL = 1e-6
 HOT = 65_536
 DENSE = 1_024
-#: Rows that a task works on at once, and between two sums per document.
-AT_ONCE, FLUSH = 200_000, 2_500_000
-SORTED = 250_000
+#: Positions that a task packs at once, and between two sums per document.
+SORTED, FLUSH = 1_000_000, 2_500_000
+#: Parts that positions are dealt to, per partition.
+PARTS = 8
 #: Share of the documents that the dense words are looked for in.
 DENSE_SAMPLE = 0.02
 MEMO = 300_000
@@ -210,14 +212,25 @@ def count_words(rows: DataFrame, hot: int = HOT, dense: int = DENSE) -> tuple[Un
     return known, matrix.reshape(size + 1, size)
 
 
-def positions(rows: DataFrame, shared) -> DataFrame:
-    """(v, u, row): what can't be settled where it is read, and what is settled there.
+def _packed(*columns: np.ndarray) -> bytes:
+    """64-bit columns, first bytes of all entries first: what is alike in many stands together, and is small when compressed."""
+    return np.stack(columns).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    """The three columns."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(3, 8, -1).transpose(0, 2, 1)).view(np.int64)[..., 0]
+
+
+def positions(rows: DataFrame, shared, parts_of_all: int) -> DataFrame:
+    """(part, data): what can't be settled where it is read, and what is settled there, packed as v, u and row.
 
     Two hot ids are put together as v, with u 0. row tells documents apart (twice a row id, and
-    1 more if held out), and how often the pair occurs: row * (_MOST + 1) + times. Rows with an id from _MARK on
-    carry one sum over the document's settled positions each, in u.
+    1 more if held out), and how often the pair occurs: row * (_MOST + 1) + times. Entries with an id from _MARK on
+    carry one sum over the document's settled positions each, in u. All entries of a pair, or of a
+    word that isn't hot, or of a document's sums, are in one part. Row ids have room for 2**21 input partitions.
     """
-    wanted = pa.schema([(c, pa.int64()) for c in ("v", "u", "row")])
+    wanted = pa.schema([("part", pa.int32()), ("data", pa.binary())])
 
     def sorted_rows(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         v, u, row = (np.concatenate(p) if p else np.empty(0, np.int64) for p in parts)
@@ -232,7 +245,15 @@ def positions(rows: DataFrame, shared) -> DataFrame:
         last = np.cumsum(copies) - 1
         times = np.full(len(at), _MOST)
         times[last] = n - (copies - 1) * _MOST
-        return pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(u[at]), pa.array(row[at] * (_MOST + 1) + times)], schema=wanted)
+        v, u, row = v[at], u[at], row[at] * (_MOST + 1) + times
+        key = np.where(v < _MARK + len(_FIELDS), row, v).view(np.uint64)
+        part = (((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts_of_all)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        v, u, row, part = v[order], u[order], row[order], part[order]
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
+        ends = np.append(cuts[1:], len(part))
+        data = [_packed(v[a:b], u[a:b], row[a:b]) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)] if len(cuts) else []
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(data, pa.binary())], schema=wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, matrix = shared.value
@@ -272,7 +293,7 @@ def positions(rows: DataFrame, shared) -> DataFrame:
                     parts, held = [[], [], []], 0
         yield sorted_rows(parts)
 
-    return rows.select("row", "doc_id", "text").mapInArrow(run, "v long, u long, row long")
+    return rows.select("row", "doc_id", "text").mapInArrow(run, "part int, data binary")
 
 
 _OUT = "kind int, key long, x double, y double, c0 long, " + ", ".join(f"c{r} int" for r in range(1, K + 2)) + ", doc long, tokens long"
@@ -302,7 +323,7 @@ class _Task:
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
     def work(self, v: np.ndarray, u: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """v, u, row: whole groups, in order of v, as positions() packs them."""
+        """v, u, row: all entries of a part, as positions() packs them."""
         order = np.lexsort((u, v))
         v, u, row = v[order], u[order], row[order]
         n = row % (_MOST + 1)
@@ -382,33 +403,21 @@ class _Task:
 
 def settled(found: DataFrame, shared) -> DataFrame:
     """Sums per document (kind 0) and per context (1), and positions that back off (2)."""
-    key = (
-        F.when(F.col("v") < _MARK + len(_FIELDS), F.col("row"))
-        .when((F.col("v") >= 0) & (F.col("v") < _PAIRS), F.xxhash64("u", "v")).otherwise(F.col("v"))
-    )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = _Task(shared.value[0])
-        held: list[list[np.ndarray]] = []
-        size = 0
+        now, held = None, []
         for batch in batches:
-            held.append([batch.column(c).to_numpy() for c in ("v", "u", "row")])
-            size += batch.num_rows
-            if size < AT_ONCE or not batch.num_rows:
-                continue
-            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            v = rows[0]
-            end = np.flatnonzero(v != v[-1])
-            cut = int(end[-1]) + 1 if len(end) else 0
-            if cut:
-                yield from task.work(*(x[:cut] for x in rows))
-            held = [[x[cut:] for x in rows]]
-            size = len(v) - cut
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
+                if part != now and held:
+                    yield from task.work(*np.concatenate(held, axis=1))
+                    held = []
+                now = part
+                held.append(_unpacked(data.as_buffer()))
         if held:
-            yield from task.work(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from task.work(*np.concatenate(held, axis=1))
         yield from task.flush()
 
-    return found.repartition(key).sortWithinPartitions("v").mapInArrow(run, _OUT)
+    return found.repartition("part").sortWithinPartitions("part").mapInArrow(run, _OUT)
 
 
 def dense_contexts(words: Unigrams, matrix: np.ndarray) -> list[tuple]:
@@ -434,7 +443,8 @@ def scores(docs: DataFrame, hot: int = HOT, dense: int = DENSE) -> DataFrame:
     words, matrix = count_words(rows, hot, dense)
     shared = spark.sparkContext.broadcast((words, matrix))
     path = new_path(spark, "katz-sums")
-    settled(positions(rows, shared), shared).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    settled(positions(rows, shared, parts), shared).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     stored = spark.read.schema(_OUT).parquet(path)
 
     counts = [F.sum(f"c{r}").alias(f"c{r}") for r in range(1, K + 2)]
