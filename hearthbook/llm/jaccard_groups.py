@@ -50,7 +50,7 @@ CELLS = 128
 BROADCAST_KEYS = 500_000
 SEED = 42
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
-_KNOWN_WORDS = 500_000
+_KNOWN_WORDS = 100_000
 
 
 class _Words(dict):
