@@ -31,45 +31,62 @@ POWER = 8.0
 #: Steps of a similarity; products are of double precision.
 STEPS = 1e9
 BLOCK = 512
-MEMO = 150_000
+#: Words that a worker remembers, and those of a text that it looks at in one go.
+MEMO, WORDS = 400_000, 200_000
 
 _SHAPE = re.compile(r"[A-Z]+|[a-z]+|[0-9]+|[^\x00-\x7f]+")
 
 
 def _shape(word: str) -> str:
     """A word's form: A, a, 9 and u for runs of capitals, small letters, digits and others."""
+    if word.isascii() and word.isalpha():  # most words, without the pattern
+        if word.islower():
+            return "a"
+        if word.isupper():
+            return "A"
+        if word[0].isupper() and word[1:].islower():
+            return "Aa"
     return _SHAPE.sub(lambda m: "A" if m[0][0] <= "Z" and m[0][0] >= "A" else "a" if "a" <= m[0][0] <= "z" else "9" if m[0][0].isascii() else "u", word)[:12]
 
 
-def _place(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES
+def _place(name: str, before: int = 0) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass"), before) % FEATURES
 
 
 _SAME = _place("\x00same as the word before")
+_WORD, _ENDING, _FORM = (zlib.crc32(kind) for kind in (b"w", b"e", b"s"))
 
 
 def _word_features(word: str) -> tuple[int, int, int]:
     """Places of the word itself, of its ending and of its form."""
     low = word.lower()
-    return _place(f"w{low}"), _place(f"e{low[-3:]}"), _place(f"s{_shape(word)}")
+    return _place(low, _WORD), _place(low[-3:], _ENDING), _place(_shape(word), _FORM)
+
+
+class _Known(dict):
+    """The row of each word in a table of places."""
+
+    def __init__(self):
+        self.places = np.zeros((MEMO, 3), np.int16)
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        self.places[row] = _word_features(word)
+        return row
 
 
 def counts(text: str) -> np.ndarray:
     """How often each feature occurs in the whole text."""
     words = text.split()
     out = np.zeros(FEATURES, np.float32)
-    if words:
-        known: dict[str, tuple[int, int, int]] = remembered(("quality_knn",), dict)
-        if len(known) >= MEMO:
+    known: _Known = remembered(("quality_knn",), _Known)
+    for at in range(0, len(words), WORDS):
+        part = words[at : at + WORDS]
+        if len(known) + len(part) > MEMO:
             known.clear()
-        flat: list[int] = []
-        for word in words:
-            found = known.get(word)
-            if found is None:
-                found = known[word] = _word_features(word)
-            flat += found
-        out += np.bincount(np.array(flat, np.int32), minlength=FEATURES)
-        out[_SAME] += sum(map(str.__eq__, words, words[1:]))
+        rows = np.fromiter(map(known.__getitem__, part), np.int32, len(part))
+        out += np.bincount(known.places[rows].ravel(), minlength=FEATURES)
+        out[_SAME] += np.count_nonzero(rows[1:] == rows[:-1]) + (at > 0 and words[at - 1] == words[at])
     return out
 
 
@@ -120,10 +137,12 @@ def votes(latent: np.ndarray, known: np.ndarray, labels: np.ndarray, neighbours:
     """
     if not len(known):
         return np.full(len(latent), 0.5)
-    near = np.rint((latent @ known.T) * STEPS).astype(np.int64)
+    near = np.rint((latent @ known.T) * STEPS)
     k = min(neighbours, len(known))
-    ranked = near * len(known) + np.arange(len(known) - 1, -1, -1)  # no two alike: the earlier row is ahead
-    best = np.argpartition(-ranked, k - 1, axis=1)[:, :k] if k < len(known) else np.tile(np.arange(k), (len(near), 1))
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < len(known) else np.tile(np.arange(k), (len(near), 1))
+    last = np.take_along_axis(near, best, axis=1).min(axis=1)
+    for i in np.flatnonzero((near >= last[:, None]).sum(axis=1) > k):  # ties at the last place
+        best[i] = np.argsort(-near[i], kind="stable")[:k]
     best.sort(axis=1)  # sums in one order
     weight = (np.maximum(np.take_along_axis(near, best, axis=1), 0) / STEPS) ** POWER
     total = weight.sum(axis=1)
