@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -47,7 +49,9 @@ SEGMENT_IDS = 262_144
 END_ID = 0
 NULL_ID = -(1 << 63)
 MEMO = 400_000
-ENDINGS = ".,;:!?)"
+# Fixed value: where a byte-level tokenizer that cuts at words does so.
+_CUTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_BLANK_AND_MORE = re.compile(r" \s")
 
 # Ids per word and their width in bits, by selector; selector 0 is the escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -209,9 +213,8 @@ class _Tokenizer:
     """The tokenizers library over units of text; what a unit gives is remembered.
 
     A byte-level tokenizer that cuts at words (as its definition must say) cuts a text before each blank that something else than
-    white space follows, and between letters and the signs after them. So the ids of a text are those of
-    its units, those of a unit are its word's and its ending's, and a word of letters is one piece,
-    which goes to the vocabulary's merges at once. Texts that name an added token, and all texts under another definition, go
+    white space follows. So the ids of a text are those of its units; a unit is cut into pieces by the
+    same rule, and these go to the vocabulary's merges at once. Texts that name an added token, and all texts under another definition, go
     to the library as they are.
     """
 
@@ -228,45 +231,47 @@ class _Tokenizer:
         self.known = _Units(self)
         self.end = array("I", [END_ID]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        pieces = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+    def _piece(self, piece: str) -> bytes:
+        pieces = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         return array("I", [p.id for p in pieces]).tobytes()
 
     def unit(self, unit: str) -> bytes:
-        word = unit[1:] if unit[0] == " " else unit
-        if word.isalpha():
-            return self._word(unit)
-        stem = unit.rstrip(ENDINGS)
-        if stem != unit and stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha()):
-            return self.known[stem] + self.known[unit[len(stem):]]
-        return self.whole(unit)
+        if unit[unit[0] == " " :].isalpha():
+            return self._piece(unit)
+        pieces = _CUTS.findall(unit)
+        find = self.known.__getitem__
+        return b"".join([find(p[1:]) if p[0] == " " and len(p) > 1 and pieces != [unit] else self._piece(p) for p in pieces])
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def ids(self, text: str) -> bytes:
+        find = self.known.__getitem__
+        if text[:1] == " " or text[-1:] == " " or _BLANK_AND_MORE.search(text):  # not just a blank between words
+            return b"".join([find(u[1:]) if u[0] == " " and len(u) > 1 else self.unit(u) for u in units(text)])
+        first, *rest = text.split(" ")
+        return b"".join([self.unit(first) if first else b"", *map(find, rest)])
+
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         self.known.forget()
-        find, out = self.known.__getitem__, []
+        out = []
         for text in batch:
-            if self.by_units and not any(a in text for a in self.added):
-                found = b"".join([*map(find, units(text)), self.end])
-            else:
-                found = self.whole(text) + self.end
-            out.append(np.frombuffer(found, np.uint32))
+            by_units = self.by_units and not any(a in text for a in self.added)
+            out.append(np.frombuffer((self.ids(text) if by_units else self.whole(text)) + self.end, np.uint32))
         return out
 
 
 class _Units(dict):
-    """Ids by unit. What isn't used again before the next time is forgotten."""
+    """Ids of a blank and what follows it, by what follows. What isn't used again before the next time is forgotten."""
 
     def __init__(self, tokenizer: _Tokenizer):
         self.tokenizer, self.older = tokenizer, {}
 
-    def __missing__(self, unit: str) -> bytes:
-        found = self.older.get(unit)
+    def __missing__(self, part: str) -> bytes:
+        found = self.older.get(part)
         if found is None:
-            found = self.tokenizer.unit(unit)
-        self[unit] = found
+            found = self.tokenizer.unit(" " + part)
+        self[part] = found
         return found
 
     def forget(self) -> None:
