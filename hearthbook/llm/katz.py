@@ -45,9 +45,9 @@ TAIL = 1e-6
 HOT = 65_536
 DENSE = 1_024
 #: Positions that a task packs at once, and between two sums per document.
-SORTED, FLUSH = 250_000, 2_500_000
+SORTED, FLUSH = 250_000, 1_800_000
 #: Parts that positions are dealt to, per partition.
-PARTS = 4
+PARTS = 8
 #: Share of the documents that the dense words are looked for in.
 DENSE_SAMPLE = 0.02
 MEMO = 300_000
