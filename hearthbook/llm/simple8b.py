@@ -48,9 +48,10 @@ BLOCK = 4096
 SEGMENT_IDS = 262_144
 END_ID = 0
 NULL_ID = -(1 << 63)
-MEMO = 400_000
+MEMO = 700_000
 # Fixed value: where a byte-level tokenizer that cuts at words does so.
 _CUTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_BLANK = chr(256 + 32)  # the letter that stands for a blank
 _BLANK_AND_MORE = re.compile(r" \s")
 
 # Ids per word and their width in bits, by selector; selector 0 is the escape.
@@ -231,9 +232,12 @@ class _Tokenizer:
         self.known = _Units(self)
         self.end = array("I", [END_ID]).tobytes()
 
+    def merged(self, letters: str) -> bytes:
+        """The ids of a piece, given by the letters that stand for its bytes."""
+        return array("I", [p.id for p in self.model.tokenize(letters)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        pieces = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        return array("I", [p.id for p in pieces]).tobytes()
+        return self.merged(piece.encode().decode("latin-1").translate(self.letters))
 
     def unit(self, unit: str) -> bytes:
         if unit[unit[0] == " " :].isalpha():
@@ -270,7 +274,10 @@ class _Units(dict):
     def __missing__(self, part: str) -> bytes:
         found = self.older.get(part)
         if found is None:
-            found = self.tokenizer.unit(" " + part)
+            if part.isascii() and part.isalpha():  # one piece, whose letters stand for themselves
+                found = self.tokenizer.merged(_BLANK + part)
+            else:
+                found = self.tokenizer.unit(" " + part)
         self[part] = found
         return found
 
