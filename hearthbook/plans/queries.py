@@ -1203,10 +1203,9 @@ def json_unreadable_values(t: Ledger) -> DataFrame:
 def household_payloads(t: Ledger) -> DataFrame:
     """What the payload lines hold, read back: a row per head and per item."""
     parsed = documents.parse_documents(documents.household_payloads(t.tables))
-    doc = F.col("doc")
-    heads = parsed.where("NOT item_line AND reason IS NULL").select(
-        "household_id", F.lit("head").alias("list"), coerce.as_string_or_null(doc["name"]).alias("id"),
-        coerce.as_string_or_null(doc["property"]["postcode"]).alias("kind"),
+    homes = documents.read_properties(parsed).select("household_id", "postcode")
+    heads = documents.read_households(parsed).join(homes, "household_id", "left").select(
+        "household_id", F.lit("head").alias("list"), F.col("name").alias("id"), F.col("postcode").alias("kind"),
         *[F.lit(None).cast("string").alias(c) for c in ("value", "status", "label")], F.lit(False).alias("shows_text"),
     )
 
