@@ -70,28 +70,29 @@ def calendar_totals(bills: DataFrame, month: str) -> DataFrame:
 def calendar_grid(households: DataFrame, bills: DataFrame, month: str) -> DataFrame:
     """Every day of the month for every household, with the Monday-first grid cell.
 
-    The empty days are stacked under the bill measures and summed together, which
-    takes one shuffle and no join.
+    Bills are summed per day first, then a household's days, 31 at most, are gathered next to it, and
+    its empty days are laid out last: no shuffle or aggregation holds a row for each of them.
     """
     first, after = _month_bounds(month)
     last = after - dt.timedelta(days=1)
-    spine = households.select(
-        S.KEY, F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day"), F.lit(1).alias("known")
-    )
-    stacked = spine.unionByName(_day_measures(bills, month), allowMissingColumns=True)
-    summed = stacked.groupBy(S.KEY, "day").agg(
-        F.max("known").alias("known"),
-        F.coalesce(F.sum("bill_count"), F.lit(0)).alias("bill_count"),
-        F.coalesce(F.bool_or("has_confirmed"), F.lit(False)).alias("has_confirmed"),
+    summed = _sum_days(_day_measures(bills, month), S.KEY, "day").select(
+        S.KEY, F.struct("day", "bill_count", "has_confirmed").alias("with_bills")
     )
+    known = households.select(S.KEY, F.lit(1).alias("known"))
+    stacked = known.unionByName(summed, allowMissingColumns=True)
+    gathered = stacked.groupBy(S.KEY).agg(F.max("known").alias("known"), F.collect_list("with_bills").alias("days"))
+    found = F.filter("days", lambda of: of["day"] == F.col("day"))
+    grid = gathered.where("known = 1").select(
+        S.KEY, "days", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day")
+    ).select(S.KEY, "day", F.get(found, F.lit(0)).alias("found"))
     blanks = F.weekday(F.lit(first))
-    return summed.where("known = 1").select(
+    return grid.select(
         S.KEY,
         "day",
         (blanks + F.dayofmonth("day") - 1).cast("bigint").alias("grid_cell"),
-        "bill_count",
-        _marker().alias("marker"),
-    )
+        F.coalesce(F.col("found")["bill_count"], F.lit(0)).alias("bill_count"),
+        F.coalesce(F.col("found")["has_confirmed"], F.lit(False)).alias("has_confirmed"),
+    ).select(S.KEY, "day", "grid_cell", "bill_count", _marker().alias("marker"))
 
 
 def due_next(bills: DataFrame, as_of: R.Day, days: int = S.DUE_SOON_DAYS) -> DataFrame:
