@@ -19,6 +19,10 @@ TEXT_AS_OF = "2026-01-01"
 MONTH = "1998-06-01"
 SUGGESTED_AT = "2026-01-03 10:00:00"
 
+#: Rows that one task is dealt, by source; of a customer come up to five rows, and documents hold whole texts.
+ROWS_PER_TASK = {"customer": 30_000, "documents": 20_000}
+DEFAULT_ROWS_PER_TASK = 100_000
+
 KINDS9 = (
     "CASE {k} % 9 WHEN 0 THEN 'electricity' WHEN 1 THEN 'gas' WHEN 2 THEN 'water' "
     "WHEN 3 THEN 'wastewater' WHEN 4 THEN 'councilTax' WHEN 5 THEN 'broadband' "
@@ -338,9 +342,23 @@ class Ledger:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._sources: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """All rows of a source table, those of a large one dealt out evenly.
+
+        Parquet files are cut between row groups only, and one may hold a whole table: its scan, and
+        all that is made of it before a shuffle, would be one task. Rows are dealt by their place in the file, as
+        keys may repeat or be null.
+        """
+        if name not in self._sources:
+            rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            shares = -(-rows.count() // ROWS_PER_TASK.get(name, DEFAULT_ROWS_PER_TASK))
+            if shares > 1:
+                waves = -(-shares // self.spark.sparkContext.defaultParallelism)
+                rows = rows.repartition(waves * self.spark.sparkContext.defaultParallelism, F.col("_metadata.row_index"))
+            self._sources[name] = rows
+        return self._sources[name]
 
     def flat(self, name: str) -> DataFrame:
         rule = RULES[name]

@@ -38,3 +38,14 @@ def test_the_day_grid_is_laid_out_after_the_sums(spark):
     explodes = [i for i, line in enumerate(lines) if "Generate explode" in line]
     sums = [i for i, line in enumerate(lines) if "Aggregate" in line]
     assert max(explodes) < min(sums)
+
+
+def test_a_source_of_one_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(derived, "ROWS_PER_TASK", {"customer": 100}, raising=False)
+    keys = [None] * 400 + [7] * 400 + list(range(200))
+    pq.write_table(pa.table({"c_custkey": pa.array(keys, pa.int64())}), tmp_path / "customer.parquet")
+    rows = derived.Ledger(spark, str(tmp_path)).raw("customer")
+    assert rows.columns == ["c_custkey"]
+    assert sorted((r.c_custkey for r in rows.collect()), key=str) == sorted(keys, key=str)
+    shares = rows.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in shares) < 300
