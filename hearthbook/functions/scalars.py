@@ -89,13 +89,12 @@ def month_start(day: Column) -> Column:
 
 
 def normalise_postcode(text: Column) -> Column:
-    """Upper case, one blank before the last three characters."""
+    """Upper case, one blank before the last three characters of five or more.
+
+    Each step is used once: filters repeat what they are made of at every use.
+    """
     compact = F.upper(F.regexp_replace(text, f"[{coerce.SPACE}]+", ""))
-    size = F.length(compact)
-    spaced = F.concat(
-        F.substr(compact, F.lit(1), size - 3), F.lit(" "), F.substr(compact, size - 2, F.lit(3))
-    )
-    return F.when(size < 5, compact).otherwise(spaced)
+    return F.regexp_replace(compact, r"(?s)^(.{2,})(.{3})\z", "$1 $2")
 
 
 def looks_like_postcode(text: Column) -> Column:

@@ -49,3 +49,11 @@ def test_a_source_of_one_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
     assert sorted((r.c_custkey for r in rows.collect()), key=str) == sorted(keys, key=str)
     shares = rows.groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in shares) < 300
+
+
+def test_postcodes_are_normalised_once_a_use(spark):
+    table = spark.createDataFrame([(1, " ls1\t2ab"), (2, "ab"), (3, "abcd"), (4, "abcde"), (5, None), (6, "")], "request_id long, postcode string")
+    asked = table.select("request_id", F.concat("postcode", F.lit("")).alias("postcode"))
+    normal = {r[0]: r[1] for r in asked.select("request_id", X.normalise_postcode(F.col("postcode"))).collect()}
+    assert normal == {1: "LS1 2AB", 2: "AB", 3: "ABCD", 4: "AB CDE", 5: None, 6: ""}
+    assert plan(asked.select(X.normalise_postcode(F.col("postcode")).alias("p"))).count("upper(") == 1
