@@ -202,10 +202,19 @@ def detect_known_provider(text: str, lowered: str, word_boundary: bool = False)
     """
     if not word_boundary:
         return _by_keyword(lowered, {name: (name.lower(),) for name in KNOWN_PROVIDERS})
-    chain = F
-    for name in KNOWN_PROVIDERS:
-        chain = chain.when(F.col(text).rlike(rf"(?iu)(?<!\w)\Q{name}\E(?!\w)"), name)
-    return chain.otherwise(F.lit(None).cast("string"))
+    # A plain search first, in lower case with the letters that the pattern takes for i and s as well.
+    folded = F.col(lowered)
+    for other, letter in (("i\u0307", "i"), ("\u0131", "i"), ("\u017f", "s")):
+        folded = F.replace(folded, F.lit(other), F.lit(letter))
+
+    def first_alone(plain: Column) -> Column:
+        chain = F
+        for name in KNOWN_PROVIDERS:
+            alone = F.col(text).rlike(rf"(?iu)(?<!\w)\Q{name}\E(?!\w)")
+            chain = chain.when(F.contains(plain, F.lit(name.lower())) & alone, name)
+        return chain.otherwise(F.lit(None).cast("string"))
+
+    return F.get(F.transform(F.array(folded), first_alone), F.lit(0))
 
 
 def label_priority(lowered_line: Column) -> Column:

@@ -57,3 +57,12 @@ def test_postcodes_are_normalised_once_a_use(spark):
     normal = {r[0]: r[1] for r in asked.select("request_id", X.normalise_postcode(F.col("postcode"))).collect()}
     assert normal == {1: "LS1 2AB", 2: "AB", 3: "ABCD", 4: "AB CDE", 5: None, 6: ""}
     assert plan(asked.select(X.normalise_postcode(F.col("postcode")).alias("p"))).count("upper(") == 1
+
+
+def test_whole_words_are_searched_for_plainly_first(spark):
+    texts = ["a ſky, b", "by BRİTıſH GAS", "fee see", "the ee.", "i̇ DŴR CYMRU", "x", None, "SKy", "skyline sky"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = extraction.extract_bills(rows, "2026-01-01", word_boundary=True)
+    names = [r[1] for r in sorted(found.select("id", found.provider.value).collect())]
+    assert names == ["Sky", "British Gas", None, "EE", "Dŵr Cymru", None, None, "Sky", "Sky"]
+    assert all(name.lower() in plan(found, "extended") for name in extraction.KNOWN_PROVIDERS)
