@@ -53,9 +53,12 @@ def slot_links(slots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def service_for_bill(bills: DataFrame, slots: DataFrame) -> DataFrame:
-    """Each bill with the slot of its kind, if the household has one."""
+    """Each bill with the slot of its kind, if the household has one.
+
+    Slots grow with the households, so they are merged and not broadcast, whatever Spark takes their size for.
+    """
     first = slots.groupBy(S.KEY, "kind").agg(F.min("slot_id").alias("slot_id"))
-    return bills.select("bill_id", S.KEY, "kind").join(first, [S.KEY, "kind"], "left")
+    return bills.select("bill_id", S.KEY, "kind").join(first.hint("merge"), [S.KEY, "kind"], "left")
 
 
 def bill_documents(bills: DataFrame, documents: DataFrame) -> DataFrame:

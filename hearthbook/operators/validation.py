@@ -77,9 +77,12 @@ def slot_update_rules() -> Rules:
 
 
 def check_slot_updates(updates: DataFrame, slots: DataFrame) -> DataFrame:
-    """Slot updates with codes; the confirm rule looks at the slot as it is now."""
+    """Slot updates with codes; the confirm rule looks at the slot as it is now.
+
+    Slots grow with the households, so they are merged and not broadcast, whatever Spark takes their size for.
+    """
     current = slots.select(S.KEY, "kind", F.col("provider")["value"].alias("current_value"))
-    return check(updates.join(current, [S.KEY, "kind"], "left"), slot_update_rules())
+    return check(updates.join(current.hint("merge"), [S.KEY, "kind"], "left"), slot_update_rules())
 
 
 def reminder_rules() -> Rules:

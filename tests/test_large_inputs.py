@@ -66,3 +66,17 @@ def test_whole_words_are_searched_for_plainly_first(spark):
     names = [r[1] for r in sorted(found.select("id", found.provider.value).collect())]
     assert names == ["Sky", "British Gas", None, "EE", "Dŵr Cymru", None, None, "Sky", "Sky"]
     assert all(name.lower() in plan(found, "extended") for name in extraction.KNOWN_PROVIDERS)
+
+
+@pytest.mark.parametrize("of", ["bills", "updates"])
+def test_slots_are_merged_not_broadcast(spark, tmp_path, of):
+    slots(spark, [slot("gas"), slot("water", household=None)]).write.parquet(str(tmp_path / "slots"))
+    there = spark.read.parquet(str(tmp_path / "slots"))
+    if of == "bills":
+        joined = relations.service_for_bill(bills(spark, [bill("a", kind="gas"), bill("b", kind="water", household=None)]), there)
+        assert sorted(joined.select("bill_id", "slot_id").collect()) == [("a", "svc-1-gas"), ("b", None)]
+    else:
+        updates = spark.createDataFrame([(1, "gas", "confirm", None, None)], "household_id long, kind string, action string, value string, amount_text string")
+        joined = validation.check_slot_updates(updates, there)
+        assert joined.first().codes == ["nothing_to_confirm"]
+    assert "BroadcastHashJoin" not in plan(joined)
