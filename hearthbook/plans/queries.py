@@ -1115,8 +1115,9 @@ def json_slots_roundtrip(t: Ledger) -> DataFrame:
 
 @query
 def json_households_roundtrip(t: Ledger) -> DataFrame:
-    parsed = documents.parse_documents(documents.household_documents(t.tables))
-    homes = documents.read_properties(parsed).select(
+    lines = documents.household_documents(t.tables)
+    parsed = documents.parse_documents(lines)
+    homes = documents.read_properties(documents.parse_documents(documents.head_lines(lines))).select(
         "household_id", "line1", "line2", "town", "postcode", "uprn", "tenure", "is_demo_data"
     )
     heads = documents.read_households(parsed).withColumnRenamed("is_demo_data", "document_is_demo_data")
@@ -1202,9 +1203,10 @@ def json_unreadable_values(t: Ledger) -> DataFrame:
 @query
 def household_payloads(t: Ledger) -> DataFrame:
     """What the payload lines hold, read back: a row per head and per item."""
-    parsed = documents.parse_documents(documents.household_payloads(t.tables))
-    homes = documents.read_properties(parsed).select("household_id", "postcode")
-    heads = documents.read_households(parsed).join(homes, "household_id", "left").select(
+    lines = documents.household_payloads(t.tables)
+    parsed, known = documents.parse_documents(lines), documents.parse_documents(documents.head_lines(lines))
+    homes = documents.read_properties(known).select("household_id", "postcode")
+    heads = documents.read_households(known).join(homes, "household_id", "left").select(
         "household_id", F.lit("head").alias("list"), F.col("name").alias("id"), F.col("postcode").alias("kind"),
         *[F.lit(None).cast("string").alias(c) for c in ("value", "status", "label")], F.lit(False).alias("shows_text"),
     )

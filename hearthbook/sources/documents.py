@@ -500,6 +500,11 @@ def payload_pieces(tables: dict[str, DataFrame]) -> DataFrame:
     return _pieces(*_payload_parts(tables))
 
 
+def head_lines(lines: DataFrame) -> DataFrame:
+    """The head lines alone. Who reads heads beside something else parses the lines of items once, not again for these."""
+    return lines.where("list = 0")
+
+
 def in_order(lines: DataFrame) -> DataFrame:
     """Lines or pieces in order over range partitions, so that a large household is spread over several."""
     keys = [c for c in (S.KEY, "list", "kind", "pos", "id") if c in lines.columns]

@@ -80,3 +80,8 @@ def test_slots_are_merged_not_broadcast(spark, tmp_path, of):
         joined = validation.check_slot_updates(updates, there)
         assert joined.first().codes == ["nothing_to_confirm"]
     assert "BroadcastHashJoin" not in plan(joined)
+
+
+@pytest.mark.parametrize("name", ["household_payloads", "json_households_roundtrip"])
+def test_lines_of_items_are_written_and_parsed_once(spark, name):
+    assert plan(QUERIES[name](spark, SMALLEST)).count("paymentStatus, payment_status") == 1
