@@ -29,7 +29,7 @@ import math
 import struct
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,10 @@ K = 5
 TAIL = 1e-6
 HOT = 65_536
 DENSE = 1_024
-#: Rows that a task works on at once, and between two sums per document.
-AT_ONCE, FLUSH = 200_000, 2_500_000
+#: Rows that a task works on at once, and positions between two sums per document.
+AT_ONCE, SUMMED = 100_000, 400_000
+#: Documents or contexts whose sums a task keeps before it passes them on, and rows in one batch.
+FLUSH, BATCH = 500_000, 50_000
 SORTED = 250_000
 #: Share of the documents that the dense words are looked for in.
 DENSE_SAMPLE = 0.02
@@ -287,11 +289,12 @@ class _Task:
             ("kind", pa.int32()), ("key", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("c0", pa.int64()),
             *((f"c{r}", pa.int32()) for r in range(1, K + 2)), ("doc", pa.int64()), ("tokens", pa.int64()),
         ])
-        self.rows: list[np.ndarray] = []
-        self.sums: list[np.ndarray] = []
-        self.marks: list[np.ndarray] = []
+        self.parts: list[list[np.ndarray]] = []
         self.contexts: list[np.ndarray] = []
         self.held = 0
+        # Sums so far, by the document's row and by the context: the id, sums, counts.
+        self.by_row = np.empty(0, np.int64), np.empty((2, 0)), np.empty((1 + K, 0), np.int64)
+        self.by_context = np.empty(0, np.int64), np.empty((1, 0)), np.empty((2 + K, 0), np.int64)
 
     def out(self, kind: int, n: int, **columns) -> pa.RecordBatch:
         columns["kind"] = np.full(n, kind, np.int32)
@@ -301,6 +304,10 @@ class _Task:
         ]
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
+    def outs(self, kind: int, n: int, **columns) -> Iterator[pa.RecordBatch]:
+        for i in range(0, n, BATCH):
+            yield self.out(kind, min(BATCH, n - i), **{name: column[i : i + BATCH] for name, column in columns.items()})
+
     def work(self, v: np.ndarray, u: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
         """v, u, row: whole groups, in order of v, as positions() packs them."""
         order = np.lexsort((u, v))
@@ -329,19 +336,20 @@ class _Task:
         p = words.chance(c_word)
         s = n * np.where(seen, log_count(c), np.log10(p))
         s -= np.where(cold & (c_word > 0), n * np.log10(np.maximum(c_word, 1)), 0.0)
-        self.rows.append(row)
-        self.sums.append(np.stack([s, np.where(cold, n * words.base(c_word), 0.0)]))
         # Per position: its times, its count up to K, and whether it is a known cold word.
-        self.marks.append(np.stack([n, np.where(c <= K, c, 0), cold & (c_word > 0)]).astype(np.int32))
+        marks = np.stack([n, np.where(c <= K, c, 0), cold & (c_word > 0)]).astype(np.int32)
+        self.parts.append([row, np.stack([s, np.where(cold, n * words.base(c_word), 0.0)]), marks])
         first = np.flatnonzero(new_pair)
         first = first[c[first] > 0]
         self.contexts.append(np.stack([u[first], c[first], p[first].view(np.int64)]))
         if not seen.all():
             rest = ~seen
-            yield self.out(2, int(rest.sum()), key=u[rest], doc=row[rest], c0=n[rest])
+            yield from self.outs(2, int(rest.sum()), key=u[rest], doc=row[rest], c0=n[rest])
         self.held += len(v)
-        if self.held >= FLUSH:
-            yield from self.flush()
+        if self.held >= SUMMED:
+            self.sum_up()
+            if max(len(self.by_row[0]), len(self.by_context[0])) >= FLUSH:
+                yield from self.flush()
 
     def fields(self, field: np.ndarray, value: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
         """One row of sums for each document of which fields have come."""
@@ -359,25 +367,44 @@ class _Task:
             columns[column] = made
         return self.out(0, len(rows), **columns)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.rows:
-            row, of = np.unique(np.concatenate(self.rows), return_inverse=True)
-            sums = np.concatenate(self.sums, axis=1)
-            n, c, known = np.concatenate(self.marks, axis=1)
-            total = [np.bincount(of, x, len(row)) for x in (sums[0], sums[1], n * known)]
-            total += [np.bincount(of, np.where(c == r, n, 0), len(row)) for r in range(1, K + 1)]
-            yield self.out(
-                0, len(row), key=row, x=total[0], y=total[1], c0=total[2].astype(np.int64),
-                **{f"c{r}": total[2 + r].astype(np.int64) for r in range(1, K + 1)},
-            )
-            every = np.concatenate(self.contexts, axis=1)
-            context, of = np.unique(every[0], return_inverse=True)
-            yield self.out(
-                1, len(context), key=context, x=np.bincount(of, every[2].copy().view(np.float64), len(context)),
-                c0=np.bincount(of, every[1], len(context)).astype(np.int64),
-                **{f"c{r}": np.bincount(of, every[1] == r, len(context)).astype(np.int64) for r in range(1, K + 2)},
+    def sum_up(self) -> None:
+        """Adds the positions held to the sums per document and per context, so that none of them is kept."""
+        if self.parts:
+            row, sums, marks = (np.concatenate(x, axis=-1) for x in zip(*self.parts, strict=True))
+            self.parts = []
+            n, c, known = marks
+            self.by_row = _added(self.by_row, row, sums, lambda: [n * known, *(np.where(c == r, n, 0) for r in range(1, K + 1))])
+            context, count, chance = np.concatenate(self.contexts, axis=1)
+            self.contexts = []
+            self.by_context = _added(
+                self.by_context, context, chance.view(np.float64)[None], lambda: [count, *(count == r for r in range(1, K + 2))]
             )
-        self.rows, self.sums, self.marks, self.contexts, self.held = [], [], [], [], 0
+        self.held = 0
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        self.sum_up()
+        row, sums, counts = self.by_row
+        yield from self.outs(0, len(row), key=row, x=sums[0], y=sums[1], c0=counts[0], **{f"c{r}": counts[r] for r in range(1, K + 1)})
+        context, sums, counts = self.by_context
+        yield from self.outs(1, len(context), key=context, x=sums[0], c0=counts[0], **{f"c{r}": counts[r] for r in range(1, K + 2)})
+        self.by_row, self.by_context = (tuple(x[..., :0] for x in kept) for kept in (self.by_row, self.by_context))
+
+
+def _added(kept: tuple, key: np.ndarray, sums: np.ndarray, counts: Callable[[], list[np.ndarray]]) -> tuple:
+    """kept (keys, sums, counts) with further rows added, one column at a time."""
+    keys, of = np.unique(np.concatenate([kept[0], key]), return_inverse=True)
+    old, new = of[: len(kept[0])], of[len(kept[0]) :]
+
+    def total(column: np.ndarray, before: np.ndarray, made: np.ndarray) -> None:
+        made[:] = np.bincount(new, column, len(keys))
+        made[old] += before
+
+    x, c = np.empty((len(kept[1]), len(keys))), np.empty((len(kept[2]), len(keys)), np.int64)
+    for column, before, made in zip(sums, kept[1], x, strict=True):
+        total(column, before, made)
+    for column, before, made in zip(counts(), kept[2], c, strict=True):
+        total(column, before, made)
+    return keys, x, c
 
 
 def settled(found: DataFrame, shared) -> DataFrame:

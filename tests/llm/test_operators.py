@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from functools import cache
@@ -373,6 +374,30 @@ def test_katz_scores(spark, hot, dense):
         assert row["score"] == pytest.approx(sum(math.log10(chance(u, v)) for u, v in zip(["start", *found_tokens], found_tokens)))
 
 
+def test_katz_task_keeps_sums_only():
+    """A task that is given 2.4 million positions holds sums of its documents and contexts, not the positions."""
+    words = katz.Unigrams(10_000_000, 5_000, 1_000, {r: 100 for r in range(1, katz.K + 2)}, [b"a"], [900], [])
+    task, size, out = katz._Task(words), 20_000, []
+    rng = np.random.default_rng(3)
+    given = known = 0
+    tracemalloc.start()
+    for i in range(120):
+        v = np.sort((1 << 50) + 100 * i + rng.integers(0, 100, size))
+        row = 2 * rng.integers(0, 1_000, size) + (rng.integers(0, 4, size) == 0)
+        times = rng.integers(1, 4, size)
+        seen = np.isin(v, v[row % 2 == 0])
+        given, known = given + int(times[row % 2 == 0].sum()), known + int(times[seen].sum())
+        out += task.work(v, rng.integers(0, 30, size), row * (katz._MOST + 1) + times)
+        assert sum(part[0].size for part in task.parts) <= katz.SUMMED
+    peak = tracemalloc.get_traced_memory()[1]
+    out += task.flush()
+    tracemalloc.stop()
+    assert peak < 60 << 20 and max(batch.num_rows for batch in out) <= katz.BATCH
+    rows = [r for batch in out for r in batch.to_pylist()]
+    assert sum(r["c0"] for r in rows if r["kind"] == 1) == given
+    assert sum(r["c0"] for r in rows if r["kind"] == 0) == known
+
+
 def test_katz_edges(spark, edges, nothing):
     assert katz.scores(edges).count() == len(EDGES) and katz.scores(nothing).count() == 0
     lone = spark.createDataFrame([(next(i for i in range(99) if katz.is_held_out(i)), "only held out")], "doc_id long, text string")
