@@ -246,7 +246,8 @@ def _money_lines(text: Column) -> Column:
     def read(line: Column, position: Column) -> Column:
         amounts = F.transform(F.regexp_extract_all(line, F.lit(MONEY), F.lit(1)), _pence)
         return F.struct(
-            label_priority(F.lower(line)).alias("priority"),
+            # Lowered once for all labels: bound to a name.
+            F.get(F.transform(F.array(F.lower(line)), label_priority), F.lit(0)).alias("priority"),
             position.alias("position"),
             F.filter(amounts, lambda minor: minor.isNotNull()).alias("amounts"),
         )
@@ -308,8 +309,12 @@ def _due_text() -> Column:
 
 
 def readable(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Documents long enough to read."""
-    return documents.where(F.length(coerce.trim(F.col(text))) >= S.MIN_BILL_TEXT)
+    """Documents long enough to read.
+
+    As a filter this would move below the making of a derived text, which would then be made twice.
+    """
+    row = F.when(F.length(coerce.trim(F.col(text))) >= S.MIN_BILL_TEXT, F.struct(*documents.columns))
+    return documents.select(F.inline(F.array_compact(F.array(row))))
 
 
 def too_short(documents: DataFrame, text: str = "text") -> DataFrame:

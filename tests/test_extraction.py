@@ -136,3 +136,17 @@ def test_seeded_search_finds_what_the_whole_pattern_finds(spark):
     pairs = frame.select("_text", X._due_text().alias("seeded"), F.regexp_extract("_text", X.DUE_DATE, 1).alias("whole")).collect()
     assert [r for r in pairs if r.seeded != r.whole] == []
     assert sum(r.whole != "" for r in pairs) > 1000
+
+
+def test_a_derived_text_is_made_once(spark, capsys):
+    """Leaving out short texts doesn't make a text that is derived from other columns a second time."""
+    text = F.when(F.col("id") > 1, F.concat(F.lit("Made Total £"), F.col("id").cast("string"), F.lit(" due 01/02/2026"))).when(F.col("id") > 0, "short")
+    kept = X.readable(spark.range(4).select("id", text.alias("text")))
+    assert kept.columns == ["id", "text"] and sorted(r["id"] for r in kept.collect()) == [2, 3]
+    X.extract_bills(kept, "2026-01-01").select("id", "warnings").explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("Made Total") == 1
+
+
+def test_a_line_is_lowered_once_for_all_labels(spark):
+    assert str(X._money_lines(F.col("text"))).count("lower(") == 1
