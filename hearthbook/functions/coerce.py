@@ -201,19 +201,23 @@ def as_string_list(node: Column) -> Column:
 def whole_object(text: Column, ddl: str) -> Column:
     """A JSON object as a struct, null for any text that isn't one object and nothing else.
 
-    The parser stops after the first value. So the text is put between a key and an element that it
-    cannot foresee (its own checksum): only if both are found as they were written has it been
-    one value. Of repeated keys the last one counts; members of another type than wanted are null.
+    The parser stops after the first value. So the text is put between a key and an element that holds
+    what it cannot foresee (its own checksum): only if both are found as they were written has it been
+    one value. The checksum is a value there, not a key: parsers keep the keys they have met, and a new one with each text
+    would fill that memory. Of repeated keys the last one counts; members of another type than wanted are null.
+    The struct has the member ``mark`` after those of ``ddl``.
     """
     mark = F.md5(text)
-    wrapped = F.concat(F.lit('[{"doc":'), text, F.lit('},{"'), mark, F.lit('":{}}]'))
+    wrapped = F.concat(F.lit('[{"doc":'), text, F.lit('},{"end":{"mark":"'), mark, F.lit('"}}]'))
 
     def checked(found: Column) -> Column:
         one, two = F.get(found, F.lit(0)), F.get(found, F.lit(1))
-        alone = (F.size(found) == 2) & (F.map_keys(one) == F.array(F.lit("doc"))) & (F.map_keys(two) == F.array(mark))
+        ended = (F.map_keys(two) == F.array(F.lit("end"))) & (F.try_element_at(two, F.lit("end"))["mark"] == mark)
+        alone = (F.size(found) == 2) & (F.map_keys(one) == F.array(F.lit("doc"))) & ended
         return F.when(F.coalesce(alone, F.lit(False)), F.try_element_at(one, F.lit("doc")))
 
-    parsed = F.from_json(wrapped, f"array<map<string, {ddl}>>")
+    marked = ddl.removesuffix(">") + ", mark: string>"
+    parsed = F.from_json(wrapped, f"array<map<string, {marked}>>")
     return F.get(F.transform(F.array(parsed), checked), F.lit(0))  # bound to a name, so that it is parsed once
 
 
@@ -223,3 +227,12 @@ def some_value(text: Column) -> Column:
     ended = F.get_json_object(F.concat(F.lit('{"doc":'), text, F.lit(',"end":1}')), "$.end")
     alone = child(listed, "$[0]").isNotNull() & child(listed, "$[1]").isNull()
     return F.coalesce(alone & (ended == "1"), F.lit(False))
+
+
+def unreadable_text(text: Column) -> Column:
+    """Why a text is not one JSON object.
+
+    To be used as a value of ``F.when``. In a condition Spark would parse each text for it, also where the answer isn't
+    wanted, as it works out before all else what a row's conditions share.
+    """
+    return F.when(some_value(text), "not_an_object").otherwise("not_json")

@@ -23,8 +23,7 @@ def read_feed(responses: DataFrame, text: str = "json") -> DataFrame:
     listed = response["results"]
     opened = responses.withColumn("_response", coerce.whole_object(F.col(text), FEED))
     reason = (
-        F.when(response.isNull() & coerce.some_value(F.col(text)), "not_an_object")
-        .when(response.isNull(), "not_json")
+        F.when(response.isNull(), coerce.unreadable_text(F.col(text)))
         .when(listed.isNull() & F.contains(F.col(text), F.lit('"results"')), "results_not_a_list")
         .when(listed.isNull(), "no_results")
     )

@@ -63,8 +63,7 @@ def parse_documents(raw: DataFrame, text: str = "json", key: str | None = S.KEY)
     doc = F.col("_doc")
     household = coerce.as_int(doc["householdId"]) if key is None else F.col(key)
     reason = (
-        F.when(doc.isNull() & coerce.some_value(F.col(text)), "not_an_object")
-        .when(doc.isNull(), "not_json")
+        F.when(doc.isNull(), coerce.unreadable_text(F.col(text)))
         .when(doc["version"].isNotNull() & ~coerce.as_int(doc["version"]).eqNullSafe(F.lit(S.DOCUMENT_VERSION)), "unknown_version")
         .when(household.isNull(), "no_household_id")
     )
@@ -80,7 +79,7 @@ def _without_lists(text: Column) -> Column:
     """
     def head(doc: Column) -> Column:
         lists = [F.lit(None).cast("array<variant>").alias(name) for name in LISTS]
-        return F.when(doc.isNotNull(), F.struct(*[doc[name].alias(name) for name in (*_HEAD, "property")], *lists))
+        return F.when(doc.isNotNull(), F.struct(*[doc[name].alias(name) for name in (*_HEAD, "property")], *lists, doc["mark"].alias("mark")))
 
     return F.get(F.transform(F.array(coerce.whole_object(text, _document("string"))), head), F.lit(0))
 

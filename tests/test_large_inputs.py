@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import io
+import json
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -14,6 +16,7 @@ from hearthbook.functions import scalars as X
 from hearthbook.operators import calendar, extraction, relations, validation
 from hearthbook.plans import derived
 from hearthbook.plans.queries import QUERIES
+from hearthbook.sources import addresses, documents
 from tests.helpers import bill, bills, confirmed, households, slot, slots
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -85,3 +88,23 @@ def test_slots_are_merged_not_broadcast(spark, tmp_path, of):
 @pytest.mark.parametrize("name", ["household_payloads", "json_households_roundtrip"])
 def test_lines_of_items_are_written_and_parsed_once(spark, name):
     assert plan(QUERIES[name](spark, SMALLEST)).count("paymentStatus, payment_status") == 1
+
+
+def test_a_checksum_is_never_a_key_of_the_parser(spark):
+    texts = ['{"name":"a"}', '{"mark":{"x":1},"mark":2,"name":"b"}', '{"mark":"","name":"c","bills":[{"id":"1","id":"2"}]}',
+             '{"a":1}},{"end":{"mark":"0"}}]', '{"a":1}},{"end":{"mark":"', '{"a":1},"end":{"mark":"0"', '{"a":1}},{"end":{"mark":"0"}', "{", "5", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "household_id bigint, json string")
+    parsed = documents.parse_documents(rows)
+    assert sorted((r.household_id, r.name) for r in documents.read_households(parsed).collect()) == [(0, "a"), (1, "b"), (2, "c")]
+    assert [r.bill_id for r in documents.read_bills(parsed).collect()] == ["2"]
+    reasons = {r.household_id: r.reason for r in documents.quarantine(parsed).collect()}
+    assert reasons == {3: "not_json", 4: "not_json", 5: "not_json", 6: "not_json", 7: "not_json", 8: "not_an_object", 9: "not_json"}
+    assert not re.search(r',\{", md5\(', plan(parsed, "extended"))  # as a key it fills the parser's memory of names
+
+
+def test_why_a_text_is_unreadable_is_asked_for_such_texts_only(spark):
+    rows = spark.createDataFrame([(1, json.dumps({"results": []}))], "household_id bigint, json string")
+    for frame, name in ((documents.parse_documents(rows), "_doc"), (addresses.read_feed(rows), "_response")):
+        reason = plan(frame, "extended")
+        assert re.search(rf"CASE WHEN isnull\({name}#\d+\) THEN CASE WHEN coalesce", reason)
+        assert not re.search(rf"isnull\({name}#\d+\) AND", reason)  # what both sides share is worked out for each row
